@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, sharding
+from vellum.llm import bpe, langid, sharding
 from vellum.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_bpe": op6_bpe}
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op6_bpe": op6_bpe, "op7_langid": op7_langid}
 
 ORACLE: dict[str, str] = {}
