@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langid, sharding
+from vellum.llm import bpe, langid, mixing, sharding
 from vellum.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -27,6 +31,6 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op6_bpe": op6_bpe, "op7_langid": op7_langid}
+QUERIES = {"op2_sharding": op2_sharding, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid}
 
 ORACLE: dict[str, str] = {}
