@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langid, mixing, sharding
+from vellum.llm import bpe, langid, mixing, sharding, simhash
 from vellum.llm.common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
@@ -31,6 +35,6 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid}
 
 ORACLE: dict[str, str] = {}
