@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langid, mixing, sharding, simhash
+from vellum.llm import bpe, langid, mixing, sharding, simhash, topk
 from vellum.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,19 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid}
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s
+)
+SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 20
+"""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_topk": OP3_SQL}
