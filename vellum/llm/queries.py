@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langid, mixing, sharding, simhash, topk
+from vellum.llm import bpe, langid, mixing, sharding, simhash, substring, topk
 from vellum.llm.common import table
 
 
@@ -39,7 +39,11 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid}
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op9_substring": op9_substring}
 
 OP3_SQL = """
 WITH v AS (
