@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langid, mixing, sharding, simhash, substring, topk
+from vellum.llm import bpe, langid, mixing, quality_rules, sharding, simhash, substring, topk
 from vellum.llm.common import table
 
 
@@ -39,11 +39,15 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op9_substring": op9_substring}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring}
 
 OP3_SQL = """
 WITH v AS (
@@ -58,4 +62,34 @@ WITH v AS (
 SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 20
 """
 
-ORACLE: dict[str, str] = {"op3_topk": OP3_SQL}
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), r AS (
+  SELECT doc_id, count(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE n > 1) GROUP BY doc_id
+), m AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, array_to_string(w, '') AS j,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+), a AS (
+  SELECT m.doc_id, n_words, word_chars, length(j) - length(regexp_replace(j, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+    length(j) - length(regexp_replace(j, '\p{Lu}', '', 'g')) AS n_capitals, length(j) - length(regexp_replace(j, '\p{L}', '', 'g')) AS n_letters,
+    (length(j) - length(replace(j, '!!', ''))) // 2 AS n_shouts
+  FROM m LEFT JOIN r USING (doc_id)
+), f AS (
+  SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT
+    + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 12 * n_words)::INT
+    + 32 * (100 * n_capitals > 50 * word_chars)::INT + 64 * (100 * n_shouts > 30 * n_words)::INT
+    + 128 * (100 * n_letters < 60 * word_chars)::INT AS BIGINT) AS failed
+  FROM a
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed % 4 <> 0 AS base_failed, failed = 0 AS kept,
+  n_lines, n_capitals, n_letters, n_shouts, failed FROM f
+"""
+
+ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op8_rules": OP8_SQL}
