@@ -19,7 +19,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 50",
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
     "symbols": "100 * n_symbols > 30 * n_words",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "100 * n_dup_lines > 50 * n_lines",
     "word_length": "word_chars < 2 * n_words OR word_chars > 12 * n_words",
     "capitals": "100 * n_capitals > 50 * word_chars",
     "shouting": "100 * n_shouts > 30 * n_words",
