@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langid, mixing, quality_rules, sharding, simhash, substring, topk
+from vellum.llm import bpe, langid, mixing, quality_model, quality_rules, sharding, simhash, substring, topk
 from vellum.llm.common import table
 
 
@@ -47,7 +47,11 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring, "op10_quality": op10_quality}
 
 OP3_SQL = """
 WITH v AS (
@@ -83,7 +87,7 @@ WITH d AS (
   FROM m LEFT JOIN r USING (doc_id)
 ), f AS (
   SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT
-    + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 12 * n_words)::INT
+    + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 12 * n_words)::INT
     + 32 * (100 * n_capitals > 50 * word_chars)::INT + 64 * (100 * n_shouts > 30 * n_words)::INT
     + 128 * (100 * n_letters < 60 * word_chars)::INT AS BIGINT) AS failed
   FROM a
