@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langid, mixing, quality_model, quality_rules, sharding, simhash, substring, topk
+from vellum.llm import bpe, langid, mixing, quality_model, quality_rules, sharding, simhash, substring, topk, urls
 from vellum.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
@@ -51,7 +55,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring, "op10_quality": op10_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring, "op10_quality": op10_quality}
 
 OP3_SQL = """
 WITH v AS (
