@@ -43,3 +43,11 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
 def parts(spark: SparkSession, rows: int, per_part: int) -> int:
     """How many groups of about ``per_part`` rows hold ``rows`` rows; at least one."""
     return max(1, -(-int(rows) // per_part))
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as keep it from clashing with ``taken``."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

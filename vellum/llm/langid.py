@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import settle
+from vellum.llm.common import fresh, settle
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: A run of more letters is scored as successive words of this length, so that no product underflows.
@@ -243,9 +243,7 @@ def identify(docs: DataFrame, model_file: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model_file: str, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language can be told with a score of ``least`` or more; all columns stay as they were."""
-    name = "_told"
-    while name in docs.columns:
-        name += "_"
+    name = fresh("_told", docs.columns)
     model = learn(docs.select("doc_id", "text", "lang"), model_file)
     told = docs.withColumn(name, predicted(docs, model))
     return told.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).drop(name)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import parts, settle
+from vellum.llm.common import fresh, parts, settle
 
 
 def schedule(blocks: dict[str, int], weights: dict[str, int], least_weight: float = 0.5) -> list[tuple[str, int, int, int, int]]:
@@ -69,8 +69,8 @@ def _scheduled(least_weight: float):
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
-    smoothing: float = 0.7,
-    block_bytes: int = 1 << 18,
+    smoothing: float = 0.8,
+    block_bytes: int = 4096,
     most_blocks: int = 1 << 20,
     least_weight: float = 0.5,
     salt_rows: int = 25_000,
@@ -132,9 +132,11 @@ def mix(
 
 
 def keep_mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are in the mix, with their own columns only.
+    """The rows of ``docs`` that are in the mix, in the order of their slots, with their own columns only.
 
-    A doc_id that has rows in the mix keeps all its rows.
+    A doc_id that has rows in the mix keeps all its rows, at the first of their slots.
     """
-    chosen = mix(docs, **options).where("kept").select(F.col("doc_id").alias("_mixed_id")).distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_mixed_id"]), "left_semi")
+    known, slot = fresh("_mixed_id", docs.columns), fresh("_mixed_slot", docs.columns)
+    chosen = mix(docs, **options).where("kept").groupBy(F.col("doc_id").alias(known)).agg(F.min("slot").alias(slot))
+    mixed = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[known])).drop(known)
+    return mixed.repartitionByRange(slot).sortWithinPartitions(slot, "doc_id").drop(slot)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import settle
+from vellum.llm.common import fresh, settle
 from vellum.llm.components import components
 
 BITS, RADIUS, BLOCKS = 64, 4, 6
@@ -232,23 +232,22 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Repeated rows of a kept doc_id count as copies, of which one stays. Rows without a doc_id stay
     only where their group holds no doc_id at all.
     """
+    known, mark, number = (fresh(x, docs.columns) for x in ("_id", "_mark", "_row"))
     marked = settle(fingerprints(docs), "fingerprints")
     chosen = settle(
         marked.join(_classes(marked.select("doc_id", "fp")), "fp")
         .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-        .agg(F.count(F.lit(1)).alias("_n")),
+        .groupBy(F.col("doc_id").alias(known), F.col("mark").alias(mark))
+        .agg(F.count(F.lit(1)).alias("n")),
         "kept-first",
     )
-    same = docs["doc_id"].eqNullSafe(chosen["_id"]) & F.xxhash64(docs["text"]).eqNullSafe(chosen["_mark"])
-    repeated = settle(chosen.groupBy("_id").agg(F.sum("_n").alias("_n")).where("_n > 1 AND _id IS NOT NULL").select("_id"), "kept-often")
+    same = docs["doc_id"].eqNullSafe(chosen[known]) & F.xxhash64(docs["text"]).eqNullSafe(chosen[mark])
+    often = chosen.where(F.col(known).isNotNull()).groupBy(known).agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = settle(often.select(known), "kept-often")
     kept = docs.join(chosen, same, "left_semi")
     if repeated.isEmpty():
         return kept
-    often = F.col("doc_id") == repeated["_id"]
+    twice = docs["doc_id"] == repeated[known]
     first = Window.partitionBy("doc_id").orderBy("text")
-    number = "_row"
-    while number in docs.columns:
-        number += "_"
-    once = kept.join(repeated, often, "left_semi").withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number)
-    return kept.join(repeated, often, "left_anti").unionByName(once)
+    once = kept.join(repeated, twice, "left_semi").withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number)
+    return kept.join(repeated, twice, "left_anti").unionByName(once)
