@@ -25,16 +25,20 @@ from vellum.llm.common import fresh, settle
 LETTERS = re.compile(r"[^\W\d_]+")
 #: A run of more letters is scored as successive words of this length, so that no product underflows.
 LONGEST = 40
+#: Texts whose words are scored together.
+BATCH = 1024
 #: Words that a process remembers before it starts anew.
-MEMORY = 200_000
+MEMORY = 300_000
 #: Fixed value: the mark that stands before a word in the vocabulary.
 MARK = "▁"
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased letter runs of a whole text, each with the word mark."""
-    found = LETTERS.findall(text.lower())
-    if found and max(map(len, found)) > LONGEST:
+def words_of(chunk: str) -> list[str]:
+    """The letter runs of lower-case text, each with the word mark."""
+    if chunk.isalpha() and len(chunk) <= LONGEST:
+        return [MARK + chunk]
+    found = LETTERS.findall(chunk)
+    if len(chunk) > LONGEST:
         found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
     return [MARK + w for w in found]
 
@@ -49,30 +53,69 @@ def vocabulary_pieces(model_file: str) -> list[str]:
 
 
 class Lattice:
-    """All pieces of words, as ids by (end, length); the row after the last piece is an unknown letter."""
+    """All pieces of words, as ids by (end, length); the id after the last piece is an unknown letter.
+
+    Pieces are found by a rolling hash of their letters in an open-addressed table, for all words of
+    one length at once.
+    """
+
+    BITS = 19
+    STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
     def __init__(self, pieces: list[str]):
-        self.ids = {p: i for i, p in enumerate(pieces)}
         self.unknown = len(pieces)
         self.longest = max(map(len, pieces), default=1)
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.found = np.full(1 << self.BITS, -1, np.int32)
+        self.probes = 1
+        for n in range(1, self.longest + 1):
+            own = [i for i, p in enumerate(pieces) if len(p) == n]
+            if own:
+                *_, last = self._hashes([pieces[i] for i in own], n)
+                for i, key in zip(own, last[:, 0].tolist()):
+                    at, tries = int(self._slot(np.array([key], np.uint64))[0]), 1
+                    while self.keys[at]:
+                        at, tries = (at + 1) % len(self.keys), tries + 1
+                    self.keys[at], self.found[at] = key, i
+                    self.probes = max(self.probes, tries)
+
+    def _slot(self, key):
+        return (key * self.SPREAD) >> np.uint64(64 - self.BITS)
+
+    def _hashes(self, words: list[str], most: int) -> Iterator[np.ndarray]:
+        """For each length up to ``most``, the hash of every substring [word, start]."""
+        codes = np.array(words).view(np.uint32).reshape(len(words), -1).astype(np.uint64) + np.uint64(1)
+        rolled = np.zeros_like(codes)
+        with np.errstate(over="ignore"):
+            for n in range(1, most + 1):
+                places = codes.shape[1] - n + 1
+                rolled = (rolled[:, :places] * self.STEP + codes[:, n - 1 :]) ^ np.uint64(n)
+                yield rolled | np.uint64(1)
+
+    def _ids(self, keys: np.ndarray) -> np.ndarray:
+        out = np.full(keys.shape, -1, np.int32)
+        with np.errstate(over="ignore"):
+            at = self._slot(keys).astype(np.int64)
+        for _ in range(self.probes):
+            hit = self.keys[at] == keys
+            out[hit] = self.found[at[hit]]
+            at = (at + 1) & ((1 << self.BITS) - 1)
+        return out
 
-    def by_length(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+    def by_length(self, words: list[str], block: int = 20_000) -> Iterator[tuple[list[int], np.ndarray]]:
         """(places of the words of one length, ids [word, end, length]); -1: no such piece."""
         places: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             places[len(w)].append(i)
-        get = self.ids.get
-        for n, own in places.items():
+        for n, every in places.items():
             most = min(n, self.longest)
-            spans = [(e, s) for e in range(1, n + 1) for s in range(e - 1, max(-1, e - 1 - most), -1)]
-            flat = [get(w[s:e], -1) for i in own for w in (words[i],) for e, s in spans]
-            grid = np.full((len(own), n + 1, most + 1), -1, np.int32)
-            ends = np.array([e for e, _ in spans])
-            lengths = np.array([e - s for e, s in spans])
-            grid[:, ends, lengths] = np.array(flat, np.int32).reshape(len(own), -1)
-            single = grid[:, 1:, 1]
-            single[single < 0] = self.unknown
-            yield own, grid
+            for own in (every[at : at + block] for at in range(0, len(every), block)):
+                grid = np.full((len(own), n + 1, most + 1), -1, np.int32)
+                for length, keys in enumerate(self._hashes([words[i] for i in own], most), 1):
+                    grid[:, length:, length] = self._ids(keys)
+                single = grid[:, 1:, 1]
+                single[single < 0] = self.unknown
+                yield own, grid
 
 
 def forward(grid: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -99,12 +142,15 @@ def expected(grid: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndar
         for n in range(1, min(e, most - 1) + 1):
             beta[e - n] += beta[e] * flat[grid[:, e, n]]
     weight = counts / alpha[-1]
-    out = np.zeros(len(flat))
+    used, uses = [], []
     for e in range(1, ends):
         for n in range(1, min(e, most - 1) + 1):
             at = grid[:, e, n]
-            out += np.bincount(at % len(flat), alpha[e - n] * flat[at] * beta[e] * weight, len(flat))
-    return out
+            here = np.flatnonzero(at >= 0)
+            at = at[here]
+            used.append(at)
+            uses.append((alpha[e - n] * beta[e] * weight)[here] * flat[at])
+    return np.bincount(np.concatenate(used), np.concatenate(uses), len(flat))
 
 
 @dataclass
@@ -119,38 +165,63 @@ class LanguageModel:
     def __getstate__(self):
         return {"pieces": self.pieces, "languages": self.languages, "table": self.table, "_state": {}}
 
+    def _add(self, chunks: list[str], start: int) -> None:
+        """Score new chunks in rows from ``start``; a chunk's logarithm is the sum of its words'."""
+        own = self._state
+        rows, scores = own["rows"], own["scores"]
+        rows.update(zip(chunks, range(start, start + len(chunks))))
+        if not chunks:
+            return
+        found = [words_of(c) for c in chunks]
+        words = list(dict.fromkeys(w for ws in found for w in ws))
+        logs = np.zeros((len(words), len(self.languages)))
+        for places, grid in own["lattice"].by_length(words):
+            logs[places] = np.log(forward(grid, self.table)[-1])
+        at = dict(zip(words, range(len(words))))
+        flat = np.fromiter((at[w] for ws in found for w in ws), np.int64)
+        owner = np.repeat(np.arange(start, start + len(chunks)), [len(ws) for ws in found])
+        for k in range(logs.shape[1]):
+            scores[start : start + len(chunks), k] = np.bincount(owner - start, logs[flat, k], len(chunks))
+
     def log_likelihoods(self, texts: list[str]) -> np.ndarray:
         """[text, language], natural logarithms."""
         own = self._state
         if not own:
-            own |= {"lattice": Lattice(self.pieces), "rows": {}, "scores": np.zeros((MEMORY + 1, len(self.languages)))}
-        found = [words_of(t) for t in texts]
+            own |= {"lattice": Lattice(self.pieces), "rows": {}, "scores": np.zeros((2 * MEMORY, len(self.languages)))}
         out = np.zeros((len(texts), len(self.languages)))
-        for i, words in enumerate(found):
-            for at in range(0, len(words), MEMORY // 4):
-                part = words[at : at + MEMORY // 4]
-                rows, scores = own["rows"], own["scores"]
-                new = [w for w in dict.fromkeys(part) if w not in rows]
-                if len(rows) + len(new) > MEMORY:
+        owners: list[int] = []
+        chunks: list[str] = []
+        for i, text in enumerate(texts):
+            chunks += text.lower().split()
+            owners += [i] * (len(chunks) - len(owners))
+            while len(chunks) >= MEMORY // 3 or (chunks and i == len(texts) - 1):
+                part, mine = chunks[: MEMORY // 3], np.array(owners[: MEMORY // 3])
+                chunks, owners = chunks[MEMORY // 3 :], owners[MEMORY // 3 :]
+                rows = own["rows"]
+                counts = Counter(part)
+                if len(rows) + len(counts) > MEMORY:
                     rows.clear()
-                    new = list(dict.fromkeys(part))
-                if new:
-                    start = len(rows)
-                    rows.update(zip(new, range(start, start + len(new))))
-                    for places, grid in own["lattice"].by_length(new):
-                        scores[np.array(places) + start] = np.log(forward(grid, self.table)[-1])
-                out[i] += scores[[rows[w] for w in part]].sum(0)
+                # what is met once here is scored but not remembered
+                often = [c for c, n in counts.items() if n > 1 and c not in rows]
+                once = [c for c, n in counts.items() if n == 1 and c not in rows]
+                self._add(often + once, len(rows))
+                found = own["scores"][np.fromiter(map(rows.__getitem__, part), np.int64, len(part))]
+                starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+                out[mine[starts]] += np.add.reduceat(found, starts)
+                for c in once:
+                    del rows[c]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The likeliest language of each text and its share of the total; ``und``, 0 where none can be told."""
         names, shares = ["und"] * len(texts), [0.0] * len(texts)
-        told = [i for i, t in enumerate(texts) if t and self.languages and LETTERS.search(t)]
-        if told:
-            logs = self.log_likelihoods([texts[i] for i in told])
+        told = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
+        for at in range(0, len(told), BATCH):
+            part = told[at : at + BATCH]
+            logs = self.log_likelihoods([texts[i] for i in part])
             best = logs.argmax(1)
             share = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
-            for i, b, s in zip(told, best, share):
+            for i, b, s in zip(part, best, share):
                 names[i], shares[i] = self.languages[b], float(s)
         return names, shares
 
@@ -161,19 +232,26 @@ def held_out() -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, Counter] = defaultdict(Counter)
+    """Words and their counts by language; runs without white space are counted before they are cut into words."""
+    chunks: dict[str, Counter] = defaultdict(Counter)
 
     def flush():
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-        counts.clear()
-        for at in range(0, len(rows), 50_000):
-            lang, word, n = zip(*rows[at : at + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(word), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+        for lang, own in chunks.items():
+            counts: Counter = Counter()
+            for chunk, n in own.items():
+                for w in words_of(chunk):
+                    counts[w] += n
+            words = list(counts)
+            for at in range(0, len(words), 50_000):
+                part = words[at : at + 50_000]
+                n = pa.array([counts[w] for w in part], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), n], names=["lang", "word", "n"])
+        chunks.clear()
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[lang].update(words_of(text))
-            if sum(map(len, counts.values())) > MEMORY:
+            chunks[lang].update(text.lower().split())
+            if sum(map(len, chunks.values())) > MEMORY:
                 yield from flush()
     yield from flush()
 
