@@ -1,6 +1,480 @@
-"""The library's own queries and their SQL, by name."""
+"""The library's own queries by name; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.functions import serving as S
+from vellum.functions import text as T
+from vellum.operators import chunk, clean, experiments, extract, render, retrieve, validate
+from vellum.plans import derive
+from vellum.plans.oracle import ORACLE  # noqa: F401  read by the driver's contract
+from vellum.sources import ocr
+from vellum.sources.workspace import shared_path
+from vellum.streaming import stream
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[make.__name__] = make
+    return make
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.dedup_fields(clean.clean_fields(derive.fields(spark, sf_dir)))
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the derived fields, with page statistics derived from the same fields."""
+    fields = derive.fields(spark, sf_dir)
+    words = fields.groupBy("session_id", F.col("page").alias("page_number")).agg(
+        F.count(F.lit(1)).alias("word_count"),
+        F.sum(F.col("value_confidence").cast(extract.EXACT)).cast("double").alias("total"),
+        F.bool_or(F.col("ord") % 29 == 0).alias("has_handwriting"),
+    )
+    text = F.concat(F.lit("S\nPage "), F.col("page_number").cast("string"))
+    pages = words.select(
+        "session_id", "page_number", text.alias("text"), "word_count", T.rounded(F.col("total") / F.col("word_count")).alias("avg_confidence"), "has_handwriting"
+    )
+    cleaned = clean.clean_pages(pages)
+    kept = _cleaned(spark, sf_dir)
+    docs = extract.documents(cleaned).join(clean.notes(cleaned, kept), "session_id", "left")
+    return validate.validate(validate.assemble(docs, cleaned, kept))
+
+
+# ---- fields ------------------------------------------------------------------------------------
+
+
+@query
+def clean_numbers(spark, sf_dir):
+    own = derive.fields(spark, sf_dir)
+    value = T.clean_value(F.col("value"))
+    return own.select("session_id", "ord", value.alias("cleaned"), F.when(value != T.strip(F.col("value")), T.strip(F.col("value"))).alias("original_value"))
+
+
+@query
+def truncation_flags(spark, sf_dir):
+    own = derive.fields(spark, sf_dir).select("session_id", "ord", T.clean_value(F.col("value")).alias("v"))
+    return own.select("session_id", "ord", T.is_truncated(F.col("v")).alias("flag"), T.is_truncated(F.col("v"), strict=True).alias("strict_flag"))
+
+
+@query
+def checkbox_filter(spark, sf_dir):
+    own = derive.fields(spark, sf_dir).where(~T.is_empty_checkbox(F.col("key"), F.col("value")))
+    return own.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def field_dedup(spark, sf_dir):
+    return _cleaned(spark, sf_dir).select("session_id", "ord", "key", "value", "page", "confidence", "is_truncated", "original_value")
+
+
+@query
+def required_fields(spark, sf_dir):
+    return _reports(spark, sf_dir).select("session_id", F.explode("required_found").alias("name", "value"))
+
+
+@query
+def missing_fields(spark, sf_dir):
+    return _reports(spark, sf_dir).select("session_id", F.explode("required_missing").alias("name"))
+
+
+@query
+def cleaning_notes(spark, sf_dir):
+    return _reports(spark, sf_dir).select("session_id", F.array_join("cleaning_notes", "|").alias("notes"))
+
+
+@query
+def issue_rollup(spark, sf_dir):
+    return validate.issues(_reports(spark, sf_dir))
+
+
+@query
+def report_passed(spark, sf_dir):
+    own = _reports(spark, sf_dir)
+    return own.select("session_id", "passed", "summary", "overall_avg_confidence", F.array_join(F.col("handwriting_pages").cast("array<string>"), ",").alias("handwriting_pages"))
+
+
+@query
+def markdown_report(spark, sf_dir):
+    out = render.markdown(_reports(spark, sf_dir), "2025-01-01 00:00 UTC")
+    return out.select("session_id", F.md5("markdown").alias("digest"), F.length("markdown").alias("n_chars"))
+
+
+@query
+def run_summary(spark, sf_dir):
+    own = _reports(spark, sf_dir)
+    before = derive.fields(spark, sf_dir).agg(F.count(F.lit(1)).alias("fields_before"))
+    after = own.agg(
+        F.sum("total_pages").alias("pages"),
+        F.sum(F.size("form_fields")).alias("fields_after"),
+        F.sum(F.size(F.filter("issues", lambda i: i["severity"] == "error"))).alias("errors"),
+        F.sum(F.size("required_found")).alias("found"),
+        F.sum(F.size("required_found") + F.size("required_missing")).alias("required"),
+    )
+    return before.join(after, F.lit(True))  # one row each
+
+
+@query
+def form_graph(spark, sf_dir):
+    blocks, edges = derive.graph(spark, sf_dir)
+    own = extract.form_fields(blocks, edges)
+    return own.select("session_id", (F.col("ord") / 10).cast("long").alias("ord"), "key", "value", "key_confidence", "value_confidence", "page")
+
+
+@query
+def grid_dense(spark, sf_dir):
+    own = extract.grids(derive.cells(spark, sf_dir), clean=True)
+    return own.select("session_id", "rows", "cols", T.grid_text(F.col("data")).alias("grid"))
+
+
+@query
+def table_markdown(spark, sf_dir):
+    own = extract.grids(derive.cells(spark, sf_dir), clean=True)
+    return own.select("session_id", F.md5(T.grid_markdown(F.col("data"))).alias("digest"))
+
+
+@query
+def table_count(spark, sf_dir):
+    return derive.cells(spark, sf_dir).select("session_id", "table_ord").distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("n_tables"))
+
+
+@query
+def fields_sorted(spark, sf_dir):
+    ordered = F.sort_array(F.collect_list(F.struct("page", "key", "value")))
+    own = derive.fields(spark, sf_dir).groupBy("session_id").agg(ordered.alias("kv"))
+    return own.select("session_id", F.md5(F.array_join(F.transform("kv", lambda x: F.concat_ws("=", x["page"].cast("string"), x["key"], x["value"])), ";")).alias("digest"))
+
+
+# ---- pages -------------------------------------------------------------------------------------
+
+
+@query
+def page_stats(spark, sf_dir):
+    own = extract.pages(derive.blocks(spark, sf_dir))
+    return own.select("session_id", "page_number", F.md5("text").alias("text_md5"), "word_count", "avg_confidence", "low_confidence_words", "has_handwriting")
+
+
+@query
+def doc_confidence(spark, sf_dir):
+    own = extract.documents(extract.pages(derive.blocks(spark, sf_dir)))
+    return own.select("session_id", F.md5("full_text").alias("text_md5"), "total_pages", "overall_avg_confidence", "has_handwriting")
+
+
+@query
+def block_histogram(spark, sf_dir):
+    return extract.block_histogram(derive.blocks(spark, sf_dir))
+
+
+@query
+def page_profile(spark, sf_dir):
+    return extract.page_profile(derive.blocks(spark, sf_dir))
+
+
+@query
+def header_strip(spark, sf_dir):
+    own = clean.clean_pages(derive.artefacts(spark, sf_dir))
+    return own.select("doc_id", F.md5("text").alias("text_md5"), "lines_removed")
+
+
+# ---- texts -------------------------------------------------------------------------------------
+
+
+@query
+def repeated_lines(spark, sf_dir):
+    return clean.repeated_lines(derive.documents(spark, sf_dir))
+
+
+@query
+def strip_repeated(spark, sf_dir):
+    return clean.strip_repeated(derive.documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.md5("text").alias("text_md5"))
+
+
+def _changed(spark, sf_dir, change) -> DataFrame:
+    own = derive.artefacts(spark, sf_dir).select("doc_id", change(F.col("text")).alias("t"))
+    return own.select("doc_id", F.md5("t").alias("text_md5"), F.length("t").alias("n"))
+
+
+@query
+def whitespace_norm(spark, sf_dir):
+    return _changed(spark, sf_dir, T.collapse_space)
+
+
+@query
+def dehyphenate(spark, sf_dir):
+    return _changed(spark, sf_dir, T.join_hyphens)
+
+
+@query
+def smart_chars(spark, sf_dir):
+    return _changed(spark, sf_dir, T.plain_marks)
+
+
+@query
+def page_markers(spark, sf_dir):
+    return _changed(spark, sf_dir, T.without_page_markers)
+
+
+@query
+def clean_chain(spark, sf_dir):
+    own = clean.clean_text(derive.artefacts(spark, sf_dir))
+    return own.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
+
+
+@query
+def table_lines(spark, sf_dir):
+    own = derive.artefacts(spark, sf_dir)
+    return own.select("doc_id", F.size(F.filter(T.lines(F.col("text")), T.is_table_line)).alias("n_table_lines"))
+
+
+@query
+def gibberish_ratio(spark, sf_dir):
+    return derive.documents(spark, sf_dir).select("doc_id", T.gibberish_ratio(F.col("text")).alias("ratio"))
+
+
+@query
+def document_gate(spark, sf_dir):
+    own = derive.documents(spark, sf_dir).withColumn("page_count", (F.col("doc_id") % 7).cast("int"))
+    out = clean.gate(own)
+    return out.select("doc_id", "char_count", "gibberish_ratio", F.array_join("keywords", ",").alias("keywords"), F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "passed")
+
+
+@query
+def language_sample(spark, sf_dir):
+    own = derive.documents(spark, sf_dir)
+    return own.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.substring("text", 1, 2000))).alias("sampled_chars"))
+
+
+# ---- chunks ------------------------------------------------------------------------------------
+
+
+@query
+def sentence_chunks(spark, sf_dir):
+    own = chunk.sentence_chunks(derive.documents(spark, sf_dir))
+    return own.select("doc_id", "chunk_id", F.md5("text").alias("text_md5"), "n_sentences")
+
+
+@query
+def long_chunks(spark, sf_dir):
+    own = chunk.sentence_chunks(derive.documents(spark, sf_dir)).withColumn("tokens", T.word_count(F.col("text")))
+    return own.where("tokens >= 50").select("doc_id", "chunk_id", "tokens")
+
+
+@query
+def token_chunks(spark, sf_dir):
+    own = chunk.token_chunks(derive.documents(spark, sf_dir))
+    return own.select("doc_id", "chunk_id", F.md5("text").alias("text_md5"), "token_count")
+
+
+def _offsets(spark, sf_dir) -> DataFrame:
+    return chunk.with_offsets(chunk.sentence_chunks(derive.documents(spark, sf_dir), size=4, step=4))
+
+
+@query
+def chunk_offsets(spark, sf_dir):
+    return _offsets(spark, sf_dir).select("doc_id", "chunk_id", "char_start", "char_end")
+
+
+@query
+def chunk_page_ref(spark, sf_dir):
+    starts = F.transform(F.sequence(F.lit(0), F.length("text"), F.lit(1500)), lambda x: x)
+    pages = derive.documents(spark, sf_dir).select("doc_id", F.posexplode(starts).alias("p", "page_start"))
+    return chunk.page_refs(_offsets(spark, sf_dir), pages.withColumn("page", F.col("p") + 1)).select("doc_id", "chunk_id", "char_start", "page_ref")
+
+
+# ---- retrieval ---------------------------------------------------------------------------------
+
+
+def _hits(spark, sf_dir, k: int = 5) -> DataFrame:
+    chunks, queries = derive.vectors(spark, sf_dir)
+    return retrieve.top_k(queries, chunks, k)
+
+
+def _texts(spark, sf_dir, k: int = 5) -> DataFrame:
+    docs = derive.documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    return _hits(spark, sf_dir, k).join(docs, "chunk_id")
+
+
+@query
+def vector_topk(spark, sf_dir):
+    return _hits(spark, sf_dir).select("query_id", "session_id", "rank", "chunk_id", "score")
+
+
+@query
+def threshold_hits(spark, sf_dir):
+    return retrieve.above(_hits(spark, sf_dir)).select("query_id", "rank", "chunk_id", "score")
+
+
+@query
+def no_hit_answer(spark, sf_dir):
+    _, queries = derive.vectors(spark, sf_dir)
+    return retrieve.answers(queries, retrieve.above(_hits(spark, sf_dir).where("rank > 1"), 0.45))
+
+
+@query
+def context_budget(spark, sf_dir):
+    return retrieve.within_budget(_texts(spark, sf_dir)).select("query_id", "rank", "chunk_id", "used_chars")
+
+
+@query
+def context_format(spark, sf_dir):
+    hits = retrieve.within_budget(_texts(spark, sf_dir))
+    a, b = retrieve.context(hits), retrieve.context(hits, labelled=False)
+    raw = b.select("query_id", F.md5("context").alias("raw_md5"))
+    return a.join(raw, "query_id").select("query_id", F.md5("context").alias("labelled_md5"), "raw_md5", "context_chars", "chunks_included")
+
+
+@query
+def unit_vectors(spark, sf_dir):
+    chunks, _ = derive.vectors(spark, sf_dir)
+    u = S.unit(F.transform("embedding", lambda x: x.cast("double") * 3))
+    return chunks.select("chunk_id", T.rounded(F.aggregate(u, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query
+def prompt_trim(spark, sf_dir):
+    hits = _texts(spark, sf_dir, 8).withColumn("tokens", T.word_count(F.col("text"))).withColumn("base", F.lit(100))
+    return retrieve.trim(hits, "base", 1500).select("query_id", "rank", "prompt_tokens")
+
+
+@query
+def intent_counts(spark, sf_dir):
+    return derive.questions(spark, sf_dir).groupBy(S.intent(F.col("question")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def variant_split(spark, sf_dir):
+    return derive.runs(spark, sf_dir).select("user_id", S.variant(F.col("user_id")).alias("variant")).distinct()
+
+
+@query
+def prompt_build(spark, sf_dir):
+    own = derive.questions(spark, sf_dir).withColumn("intent", S.intent(F.col("question"))).withColumn("variant", S.variant(F.col("conv_id")))
+    prompt = retrieve.fill(F.col("intent"), F.col("variant"), F.concat(F.lit("excerpt "), F.col("turn").cast("string")), F.col("question"))
+    version = F.lit(retrieve.TEMPLATE_VERSION)
+    return own.select("conv_id", "turn", "intent", "variant", F.md5(prompt).alias("prompt_md5"), T.word_count(prompt).alias("prompt_tokens"), version.alias("template_version"))
+
+
+@query
+def cache_keys(spark, sf_dir):
+    own = derive.questions(spark, sf_dir).select(S.cache_key(F.col("conv_id").cast("string"), F.col("question")).alias("key"))
+    return own.dropDuplicates(["key"])
+
+
+# ---- experiments -------------------------------------------------------------------------------
+
+
+def _runs(spark, sf_dir) -> DataFrame:
+    own = derive.runs(spark, sf_dir).withColumn("variant", S.variant(F.col("user_id")))
+    return own.withColumn("composite", S.composite(F.col("faithfulness"), F.col("relevance"))).withColumn("cost", S.cost(F.col("tokens"), 0.002))
+
+
+@query
+def ab_summary(spark, sf_dir):
+    return experiments.summary(_runs(spark, sf_dir))
+
+
+@query
+def ab_variant_means(spark, sf_dir):
+    return experiments.variant_means(_runs(spark, sf_dir).where("intent = 'click'"))
+
+
+@query
+def ab_decision(spark, sf_dir):
+    return experiments.decision(_runs(spark, sf_dir))
+
+
+@query
+def spend(spark, sf_dir):
+    return experiments.spend(_runs(spark, sf_dir))
+
+
+@query
+def variant_params(spark, sf_dir):
+    params = F.create_map(F.lit("A"), F.struct(F.lit(5).alias("k"), F.lit("labelled").alias("context_format")), F.lit("B"), F.struct(F.lit(8).alias("k"), F.lit("raw").alias("context_format")))
+    own = _runs(spark, sf_dir).withColumn("p", params[F.col("variant")])
+    return own.groupBy("variant", F.col("p.k").alias("k"), F.col("p.context_format").alias("context_format")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def run_metrics(spark, sf_dir):
+    own = _runs(spark, sf_dir)
+    return own.select("run_id", (F.col("latency") + 890).alias("total_latency"), T.rounded(F.col("cost"), 6).alias("cost"), T.rounded(F.col("composite"), 6).alias("composite"))
+
+
+@query
+def judge_scores(spark, sf_dir):
+    raw = F.when(F.col("run_id") % 5 == 0, F.lit("no json")).otherwise(F.concat(F.lit('{"faithfulness": '), F.col("faithfulness").cast("string"), F.lit("}")))
+    own = derive.runs(spark, sf_dir).select("run_id", raw.alias("raw"))
+    return own.select("run_id", S.judge_score(F.col("raw"), "faithfulness").alias("score"))
+
+
+@query
+def sse_deltas(spark, sf_dir):
+    line = F.when(F.col("turn") % 5 == 4, F.lit("data: [DONE]")).when(F.col("turn") % 7 == 3, F.lit(": ping")).otherwise(
+        F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), F.col("role"), F.lit('"}}]}'))
+    )
+    own = derive.questions(spark, sf_dir).select("conv_id", "turn").join(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return own.select("conv_id", "turn", S.sse_delta(line).alias("delta"))
+
+
+@query
+def session_ids(spark, sf_dir):
+    name = F.concat(F.lit("sess_2025"), F.lpad((F.col("event_id") % 12 + 1).cast("string"), 2, "0"), F.lit("15_142305_"), F.col("event_id").cast("string"))
+    own = _table(spark, sf_dir, "events").select("event_id", name.alias("s"))
+    return own.select("event_id", F.date_format(S.session_started(F.col("s")), "yyyy-MM-dd HH:mm:ss").alias("started"))
+
+
+@query
+def session_latest_status(spark, sf_dir):
+    own = _table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts", "event_id", F.col("event_type").alias("status"))
+    return stream.latest_status(own)
+
+
+@query
+def sessions_recent(spark, sf_dir):
+    own = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    return own.select("user_id", F.col("m.event_id").alias("event_id")).orderBy(F.col("event_id").desc()).limit(20)
+
+
+@query
+def stream_event_counts(spark, sf_dir):
+    own = _table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(own).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = shared_path(spark, "stream-counts")
+    stream.collect_complete(stream.running_counts(events, ["event_type"]), out, shared_path(spark, "stream-checkpoint"))
+    return spark.read.parquet(out)
+
+
+# ---- objects -----------------------------------------------------------------------------------
+
+
+@query
+def object_keys(spark, sf_dir):
+    own = _table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("session_id"))
+    return own.select("session_id", *[ocr.key(k, F.col("session_id")).alias(k) for k in ocr.KEYS], ocr.uri("docs", ocr.key("raw_text", F.col("session_id"))).alias("uri"))
+
+
+@query
+def extract_route(spark, sf_dir):
+    own = _table(spark, sf_dir, "part")
+    return own.groupBy(ocr.route(F.col("p_size") % 4).alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def missing_sessions(spark, sf_dir):
+    wanted = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"))
+    return ocr.missing_sessions(wanted, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("session_id")))
+
+
+@query
+def json_records(spark, sf_dir):
+    return ocr.records(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
