@@ -78,36 +78,38 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     own = fields(spark, sf_dir).select("session_id", "ord", "key", "value", "page", "value_confidence")
     o = F.col("ord").cast("string")
 
-    def block(kind: str, suffix: str, at: int, text, confidence, entities: list[str]) -> DataFrame:
-        return own.select(
-            "session_id", (F.col("ord") * 10 + at).alias("ord"), F.concat(F.lit(suffix), o).alias("id"), F.lit(kind).alias("block_type"),
-            "page", text.alias("text"), confidence.alias("confidence"), F.array(*map(F.lit, entities)).cast("array<string>").alias("entity_types"),
+    def block(kind: str, prefix: str, at: int, text, confidence, entities: list[str]):
+        return F.struct(
+            (F.col("ord") * 10 + at).alias("ord"), F.concat(F.lit(prefix), o).alias("id"), F.lit(kind).alias("block_type"), F.col("page").alias("page"),
+            text.alias("text"), confidence.cast("double").alias("confidence"), F.array(*map(F.lit, entities)).cast("array<string>").alias("entity_types"),
         )
 
     blank, sure = F.lit(""), F.lit(99.0)
-    blocks_ = (
-        block("KEY_VALUE_SET", "k", 0, blank, F.lit(90.005), ["KEY"])
-        .unionByName(block("KEY_VALUE_SET", "u", 1, blank, F.lit(11.0), ["VALUE"]))
-        .unionByName(block("KEY_VALUE_SET", "v", 2, blank, F.col("value_confidence"), ["VALUE"]))
-        .unionByName(block("WORD", "kw", 3, F.col("key"), sure, []))
-        .unionByName(block("WORD", "uw", 4, F.lit("old"), sure, []))
-        .unionByName(block("WORD", "vw", 5, F.col("value"), sure, []))
-        .unionByName(block("WORD", "vx", 6, F.lit("INR"), sure, []))
+    every = F.array(
+        block("KEY_VALUE_SET", "k", 0, blank, F.lit(90.005), ["KEY"]),
+        block("KEY_VALUE_SET", "u", 1, blank, F.lit(11.0), ["VALUE"]),
+        block("KEY_VALUE_SET", "v", 2, blank, F.col("value_confidence"), ["VALUE"]),
+        block("WORD", "kw", 3, F.col("key"), sure, []),
+        block("WORD", "uw", 4, F.lit("old"), sure, []),
+        block("WORD", "vw", 5, F.col("value"), sure, []),
+        block("WORD", "vx", 6, F.lit("INR"), sure, []),
     )
 
-    def edge(src: str, kind: str, rpos: int, ipos: int, dst) -> DataFrame:
-        return own.select("session_id", F.concat(F.lit(src), o).alias("src"), F.lit(kind).alias("rtype"), F.lit(rpos).alias("rpos"), F.lit(ipos).alias("ipos"), F.concat(F.lit(dst), o).alias("dst"))
-
-    edges_ = (
-        edge("k", "CHILD", 0, 0, "kw")
-        .unionByName(edge("k", "VALUE", 1, 0, "u"))
-        .unionByName(edge("k", "VALUE", 1, 1, "v"))
-        .unionByName(edge("k", "VALUE", 1, 2, "gone"))
-        .unionByName(edge("u", "CHILD", 0, 0, "uw"))
-        .unionByName(edge("v", "CHILD", 0, 1, "vx"))
-        .unionByName(edge("v", "CHILD", 0, 0, "vw"))
+    def edge(src: str, kind: str, rpos: int, ipos: int, dst: str):
+        return F.struct(
+            F.concat(F.lit(src), o).alias("src"), F.lit(kind).alias("rtype"), F.lit(rpos).alias("rpos"), F.lit(ipos).alias("ipos"), F.concat(F.lit(dst), o).alias("dst")
+        )
+
+    links = F.array(
+        edge("k", "CHILD", 0, 0, "kw"),
+        edge("k", "VALUE", 1, 0, "u"),
+        edge("k", "VALUE", 1, 1, "v"),
+        edge("k", "VALUE", 1, 2, "gone"),
+        edge("u", "CHILD", 0, 0, "uw"),
+        edge("v", "CHILD", 0, 1, "vx"),
+        edge("v", "CHILD", 0, 0, "vw"),
     )
-    return blocks_, edges_
+    return own.select("session_id", F.inline(every)), own.select("session_id", F.inline(links))
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
