@@ -28,6 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: What this process has written to the shared folder.
+_written: list[str] = []
+
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that operators of this process have written to the shared folder; their results end with it."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -35,7 +53,7 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     before. A written table, unlike a cached one, also outlives the executor that made it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import parts, settle, shared_dir
+from vellum.llm.common import new_path, parts, settle
 
 WINDOW, PERIOD = 13, 7
 #: Fixed value: a perfect difference cover modulo 7.
@@ -263,7 +263,7 @@ def _parts(docs: DataFrame, part_bytes: int, carried: list[str]) -> tuple[DataFr
         (F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("boolean")).alias("row"),
     )
     # bucketed by part, so that the three steps below read the texts without dealing them out again
-    name, path = f"texts_{uuid.uuid4().hex}", f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    name, path = f"texts_{uuid.uuid4().hex}", new_path(spark, "texts")
     buckets = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = texts.repartition(buckets, "part").write.bucketBy(buckets, "part")
     dealt.option("path", path).option("compression", "zstd").saveAsTable(name)
