@@ -6,7 +6,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def prose(rng, n, words=400):
-    return " ".join(f"w{rng.randint(0, words)}" for _ in range(n))
+    return " ".join("".join(chr(97 + int(d)) for d in str(rng.randint(0, words))) + "es" for _ in range(n))
 
 
 def documents(spark, seed=0, extra=()):

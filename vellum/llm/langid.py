@@ -74,7 +74,7 @@ class Lattice:
                 *_, last = self._hashes([pieces[i] for i in own], n)
                 for i, key in zip(own, last[:, 0].tolist()):
                     at, tries = int(self._slot(np.array([key], np.uint64))[0]), 1
-                    while self.keys[at]:
+                    while self.found[at] >= 0:
                         at, tries = (at + 1) % len(self.keys), tries + 1
                     self.keys[at], self.found[at] = key, i
                     self.probes = max(self.probes, tries)
@@ -90,7 +90,7 @@ class Lattice:
             for n in range(1, most + 1):
                 places = codes.shape[1] - n + 1
                 rolled = (rolled[:, :places] * self.STEP + codes[:, n - 1 :]) ^ np.uint64(n)
-                yield rolled | np.uint64(1)
+                yield rolled
 
     def _ids(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(keys.shape, -1, np.int32)
