@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.sources.workspace import shared_path
+
 FIELD_KEYS = ("First Name", "Last Name", "Loan Amount", "Tenor (months)", "Floating Rate", "ECS", "Gross Monthly Income", "Date:", "Branch", "PAN Card", "Male", "Yes")
 FIELD_VALUES = ("", " 110 000", "36MONTHS", "15/02/200", "7,50,000", "15 000.", "Asha Rao", "42")
 
@@ -75,7 +77,10 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A block graph of ``fields``: a KEY block, two VALUE blocks of which the second wins, their words, one dangling id."""
-    own = fields(spark, sf_dir).select("session_id", "ord", "key", "value", "page", "value_confidence")
+    # landed once, as every kind of block and edge is read off the same fields
+    path = shared_path(spark, "fields")
+    fields(spark, sf_dir).select("session_id", "ord", "key", "value", "page", "value_confidence").write.parquet(path)
+    own = spark.read.parquet(path)
     o = F.col("ord").cast("string")
 
     def block(kind: str, suffix: str, at: int, text, confidence, entities: list[str]) -> DataFrame:
