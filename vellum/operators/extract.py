@@ -139,6 +139,13 @@ def documents(pages: DataFrame, grids: DataFrame | None = None) -> DataFrame:
     return out.select("session_id", "full_text", "total_pages", T.rounded(overall).alias("overall_avg_confidence"), "has_handwriting")
 
 
+def marked_text(pages: DataFrame) -> DataFrame:
+    """session_id, raw_text: a document's pages in order, each behind a marker of its number."""
+    own = F.concat(F.lit("=== PAGE "), F.col("page_number").cast("string"), F.lit(" ===\n"), F.col("text"))
+    ordered = F.sort_array(F.collect_list(F.struct("page_number", own.alias("t"))))
+    return pages.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["t"]), "\n\n").alias("raw_text"))
+
+
 def block_histogram(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(F.coalesce("block_type", F.lit("UNKNOWN")).alias("block_type")).agg(F.count(F.lit(1)).alias("n_blocks"))
 

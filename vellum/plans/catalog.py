@@ -169,6 +169,12 @@ def doc_confidence(spark, sf_dir):
     return own.select("session_id", F.md5("full_text").alias("text_md5"), "total_pages", "overall_avg_confidence", "has_handwriting")
 
 
+@query
+def marked_text(spark, sf_dir):
+    own = extract.marked_text(extract.pages(derive.blocks(spark, sf_dir)))
+    return own.select("session_id", F.md5("raw_text").alias("text_md5"), F.length("raw_text").alias("n_chars"))
+
+
 @query
 def block_histogram(spark, sf_dir):
     return extract.block_histogram(derive.blocks(spark, sf_dir))

@@ -168,6 +168,8 @@ SELECT sz.session_id, md5(coalesce(string_agg(line, chr(10) ORDER BY k), '')) AS
     "doc_confidence": f"""WITH {PAGE_STATS} SELECT session_id, md5(string_agg(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) ORDER BY page_number)) AS text_md5, count(*) AS total_pages,
   CASE WHEN sum(word_count) > 0 THEN printf('%.2f', sum(avg_confidence::DECIMAL(18, 6) * word_count)::DOUBLE / sum(word_count))::DOUBLE ELSE 0.0 END AS overall_avg_confidence,
   bool_or(has_handwriting) AS has_handwriting FROM ps GROUP BY session_id""",
+    "marked_text": f"""WITH {PAGE_STATS}, mt AS (SELECT session_id, string_agg('=== PAGE ' || page_number || ' ===' || chr(10) || text, chr(10) || chr(10) ORDER BY page_number) AS t FROM ps GROUP BY session_id)
+SELECT session_id, md5(t) AS text_md5, length(t) AS n_chars FROM mt""",
     "block_histogram": f"WITH {BLOCKS} SELECT 'LINE' AS block_type, count(*) AS n_blocks FROM l UNION ALL SELECT CASE WHEN unknown THEN 'UNKNOWN' ELSE 'WORD' END, count(*) FROM w GROUP BY 1",
     "page_profile": f"""WITH {BLOCKS} SELECT session_id, page AS page_number, count(*) AS word_count, printf('%.1f', sum(confidence::DECIMAL(18, 6))::DOUBLE / count(*))::DOUBLE AS avg_confidence,
   count(*) FILTER (WHERE hand) AS handwritten_words, coalesce(array_to_string((list(text ORDER BY ord) FILTER (WHERE hand))[1:5], ' '), '') AS handwriting_sample
