@@ -13,6 +13,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,8 +28,9 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 40
 #: Texts whose words are scored together.
 BATCH = 1024
-#: Words that a process remembers before it starts anew.
-MEMORY = 300_000
+#: Runs of text that are looked up together, and that a process remembers before it starts anew.
+PART = 100_000
+MEMORY = 500_000
 #: Fixed value: the mark that stands before a word in the vocabulary.
 MARK = "▁"
 
@@ -187,29 +189,25 @@ class LanguageModel:
         """[text, language], natural logarithms."""
         own = self._state
         if not own:
-            own |= {"lattice": Lattice(self.pieces), "rows": {}, "scores": np.zeros((2 * MEMORY, len(self.languages)))}
+            own |= {"lattice": Lattice(self.pieces), "rows": {}, "scores": np.zeros((MEMORY + PART, len(self.languages)))}
         out = np.zeros((len(texts), len(self.languages)))
         owners: list[int] = []
         chunks: list[str] = []
         for i, text in enumerate(texts):
             chunks += text.lower().split()
             owners += [i] * (len(chunks) - len(owners))
-            while len(chunks) >= MEMORY // 3 or (chunks and i == len(texts) - 1):
-                part, mine = chunks[: MEMORY // 3], np.array(owners[: MEMORY // 3])
-                chunks, owners = chunks[MEMORY // 3 :], owners[MEMORY // 3 :]
+            while len(chunks) >= PART or (chunks and i == len(texts) - 1):
+                part, mine = chunks[: PART], np.array(owners[: PART])
+                chunks, owners = chunks[PART :], owners[PART :]
                 rows = own["rows"]
-                counts = Counter(part)
-                if len(rows) + len(counts) > MEMORY:
+                new = set(part).difference(rows)
+                if len(rows) + len(new) > MEMORY:
                     rows.clear()
-                # what is met once here is scored but not remembered
-                often = [c for c, n in counts.items() if n > 1 and c not in rows]
-                once = [c for c, n in counts.items() if n == 1 and c not in rows]
-                self._add(often + once, len(rows))
+                    new = set(part)
+                self._add(list(new), len(rows))
                 found = own["scores"][np.fromiter(map(rows.__getitem__, part), np.int64, len(part))]
                 starts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
                 out[mine[starts]] += np.add.reduceat(found, starts)
-                for c in once:
-                    del rows[c]
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -274,12 +272,18 @@ def learn(docs: DataFrame, model_file: str, rounds: int = 2, smooth: float = 0.0
         def uses(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, langs, probs = shared.value
             lattice, total = Lattice(names), np.zeros(probs.shape).T
-            for frame in frames:
-                for lang, own in frame.groupby("lang"):
-                    k = langs.index(lang)
-                    counts = own["n"].to_numpy(float)
-                    for places, grid in lattice.by_length(own["word"].tolist()):
-                        total[k] += expected(grid, probs[:, k : k + 1], counts[places])
+            held: list[pd.DataFrame] = []
+            for frame in chain(frames, [None]):
+                if frame is not None:
+                    held.append(frame)
+                # many words together make long columns for numpy
+                if held and (frame is None or sum(map(len, held)) >= PART):
+                    for lang, own in pd.concat(held).groupby("lang"):
+                        k = langs.index(lang)
+                        counts = own["n"].to_numpy(float)
+                        for places, grid in lattice.by_length(own["word"].tolist()):
+                            total[k] += expected(grid, probs[:, k : k + 1], counts[places])
+                    held = []
             for k in range(len(langs)):
                 used = np.flatnonzero(total[k])
                 yield pd.DataFrame({"k": np.full(len(used), k), "piece": used, "uses": total[k][used]})
