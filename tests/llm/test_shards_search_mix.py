@@ -118,3 +118,14 @@ def test_mix(spark):
     out = mixing.keep_mixed(df, block_bytes=64, least_weight=0.0)
     assert out.columns == df.columns and out.count() == df.count()
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.keep_mixed(df.limit(0)).count() == 0
+
+
+def test_every_document_is_in_the_mix(spark):
+    # small sources run out first; the hot one holds a third of the weight
+    rows = [(i, "x" * 99, "hot" if i < 400 else f"s{i % 12}") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, block_bytes=200, salt_rows=50).collect()
+    assert len(out) == 700 and all(r.kept and r.slot is not None for r in out)
+    assert sorted(r.doc_id for r in mixing.keep_mixed(df, block_bytes=200).collect()) == list(range(700))
+    # a cut has to be asked for
+    assert 0 < mixing.mix(df, block_bytes=200, least_weight=0.5).where("kept").count() < 700

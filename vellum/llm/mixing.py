@@ -4,8 +4,8 @@ Every source's documents are cut into blocks of about equal bytes. With weight w
 j (from 1) is released at slot floor((j - 1) / w) and due by slot ceil(j / w). Slots are given out
 earliest deadline first among released blocks, which keeps every source within less than one block of
 its share at every slot. A source that runs out leaves, and the windows of the others start anew with
-their weights scaled up; the mix ends when the sources that are left hold less than ``least_weight``
-of the target weight, as the target can't be held any more. What lies beyond the end isn't in the mix.
+their weights scaled up, until every block has its slot. A mix of a target size is asked for by
+``least_weight``: it ends when the sources that are left hold less than that part of the target weight.
 
 The schedule is made from the number of blocks of each source only. Blocks grow with the corpus, so
 there are never more than ``most_blocks`` plus one per source.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from vellum.llm.common import fresh, parts, settle
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, int], least_weight: float = 0.5) -> list[tuple[str, int, int, int, int]]:
+def schedule(blocks: dict[str, int], weights: dict[str, int], least_weight: float = 0.0) -> list[tuple[str, int, int, int, int]]:
     """(source, block, release, deadline, slot) in order of the slot; blocks, releases and slots count from 0.
 
     ``weights`` are positive integers, a source's share being its part of their total. Ties of
@@ -72,7 +72,7 @@ def mix(
     smoothing: float = 0.8,
     block_bytes: int = 4096,
     most_blocks: int = 1 << 20,
-    least_weight: float = 0.5,
+    least_weight: float = 0.0,
     salt_rows: int = 25_000,
 ) -> DataFrame:
     """Where every document stands in the mix.
@@ -82,8 +82,9 @@ def mix(
     a hot one from drowning the rest.
 
     Returns doc_id, source, bytes (of the text in UTF-8, plus one), block, release, deadline, slot and
-    kept. A document of a block beyond the mix's end has null release, deadline and slot and kept
-    false. Nulls: a null source is a source of its own, named by an empty string together with empty
+    kept. By default every document of a source with a weight is kept; only where ``least_weight``
+    ends the mix, a document of a block beyond its end has null release, deadline and slot and kept
+    false, as has one of a source without weight. Nulls: a null source is a source of its own, named by an empty string together with empty
     names; a null text has no bytes. Repeated rows are rows like others. An empty table gives no rows.
     Only doc_id, text and source are read.
     """
