@@ -1,10 +1,13 @@
 """Sharding, top-k search and mixing against brute force and their own laws."""
 
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import frames
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.llm import mixing, sharding, topk
@@ -129,3 +132,36 @@ def test_every_document_is_in_the_mix(spark):
     assert sorted(r.doc_id for r in mixing.keep_mixed(df, block_bytes=200).collect()) == list(range(700))
     # a cut has to be asked for
     assert 0 < mixing.mix(df, block_bytes=200, least_weight=0.5).where("kept").count() < 700
+
+
+def exact_search(rows, k=20, every=20):
+    """As brute_search, in Python's integers."""
+    ok = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in rows]
+    out = set()
+    for q, v in ok:
+        if q % every == 0:
+            best = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in ok if i != q)[:k]
+            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    return out
+
+
+def test_large_components_take_part(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) / 4]) for i in range(200)]
+    rows += [(200 + i, [float(np.float32(x)) for x in rng.normal(size=8) * 2**20]) for i in range(50)]
+    rows += [(300, [2.0**24] + [0.0] * 7), (301, [-(2.0**25)] + [0.5] * 7), (302, [0.25] * 7 + [3 * 2.0**24]), (303, [0.0] * 7 + [2.0**26]), (320, [0.125] * 7 + [2.0**24])]
+    # scores below all longs, as no query has a negative component; they never are among the best
+    rows += [(321, [0.0] * 7 + [-(2.0**62)]), (323, [-(2.0**90)] + [0.0] * 7)]
+    rows = [(i, v if i % 20 else [abs(x) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = exact_search(rows)
+    assert all(-(2**63) <= s < 2**63 for *_, s in want) and {300, 320} <= {q for q, *_ in want}
+    for sizes in ({}, {"block_rows": 40, "group_rows": 5}):
+        assert {tuple(r) for r in topk.search(df, **sizes).collect()} == want
+
+
+@pytest.mark.parametrize("sign", [1.0, -1.0])
+def test_a_score_beyond_a_long_is_an_error(spark, sign):
+    df = spark.createDataFrame([(20, [2.0**30]), (21, [sign * 2.0**30])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="passes a long"):
+        topk.search(df).collect()

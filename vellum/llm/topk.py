@@ -8,6 +8,10 @@ slice downward; rows that tie at the boundary are resolved by their exact score
 
 Queries are dealt into groups of bounded size, and every group meets every block. A task keeps only
 the best rows of the queries of one group at a time.
+
+Quantised components travel as doubles, which hold them exactly. Vectors with large ones are stored in
+blocks of their own, so that one outlier doesn't deepen the slices of all; numbers beyond a long are
+Python integers there.
 """
 
 from __future__ import annotations
@@ -23,22 +27,36 @@ from pyspark.sql import functions as F
 from vellum.llm.common import parts, settle
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Components of up to so many bits share blocks; beyond, vectors are grouped by so many bits more.
+NARROW, STEP = 30, 32
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+
+
+def whole(values: np.ndarray) -> np.ndarray:
+    """Integral doubles as longs, or as Python integers where one has more than 62 bits."""
+    if not np.isfinite(values).all():
+        raise OverflowError("a quantised component passes a double")
+    if (np.abs(values) < 2.0**62).all():
+        return values.astype(np.int64)
+    return np.array([int(x) for x in values.ravel()], object).reshape(values.shape)
 
 
 def slices_of(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lowest value of each attribute, bitmaps [attribute, bit, word]) of an integer matrix [row, attribute]."""
     rows, width = matrix.shape
+    kind = object if matrix.dtype == object else np.uint64
     low = matrix.min(0) if rows else np.zeros(width, np.int64)
-    shifted = (matrix - low).astype(np.uint64)
+    shifted = (matrix - low).astype(kind)
     bits = max(1, int(shifted.max(initial=0)).bit_length())
     words = -(-rows // 64)
-    padded = np.zeros((width, words * 64), np.uint64)
+    padded = np.zeros((width, words * 64), kind)
     padded[:, :rows] = shifted.T
+    one = kind(1) if kind is np.uint64 else 1
     stack = np.empty((width, bits, words), np.uint64)
     for b in range(bits):
-        ones = ((padded >> np.uint64(b)) & np.uint64(1)).astype(np.uint8)
+        ones = ((padded >> (b * one)) & one).astype(np.uint8)
         stack[:, b] = np.packbits(ones, axis=1, bitorder="little").view(np.uint64)
-    return low.astype(np.int64), stack
+    return low if kind is object else low.astype(np.int64), stack
 
 
 def signed_digits(value: int) -> list[tuple[int, int]]:
@@ -131,25 +149,46 @@ def search_block(ids: np.ndarray, low: np.ndarray, stack: np.ndarray, query_id:
     sure, tied = top_rows(slices, rows, k)
     found = _places(sure)
     found = np.concatenate([found, _places(tied)[: k - len(found)]]).astype(np.int64)
-    scores = np.full(len(found), base, np.int64)
+    kind = np.int64 if len(slices) <= 62 and abs(base) < 1 << 62 else object
+    scores = np.full(len(found), base, kind)
     for place, own in enumerate(slices):
-        scores += ((own[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64) << place
+        scores += ((own[found >> 6] >> (found & 63).astype(np.uint64)) & np.uint64(1)).astype(np.int64).astype(kind) << place
     return ids[found], scores
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of rows by score, ties by id."""
+    if scores.dtype == object:
+        order = sorted(range(len(ids)), key=lambda i: (-int(scores[i]), ids[i]))[:k]
+    else:
+        order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
+def _longs(scores: np.ndarray) -> pa.Array:
+    """Scores as longs; null where one is below all longs, as it may yet turn out not to be among the best."""
+    if scores.dtype != object:
+        return pa.array(scores)
+    values = [int(x) for x in scores]
+    if any(x > MOST for x in values):  # then one of the query's final rows is beyond a long as well
+        raise OverflowError("a score passes a long")
+    return pa.array([x if x >= LEAST else None for x in values], pa.int64())
+
+
 def _pack(kind: str):
     """A group's rows as one row: ids ascending and the matrix, both as bytes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
         width = int(pdf["q"].map(len).max())
-        matrix = np.zeros((len(pdf), width), np.int64)
+        matrix = np.zeros((len(pdf), width), np.float64)
         for i, q in enumerate(pdf["q"]):
             matrix[i, : len(q)] = q
         ids = pdf["vec_id"].to_numpy(np.int64)
         if kind == "queries":
             return pd.DataFrame({"group": [int(pdf["group"].iloc[0])], "ids": [ids.tobytes()], "width": [width], "data": [matrix.tobytes()]})
-        low, stack = slices_of(matrix)
+        low, stack = slices_of(whole(matrix))
+        low = low.astype(np.float64)
         return pd.DataFrame(
             {"block": [int(pdf["block"].iloc[0])], "ids": [ids.tobytes()], "width": [width], "low": [low.tobytes()], "bits": [stack.shape[1]], "data": [stack.tobytes()]}
         )
@@ -166,7 +205,7 @@ def _search(k: int):
             q = np.concatenate([np.full(len(v[0]), i, np.int64) for i, v in best.items()] or [np.empty(0, np.int64)])
             ids = np.concatenate([v[0] for v in best.values()] or [np.empty(0, np.int64)])
             scores = np.concatenate([v[1] for v in best.values()] or [np.empty(0, np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids), _longs(scores)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -175,16 +214,15 @@ def _search(k: int):
                         yield give()
                     best, group = {}, row["group"]
                 ids = np.frombuffer(row["ids"], np.int64)
-                low = np.frombuffer(row["low"], np.int64)
+                low = whole(np.frombuffer(row["low"], np.float64))
                 stack = np.frombuffer(row["data"], np.uint64).reshape(row["width"], row["bits"], -1)
-                queries = np.frombuffer(row["q_data"], np.int64).reshape(-1, row["q_width"])
+                queries = np.frombuffer(row["q_data"], np.float64).reshape(-1, row["q_width"])
                 same = min(row["width"], row["q_width"])
                 for query_id, query in zip(np.frombuffer(row["q_ids"], np.int64).tolist(), queries):
-                    own, scores = search_block(ids, low[:same], stack[:same], query_id, query[:same], k)
+                    own, scores = search_block(ids, low[:same], stack[:same], query_id, whole(query[:same]), k)
                     if query_id in best:
                         own, scores = np.concatenate([best[query_id][0], own]), np.concatenate([best[query_id][1], scores])
-                        order = np.lexsort((own, -scores))[:k]
-                        own, scores = own[order], scores[order]
+                        own, scores = _best(own, scores, k)
                     best[query_id] = own, scores
         if best:
             yield give()
@@ -193,28 +231,47 @@ def _search(k: int):
 
 
 def quantised(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """vec_id and q, the components times ``scale`` rounded down, of the vectors that take part."""
+    """vec_id, q (the components times ``scale`` rounded down, as doubles) and depth of the vectors that take part.
+
+    depth is 0 where no component has more than NARROW bits, and grows by one with every STEP bits more.
+    """
     x = F.col("embedding")
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(2.0**24)))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(float("inf"))))
     rows = embeddings.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("q"))
+
+    def down(v):  # doubles from 2 ** 53 on are integers, and a long wouldn't hold all of them
+        y = v.cast("double") * scale
+        return F.when(F.abs(y) < F.lit(2.0**53), F.floor(y).cast("double")).otherwise(y)
+
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, down).alias("q"))
+    most = F.coalesce(F.array_max(F.transform("q", lambda v: F.abs(v))), F.lit(0.0))
+    deep = F.least(F.floor((F.log2(most) - NARROW) / STEP), F.lit(1024 // STEP)).cast("int") + 1
+    return rows.withColumn("depth", F.when(most <= F.lit(2.0**NARROW), F.lit(0)).otherwise(deep))
 
 
 def search(embeddings: DataFrame, k: int = 20, every: int = 20, block_rows: int = 16_384, group_rows: int = 2_048) -> DataFrame:
     """The k best rows for every row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score.
 
     The score is the integer inner product of the quantised vectors; ties go to the smaller vec_id.
-    Vectors that are null, or hold a null, a non-finite component or one of 2 ** 24 and more in size,
-    take no part, nor do rows without vec_id. A shorter vector counts as padded with zeros. All rows of
+    Vectors that are null, or hold a null or a non-finite component, take no part, nor do rows without
+    vec_id. A score among the k best that passes a long is an error. A shorter vector counts as padded with zeros. All rows of
     the query's own vec_id are left out; repeated rows of another are listed each, while a repeated
     query counts once. Other columns are not read. An empty table gives no rows.
     """
     spark = embeddings.sparkSession
     rows = settle(quantised(embeddings), "quantised")
     asked = settle(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "queries")
-    blocks, groups = parts(spark, rows.count(), block_rows), parts(spark, asked.count(), group_rows)
+    groups = parts(spark, asked.count(), group_rows)
+    # a row per depth, of which there are few; (first block, blocks) of each
+    blocks, dealt = 0, {}
+    for depth, n in sorted(rows.groupBy("depth").agg(F.count(F.lit(1))).collect()):
+        dealt[depth] = blocks, parts(spark, n, block_rows)
+        blocks += dealt[depth][1]
+    block = F.lit(0).cast("long")
+    for depth, (first, own) in dealt.items():
+        block = F.when(F.col("depth") == depth, F.pmod(F.xxhash64("vec_id"), F.lit(own)) + first).otherwise(block)
     index = settle(
-        rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+        rows.withColumn("block", block)
         .groupBy("block")
         .applyInPandas(_pack("index"), "block long, ids binary, width int, low binary, bits int, data binary"),
         "sliced-index",
@@ -229,9 +286,10 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, block_rows: int
     met = (
         index.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         .join(asked, "group")
-        .repartition(min(4096, blocks * groups), "block", "group")
+        .repartition(max(1, min(4096, blocks * groups)), "block", "group")
         .sortWithinPartitions("group")
     )
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "vec_id")
+    score = F.coalesce("score", F.raise_error(F.lit("a score passes a long")).cast("long")).alias("score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
