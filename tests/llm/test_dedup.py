@@ -103,6 +103,98 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_first(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_firsts(rows):
+    """rows: (doc_id, text); for each row the smallest doc_id that links of Jaccard 0.8 over five words reach."""
+    sets = [shingle_set(t) for _, t in rows]
+    left, out = set(range(len(rows))), {}
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            i = todo.pop()
+            group.add(i)
+            more = {j for j in left if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])}
+            left -= more
+            todo += more
+        ids = [rows[i][0] for i in group if rows[i][0] is not None]
+        for i in group:
+            out[i] = min(ids) if ids else None
+    return [out[i] for i in range(len(rows))]
+
+
+def near_copies(seed=11):
+    """Families of texts with words changed here and there, of similarities on both sides of the bound."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(60):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice([3, 12, 60, 200, 700]))]
+        for _ in range(rng.choice([1, 2, 2, 9])):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(own) // 40))):
+                own[rng.randrange(len(own))] = f"x{rng.randint(0, 99)}"
+            rows.append((rng.randint(0, 400), " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("crowd, chunk", [(512, 4096), (8, 4096), (512, 64)])
+def test_near_copies_leave_one(spark, monkeypatch, crowd, chunk):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_known", F.lit(1)).withColumn("row", F.lit("r"))
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns
+    got, want = {r.doc_id for r in kept.collect()}, set(brute_firsts(rows))
+    if chunk == 64:  # chunks of a bucket meet in no other table here, so copies may stay, but nothing else goes
+        assert want <= got
+    elif crowd == 8:  # sampled bits: nearly every group is found
+        assert want <= got and len(got) <= 1.05 * len(want)
+    else:
+        assert got == want
+
+
+def test_the_stage_tells_rows_of_one_id_apart(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(f"{c}{rng.randint(0, 999)}" for _ in range(50)) for c in "ab")
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, a), (None, "c d e"), (None, "C d  e"), (5, ""), (6, None), (5, " ")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(kept) == 4 and {(r.doc_id, r.text) for r in kept if r.doc_id == 1} == {(1, a), (1, b)}
+    assert [r.text.lower().split() for r in kept if r.doc_id is None] == [["c", "d", "e"]] and [r.doc_id for r in kept if not (r.text or "").strip()] == [5]
+
+
+def test_the_forest_spans_at_least_distance():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        n, m = 40, 120
+        i, j, apart = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 9, m)
+        i, j = np.minimum(i, j), np.maximum(i, j)
+        keep = simhash.spanning(n, i, j, apart)
+        for most in range(10):  # as many components below every distance as all links make
+            sizes = []
+            for chosen in (np.arange(m), keep):
+                labels = np.arange(n)
+                own = chosen[apart[chosen] <= most]
+                simhash.join_labels(labels, i[own], j[own])
+                sizes.append(len(set(labels.tolist())))
+            assert sizes[0] == sizes[1]
+
+
+def test_hot_keys_are_joined_whole(spark, monkeypatch):
+    from vellum.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    rows = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(100)], "k long, v long")
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("w", F.col("k") + 1)
+    out = common.join_hot(rows, keyed, ["k"], "n", 100)
+    assert sorted(out.columns) == ["k", "v", "w"] and sorted((r.k, r.v, r.w) for r in out.collect()) == sorted((r.k, r.v, r.k + 1) for r in rows.collect())
+    assert simhash.blocks_for(10**6) == 6 < simhash.blocks_for(10**13)
+
+
 def brute_removed(rows):
     """rows: (doc_id, text); (words, removed flags) of every row."""
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]

@@ -1,52 +1,91 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-A document's fingerprint holds, for each of 64 bits, the majority over the hashes of its word
-shingles. Two fingerprints that differ in at most 4 bits agree on at least 2 of 6 bit blocks, so
-distinct fingerprints are bucketed by the 15 pairs of blocks, which loses no link. In a bucket they
-are stored as 64 vertical bit planes, 64 fingerprints to a machine word; a fingerprint's distances to
-all of a word's lanes grow together in carry-save counters, and a word is abandoned as soon as all
-its lanes are beyond the radius. A bucket emits a spanning forest, never its pairs.
+A fingerprint holds, for each of its bits, the majority over the hashes of a document's word shingles.
+In a bucket, fingerprints are stored as vertical bit planes, 64 of them to a machine word; a
+fingerprint's distances to all of a word's lanes grow together in carry-save counters, and a word is
+abandoned as soon as all its lanes are beyond the radius.
+
+``near_duplicates`` links fingerprints of 64 bits at most 4 bits apart, and loses no link: such a pair
+agrees on all but 4 of any number of bit blocks, so buckets are made for every choice of the other
+blocks. The number of blocks grows with the corpus, so that buckets stay small.
+
+``keep_first`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+That is some 39 of 256 bits, too many for blocks, so buckets are made by tables of sampled bits, as
+many as find a pair at 0.8 with the probability ``RECALL``. What a bucket holds within the radius is
+spanned by a few forests of least distance; their links are then checked against the shingles.
+
+Neither emits the pairs of a bucket, only spanning forests.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fresh, settle
+from vellum.llm.common import HOT_KEYS, fresh, join_hot, settle
 from vellum.llm.components import components
 
-BITS, RADIUS, BLOCKS = 64, 4, 6
-#: A bucket of more fingerprints is cut into chunks of about this many; every pair of chunks is compared.
+BITS, RADIUS = 64, 4
+#: A bucket of more fingerprints is cut into chunks of about this many.
 CHUNK = 4096
-
-
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """The unsigned fingerprint of one whole text in UTF-8; 0 where there is no word."""
+#: Unrelated fingerprints that a bucket may hold on average.
+CROWD = 512
+#: The stage's shingles, similarity, bits, and the part of pairs at just this similarity that the tables meet.
+WORDS, ALIKE, WIDE, RECALL = 5, 0.8, 256, 0.99
+#: Forests over a bucket: if a link of one turns out to be below ALIKE, the next ones hold other links across the same gap.
+LAYERS = 4
+#: Bits in which hashes of a pair at ALIKE differ on average, and the radius: over three standard deviations more.
+APART = math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi
+REACH = math.ceil(WIDE * APART + 3.3 * math.sqrt(WIDE * APART * (1 - APART)))
+
+
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of every shingle of a whole text, A-Z lower-cased; of all words where they are fewer; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
-    count = max(1, len(words) - shingle + 1)
-    if count == 1:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-        ends = np.cumsum(sizes)
-        starts = (ends - sizes)[:count].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist())), np.uint64, count)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, count, 1 << 15):
-        part = hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8)
+    count = len(words) - shingle + 1
+    digest = xxhash.xxh64_intdigest
+    if count <= 1:
+        return np.array([digest(joined, seed)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    ends = np.cumsum(sizes)
+    starts = (ends - sizes)[:count].tolist()
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, (ends[shingle - 1 :] - 1).tolist())), np.uint64, count)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The majority of each bit, as 64-bit words; ``hashes`` [shingle, word]. Zero without shingles."""
+    count, width = hashes.shape
+    ones = np.zeros(64 * width, np.int64)
+    for at in range(0, count, 1 << 13):
+        part = np.ascontiguousarray(hashes[at : at + (1 << 13)]).view(np.uint8).reshape(-1, 8 * width)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
+    return np.packbits(2 * ones > count, bitorder="little").view(np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
+    """The unsigned fingerprint of one whole text in UTF-8; 0 where there is no word."""
+    return int(majority(shingle_hashes(text, shingle, seed)[:, None])[0])
+
+
+def wide_fingerprint(text: bytes, shingle: int = WORDS, seed: int = 42) -> tuple[bytes, np.ndarray]:
+    """(fingerprint of WIDE bits over the distinct shingles, their hashes cut to 32 bits)."""
+    own = np.unique(shingle_hashes(text, shingle, seed))
+    spread = np.empty((len(own), WIDE // 64), np.uint64)
+    for k in range(spread.shape[1]):
+        x = (own + np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        spread[:, k] = x ^ (x >> np.uint64(31))
+    return majority(spread).tobytes(), np.unique((own >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -63,13 +102,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, mark long, fp long")
 
 
-def _block_keys() -> list:
-    """For each pair of bit blocks, the fingerprint's bits in them and the pair's number, as one long."""
-    edges = [round(i * BITS / BLOCKS) for i in range(BLOCKS + 1)]
+def blocks_for(rows: int) -> int:
+    """How many bit blocks keep buckets of unrelated fingerprints small: from 6 (keys of 21 bits) to 9."""
+    blocks = RADIUS + 2
+    while blocks < 9 and rows > CROWD << (BITS * (blocks - RADIUS) // blocks):
+        blocks += 1
+    return blocks
+
+
+def _block_keys(blocks: int) -> list:
+    """For each choice of all but RADIUS blocks, the fingerprint's bits in them and the choice's number, as one long."""
+    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
     keys = []
-    for number, (a, b) in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS)):
+    for number, chosen in enumerate(combinations(range(blocks), blocks - RADIUS)):
         key = F.lit(number).cast("long")
-        for block in (a, b):
+        for block in chosen:
             width = edges[block + 1] - edges[block]
             own = F.shiftrightunsigned("fp", edges[block]).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
             key = F.shiftleft(key, width).bitwiseOR(own)
@@ -83,14 +130,17 @@ def _carry_save(a, b, c):
 
 
 def near(values: np.ndarray, ends: np.ndarray, radius: int = RADIUS, block: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of places (i, j), i < j < ends[i], of values at most ``radius`` (under 8) bits apart, a block at a time.
+    """Pairs of places (i, j), i < j < ends[i], of values at most ``radius`` bits apart, a block at a time.
 
-    ``ends[i]`` is the end of the bucket of place i; buckets are contiguous.
+    ``values`` are 64-bit words, or rows of them. ``ends[i]`` is the end of the bucket of place i;
+    buckets are contiguous.
     """
     n = len(values)
+    values = values.reshape(n, -1)
+    width = 64 * values.shape[1]
     words = -(-n // 64)
-    bits = np.zeros((words * 64, BITS), np.uint8)
-    bits[:n] = np.unpackbits(values.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
+    bits = np.zeros((words * 64, width), np.uint8)
+    bits[:n] = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
     planes = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")
     planes = np.ascontiguousarray(planes).view(np.uint64)
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -107,25 +157,27 @@ def near(values: np.ndarray, ends: np.ndarray, radius: int = RADIUS, block: int
             i = np.repeat(place[at:to], own)
             w = np.arange(total) - np.repeat(bounds[at:to] - bounds[at], own) + np.repeat(first[at:to], own)
             low, high = np.clip(i + 1 - w * 64, 0, 63), np.clip(ends[i] - w * 64, 1, 64)
-            inside = (full << low.astype(np.uint64)) & (full >> (64 - high).astype(np.uint64))
-            mine = values[i]
-            over = ~inside
-            ones = np.zeros(total, np.uint64)
-            twos, fours = ones.copy(), ones.copy()
-            for p in range(0, BITS, 8):
-                x = [planes[p + k][w] ^ (np.uint64(0) - ((mine >> np.uint64(p + k)) & np.uint64(1))) for k in range(8)]
-                ones, two_a = _carry_save(ones, x[0], x[1])
-                ones, two_b = _carry_save(ones, x[2], x[3])
-                twos, four_a = _carry_save(twos, two_a, two_b)
-                ones, two_a = _carry_save(ones, x[4], x[5])
-                ones, two_b = _carry_save(ones, x[6], x[7])
-                twos, four_b = _carry_save(twos, two_a, two_b)
-                fours, eight = _carry_save(fours, four_a, four_b)
-                over |= eight
-                beyond = over | (fours & (ones | twos)) if radius == 4 else _beyond(over, ones, twos, fours, radius)
+            over = ~((full << low.astype(np.uint64)) & (full >> (64 - high).astype(np.uint64)))
+            # a counter of as many slices as the radius has bits, three at least; what passes it is over
+            count = [np.zeros(total, np.uint64) for _ in range(max(3, radius.bit_length()))]
+            for p in range(0, width, 8):
+                mine = values[i, p >> 6]
+                x = [planes[p + k][w] ^ (np.uint64(0) - ((mine >> np.uint64((p + k) & 63)) & np.uint64(1))) for k in range(8)]
+                count[0], two_a = _carry_save(count[0], x[0], x[1])
+                count[0], two_b = _carry_save(count[0], x[2], x[3])
+                count[1], four_a = _carry_save(count[1], two_a, two_b)
+                count[0], two_a = _carry_save(count[0], x[4], x[5])
+                count[0], two_b = _carry_save(count[0], x[6], x[7])
+                count[1], four_b = _carry_save(count[1], two_a, two_b)
+                count[2], carry = _carry_save(count[2], four_a, four_b)
+                for t in range(3, len(count)):
+                    count[t], carry = count[t] ^ carry, count[t] & carry
+                over |= carry
+                beyond = _beyond(over, count, radius)
                 live = beyond != full
-                if not live.all():
-                    i, w, mine, over, ones, twos, fours, beyond = (v[live] for v in (i, w, mine, over, ones, twos, fours, beyond))
+                if p + 8 == width or live.sum() < 0.75 * len(live):
+                    i, w, over, beyond = i[live], w[live], over[live], beyond[live]
+                    count = [c[live] for c in count]
                     if not len(i):
                         break
             if len(i):
@@ -135,16 +187,15 @@ def near(values: np.ndarray, ends: np.ndarray, radius: int = RADIUS, block: int
         at = to
 
 
-def _beyond(over, ones, twos, fours, radius: int):
-    """Lanes whose count passes ``radius``: more than radius by comparing bit by bit from the top."""
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
+def _beyond(over: np.ndarray, count: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose count passes ``radius``, compared slice by slice from the top."""
     more, same = over.copy(), ~over
-    for slice_, bit in ((fours, 4), (twos, 2), (ones, 1)):
-        if radius & bit:
-            same = same & slice_
+    for t in range(len(count) - 1, -1, -1):
+        if radius >> t & 1:
+            same = same & count[t]
         else:
-            more |= same & slice_
-            same = same & (slice_ ^ full)
+            more |= same & count[t]
+            same = same & ~count[t]
     return more
 
 
@@ -164,50 +215,116 @@ def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = shorter
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that span the components within every cell; rows come sorted by cell."""
+def _cells(links: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], key: int, run: int | None):
+    """Call ``links`` (ids, values, end of each place's cell) for whole cells, many at a time.
+
+    Rows come sorted by cell, their first ``key`` columns; an id and the value follow. Cells of over
+    ``run`` rows are cut into runs of so many.
+    """
 
-    def links(cells: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    def ends_of(cells: np.ndarray) -> np.ndarray:
         change = np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1
-        starts = np.concatenate([[0], change])
-        ends = np.concatenate([change, [len(cells)]])
-        labels = np.arange(len(cells))
-        for i, j in near(values.view(np.uint64), np.repeat(ends, ends - starts)):
-            join_labels(labels, i, j)
-        moved = np.flatnonzero(labels != np.arange(len(cells)))
-        return pa.RecordBatch.from_arrays([pa.array(values[moved]), pa.array(values[labels[moved]])], names=["u", "v"])
-
-    cells, values = np.empty((0, 3), np.int64), np.empty(0, np.int64)
-    for batch in batches:
-        own = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)], 1)
-        cells, values = np.concatenate([cells, own]), np.concatenate([values, batch.column(3).to_numpy(zero_copy_only=False)])
-        if len(cells) >= 1 << 15:
-            change = np.flatnonzero((cells[1:] != cells[:-1]).any(1))
-            if len(change):
-                cut = change[-1] + 1
-                yield links(cells[:cut], values[:cut])
-                cells, values = cells[cut:], values[cut:]
-    if len(cells):
-        yield links(cells, values)
+        starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(cells)]])
+        out = np.repeat(ends, ends - starts)
+        if run:
+            place = np.arange(len(cells))
+            begin = np.repeat(starts, ends - starts)
+            out = np.minimum(out, begin + ((place - begin) // run + 1) * run)
+        return out
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, ids, values = None, None, None
+        for batch in batches:
+            own = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(key)], 1)
+            node = batch.column(key).to_numpy(zero_copy_only=False)
+            value = batch.column(key + 1)
+            if pa.types.is_binary(value.type):
+                value = np.frombuffer(b"".join(value.to_pylist()), np.uint64).reshape(len(own), -1)
+            else:
+                value = value.to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, 1)
+            cells, ids, values = (own, node, value) if cells is None else (np.concatenate([x, y]) for x, y in ((cells, own), (ids, node), (values, value)))
+            if len(cells) >= 1 << 15:
+                ends = ends_of(cells)
+                cut = int(np.flatnonzero(ends < len(cells))[-1]) + 1 if ends[0] < len(cells) else 0
+                if cut:
+                    yield links(ids[:cut], values[:cut], ends[:cut])
+                    cells, ids, values = cells[cut:], ids[cut:], values[cut:]
+        if cells is not None and len(cells):
+            yield links(ids, values, ends_of(cells))
+
+    return go
+
+
+def _links(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
+def _forest(ids: np.ndarray, values: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """Links that span the components within every cell."""
+    labels = np.arange(len(ids))
+    for i, j in near(values, ends):
+        join_labels(labels, i, j)
+    moved = np.flatnonzero(labels != np.arange(len(ids)))
+    return _links(ids[moved], ids[labels[moved]])
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Which of the links i, j make the spanning forest of least ``apart`` over n places; of equals, the first by i, j."""
+    order = np.lexsort((j, i, apart))
+    labels, chosen = np.arange(n), []
+    while True:
+        a, b = labels[i[order]], labels[j[order]]
+        order, a, b = order[a != b], a[a != b], b[a != b]
+        if not len(order):
+            return np.concatenate([*chosen, order])
+        rank, least = np.arange(len(order)), np.full(n, len(order))
+        np.minimum.at(least, a, rank)
+        np.minimum.at(least, b, rank)
+        pick = order[np.unique(least[least < len(order)])]
+        chosen.append(pick)
+        join_labels(labels, i[pick], j[pick])
+
+
+def layered(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, layers): the links of the forest of least distance, of that over the other links, and so on, LAYERS in all."""
+    left, places, layers = np.arange(len(i)), [], []
+    for layer in range(LAYERS):
+        keep = spanning(n, i[left], j[left], apart[left])
+        places.append(left[keep])
+        layers.append(np.full(len(keep), layer))
+        left = np.delete(left, keep)
+    return np.concatenate(places), np.concatenate(layers)
+
+
+def _closest(ids: np.ndarray, values: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    """The layered forests over the pairs within REACH of every cell."""
+    i = j = apart = layer = np.empty(0, np.int64)
+    for a, b in near(values, ends, REACH):
+        far = np.bitwise_count(values[a] ^ values[b]).sum(1, dtype=np.int64)
+        i, j, apart = np.concatenate([i, a]), np.concatenate([j, b]), np.concatenate([apart, far])
+        keep, layer = layered(len(ids), i, j, apart)
+        i, j, apart = i[keep], j[keep], apart[keep]
+    columns = [pa.array(x) for x in (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), layer)]
+    return pa.RecordBatch.from_arrays(columns, names=["u", "v", "layer"])
 
 
 def _classes(marked: DataFrame) -> DataFrame:
-    """fp and component_id (its smallest doc_id) for every fingerprint of ``marked`` (doc_id, fp)."""
-    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp-nodes")
-    keyed = nodes.select("fp", F.explode(F.array(*_block_keys())).alias("key"))
+    """fp, component_id (its smallest doc_id) and n (its rows) for every fingerprint of ``marked`` (doc_id, fp)."""
+    nodes = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "fp-nodes")
+    count = nodes.count()
+    keyed = nodes.select("fp", F.explode(F.array(*_block_keys(blocks_for(count)))).alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     chunks = F.expr(f"(n + {CHUNK - 1}) div {CHUNK}")
     dealt = keyed.join(sizes, "key").select("fp", "key", F.pmod(F.xxhash64("fp"), chunks).alias("own"), chunks.alias("chunks"))
+    # every pair of a bucket's chunks is compared
     cells = dealt.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"), "fp").select(
-        "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp"
-    )
-    spans = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp").mapInArrow(_forest, "u long, v long")
-    roots = settle(components(spans), "fp-roots")
-    rooted = settle(
-        nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "fp-rooted"
+        "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", F.col("fp").alias("value")
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    spans = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp").mapInArrow(_cells(_forest, 3, None), "u long, v long")
+    roots = components(spans).withColumnRenamed("u", "fp")
+    rooted = settle(nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "fp-rooted")
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("own"))
+    return join_hot(rooted, least, ["root"], "own", count).select("fp", "component_id", "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -216,38 +333,140 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Words are maximal runs without ASCII white space, A-Z lower-cased; shingles are of four words
     (fewer words: all of them). A text that is null or has no word has fingerprint zero and is linked
     like any other. Fingerprints at most 4 bits apart are linked; component_id is the smallest doc_id
-    that links reach. Repeated rows are rows like others; a row of null doc_id takes part but is
-    never a component's smallest (a component of such rows only has a null component_id). Other
-    columns are not read. An empty table gives no rows.
+    that links reach. Texts are read whole however long they are; one text has to fit into a task.
+    Repeated rows are rows like others; a row of null doc_id takes part but is never a component's
+    smallest (a component of such rows only has a null component_id). Other columns are not read. An
+    empty table gives no rows.
     """
     marked = settle(fingerprints(docs), "fingerprints")
-    return marked.join(_classes(marked.select("doc_id", "fp")), "fp").select(
+    classes = settle(_classes(marked.select("doc_id", "fp")), "fp-classes")
+    return join_hot(marked, classes, ["fp"], "n", marked.count()).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of every group of near-duplicates: the one of the smallest doc_id, with its own columns.
+def _wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text), fp (WIDE bits) and shingles (sorted 32-bit hashes) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [wide_fingerprint(t or b"") for t in part.column(2).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for _, x in found])]).astype(np.int32)
+                shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x for _, x in found])))
+                columns = [part.column(0), part.column(1), pa.array([f for f, _ in found], pa.binary()), shingles]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "fp", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, mark long, fp binary, shingles array<int>")
+
+
+def tables_for(rows: int) -> list[np.ndarray]:
+    """The sampled bits of each table: so many that a bucket holds about CROWD unrelated fingerprints."""
+    depth = max(0, math.ceil(math.log2(max(1, rows) / CROWD)))
+    met = (1 - APART) ** depth
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - met)) if depth else 1
+    return [np.random.default_rng([depth, t]).permutation(WIDE)[:depth] for t in range(tables)]
+
 
-    Repeated rows of a kept doc_id count as copies, of which one stays. Rows without a doc_id stay
-    only where their group holds no doc_id at all.
+def _candidates(nodes: DataFrame, count: int) -> DataFrame:
+    """Links (u, v, layer) that span what the tables' buckets hold within REACH; ``nodes`` are (node, fp)."""
+    tables = tables_for(count)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                prints = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                bits = np.unpackbits(prints, axis=1, bitorder="little")
+                for t, own in enumerate(tables):
+                    keys = bits[:, own].astype(np.int64) @ (np.int64(1) << np.arange(len(own)))
+                    columns = [pa.array(np.full(len(keys), t, np.int32)), pa.array(keys), part.column(0), part.column(1)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["t", "key", "node", "fp"])
+
+    keyed = nodes.select("node", "fp").mapInArrow(run, "t int, key long, node long, fp binary")
+    # buckets that would weigh on one task are dealt into chunks, other ones in every table; a task cuts the rest into runs
+    bound = max(CHUNK, -(-count * len(tables) // HOT_KEYS))
+    chunk = F.lit(0).cast("long")
+    if count > bound:
+        hot = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
+        keyed = keyed.join(F.broadcast(settle(hot, "hot-buckets")), ["t", "key"], "left")
+        chunk = F.coalesce(F.pmod(F.xxhash64("node", "t"), F.expr(f"(n + {CHUNK - 1}) div {CHUNK}")), chunk)
+    cells = keyed.select("t", "key", chunk.alias("chunk"), "node", "fp").repartition("t", "key", "chunk")
+    spans = cells.sortWithinPartitions("t", "key", "chunk", "node").mapInArrow(_cells(_closest, 3, CHUNK), "u long, v long, layer long")
+    return spans.groupBy("u", "v").agg(F.min("layer").alias("layer"))
+
+
+def _alike(links: DataFrame, shingles: DataFrame, per_task: int = 1000) -> DataFrame:
+    """The ``links`` (u, v) whose ``shingles`` (node, shingles) have a Jaccard similarity of ALIKE or more.
+
+    The shingles of a node with many links are repeated, and its links dealt among the copies.
     """
-    known, mark, number = (fresh(x, docs.columns) for x in ("_id", "_mark", "_row"))
-    marked = settle(fingerprints(docs), "fingerprints")
-    chosen = settle(
-        marked.join(_classes(marked.select("doc_id", "fp")), "fp")
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias(known), F.col("mark").alias(mark))
-        .agg(F.count(F.lit(1)).alias("n")),
-        "kept-first",
+    ends = links.select(F.explode(F.array("u", "v")).alias("node"))
+    bound = max(per_task, -(-2 * links.count() // HOT_KEYS))
+    hubs = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
+    hubs = F.broadcast(settle(hubs.select("node", F.expr(f"n div {per_task} + 1").alias("copies")), "hubs"))
+    known = shingles.join(hubs, "node", "left").select(
+        "node", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1)).alias("copy")
     )
-    same = docs["doc_id"].eqNullSafe(chosen[known]) & F.xxhash64(docs["text"]).eqNullSafe(chosen[mark])
-    often = chosen.where(F.col(known).isNotNull()).groupBy(known).agg(F.sum("n").alias("n")).where("n > 1")
-    repeated = settle(often.select(known), "kept-often")
-    kept = docs.join(chosen, same, "left_semi")
-    if repeated.isEmpty():
-        return kept
-    twice = docs["doc_id"] == repeated[known]
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = kept.join(repeated, twice, "left_semi").withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).drop(number)
-    return kept.join(repeated, twice, "left_anti").unionByName(once)
+
+    def to(rows: DataFrame, end: str, other: str, name: str) -> DataFrame:
+        told = rows.join(hubs.withColumnRenamed("node", end), end, "left")
+        told = told.withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1).cast("long")))).drop("copies")
+        return told.join(known.withColumnsRenamed({"node": end, "shingles": name}), [end, "copy"]).drop("copy")
+
+    both = F.size(F.array_intersect("a", "b"))
+    alike = F.expr(f"100 * both >= {round(100 * ALIKE)} * (size(a) + size(b) - both)")
+    return to(to(links, "u", "v", "a"), "v", "u", "b").withColumn("both", both).where(alike).select("u", "v")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of every group of near-duplicates, with its own columns.
+
+    Two texts are linked if their sets of five-word shingles (fewer words: all of them; A-Z
+    lower-cased) have a Jaccard similarity of 0.8 or more, as far as the tables meet them (see the
+    module's text); texts without words are linked with one another. Groups are what links reach.
+    The row of the smallest doc_id stays, one without doc_id only where no row of the group has one;
+    of several rows of that doc_id, one. Texts are read whole; one has to fit into a task. An empty
+    table gives no rows.
+    """
+    marked = settle(_wide_fingerprints(docs), "wide-fingerprints")
+    rows = marked.count()
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")
+    nodes = marked.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
+    links = settle(_candidates(nodes, nodes.count()), "candidates")
+    asked = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    asked = settle(nodes.join(asked, "node", "left_semi").select("fp", "node", "n"), "asked")
+    shingles = join_hot(marked.select("fp", "shingles"), asked, ["fp"], "n", rows).groupBy("node").agg(F.min("shingles").alias("shingles"))
+    shingles = settle(shingles, "shingles")
+    sure = settle(_alike(links.where("layer = 0").select("u", "v"), shingles), "alike")
+    roots = settle(components(sure), "roots")
+    # where a link of the first forest fell, the next ones may still join what it would have joined
+    first, second = (roots.select(F.col("u").alias(end), F.col("root").alias(f"{end}_root")) for end in ("u", "v"))
+    more = links.where("layer > 0").join(first, "u", "left").join(second, "v", "left")
+    more = settle(more.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "still-apart")
+    if not more.isEmpty():
+        roots = components(sure.union(_alike(more, shingles)))
+    roots = roots.withColumnRenamed("u", "node")
+    chosen = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+
+    known, none, mark = (fresh(x, docs.columns) for x in ("_known", "_none", "_mark"))
+    # keys without nulls, so that a null doc_id is one like others
+    blank = F.lit(0 if dict(docs.dtypes)["doc_id"] != "string" else "")
+    keys = [known, none, mark]
+
+    def keyed(df: DataFrame, id_, hash_) -> DataFrame:
+        return df.withColumns({known: F.coalesce(id_, blank), none: id_.isNull(), mark: hash_})
+
+    often = keyed(marked, F.col("doc_id"), F.col("mark")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    chosen = settle(keyed(chosen, F.col("first.doc_id"), F.col("first.mark")).join(often, keys).select(*keys, "n"), "kept-first")
+    own = keyed(docs, docs["doc_id"], F.xxhash64(docs["text"]))
+    once = own.join(chosen.where("n = 1"), keys, "left_semi").drop(*keys)
+    if chosen.where("n > 1").isEmpty():
+        return once
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = join_hot(own, chosen.where("n > 1"), keys, "n", rows).groupBy(*keys).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    return once.unionByName(again)
