@@ -260,3 +260,32 @@ def test_cover_meets_every_pair_of_places():
     for i in range(7):
         for j in range(7):
             assert any((i + d) % 7 in substring.COVER and (j + d) % 7 in substring.COVER for d in range(7))
+
+
+def test_files_and_buckets_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(substring, "FILES", 3)
+    monkeypatch.setattr(substring, "BUCKETS", 5)
+    df = shared_passages(spark, 4)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want = sorted((str(i), sum(gone)) for (i, _), (_, gone) in zip(rows, brute_removed(rows)))
+    # far more parts than a table may have buckets
+    assert sorted((str(r.doc_id), r.n_removed) for r in substring.remove_repeats(df, 1).collect()) == want
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_check(monkeypatch):
+    keys = np.zeros(6, substring.KEY)
+    keys["hash"], keys["check"] = [5, 5, 5, 7, 7, 9], [1, 2, 1, 3, 4, 0]
+    order, new = substring.grouped(keys, np.array([3, 1, 2, 1, 1, 1]))
+    assert order.tolist() == [2, 0, 1, 3, 4, 5] and new.tolist() == [True, False, True, True, True, True]
+    known = keys[[0, 1, 4]]
+    assert substring.held(keys, known).tolist() == [True, True, True, False, True, False]
+    assert not substring.held(keys, known[:0]).any()
+
+
+def test_null_ids_are_spread_over_parts(spark):
+    rng = random.Random(1)
+    rows = [(None if i % 2 else i % 4, " ".join(str(rng.randint(0, 99)) for _ in range(20))) for i in range(60)]
+    texts, _ = substring._parts(spark.createDataFrame(rows, "doc_id long, text string"), 100, [])
+    parts = texts.where("doc_id IS NULL").select("part").distinct().count()
+    assert parts > 5

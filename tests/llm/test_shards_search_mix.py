@@ -165,3 +165,14 @@ def test_a_score_beyond_a_long_is_an_error(spark, sign):
     df = spark.createDataFrame([(20, [2.0**30]), (21, [sign * 2.0**30])], "vec_id long, embedding array<float>")
     with pytest.raises(Exception, match="passes a long"):
         topk.search(df).collect()
+
+
+def test_empty_and_repeated_query_vectors(spark):
+    rows = [(20, []), (21, []), (40, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert {tuple(r) for r in topk.search(df).collect()} == exact_search(rows)
+    # rows of one query id that differ: the first by components asks, and no row of its own id answers
+    rows = [(20, [2.0, 0.0]), (20, [1.0, 5.0]), (20, [1.0]), (3, [1.0, -1.0]), (3, [1.0, -1.0]), (4, []), (5, [0.5, 0.5, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [tuple(r)[1:] for r in topk.search(df).orderBy("rank").collect()]
+    assert got == [(1, 3, 64 * 64), (2, 3, 64 * 64), (3, 5, 64 * 32), (4, 4, 0)]

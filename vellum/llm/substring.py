@@ -6,10 +6,14 @@ runs, hashed only where their place modulo 7 lies in the difference cover {0, 1,
 there is a shift below 7 that puts both on the cover, so two equal windows share an aligned anchor
 inside. Only windows around an anchor that two parts share are extended to 13 words and compared.
 
-The unit of exchange is a part: some 8 MB of text, chosen by the hash of the doc_id. A part says each
-of its hashes once, however many of its documents have it, to a bucket chosen by the hash, and gets one
+The unit of exchange is a part: some 8 MB of text, chosen by a hash of the row. A part says each of its
+hashes once, however many of its documents have it, to a bucket chosen by the hash, and gets one
 answer; documents of the same part are compared inside it. So a passage that a third of all documents
-hold costs one message a part, not one a document, and no pairs are made.
+hold costs one message a part, not one a document, and no pairs are made. Parts and buckets grow with
+the corpus: parts without bound, in at most FILES files, and buckets up to BUCKETS.
+
+Anchors only choose candidates and have 64 bits. Windows are told apart by 96: two words that a corpus
+of 10^14 bytes doesn't expect to share by chance.
 """
 
 from __future__ import annotations
@@ -32,6 +36,12 @@ WINDOW, PERIOD = 13, 7
 COVER = (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 MEMORY = 200_000
+#: Most files that hold the dealt texts, and most buckets of hashes.
+FILES, BUCKETS = 20_000, 1 << 17
+#: What the hashes of an anchor, and the two of a window, multiply by.
+STEP, CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: A window as it is sent: its hash and a check of 32 bits.
+KEY = np.dtype([("hash", "<u8"), ("check", "<u4")])
 SPANS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -46,14 +56,14 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def runs(hashes: np.ndarray, length: int) -> np.ndarray:
+def runs(hashes: np.ndarray, length: int, step: np.uint64 = STEP) -> np.ndarray:
     """A 64-bit hash of every run of ``length`` words, by the place where it starts."""
     n = len(hashes) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = hashes[:n].copy()
     for k in range(1, length):
-        out *= np.uint64(0x9E3779B97F4A7C15)
+        out *= step
         out += hashes[k : k + n]
     out ^= out >> np.uint64(32)
     out *= np.uint64(0xD6E8FEB86659FD93)
@@ -61,6 +71,27 @@ def runs(hashes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def windows_of(hashes: np.ndarray) -> np.ndarray:
+    """The KEY of every window."""
+    out = np.empty(max(0, len(hashes) - WINDOW + 1), KEY)
+    out["hash"] = runs(hashes, WINDOW)
+    out["check"] = runs(hashes, WINDOW, CHECK) >> np.uint64(32)
+    return out
+
+
+def grouped(keys: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): places sorted by key, then rank, and which of them begin another key."""
+    if keys.dtype == KEY:
+        order = np.lexsort((rank, keys["check"], keys["hash"]))
+        keys = keys[order]
+        new = (keys["hash"][1:] != keys["hash"][:-1]) | (keys["check"][1:] != keys["check"][:-1])
+    else:
+        order = np.lexsort((rank, keys))
+        keys = keys[order]
+        new = keys[1:] != keys[:-1]
+    return order, np.concatenate([[True], new]) if len(keys) else np.empty(0, bool)
+
+
 def on_cover(n: int) -> np.ndarray:
     """The places below n that lie on the cover."""
     place = np.arange(n)
@@ -68,10 +99,21 @@ def on_cover(n: int) -> np.ndarray:
 
 
 def held(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which ``values`` are in ``known``, which is sorted."""
+    """Which ``values`` are in ``known``, which is sorted (KEYs: by hash, then check)."""
     if not len(known):
         return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+    if known.dtype != KEY:
+        return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+    at = np.searchsorted(known["hash"], values["hash"])
+    out = np.zeros(len(values), bool)
+    left = np.flatnonzero(at < len(known))
+    while len(left):  # as often as keys share a hash: once, but for chance
+        same = known["hash"][at[left]] == values["hash"][left]
+        left = left[same]
+        out[left] |= known["check"][at[left]] == values["check"][left]
+        at[left] += 1
+        left = left[~out[left] & (at[left] < len(known))]
+    return out
 
 
 def around(anchored: np.ndarray, windows: int) -> np.ndarray:
@@ -95,11 +137,12 @@ def _rows(table: pa.Table) -> tuple[list, list[bytes]]:
     return table.column("doc_id").to_pylist(), [t or b"" for t in table.column("text").to_pylist()]
 
 
-def _messages(part: int, buckets: int, hashes: np.ndarray, firsts: np.ndarray | None) -> pa.Table:
-    """One row per bucket that any of the distinct ``hashes`` belongs to."""
+def _messages(part: int, buckets: int, keys: np.ndarray, firsts: np.ndarray | None) -> pa.Table:
+    """One row per bucket that any of the distinct ``keys`` belongs to."""
+    hashes = keys["hash"] if keys.dtype == KEY else keys
     bucket = ((hashes >> np.uint64(17)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    hashes, bucket = hashes[order], bucket[order]
+    keys, bucket = keys[order], bucket[order]
     firsts = None if firsts is None else firsts[order]
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
     ends = np.concatenate([starts[1:], [len(bucket)]]).astype(np.int64)
@@ -107,7 +150,7 @@ def _messages(part: int, buckets: int, hashes: np.ndarray, firsts: np.ndarray |
         {
             "part": pa.array(np.full(len(starts), part, np.int64)),
             "bucket": pa.array(bucket[starts]),
-            "hashes": pa.array([hashes[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()),
+            "hashes": pa.array([keys[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()),
             "firsts": pa.array([b"" if firsts is None else firsts[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()),
         }
     )
@@ -136,10 +179,11 @@ def _candidates(buckets: int):
     """A part's distinct windows around shared anchors, each with the smallest doc_id that has it."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        none = _messages(0, buckets, np.empty(0, KEY), np.empty(0, np.int64))
         if not texts.num_rows or not answers.num_rows:
-            return _messages(0, buckets, np.empty(0, np.uint64), np.empty(0, np.int64))
-        shared, known = _pooled(answers), WordHashes()
-        hashes, ids = [], []
+            return none
+        shared, known = _pooled(answers, np.uint64), WordHashes()
+        keys, ids = [], []
         for doc_id, text in zip(*_rows(texts)):
             words = text.split()
             if doc_id is None or len(words) < WINDOW:
@@ -149,48 +193,47 @@ def _candidates(buckets: int):
             place = on_cover(len(anchors))
             place = place[held(anchors[place], shared)]
             if len(place):
-                windows = runs(own, WINDOW)
+                windows = windows_of(own)
                 windows = windows[around(place, len(windows))]
-                hashes.append(windows)
+                keys.append(windows)
                 ids.append(np.full(len(windows), doc_id, np.int64))
-        if not hashes:
-            return _messages(0, buckets, np.empty(0, np.uint64), np.empty(0, np.int64))
-        flat, owner = np.concatenate(hashes), np.concatenate(ids)
-        order = np.lexsort((owner, flat))
-        flat, owner = flat[order], owner[order]
-        first = np.concatenate([[True], flat[1:] != flat[:-1]])
-        return _messages(texts.column("part")[0].as_py(), buckets, flat[first], owner[first])
+        if not keys:
+            return none
+        flat, owner = np.concatenate(keys), np.concatenate(ids)
+        order, first = grouped(flat, owner)
+        return _messages(texts.column("part")[0].as_py(), buckets, flat[order[first]], owner[order[first]])
 
     return run
 
 
-def _pooled(answers: pa.Table) -> np.ndarray:
+def _pooled(answers: pa.Table, kind: np.dtype) -> np.ndarray:
     blobs = [b for b in answers.column("hashes").to_pylist() if b]
-    return np.sort(np.frombuffer(b"".join(blobs), np.uint64))
+    keys = np.frombuffer(b"".join(blobs), kind)
+    return keys[grouped(keys, np.zeros(len(keys), np.int8))[0]]
 
 
 def _answer(windows: bool):
     """To each part, which of its hashes other parts have (for windows: with a smaller doc_id)."""
+    kind = KEY if windows else np.dtype(np.uint64)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.frombuffer(b"".join(pdf["hashes"]), np.uint64)
-        owner = np.repeat(pdf["part"].to_numpy(), pdf["hashes"].map(len).to_numpy() // 8)
+        keys = np.frombuffer(b"".join(pdf["hashes"]), kind)
+        owner = np.repeat(pdf["part"].to_numpy(), pdf["hashes"].map(len).to_numpy() // kind.itemsize)
         rank = np.frombuffer(b"".join(pdf["firsts"]), np.int64) if windows else owner
-        order = np.lexsort((rank, hashes))
-        hashes, owner, rank = hashes[order], owner[order], rank[order]
-        new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        order, new = grouped(keys, rank)
+        keys, owner, rank = keys[order], owner[order], rank[order]
         group = np.cumsum(new) - 1
         starts = np.flatnonzero(new)
         if windows:
             told = rank > rank[starts][group]
         else:
-            told = (np.diff(np.concatenate([starts, [len(hashes)]])) > 1)[group]
-        hashes, owner = hashes[told], owner[told]
+            told = (np.diff(np.concatenate([starts, [len(keys)]])) > 1)[group]
+        keys, owner = keys[told], owner[told]
         order = np.argsort(owner, kind="stable")
-        hashes, owner = hashes[order], owner[order]
+        keys, owner = keys[order], owner[order]
         to, at = np.unique(owner, return_index=True)
         ends = [*at[1:], len(owner)]
-        return pd.DataFrame({"part": to.astype(np.int64), "hashes": [hashes[s:e].tobytes() for s, e in zip(at, ends)]})
+        return pd.DataFrame({"part": to.astype(np.int64), "hashes": [keys[s:e].tobytes() for s, e in zip(at, ends)]})
 
     return run
 
@@ -204,21 +247,20 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
 
 def _clean(texts: pa.Table, answers: pa.Table, whole: bool) -> pa.Table:
     """Every text without the words to remove: the words joined by one space, or ``whole`` with its own white space."""
-    told, known = _pooled(answers) if answers.num_rows else np.empty(0, np.uint64), WordHashes()
+    told, known = _pooled(answers, KEY) if answers.num_rows else np.empty(0, KEY), WordHashes()
     ids, blobs = _rows(texts)
     flat, owner, sizes = [], [], []
     for doc_id, text in zip(ids, blobs):
-        own = runs(known.of(text.split()), WINDOW) if doc_id is not None else np.empty(0, np.uint64)
+        own = windows_of(known.of(text.split())) if doc_id is not None else np.empty(0, KEY)
         flat.append(own)
         owner.append(np.full(len(own), doc_id or 0, np.int64))
         sizes.append(len(own))
-    hashes, owners = np.concatenate(flat or [np.empty(0, np.uint64)]), np.concatenate(owner or [np.empty(0, np.int64)])
-    order = np.lexsort((owners, hashes))
-    ranked, least = hashes[order], owners[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.empty(0, bool)
-    later = np.zeros(len(hashes), bool)
-    later[order] = least > least[np.flatnonzero(new)][np.cumsum(new) - 1] if len(ranked) else False
-    later |= held(hashes, told)
+    keys, owners = np.concatenate(flat or [np.empty(0, KEY)]), np.concatenate(owner or [np.empty(0, np.int64)])
+    order, new = grouped(keys, owners)
+    least = owners[order]
+    later = np.zeros(len(keys), bool)
+    later[order] = least > least[np.flatnonzero(new)][np.cumsum(new) - 1]
+    later |= held(keys, told)
     n_words, n_removed, kept = [], [], []
     at = 0
     for text, size in zip(blobs, sizes):
@@ -251,27 +293,39 @@ def _whole(texts: pa.Table, answers: pa.Table) -> pa.Table:
     return _clean(texts, answers, whole=True)
 
 
+def _by_part(texts: DataFrame, n: int) -> DataFrame:
+    """``texts`` written in buckets by part, so that the steps read them without dealing them out again.
+
+    The table's entry in the catalog goes as soon as it has been read; its files stay.
+    """
+    spark = texts.sparkSession
+    name, path = f"texts_{uuid.uuid4().hex}", new_path(spark, "texts")
+    files = min(FILES, max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = texts.repartition(files, "part").write.bucketBy(files, "part")
+    dealt.option("path", path).option("compression", "zstd").saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return written
+
+
 def _parts(docs: DataFrame, part_bytes: int, carried: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The texts by part, and the hashes told to each part."""
+    """The texts by part, and the windows told to each part."""
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = parts(spark, size, part_bytes)
+    buckets = min(n, BUCKETS)
+    # rows of one doc_id, or of none, may lie in different parts: they don't remove each other's words
     texts = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("part"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("part"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("text"),
         (F.struct(*[F.col(f"`{c}`") for c in carried]) if carried else F.lit(None).cast("boolean")).alias("row"),
     )
-    # bucketed by part, so that the three steps below read the texts without dealing them out again
-    name, path = f"texts_{uuid.uuid4().hex}", new_path(spark, "texts")
-    buckets = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = texts.repartition(buckets, "part").write.bucketBy(buckets, "part")
-    dealt.option("path", path).option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    texts = _by_part(texts, n)
     by_part = texts.select("part", "doc_id", "text").groupBy("part")
     answer = "part long, hashes binary"
-    shared = by_part.applyInArrow(_anchors(n), MESSAGE).groupBy("bucket").applyInPandas(_answer(False), answer)
-    candidates = by_part.cogroup(shared.groupBy("part")).applyInArrow(_candidates(n), MESSAGE)
+    shared = by_part.applyInArrow(_anchors(buckets), MESSAGE).groupBy("bucket").applyInPandas(_answer(False), answer)
+    candidates = by_part.cogroup(shared.groupBy("part")).applyInArrow(_candidates(buckets), MESSAGE)
     return texts, settle(candidates.groupBy("bucket").applyInPandas(_answer(True), answer), "repeated-windows")
 
 
@@ -280,10 +334,10 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
 
     Words are maximal runs without ASCII white space, unchanged. Each word is removed that a window
     of 13 words covers whose word sequence also starts in a document of smaller doc_id; windows are
-    judged on the input. Equality is judged by a 64-bit hash of the window. A null text has no words.
-    A row without doc_id is no one's predecessor and keeps all words; rows of one doc_id don't remove
-    each other's words. Texts of under 13 words stay whole. An empty table gives no rows. Other
-    columns are not read.
+    judged on the input. Equality is judged by 96 bits of hashes of the window. A null text has no
+    words. A row without doc_id is no one's predecessor and keeps all words; rows of one doc_id don't
+    remove each other's words. Texts of under 13 words stay whole; a very long text is a part of its
+    own and has to fit into a task. An empty table gives no rows. Other columns are not read.
     """
     texts, told = _parts(docs, part_bytes, [])
     by_part = texts.groupBy("part").cogroup(told.groupBy("part"))

@@ -29,6 +29,8 @@ from vellum.llm.common import parts, settle
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Components of up to so many bits share blocks; beyond, vectors are grouped by so many bits more.
 NARROW, STEP = 30, 32
+#: Tasks that a search is dealt into, at most.
+TASKS = 4096
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -180,7 +182,7 @@ def _pack(kind: str):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
-        width = int(pdf["q"].map(len).max())
+        width = max(1, int(pdf["q"].map(len).max()))  # a vector of no components counts as zeros
         matrix = np.zeros((len(pdf), width), np.float64)
         for i, q in enumerate(pdf["q"]):
             matrix[i, : len(q)] = q
@@ -254,13 +256,14 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, block_rows: int
 
     The score is the integer inner product of the quantised vectors; ties go to the smaller vec_id.
     Vectors that are null, or hold a null or a non-finite component, take no part, nor do rows without
-    vec_id. A score among the k best that passes a long is an error. A shorter vector counts as padded with zeros. All rows of
-    the query's own vec_id are left out; repeated rows of another are listed each, while a repeated
-    query counts once. Other columns are not read. An empty table gives no rows.
+    vec_id. A score among the k best that passes a long is an error. A shorter vector, an empty one too,
+    counts as padded with zeros. All rows of the query's own vec_id are left out; repeated rows of
+    another are listed each, while a repeated query counts once, by the first of its vectors in order
+    of their components. Other columns are not read. An empty table gives no rows.
     """
     spark = embeddings.sparkSession
     rows = settle(quantised(embeddings), "quantised")
-    asked = settle(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "queries")
+    asked = settle(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q")), "queries")
     groups = parts(spark, asked.count(), group_rows)
     # a row per depth, of which there are few; (first block, blocks) of each
     blocks, dealt = 0, {}
@@ -282,11 +285,13 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, block_rows: int
         .applyInPandas(_pack("queries"), "group long, ids binary, width int, data binary"),
         "query-groups",
     ).select("group", F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("data").alias("q_data"))
-    # every group of queries against every block; the rows here are packed blocks, not vectors
+    # every group of queries against every block; the rows here are packed blocks, not vectors. A task
+    # meets a run of blocks, so that it gives out each query's best of all of them once
+    run = max(1, blocks * groups // TASKS)
     met = (
         index.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
         .join(asked, "group")
-        .repartition(max(1, min(4096, blocks * groups)), "block", "group")
+        .repartition(max(1, min(TASKS, blocks * groups)), "group", F.expr(f"block div {run}"))
         .sortWithinPartitions("group")
     )
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
