@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import defaultdict
 from fractions import Fraction
 
 import frames
@@ -176,3 +177,69 @@ def test_empty_and_repeated_query_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [tuple(r)[1:] for r in topk.search(df).orderBy("rank").collect()]
     assert got == [(1, 3, 64 * 64), (2, 3, 64 * 64), (3, 5, 64 * 32), (4, 4, 0)]
+
+
+def plain_mix(steps, weights, period):
+    """The mix slot by slot: in every phase, the released step of the earliest deadline goes next."""
+    done, start, out = dict.fromkeys(steps, 0), 0, []
+    left = sorted(s for s in steps if steps[s] and weights[s])
+    while left:
+        length = max(period, 4 * len(left))
+        part = mixing.parts_of({s: weights[s] for s in left}, length)
+        assert sum(part.values()) == length and all(abs(part[s] - weights[s] * length / sum(weights[x] for x in left)) <= 1 for s in left)
+        given, now = dict.fromkeys(left, 0), 0
+        while True:
+            windows = [(math.ceil(Fraction((given[s] + 1) * length, part[s])), s) for s in left if given[s] * length // part[s] <= now]
+            due, s = min(windows)
+            out.append((s, done[s], start + given[s] * length // part[s], start + due, start + now))
+            given[s], done[s], now = given[s] + 1, done[s] + 1, now + 1
+            if done[s] == steps[s]:
+                left.remove(s)
+                start += now
+                break
+    return out
+
+
+def test_the_plan_is_the_schedule_slot_by_slot():
+    rng = random.Random(12)
+    for _ in range(25):
+        names = [f"s{i}" for i in range(rng.randint(1, 6))]
+        steps, weights = {s: rng.randint(0, 400) for s in names}, {s: rng.randint(1, 50) for s in names}
+        assert mixing.schedule(steps, weights, 0.0, 64) == plain_mix(steps, weights, 64)
+    assert mixing.parts_of({"a": 1, "b": 10**9, "c": 1}, 16) == {"a": 1, "b": 14, "c": 1}
+
+
+@pytest.mark.parametrize("longest", [100, 5000])
+def test_mix_end_to_end(spark, longest):
+    rng = random.Random(longest)
+    rows = [(i, "y" * rng.randint(0, longest), rng.choice(["a", "a", "a", "b", None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    block, step, period = 512, 256, 128
+    out = mixing.mix(df, block_bytes=block, period=period, salt_rows=100).collect()
+    assert len(out) == 1500 and all(r.kept and r.release <= r.slot < r.deadline for r in out)
+    by = defaultdict(list)
+    for r in out:
+        by[r.source].append(r)
+    total = {s: sum(r.bytes for r in own) for s, own in by.items()}
+    # every step's slot, release and deadline are those of the plain schedule
+    weights = {s: round(t**0.8 * 1000) for s, t in total.items()}
+    steps = {s: -(-t // step) for s, t in total.items()}
+    plain = {(s, j): times for s, j, *times in plain_mix(steps, weights, period)}
+    assert all(plain[r.source, r.block] == [r.release, r.deadline, r.slot] for r in out)
+    # documents stand at the step of their middle
+    for s, own in by.items():
+        own.sort(key=lambda r: r.block)
+        assert all(0 <= r.block < steps[s] for r in own)
+    # until a source runs out, each has had its share of the slots' bytes to within a block or the longest document
+    part, most = mixing.parts_of(weights, period), max(block, max(r.bytes for r in out))
+    first_end = min(max(r.slot for r in own) for own in by.values())
+    slots = sorted(out, key=lambda r: r.slot)
+    given, at = dict.fromkeys(by, 0), 0
+    for t in range(1, first_end + 1):
+        while at < len(slots) and slots[at].slot < t:
+            given[slots[at].source] += slots[at].bytes
+            at += 1
+        assert all(abs(given[s] - t * step * part[s] / period) < most for s in by)
+    # sources without a weight stay out
+    some = mixing.mix(df, weights={"a": 2.0}, block_bytes=block)
+    assert {r.source for r in some.where("kept").collect()} == {"a"} and some.where("NOT kept AND slot IS NULL").count() == len(by["b"]) + len(by[""])

@@ -1,92 +1,160 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source's documents are cut into blocks of about equal bytes. With weight w, the source's block
-j (from 1) is released at slot floor((j - 1) / w) and due by slot ceil(j / w). Slots are given out
-earliest deadline first among released blocks, which keeps every source within less than one block of
-its share at every slot. A source that runs out leaves, and the windows of the others start anew with
-their weights scaled up, until every block has its slot. A mix of a target size is asked for by
+Every source's bytes are cut into steps of half a block. With weight w, the source's step j (from 1) is
+released at slot floor((j - 1) / w) and due by slot ceil(j / w). Slots are given out earliest deadline
+first among released steps, which keeps every source within less than one step of its share at every
+slot. Documents are whole: one stands at the step in which its middle lies, so what a source has been
+given is off by half of the document across the edge at most. Together that is less than a block, a
+block being ``block_bytes`` or that document, whichever is longer.
+
+Weights are parts of a period of slots. After a period every source has had just its part, so the
+schedule repeats, and the slot of any step follows from the period's pattern: the pattern is made from
+the sources alone, whatever the size of the corpus, and documents look up their slots in Spark. A source
+that runs out leaves, and the windows of the others start anew with their weights scaled up: a new
+phase, with a pattern of its own, until every step has its slot. A mix of a target size is asked for by
 ``least_weight``: it ends when the sources that are left hold less than that part of the target weight.
-
-The schedule is made from the number of blocks of each source only. Blocks grow with the corpus, so
-there are never more than ``most_blocks`` plus one per source.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fresh, parts, settle
+from vellum.llm.common import fresh, join_hot, parts, settle
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, int], least_weight: float = 0.0) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, slot) in order of the slot; blocks, releases and slots count from 0.
+def interleave(weights: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
+    """For slot 0, 1, ...: (source, step, release, deadline), earliest deadline first; steps count from 0.
 
     ``weights`` are positive integers, a source's share being its part of their total. Ties of
     deadlines go to the first source by name.
     """
-    active = {s: 0 for s in sorted(blocks) if blocks[s] > 0 and weights.get(s, 0) > 0}
-    whole = sum(weights[s] for s in active)
-    out: list[tuple[str, int, int, int, int]] = []
-    start = 0
-    while active and Fraction(sum(weights[s] for s in active), whole) >= Fraction(least_weight):
-        total = sum(weights[s] for s in active)
-        waiting = [(0, s, 1) for s in active]
-        heapq.heapify(waiting)
-        ready: list[tuple[int, str, int, int]] = []
-        now, gone = start, None
-        while gone is None:
-            while waiting and waiting[0][0] <= now - start:
-                release, s, j = heapq.heappop(waiting)
-                heapq.heappush(ready, (-(-j * total // weights[s]), s, j, release))
-            if ready:
-                deadline, s, j, release = heapq.heappop(ready)
-                out.append((s, active[s], start + release, start + deadline, now))
-                active[s] += 1
-                if active[s] == blocks[s]:
-                    gone = s
-                else:
-                    heapq.heappush(waiting, (j * total // weights[s], s, j + 1))
-            now += 1
-        del active[gone]
-        start = now
+    total = sum(weights.values())
+    waiting = [(0, s, 1) for s in sorted(weights)]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int, int]] = []
+    now = 0
+    while True:
+        while waiting and waiting[0][0] <= now:
+            release, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-j * total // weights[s]), s, j, release))
+        deadline, s, j, release = heapq.heappop(ready)
+        heapq.heappush(waiting, (j * total // weights[s], s, j + 1))
+        yield s, j - 1, release, deadline
+        now += 1
+
+
+def parts_of(weights: dict[str, int], period: int) -> dict[str, int]:
+    """``weights`` as whole parts of a period, one at least each, by largest remainders; ties to the first by name."""
+    total = sum(weights.values())
+    out = {s: max(1, w * period // total) for s, w in weights.items()}
+    rest = sorted(weights, key=lambda s: (out[s] - Fraction(weights[s] * period, total), s))
+    short = period - sum(out.values())
+    for s in rest[: max(0, short)]:
+        out[s] += 1
+    while short < 0:  # only where small weights were raised to one part
+        most = max(sorted(out), key=out.get)
+        cut = min(-short, max(1, out[most] // 2))
+        out[most] -= cut
+        short += cut
     return out
 
 
-def _scheduled(least_weight: float):
+def plan(steps: dict[str, int], weights: dict[str, int], least_weight: float = 0.0, period: int | None = None) -> tuple[list[tuple], list[tuple]]:
+    """(phases, pattern) of the mix.
+
+    phases: (source, phase, first, taken, part, start, period): in the phase, from slot ``start``, the
+    source gives ``taken`` steps from its ``first``, ``part`` of them a period. pattern: (source,
+    phase, k, release, deadline, at) for step k of the period. Work and rows are at most a period for
+    every source. Without a ``period`` the weights are taken as they are: their total is the period.
+    """
+    left = {s: n for s, n in steps.items() if n > 0 and weights.get(s, 0) > 0}
+    whole = sum(weights[s] for s in left)
+    phases: list[tuple] = []
+    pattern: list[tuple] = []
+    start = phase = 0
+    while left and Fraction(sum(weights[s] for s in left), whole) >= Fraction(least_weight):
+        length = max(period, 4 * len(left)) if period else sum(weights[s] for s in left)
+        part = parts_of({s: weights[s] for s in left}, length)
+        # periods before that in which the first source runs out, and what is left in it
+        full = min((n - 1) // part[s] for s, n in left.items())
+        rest = {s: n - full * part[s] for s, n in left.items()}
+        given, end = dict.fromkeys(left, 0), None
+        for at, (s, k, release, deadline) in zip(range(length), interleave(part)):
+            pattern.append((s, phase, k, release, deadline, at))
+            if end is None:
+                given[s] += 1
+                if given[s] == rest[s]:
+                    end = at
+                    if not full:
+                        break
+        for s in sorted(left):
+            taken = full * part[s] + given[s]
+            phases.append((s, phase, steps[s] - left[s], taken, part[s], start, length))
+            left[s] -= taken
+        left = {s: n for s, n in left.items() if n}
+        start += full * length + end + 1
+        phase += 1
+    return phases, pattern
+
+
+def schedule(steps: dict[str, int], weights: dict[str, int], least_weight: float = 0.0, period: int | None = None) -> list[tuple]:
+    """The plan written out, for few steps: (source, step, release, deadline, slot) in order of the slot."""
+    phases, pattern = plan(steps, weights, least_weight, period)
+    at = {(s, phase, k): times for s, phase, k, *times in pattern}
+    out = []
+    for s, phase, first, taken, part, start, length in phases:
+        for i in range(taken):
+            out.append((s, first + i, *(start + i // part * length + t for t in at[s, phase, i % part])))
+    return sorted(out, key=lambda row: row[-1])
+
+
+PHASE = "source string, phase long, first long, taken long, part long, start long, period long"
+PATTERN = "source string, phase long, k long, release long, deadline long, at long"
+
+
+def _planned(least_weight: float, period: int):
+    """Both tables of the plan in one, told apart by ``at``, which phases don't have."""
+    names = [c.split()[0] for c in (PHASE + ", " + PATTERN.split(", ", 2)[2]).split(", ")]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = dict(zip(pdf["source"], pdf["blocks"].astype(int)))
+        steps = dict(zip(pdf["source"], pdf["steps"].astype(int)))
         weights = dict(zip(pdf["source"], pdf["weight"].astype(int)))
-        return pd.DataFrame(schedule(blocks, weights, least_weight), columns=["source", "block", "release", "deadline", "slot"])
+        phases, pattern = plan(steps, weights, least_weight, period)
+        rows = [(*p, None, None, None, None) for p in phases]
+        rows += [(s, phase, *[None] * 5, *rest) for s, phase, *rest in pattern]
+        return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names[1:]})
 
-    return run
+    return run, PHASE + ", " + PATTERN.split(", ", 2)[2]
 
 
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     smoothing: float = 0.8,
-    block_bytes: int = 4096,
-    most_blocks: int = 1 << 20,
+    block_bytes: int = 8192,
+    period: int = 8192,
     least_weight: float = 0.0,
-    salt_rows: int = 25_000,
+    salt_rows: int = 10_000,
 ) -> DataFrame:
     """Where every document stands in the mix.
 
-    ``weights`` gives each source's target weight (sources without one have none and stay out). By
-    default a source weighs its bytes to the power ``smoothing``, which lifts small sources and keeps
-    a hot one from drowning the rest.
-
-    Returns doc_id, source, bytes (of the text in UTF-8, plus one), block, release, deadline, slot and
-    kept. By default every document of a source with a weight is kept; only where ``least_weight``
-    ends the mix, a document of a block beyond its end has null release, deadline and slot and kept
-    false, as has one of a source without weight. Nulls: a null source is a source of its own, named by an empty string together with empty
-    names; a null text has no bytes. Repeated rows are rows like others. An empty table gives no rows.
-    Only doc_id, text and source are read.
+    ``weights`` gives each source's target weight (sources without one have none and stay out), taken
+    to one part in ``period``. By default a source weighs its bytes to the power ``smoothing``, which
+    lifts small sources and keeps a hot one from drowning the rest.
+
+    Returns doc_id, source, bytes (of the text in UTF-8, plus one), block (the half block at which it
+    stands), release, deadline, slot and kept. By default every document of a source with a weight is
+    kept; only where ``least_weight`` ends the mix, a document beyond its end has null release,
+    deadline and slot and kept false, as has one of a source without weight. Nulls: a null source is a
+    source of its own, named by an empty string together with empty names; a null text has no bytes. A
+    text longer than a block stands whole at the step of its middle. Repeated rows are rows like
+    others. An empty table gives no rows. Only doc_id, text and source are read.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -97,9 +165,8 @@ def mix(
     )
     rows = settle(rows, "mix-rows")
     totals = settle(rows.groupBy("source").agg(F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("n")), "mix-totals")
-    # one row: the whole corpus
-    count, size = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    per_block = max(block_bytes, -(-size // most_blocks))
+    count = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    step = max(1, block_bytes // 2)
     salts = parts(spark, count, salt_rows)
 
     # a running sum of bytes over each source, in pieces that no hot source can outgrow
@@ -114,21 +181,36 @@ def mix(
     placed = (
         salted.withColumn("run", F.coalesce(F.sum("bytes").over(within), F.lit(0)))
         .join(starts, ["source", "salt"])
-        .select("doc_id", "source", "bytes", F.expr(f"(start + run) div {per_block}").alias("block"))
+        .select("doc_id", "source", "bytes", F.expr(f"(start + run + bytes div 2) div {step}").alias("block"))
     )
     if weights is None:
         weight = F.round(F.pow(F.col("total").cast("double"), F.lit(smoothing)) * 1000)
     else:
         given = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair]) if weights else F.lit(None).cast("map<string,double>")
         weight = F.round(F.coalesce(given[F.col("source")], F.lit(0.0)) * 1_000_000)
-    plan = totals.select("source", F.expr(f"(total + {per_block - 1}) div {per_block}").alias("blocks"), weight.cast("long").alias("weight"))
-    # one row per source goes in and one per block comes out, of which there are most_blocks at most
-    slots = plan.groupBy(F.lit(0).alias("all")).applyInPandas(
-        _scheduled(least_weight), "source string, block long, release long, deadline long, slot long"
+    sources = totals.select("source", F.expr(f"(total + {step - 1}) div {step}").alias("steps"), weight.cast("long").alias("weight"))
+    # one row per source goes in, and at most a period per source comes out
+    run, kind = _planned(least_weight, period)
+    planned = settle(sources.groupBy(F.lit(0).alias("all")).applyInPandas(run, kind), "mix-plan")
+    pattern = planned.where("at IS NOT NULL").select("source", "phase", "k", "release", "deadline", "at")
+    turns = planned.where("at IS NULL").groupBy("source").agg(
+        F.sort_array(F.collect_list(F.struct("first", "taken", "phase", "part", "start", "period"))).alias("turns")
     )
-    slots = settle(slots, "mix-slots")
-    return placed.join(slots, ["source", "block"], "left").select(
-        "doc_id", "source", "bytes", "block", "release", "deadline", "slot", F.col("slot").isNotNull().alias("kept")
+    known = totals.select("source", "n").join(turns, "source", "left")
+    own = F.filter("turns", lambda x: (x["first"] <= F.col("block")) & (F.col("block") < x["first"] + x["taken"]))
+    told = join_hot(placed, known, ["source"], "n", count).withColumn("turn", F.get(own, F.lit(0))).select(
+        "doc_id", "source", "bytes", "block", F.coalesce("turn.phase", F.lit(-1).cast("long")).alias("phase"),
+        # documents without a turn find no step, each under a number of its own
+        F.coalesce(F.expr("(block - turn.first) % turn.part"), -1 - F.col("block")).alias("k"),
+        F.expr("turn.start + (block - turn.first) div turn.part * turn.period").alias("begin"),
+    )
+    return told.join(pattern, ["source", "phase", "k"], "left").select(
+        "doc_id",
+        "source",
+        "bytes",
+        "block",
+        *[(F.col("begin") + F.col(c)).alias(name) for c, name in (("release", "release"), ("deadline", "deadline"), ("at", "slot"))],
+        F.col("at").isNotNull().alias("kept"),
     )
 
 
