@@ -2,15 +2,20 @@
 
 The vocabulary is a public word-level BPE in the format of the ``tokenizers`` library: text is put
 into NFC, lower-cased, cut into words by a fixed pattern, each word is spelled in byte symbols with a
-word-end mark, and neighbouring symbols are merged by rank. Words are independent, so each executor
-process keeps a bounded table of the words that it has met.
+word-end mark, and neighbouring symbols are merged by rank. Words are independent, so a bounded table
+of the words that were met is kept by each Python worker of an executor, for all of its tasks.
+
+The library's parts know different versions of Unicode; the fixed values below say where they differ
+from Python's modules.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import sys
 from collections.abc import Iterator
+from functools import cache, lru_cache
 
 import pyarrow as pa
 import regex
@@ -20,8 +25,63 @@ from pyspark.sql import functions as F
 
 #: Fixed value: white space by the Unicode property White_Space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Fixed value: the vocabulary's word pattern.
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: Fixed value: marks that the library's NFC takes for characters of combining class 0, which it doesn't compose or reorder.
+APART_MARKS = (
+    r"\u07FD\u0898-\u089F\u08CA-\u08D3\u09FE\u0C3C\u0D3B-\u0D3C\u0EBA\u1715\u1ABF-\u1ACE\u1DF6-\u1DFA\uA82C"
+    r"\U00010D24-\U00010D27\U00010EAB-\U00010EAC\U00010EFD-\U00010EFF\U00010F46-\U00010F50\U00010F82-\U00010F85"
+    r"\U00011070\U0001133B\U0001145E\U00011839-\U0001183A\U00011930\U0001193D-\U0001193E\U00011943\U000119E0"
+    r"\U00011A34\U00011A47\U00011A99\U00011D42\U00011D44-\U00011D45\U00011D97\U00011F41-\U00011F42"
+    r"\U00016FF0-\U00016FF1\U0001E08F\U0001E130-\U0001E136\U0001E2AE\U0001E2EC-\U0001E2EF\U0001E4EC-\U0001E4EF"
+)
+#: Letters and numbers that Unicode 16 added; the library's pattern knows these and no later ones.
+ADDED_LETTERS = (
+    r"\u1C89-\u1C8A\uA7CB-\uA7CD\uA7DA-\uA7DC\U000105C0-\U000105F3\U00010D4A-\U00010D65\U00010D6F-\U00010D85"
+    r"\U00010EC2-\U00010EC4\U00011380-\U00011389\U0001138B\U0001138E\U00011390-\U000113B5\U000113B7\U000113D1\U000113D3"
+    r"\U00011BC0-\U00011BE0\U00013460-\U000143FA\U00016100-\U0001611D\U00016D40-\U00016D6C\U00018CFF"
+    r"\U0001E5D0-\U0001E5ED\U0001E5F0"
+)
+ADDED_NUMBERS = (
+    r"\U00010D40-\U00010D49\U000116D0-\U000116E3\U00011BF0-\U00011BF9\U00016130-\U00016139\U00016D70-\U00016D79"
+    r"\U0001CCF0-\U0001CCF9\U0001E5F1-\U0001E5FA"
+)
+#: Fixed values: (first, last, lower case of the first) of capitals that the library knows and Unicode 15.1 doesn't.
+ADDED_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+CAPITALS = {c: lower + c - first for first, last, lower in ADDED_CAPITALS for c in range(first, last + 1)}
+CAPITAL = regex.compile("[" + "".join(map(chr, CAPITALS)) + "]")
+APART_MARK = regex.compile(f"([{APART_MARKS}])")
+
+
+@cache
+def pieces() -> regex.Pattern:
+    """The vocabulary's word pattern, with letters and numbers as its library has them.
+
+    Of the characters that Python's tables don't assign, ``regex`` may know more than the library.
+    """
+    blank = "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))) if unicodedata.category(c) == "Cn")
+    later = regex.findall(rf"(?V1)[[\p{{L}}\p{{N}}]--[{ADDED_LETTERS}{ADDED_NUMBERS}]]", blank)
+    without = f"--[{''.join(later)}]" if later else ""
+    letter, number = (rf"[\p{{{kind}}}{without}]" for kind in "LN")
+    return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{SPACE}{letter}{number}]+")
+
+
+def composed(text: str) -> str:
+    """The text in NFC as the library has it."""
+    if not APART_MARK.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join([unicodedata.normalize("NFC", part) for part in APART_MARK.split(text)])
+
+
+def lowered(text: str) -> str:
+    """The text in NFC and lower case as the library has them."""
+    if text.isascii():
+        return text.lower()
+    text = composed(text).replace("Σ", "σ").lower()
+    return text.translate(CAPITALS) if CAPITAL.search(text) else text
+
+
 APART = regex.compile(rf"[{SPACE}]+")
 #: Fixed value: what ``str.split`` takes for white space and the pattern doesn't.
 SEPARATORS = regex.compile(r"[\x1c-\x1f]")
@@ -65,6 +125,7 @@ class WordBpe:
         self.final = [ids[c + end] for c in byte_symbols()]
         names = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(names) + ")") if names else None
+        self.pieces = pieces()
         self.words: dict[str, tuple[str, str]] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
 
@@ -125,7 +186,7 @@ class WordBpe:
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """A run of text without white space, which no word crosses."""
         get = self.words.get
-        both = [get(w) or self._word(w) for w in PIECES.findall(chunk)]
+        both = [get(w) or self._word(w) for w in self.pieces.findall(chunk)]
         out = both[0] if len(both) == 1 else (" ".join([x for x, _ in both]), " ".join([y for _, y in both]))
         if len(chunk) <= SHORT:
             if len(self.chunks) >= MEMORY:
@@ -143,10 +204,8 @@ class WordBpe:
                 ids.append(str(self.special[section]))
                 out.append(section)
                 continue
-            if not section.isascii():
-                section = unicodedata.normalize("NFC", section).replace("Σ", "σ")
-            lowered = section.lower()
-            chunks = APART.split(lowered) if SEPARATORS.search(lowered) else lowered.split()
+            lower = lowered(section)
+            chunks = APART.split(lower) if SEPARATORS.search(lower) else lower.split()
             both = [get(c) or self._chunk(c) for c in chunks if c]
             if both:
                 ids.append(" ".join([x for x, _ in both]))
@@ -159,19 +218,26 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
+@lru_cache(maxsize=2)
+def encoder(blob: bytes) -> WordBpe:
+    """The worker's encoder for a vocabulary, with the words that it has met in earlier tasks."""
+    return WordBpe(blob)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, token_ids (decimal ids joined by one space) and decoded of every whole text.
 
     ``vocabulary`` is the path of a tokenizer's JSON file (a fixed file of under 2 MB), read once and
     broadcast. A null text counts as an empty one: no tokens, both strings empty. Special tokens'
-    strings in a text become their ids, as the library has it. Rows are kept one for one, repeated
-    ones and null doc_ids too; other columns are not read.
+    strings in a text become their ids, as the library has it. Texts are read whole however long they
+    are; one has to fit into a task. Rows are kept one for one, repeated ones and null doc_ids too;
+    other columns are not read.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(shared.value)
+        bpe = encoder(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
