@@ -37,6 +37,26 @@ def test_encoding_is_the_librarys(library):
         assert decoded == library.decode(ids, skip_special_tokens=False) == own.decode(ids)
 
 
+def test_every_character_is_the_librarys(library):
+    own = bpe.WordBpe(open(WORDS, "rb").read())
+    # a few characters of one kind at a time between letters, digits and marks; surrogates are no characters
+    every = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x110000))]
+    texts = [f"a{c}b {c}1!{c}?" for c in every if c.isprintable() or ord(c) < 0x32000]
+    for at in range(0, len(texts), 50):
+        text = " ".join(texts[at : at + 50])
+        assert own.encode_text(text)[1] == " ".join(map(str, library.encode(text, add_special_tokens=False).ids)), hex(ord(texts[at][1]))
+
+
+def test_combining_marks_are_the_librarys(library):
+    import unicodedata
+
+    marks = [chr(c) for c in range(0x1F000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] == "M"]
+    rng = random.Random(2)
+    for _ in range(20_000):
+        text = rng.choice("aeoE") + "".join(rng.choice(marks) for _ in range(rng.randint(1, 4))) + rng.choice(["", "x", "\U00011935\U00011930"])
+        assert bpe.lowered(text) == library.normalizer.normalize_str(text), [hex(ord(c)) for c in text]
+
+
 def test_encoded_documents(spark, library):
     df = frames.documents(spark, extra=frames.CLASH)
     got = sorted((str(r.doc_id), r.n_tokens, r.token_ids) for r in bpe.encode_documents(df, WORDS).collect())
@@ -75,6 +95,104 @@ def test_forward_sums_all_segmentations():
         assert uses.sum() > 0 and uses[-1] == 0
 
 
+def brute_log(word, ids, logs, unknown):
+    """The word's log-probability in each language over all segmentations, end by end."""
+    alpha = [np.zeros(logs.shape[1])]
+    for e in range(1, len(word) + 1):
+        ways = [alpha[e - n] + logs[ids[word[e - n : e]]] for n in range(1, min(e, 6) + 1) if word[e - n : e] in ids]
+        if word[e - 1] not in ids:
+            ways.append(alpha[e - 1] + logs[unknown])
+        alpha.append(np.logaddexp.reduce(ways))
+    return alpha[-1]
+
+
+def test_long_words_sum_all_segmentations(monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 500)  # segments of a few letters
+    pieces = sorted(["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "abab", "bbb", "babbab"])
+    ids = {p: i for i, p in enumerate(pieces)}
+    lattice = langid.Lattice(pieces)
+    table_ = np.random.default_rng(0).random((len(pieces) + 2, 2)) * 1e-9
+    table_[-1] = 0
+    with np.errstate(divide="ignore"):
+        logs = np.log(table_)
+    rng = random.Random(5)
+    words = ["▁" + "".join(rng.choice("abz") for _ in range(n)) for n in (17, 17, 40, 119, 120, 120, 2000)]
+    model = langid.LanguageModel(pieces, ["x", "y"], table_)
+    got = model.log_likelihoods([w[1:] for w in words])
+    assert np.allclose(got, [brute_log(w, ids, logs, len(pieces)) for w in words], rtol=1e-12)
+    # the posterior uses of long words agree with the derivative of the log-likelihood
+    long, counts = words[4:6], np.array([3.0, 2.0])
+    uses = langid.long_expected(lattice, long, logs[:, :1], counts)
+    for piece in range(len(pieces) + 1):
+        up, down = logs.copy(), logs.copy()
+        up[piece] += 1e-5
+        down[piece] -= 1e-5
+        slope = sum(c * (brute_log(w, ids, up, len(pieces))[0] - brute_log(w, ids, down, len(pieces))[0]) for c, w in zip(counts, long)) / 2e-5
+        assert uses[piece] == pytest.approx(slope, abs=1e-5)
+    # and in words short enough for both ways
+    plain = ["▁abbabab", "▁zabbabb"]
+    (places, grid), = lattice.by_length(plain)
+    assert np.allclose(langid.expected(grid, table_[:, :1], counts), langid.long_expected(lattice, plain, logs[:, :1], counts))
+
+
+def plain_identify(rows, model_file, rounds=2, smooth=0.01):
+    """Language identification by the book, in logarithms, one word and one language at a time."""
+    pieces = langid.vocabulary_pieces(model_file)
+    ids, unknown = {p: i for i, p in enumerate(pieces)}, len(pieces)
+    longest = max(map(len, pieces))
+
+    def words(text):
+        return ["▁" + w for w in langid.LETTERS.findall(text.lower())]
+
+    def cuts(word, e):
+        for n in range(1, min(e, longest) + 1):
+            at = ids.get(word[e - n : e], unknown if n == 1 else None)
+            if at is not None:
+                yield n, at
+
+    def ahead(word, logs):
+        alpha = [0.0]
+        for e in range(1, len(word) + 1):
+            alpha.append(np.logaddexp.reduce([alpha[e - n] + logs[at] for n, at in cuts(word, e)]))
+        return alpha
+
+    seen = defaultdict(Counter)
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(str(i).encode()) % 5:
+            seen[lang].update(words(text))
+    tables = {lang: np.full(unknown + 1, -np.log(unknown + 2)) for lang in sorted(seen)}
+    for _ in range(rounds):
+        for lang, counts in seen.items():
+            logs, uses = tables[lang], np.full(unknown, smooth)
+            for word, n_seen in counts.items():
+                alpha, beta = ahead(word, logs), [-np.inf] * len(word) + [0.0]
+                for e in range(len(word), 0, -1):
+                    for n, at in cuts(word, e):
+                        beta[e - n] = np.logaddexp(beta[e - n], beta[e] + logs[at])
+                        if at < unknown:
+                            uses[at] += n_seen * np.exp(alpha[e - n] + logs[at] + beta[e] - alpha[-1])
+            tables[lang] = np.log(np.append(np.maximum(uses / uses.sum(), langid.FLOOR), 1e-7))
+    out = []
+    for i, text, _ in rows:
+        if not text or not any(map(str.isalpha, text)):
+            out.append((i, "und", 0.0))
+            continue
+        logs = {lang: sum(ahead(w, t)[-1] for w in words(text)) for lang, t in tables.items()}
+        best = max(sorted(logs), key=logs.get)
+        out.append((i, best, 1 / sum(np.exp(x - logs[best]) for x in logs.values())))
+    return out
+
+
+def test_languages_by_the_book(spark):
+    rows = [(r.doc_id, r.text[:300] if r.text else r.text, r.lang) for r in table(spark, SF, "documents").limit(40).collect()]
+    rows += [(900, "x" * 70, "en"), (901, None, "en"), (902, "12 34", "de"), (903, "ab " * 5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = queries.vocabulary("piece_bpe_32k.model")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df, model).collect()}
+    for i, lang, score in plain_identify(rows, model):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-9)
+
+
 def test_languages(spark):
     model = queries.vocabulary("piece_bpe_32k.model")
     docs = table(spark, SF, "documents")

@@ -24,8 +24,14 @@ from pyspark.sql import functions as F
 from vellum.llm.common import fresh, settle
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A run of more letters is scored as successive words of this length, so that no product underflows.
-LONGEST = 40
+#: Words of up to so many characters (with the mark) are summed as plain products, longer ones in logarithms.
+PLAIN = 17
+#: The least probability of a piece that is known: products of PLAIN of them don't underflow.
+FLOOR = 1e-14
+#: Most cells of a lattice that are held at once.
+CELLS = 6_000_000
+#: Languages that a model's table, which is broadcast, has room for.
+MOST_LANGUAGES = 500
 #: Texts whose words are scored together.
 BATCH = 1024
 #: Runs of text that are looked up together, and that a process remembers before it starts anew.
@@ -37,12 +43,9 @@ MARK = "▁"
 
 def words_of(chunk: str) -> list[str]:
     """The letter runs of lower-case text, each with the word mark."""
-    if chunk.isalpha() and len(chunk) <= LONGEST:
+    if chunk.isalpha():
         return [MARK + chunk]
-    found = LETTERS.findall(chunk)
-    if len(chunk) > LONGEST:
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return [MARK + w for w in found]
+    return [MARK + w for w in LETTERS.findall(chunk)]
 
 
 def vocabulary_pieces(model_file: str) -> list[str]:
@@ -104,20 +107,39 @@ class Lattice:
             at = (at + 1) & ((1 << self.BITS) - 1)
         return out
 
-    def by_length(self, words: list[str], block: int = 20_000) -> Iterator[tuple[list[int], np.ndarray]]:
-        """(places of the words of one length, ids [word, end, length]); -1: no such piece."""
+    def segment(self, words: list[str], start: int, stop: int) -> np.ndarray:
+        """ids [word, end, length] of the pieces that end behind ``start``, up to ``stop``, in words of one length; -1: no such piece."""
+        most = min(stop, self.longest)
+        low = max(0, start - most + 1)
+        grid = np.full((len(words), stop - start, most + 1), -1, np.int32)
+        for n, keys in enumerate(self._hashes([w[low:stop] for w in words], min(most, stop - low)), 1):
+            end = max(start + 1, low + n)
+            grid[:, end - start - 1 :, n] = self._ids(keys[:, end - n - low :])
+        single = grid[:, :, 1]
+        single[single < 0] = self.unknown
+        return grid
+
+    def segments(self, words: list[str], backwards: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, ids) over long words of one length, a bounded piece of them at a time."""
+        size, step = len(words[0]), max(1, CELLS // (len(words) * (self.longest + 1)))
+        starts = range(0, size, step)
+        for start in reversed(starts) if backwards else starts:
+            yield start, self.segment(words, start, min(size, start + step))
+
+    def by_length(self, words: list[str], block: int = 20_000) -> Iterator[tuple[list[int], np.ndarray | None]]:
+        """(places of words of one length, ids [word, end, length]); instead of ids None for words of over PLAIN characters."""
         places: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(words):
             places[len(w)].append(i)
         for n, every in places.items():
-            most = min(n, self.longest)
-            for own in (every[at : at + block] for at in range(0, len(every), block)):
-                grid = np.full((len(own), n + 1, most + 1), -1, np.int32)
-                for length, keys in enumerate(self._hashes([words[i] for i in own], most), 1):
-                    grid[:, length:, length] = self._ids(keys)
-                single = grid[:, 1:, 1]
-                single[single < 0] = self.unknown
-                yield own, grid
+            own = block if n <= PLAIN else max(1, min(block, CELLS // (16 * n)))
+            for at in range(0, len(every), own):
+                part = every[at : at + own]
+                if n > PLAIN:
+                    yield part, None
+                    continue
+                grid = self.segment([words[i] for i in part], 0, n)
+                yield part, np.concatenate([np.full_like(grid[:, :1], -1), grid], 1)
 
 
 def forward(grid: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -155,6 +177,49 @@ def expected(grid: np.ndarray, table: np.ndarray, counts: np.ndarray) -> np.ndar
     return np.bincount(np.concatenate(used), np.concatenate(uses), len(flat))
 
 
+def long_forward(segments: Iterator[tuple[int, np.ndarray]], logs: np.ndarray) -> Iterator[np.ndarray]:
+    """For each end in turn, the logarithm of the summed probability of all segmentations up to it [word, language].
+
+    ``logs`` is the table's logarithm. The last sums are kept only as far back as a piece reaches.
+    """
+    ring: list[np.ndarray] = []
+    for start, grid in segments:
+        words, ends, width = grid.shape
+        if not ring:
+            ring = [np.zeros((words, logs.shape[1]))]
+        for k in range(ends):
+            most = min(start + k + 1, width - 1)
+            each = np.stack(ring[:most], 1) + logs[grid[:, k, 1 : most + 1]]
+            top = each.max(1, keepdims=True)
+            ring = [top[:, 0] + np.log(np.exp(each - top).sum(1)), *ring[: width - 1]]
+            yield ring[0]
+
+
+def long_expected(lattice: Lattice, words: list[str], logs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """As ``expected``, in logarithms, for words of one length; ``logs`` is of one language."""
+    size = len(words[0])
+    alpha = np.zeros((size + 1, len(words)))
+    for e, sums in enumerate(long_forward(lattice.segments(words), logs), 1):
+        alpha[e] = sums[:, 0]
+    flat, out = logs[:, 0], np.zeros(len(logs))
+    # what is gathered at an end from the pieces that begin there, until its turn comes
+    beta = {size: np.zeros(len(words))}
+    for start, grid in lattice.segments(words, backwards=True):
+        for k in range(grid.shape[1] - 1, -1, -1):
+            e = start + k + 1
+            own = beta.pop(e)
+            for n in range(1, min(e, grid.shape[2] - 1) + 1):
+                at = grid[:, k, n]
+                here = np.flatnonzero(at >= 0)
+                if len(here):
+                    step = np.full(len(words), -np.inf)
+                    step[here] = own[here] + flat[at[here]]
+                    beta[e - n] = np.logaddexp(beta[e - n], step) if e - n in beta else step
+                    uses = counts[here] * np.exp(alpha[e - n, here] + step[here] - alpha[-1, here])
+                    out += np.bincount(at[here], uses, len(out))
+    return out
+
+
 @dataclass
 class LanguageModel:
     """languages and, for each piece, its probability in each; the last row (zero) is for no piece."""
@@ -178,7 +243,10 @@ class LanguageModel:
         words = list(dict.fromkeys(w for ws in found for w in ws))
         logs = np.zeros((len(words), len(self.languages)))
         for places, grid in own["lattice"].by_length(words):
-            logs[places] = np.log(forward(grid, self.table)[-1])
+            if grid is None:
+                *_, logs[places] = long_forward(own["lattice"].segments([words[i] for i in places]), own["logs"])
+            else:
+                logs[places] = np.log(forward(grid, self.table)[-1])
         at = dict(zip(words, range(len(words))))
         flat = np.fromiter((at[w] for ws in found for w in ws), np.int64)
         owner = np.repeat(np.arange(start, start + len(chunks)), [len(ws) for ws in found])
@@ -189,7 +257,9 @@ class LanguageModel:
         """[text, language], natural logarithms."""
         own = self._state
         if not own:
-            own |= {"lattice": Lattice(self.pieces), "rows": {}, "scores": np.zeros((MEMORY + PART, len(self.languages)))}
+            with np.errstate(divide="ignore"):
+                logs = np.log(self.table)
+            own |= {"lattice": Lattice(self.pieces), "logs": logs, "rows": {}, "scores": np.zeros((MEMORY + PART, len(self.languages)))}
         out = np.zeros((len(texts), len(self.languages)))
         owners: list[int] = []
         chunks: list[str] = []
@@ -262,6 +332,8 @@ def learn(docs: DataFrame, model_file: str, rounds: int = 2, smooth: float = 0.0
         rows.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words"
     )
     languages = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} languages: the table that is broadcast has room for {MOST_LANGUAGES}")
     size = len(pieces) + 2  # an unknown letter, and no piece
     table = np.full((size, max(1, len(languages))), 1 / size)
     table[-1] = 0
@@ -272,6 +344,8 @@ def learn(docs: DataFrame, model_file: str, rounds: int = 2, smooth: float = 0.0
         def uses(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             names, langs, probs = shared.value
             lattice, total = Lattice(names), np.zeros(probs.shape).T
+            with np.errstate(divide="ignore"):
+                logs = np.log(probs)
             held: list[pd.DataFrame] = []
             for frame in chain(frames, [None]):
                 if frame is not None:
@@ -280,9 +354,12 @@ def learn(docs: DataFrame, model_file: str, rounds: int = 2, smooth: float = 0.0
                 if held and (frame is None or sum(map(len, held)) >= PART):
                     for lang, own in pd.concat(held).groupby("lang"):
                         k = langs.index(lang)
-                        counts = own["n"].to_numpy(float)
-                        for places, grid in lattice.by_length(own["word"].tolist()):
-                            total[k] += expected(grid, probs[:, k : k + 1], counts[places])
+                        counts, found = own["n"].to_numpy(float), own["word"].tolist()
+                        for places, grid in lattice.by_length(found):
+                            if grid is None:
+                                total[k] += long_expected(lattice, [found[i] for i in places], logs[:, k : k + 1], counts[places])
+                            else:
+                                total[k] += expected(grid, probs[:, k : k + 1], counts[places])
                     held = []
             for k in range(len(langs)):
                 used = np.flatnonzero(total[k])
@@ -292,8 +369,8 @@ def learn(docs: DataFrame, model_file: str, rounds: int = 2, smooth: float = 0.0
         table = np.full(table.shape, smooth)
         np.add.at(table, (found["piece"].to_numpy(int), found["k"].to_numpy(int)), found["uses"].to_numpy(float))
         table[-2:] = 0
-        table /= table.sum(0)
-        table[-2] = 1e-7
+        table = np.maximum(table / table.sum(0), FLOOR)
+        table[-2:] = [[1e-7], [0]]
     return LanguageModel(pieces, languages, table)
 
 
@@ -316,7 +393,8 @@ def identify(docs: DataFrame, model_file: str) -> DataFrame:
 
     A text that is null or without a letter, or any text where nothing could be learned, is ``und``
     with score 0. Rows are kept one for one, repeated ones and null doc_ids too (such a row counts as
-    held out). Ties go to the first language by name. Only doc_id, text and lang are read.
+    held out). Ties go to the first language by name. Texts and words are read whole however long they
+    are; one text has to fit into a task. Only doc_id, text and lang are read.
     """
     docs = docs.select("doc_id", "text", "lang")
     model = learn(docs, model_file)
