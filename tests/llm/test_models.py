@@ -274,6 +274,15 @@ def test_url_models(spark):
             assert r.verdict == ("block" if threshold is not None and score(own.url) < threshold else "allow")
 
 
+def test_long_and_repeated_urls(spark):
+    rng = random.Random(7)
+    rows = [(i, f"http://h{i % 3}.net/de/{rng.randint(0, 99)}") for i in range(60)] + [(100 + i, f"http://q{i}.com/en/{i}") for i in range(20)]
+    rows += [(200, "x://h/" + "ab" * 20_000), (201, "x://h/" + "ab" * 20_000)] + [(300 + i, None) for i in range(200)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert len(got) == len(rows) and got[200].path == "/" + "ab" * 20_000 and got[200].score == got[201].score
+    assert len({(got[300 + i].host, got[300 + i].verdict, got[300 + i].score) for i in range(200)}) == 1
+
+
 def test_rule_ledger(spark):
     df = frames.documents(spark, extra=frames.CLASH)
     got = quality_rules.judged(df)

@@ -48,6 +48,16 @@ def test_shards(spark):
     assert check_shards(frames.documents(spark).limit(0)) == []
 
 
+def test_shards_are_even(spark):
+    rng = random.Random(4)
+    rows = [(i, "z" * rng.randint(0, 3000) + str(i % 1900)) for i in range(2000)]
+    rows += [(3000 + i, "the same text again and again") for i in range(700)]  # one group of many rows
+    sums = defaultdict(int)
+    for r in check_shards(spark.createDataFrame(rows, "doc_id long, text string"), 8):
+        sums[r.shard] += r.size
+    assert len(sums) == 8 and max(sums.values()) - min(sums.values()) <= 64
+
+
 def test_many_buckets_meet_in_levels(spark):
     rng = random.Random(9)
     rows = [(str(i).encode(), rng.randint(1, 5000)) for i in range(600)]

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import parts, settle
+from vellum.llm.common import join_hot, parts, settle
 
 
 def difference(states: list[list[int]]) -> list[list[int]]:
@@ -119,7 +119,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, slot_rows: int = 25_000
     A null text counts as an empty one: size 8, crc32 0, in the group of the empty texts. Repeated
     rows are rows of one group, each with a slot of its own. A null doc_id keeps its row. Only
     doc_id and text are read, so other columns may have any name. An empty table gives no rows.
-    A group is never split: where one holds over a shard's even share, its shard holds it alone.
+    A group is never split: where one holds over a shard's even share, its shard holds it alone. Texts
+    are measured whole, however long they are.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -132,10 +133,12 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, slot_rows: int = 25_000
         ),
         "shard-rows",
     )
-    groups = settle(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")
-    salts = parts(spark, rows.count(), slot_rows)
+    groups = settle(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-groups")
+    count = rows.count()
+    salts = parts(spark, count, slot_rows)
+    shards = settle(assign_groups(groups, n_shards).join(groups.select("key", "n"), "key"), "shard-of-group")
     placed = settle(
-        rows.join(assign_groups(groups, n_shards), "key").select(
+        join_hot(rows, shards, ["key"], "n", count).select(
             "doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(salts)).alias("salt")
         ),
         "shard-placed",

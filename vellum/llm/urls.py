@@ -16,7 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import settle
+from vellum.llm.common import join_hot, settle
 
 #: (verdict, rule): a rule is a host, which fits its subdomains too, and a prefix of the path.
 RULES = (
@@ -55,7 +55,7 @@ def rule_for(host_: Column, path_: Column, rules=RULES) -> Column:
 
 
 def _grams(urls: DataFrame) -> DataFrame:
-    """u (a url's number) and g, one row per character and end of the url."""
+    """The other columns and g, one row per character and end of the url."""
     padded = F.concat(F.lit(START * ORDER), F.col("url"), F.lit(END))
     places = F.sequence(F.lit(1), F.length("url") + 1)
     cut = F.transform(places, lambda i: F.substring(F.col("s"), i, F.lit(ORDER + 1)))
@@ -76,8 +76,15 @@ def gram_scores(grams: DataFrame, counts: DataFrame) -> DataFrame:
         F.sum("a").alias("na"), F.sum("r").alias("nr"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("r") > 0).alias("tr")
     )
     asked = grams.select("g", _suffixes().alias("x")).select("g", F.col("x.k").alias("k"), F.col("x.s").alias("s"))
-    asked = asked.withColumn("c", context)
-    found = asked.join(contexts, ["k", "c"]).join(counted, ["k", "s"], "left")
+    asked = settle(asked.withColumn("c", context), "url-asked")
+    # short contexts, the empty one above all, are those of very many grams
+    often = asked.groupBy("k", "c").agg(F.count(F.lit(1)).alias("n"))
+    known = settle(contexts.join(often, ["k", "c"]), "url-contexts")
+    places = asked.count()
+    found = settle(join_hot(asked, known, ["k", "c"], "n", places), "url-found")
+    used = found.groupBy("k", "s").agg(F.count(F.lit(1)).alias("n"))
+    seen = settle(used.join(counted, ["k", "s"], "left"), "url-seen")
+    found = join_hot(found, seen, ["k", "s"], "n", places)
     own = F.struct("k", F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("r", F.lit(0)).alias("r"), "na", "nr", "ta", "tr")
     lists = found.groupBy("g").agg(F.sort_array(F.collect_list(own)).alias("orders"))
 
@@ -102,14 +109,18 @@ def judge(pages: DataFrame, rules=RULES, false_blocks: float = 0.01, hold: int =
     models do: a url is blocked if its score lies below the threshold, which lets ``false_blocks`` of the
     held-out accepted urls (every ``hold``-th by hash) fall. Without held-out accepted urls, or
     without rejected ones to learn from, nothing but rules blocks. A null url is scored as an empty one.
-    Repeated urls are learned and scored once, and repeated rows stay. Only page_id and url are read.
+    Repeated urls are learned and scored once, and repeated rows stay. Urls are read whole; one of very
+    many characters makes as many rows. Only page_id and url are read.
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
-    urls = rows.select("url").distinct().withColumn("fit", rule_for(host(F.col("url")), path(F.col("url")), rules))
+    urls = rows.groupBy("url").agg(F.count(F.lit(1)).alias("pages")).withColumn("fit", rule_for(host(F.col("url")), path(F.col("url")), rules))
     urls = settle(
         urls.select(
             "url",
+            "pages",
+            # a number of 96 bits, shorter to carry along with every gram than the url
             F.xxhash64("url").alias("u"),
+            F.hash("url").alias("v"),
             F.when(F.col("fit.verdict") == "allow", 1).when(F.col("fit.verdict") == "block", 0).alias("accepted"),
             (F.pmod(F.xxhash64("url", F.lit("hold")), F.lit(hold)) == 0).alias("held"),
         ),
@@ -120,20 +131,24 @@ def judge(pages: DataFrame, rules=RULES, false_blocks: float = 0.01, hold: int =
     counts = settle(
         _grams(taught.select("url", "accepted")).groupBy("g").agg(F.sum("accepted").alias("a"), F.sum(1 - F.col("accepted")).alias("r")), "url-grams"
     )
-    grams = _grams(asked.select("url", "u"))
-    ratios = gram_scores(grams.select("g").distinct(), counts)
-    total = grams.join(ratios, "g").groupBy("u").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n"))
+    # grams that very many urls share, such as those of a scheme, meet few ratios
+    grams = _grams(asked.select("url", "u", "v"))
+    shared = settle(grams.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "url-asked-grams")
+    ratios = settle(gram_scores(shared.select("g"), counts).join(shared, "g"), "url-ratios")
+    uses = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = join_hot(grams, ratios, ["g"], "n", uses).groupBy("u", "v").agg(F.sum("ratio").alias("total"), F.count(F.lit(1)).alias("n"))
     score = F.expr("total div n")  # per character, in whole UNITs
-    scores = settle(asked.select("url", "u", "accepted").join(total.select("u", score.alias("score")), "u"), "url-scores")
+    scores = asked.select("url", "pages", "u", "v", "accepted").join(total.select("u", "v", score.alias("score")), ["u", "v"])
+    scores = settle(scores, "url-scores")
     taught_by = counts.agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("r"), F.lit(0))).first()
     # bins of a thousandth: what the exact percentile holds stays bounded
     threshold = scores.where("accepted = 1").agg(F.percentile(F.expr("score div 1000"), F.lit(false_blocks))).first()[0]
-    own = scores.where("accepted IS NULL").select("url", "score")
+    own = urls.select("url", "pages").join(scores.where("accepted IS NULL").select("url", "score"), "url", "left")
     able = threshold is not None and min(taught_by) > 0
     low = F.coalesce(F.col("score") < F.lit(float(threshold) * 1000), F.lit(False)) if able else F.lit(False)
     fit = rule_for(F.col("host"), F.col("path"), rules)
     return (
-        rows.join(own, "url", "left")
+        join_hot(rows, settle(own, "url-own"), ["url"], "pages", rows.count())
         .select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "score")
         .withColumn("fit", fit)
         .select(
