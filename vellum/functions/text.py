@@ -22,13 +22,14 @@ PAGE_BREAK = "\n\n--- Page Break ---\n\n"
 TABLE_MARK = "\n\n[TABLE]\n"
 # -----------------------------------------------------------------------------------------------
 
-#: What Unicode-aware ``strip`` takes for white space.
+#: What Unicode-aware ``strip`` takes for white space, as a pattern and as the characters themselves.
 _BLANK = r"[\s\x1c-\x1f]"
+BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, by Unicode."""
-    return F.regexp_replace(c, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def fixed(c: Column, places: int) -> Column:
@@ -127,12 +128,33 @@ def is_table_line(line: Column) -> Column:
 
 
 def table_prose(c: Column, lead: str = "Details: ") -> Column:
-    """A two-line table as a sentence: each heading with its value. Best effort; other text stays."""
-    rows = F.transform(lines(c), lambda x: F.transform(F.split(x, r"\|"), strip))
-    head, own = F.get(rows, F.lit(0)), F.get(rows, F.lit(1))
-    pairs = F.zip_with(head, own, lambda a, b: F.concat_ws(" ", a, b))
-    fits = (F.size(rows) == 2) & is_table_line(F.get(lines(c), F.lit(0))) & (F.size(head) == F.size(own))
-    return F.when(fits, F.concat(F.lit(lead), F.array_join(pairs, ", "), F.lit("."))).otherwise(c)
+    """Tables of a heading and one row as sentences: each heading with its value. Best effort.
+
+    A table is two table lines of equally many cells (by bars or tabs) with no table line next to
+    them; all other lines stay.
+    """
+    own = lines(c)
+    cells = F.transform(own, lambda x: F.when(is_table_line(x), F.regexp_count(x, F.lit(r"[|\t]")) + 1).otherwise(0))
+    # one struct per line: the next line, and the cells of the lines around
+    around = F.transform(
+        own,
+        lambda x, i: F.struct(
+            x.alias("line"),
+            F.get(own, i + 1).alias("next"),
+            *[F.coalesce(F.get(cells, i + k), F.lit(0)).alias(name) for k, name in ((-2, "c0"), (-1, "c1"), (0, "c2"), (1, "c3"), (2, "c4"))],
+        ),
+    )
+
+    def told(head: Column, row: Column) -> Column:
+        pairs = F.zip_with(F.split(head, r"[|\t]", -1), F.split(row, r"[|\t]", -1), lambda a, b: F.concat_ws(" ", F.trim(a), F.trim(b)))
+        return F.concat(F.lit(lead), F.array_join(pairs, ", "), F.lit("."))
+
+    first = lambda x: (x["c2"] > 0) & (x["c2"] == x["c3"]) & (x["c1"] == 0) & (x["c4"] == 0)
+    second = lambda x: (x["c1"] > 0) & (x["c1"] == x["c2"]) & (x["c0"] == 0) & (x["c3"] == 0)
+    rewritten = F.transform(F.filter(around, lambda x: ~second(x)), lambda x: F.when(first(x), told(x["line"], x["next"])).otherwise(x["line"]))
+    # most texts have no two table lines in a row, and are spared
+    bars, tabs = r"[^\n|]*\|[^\n|]*\|[^\n]*", r"[^\n\t]*\t[^\n\t]*\t[^\n]*"
+    return F.when(c.rlike(rf"(?:{bars}|{tabs})\n(?:{bars}|{tabs})"), F.array_join(rewritten, "\n")).otherwise(c)
 
 
 def gibberish_ratio(c: Column) -> Column:

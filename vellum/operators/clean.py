@@ -68,20 +68,23 @@ def repeated_lines(docs: DataFrame, least: int = 3) -> DataFrame:
 
 def strip_repeated(docs: DataFrame, least: int = 3) -> DataFrame:
     """Documents without lines that they hold ``least`` times or more; works on one row at a time."""
-    own = docs.withColumn("_lines", T.lines(F.col("text"))).withColumn("_own", F.transform("_lines", T.strip))
-    sorted_ = F.array_sort(F.filter("_own", lambda x: x != ""))
-    own = own.withColumn("_sorted", sorted_)
+    own = docs.withColumn("_lines", T.lines(F.col("text")))
+    own = own.withColumn("_own", F.transform("_lines", T.strip))
+    # few texts repeat a line at all; only those count theirs
+    some = F.size("_lines") - F.size(F.array_distinct("_own")) >= least - 1
+    own = own.withColumn("_sorted", F.when(some, F.array_sort(F.filter("_own", lambda x: x != ""))))
     often = F.array_distinct(F.filter(F.col("_sorted"), lambda x, i: F.get(F.col("_sorted"), i + (least - 1)) == x))
-    own = own.withColumn("_often", often)
-    kept = F.filter("_lines", lambda x: ~F.array_contains(F.col("_often"), T.strip(x)))
-    return own.withColumn("text", F.array_join(kept, "\n")).select(*docs.columns)
+    own = own.withColumn("_often", F.map_from_entries(F.transform(often, lambda x: F.struct(x, F.lit(True)))))
+    kept = F.filter("_lines", lambda x: ~F.map_contains_key(F.col("_often"), T.strip(x)))
+    text = F.when(F.size("_often") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
+    return own.withColumn("text", text).select(*docs.columns)
 
 
 def clean_text(docs: DataFrame) -> DataFrame:
-    """The whole chain: repeated lines, white space, hyphens, typographic marks, page markers."""
+    """The whole chain: repeated lines, white space, hyphens, typographic marks, tables as prose, page markers."""
     rest = [c for c in docs.columns if c != "text"]
-    chain = T.without_page_markers(T.plain_marks(T.join_hyphens(T.collapse_space(F.col("text")))))
-    return strip_repeated(docs).select(*rest, chain.alias("text"))
+    plain = strip_repeated(docs).select(*rest, T.plain_marks(T.join_hyphens(T.collapse_space(F.col("text")))).alias("text"))
+    return plain.select(*rest, T.table_prose(F.col("text")).alias("text")).select(*rest, T.without_page_markers(F.col("text")).alias("text"))
 
 
 def gate(docs: DataFrame, pages: str = "page_count", least_chars: int = 500, most_odd: float = 0.35, least_keywords: int = 2) -> DataFrame:

@@ -322,7 +322,7 @@ def threshold_hits(spark, sf_dir):
 @query
 def no_hit_answer(spark, sf_dir):
     _, queries = derive.vectors(spark, sf_dir)
-    return retrieve.answers(queries, retrieve.above(_hits(spark, sf_dir).where("rank > 1"), 0.45))
+    return retrieve.answers(queries, retrieve.above(_hits(spark, sf_dir)))
 
 
 @query

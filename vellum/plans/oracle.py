@@ -80,6 +80,16 @@ _MARKERS = r"regexp_replace({}, '=== PAGE \d+ ===\n?', '', 'g')"
 _ODD = r"CASE WHEN length(text) = 0 THEN 0.0::DOUBLE ELSE length(regexp_replace(text, '[\p{L}\p{N} .,!?\-:;()%$\n]', '', 'g'))::DOUBLE / length(text) END"
 
 
+_PROSE = rf"""z AS (SELECT doc_id, {_SMART.format(_HYPHENS.format(_COLLAPSE.format('text')))} AS t FROM stripped),
+zl AS (SELECT doc_id, g, ls[g] AS x FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS g FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM z))),
+zn AS (SELECT *, CASE WHEN length(x) - length(replace(x, '|', '')) >= 2 OR len(string_split(x, chr(9))) >= 3 THEN len(regexp_split_to_array(x, '[|\t]')) ELSE 0 END AS k FROM zl),
+zp AS (SELECT *, lead(x) OVER o AS nx, k > 0 AND coalesce(lead(k) OVER o = k, false) AND coalesce(lag(k) OVER o, 0) = 0 AND coalesce(lead(k, 2) OVER o, 0) = 0 AS pair
+  FROM zn WINDOW o AS (PARTITION BY doc_id ORDER BY g)),
+zq AS (SELECT *, coalesce(lag(pair) OVER (PARTITION BY doc_id ORDER BY g), false) AS told FROM zp),
+zr AS (SELECT doc_id, string_agg(CASE WHEN pair THEN 'Details: ' || array_to_string(list_transform(list_zip(regexp_split_to_array(x, '[|\t]'), regexp_split_to_array(nx, '[|\t]')),
+  lambda c: trim(c[1]) || ' ' || trim(c[2])), ', ') || '.' ELSE x END, chr(10) ORDER BY g) AS t FROM zq WHERE NOT told GROUP BY doc_id)"""
+
+
 def _changed(expression: str) -> str:
     return f"WITH {ARTEFACTS}, y AS (SELECT doc_id, {expression} AS t FROM x) SELECT doc_id, md5(t) AS text_md5, length(t) AS n FROM y"
 
@@ -108,7 +118,7 @@ co AS (SELECT doc_id, chunk_id, text, coalesce(sum(length(text) + 1) OVER (PARTI
 
 def _hits(k: int = 5) -> str:
     return f"""vc AS (SELECT 'v' || (vec_id // 64) AS session_id, vec_id AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings),
-hs AS (SELECT q.chunk_id AS query_id, q.session_id, c.chunk_id, list_inner_product(q.e, c.e) AS score FROM vc q JOIN vc c USING (session_id) WHERE q.chunk_id % 16 = 0),
+hs AS (SELECT q.chunk_id AS query_id, q.session_id, c.chunk_id, list_inner_product(list_reverse(q.e), c.e) AS score FROM vc q JOIN vc c USING (session_id)),
 ht AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM hs QUALIFY rank <= {k}),
 tx AS (SELECT ht.*, d.text FROM ht JOIN documents d ON d.doc_id = ht.chunk_id),
 bu AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used_chars FROM tx QUALIFY used_chars <= 7000)"""
@@ -183,7 +193,7 @@ SELECT doc_id, md5({_STRIP.format("array_to_string(k, chr(10))")}) AS text_md5,
     "dehyphenate": _changed(_HYPHENS.format("text")),
     "smart_chars": _changed(_SMART.format("text")),
     "page_markers": _changed(_MARKERS.format("text")),
-    "clean_chain": f"WITH {ARTEFACTS}, {_repeated('x')}, y AS (SELECT doc_id, {_MARKERS.format(_SMART.format(_HYPHENS.format(_COLLAPSE.format('text'))))} AS t FROM stripped) SELECT doc_id, md5(t) AS text_md5, length(t) AS n FROM y",
+    "clean_chain": f"WITH {ARTEFACTS}, {_repeated('x')}, {_PROSE}, y AS (SELECT doc_id, {_MARKERS.format('t')} AS t FROM zr) SELECT doc_id, md5(t) AS text_md5, length(t) AS n FROM y",
     "table_lines": f"""WITH {ARTEFACTS} SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: length(s) - length(replace(s, '|', '')) >= 2 OR len(string_split(s, chr(9))) >= 3)) AS n_table_lines FROM x""",
     "gibberish_ratio": f"SELECT doc_id, {_ODD} AS ratio FROM documents",
     "document_gate": rf"""WITH g AS (SELECT doc_id, length({_STRIP.format('text')}) AS char_count, {_ODD} AS gibberish_ratio, doc_id % 7 AS page_count, lang,
@@ -200,9 +210,9 @@ SELECT doc_id, char_count, gibberish_ratio, array_to_string(kw, ',') AS keywords
 SELECT co.doc_id, chunk_id, char_start, (page_start / 1500)::INT + 1 AS page_ref FROM co ASOF JOIN pg ON co.doc_id = pg.doc_id AND co.char_start >= pg.page_start""",
     "vector_topk": f"WITH {_hits()} SELECT query_id, session_id, rank, chunk_id, score FROM ht",
     "threshold_hits": f"WITH {_hits()} SELECT query_id, rank, chunk_id, score FROM ht WHERE score >= 0.25",
-    "no_hit_answer": f"""WITH {_hits()}, n AS (SELECT query_id, count(*) AS n FROM ht WHERE rank > 1 AND score >= 0.45 GROUP BY query_id)
+    "no_hit_answer": f"""WITH {_hits()}, n AS (SELECT query_id, count(*) AS n FROM ht WHERE score >= 0.25 GROUP BY query_id)
 SELECT chunk_id AS query_id, coalesce(n, 0) AS chunks_used, CASE WHEN n IS NULL THEN {_text(retrieve.NOT_FOUND)} END AS answer,
-  CASE WHEN n IS NULL THEN 'unknown' ELSE 'retrieval' END AS intent FROM vc LEFT JOIN n ON n.query_id = vc.chunk_id WHERE chunk_id % 16 = 0""",
+  CASE WHEN n IS NULL THEN 'unknown' ELSE 'retrieval' END AS intent FROM vc LEFT JOIN n ON n.query_id = vc.chunk_id""",
     "context_budget": f"WITH {_hits()} SELECT query_id, rank, chunk_id, used_chars FROM bu",
     "context_format": f"""WITH {_hits()} SELECT query_id, md5(string_agg('[Source ' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS labelled_md5,
   md5(string_agg(text, chr(10) || chr(10) ORDER BY rank)) AS raw_md5, sum(length(text))::BIGINT AS context_chars, count(*) AS chunks_included FROM bu GROUP BY query_id""",
