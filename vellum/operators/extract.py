@@ -24,12 +24,6 @@ def edges(blocks: DataFrame) -> DataFrame:
     return rel.select("session_id", "src", F.col("r.Type").alias("rtype"), "rpos", F.posexplode("r.Ids").alias("ipos", "dst"))
 
 
-def last_blocks(blocks: DataFrame) -> DataFrame:
-    """Of blocks with one id, the last."""
-    cols = [c for c in blocks.columns if c not in ("session_id", "id")]
-    return blocks.groupBy("session_id", "id").agg(F.max_by(F.struct(*cols), "ord").alias("b")).select("session_id", "id", "b.*")
-
-
 def child_text(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """session_id, src, text: the words below each block, in order, joined by a space."""
     words = blocks.where("block_type = 'WORD'").select("session_id", F.col("id").alias("dst"), "text")
@@ -139,6 +133,17 @@ def documents(pages: DataFrame, grids: DataFrame | None = None) -> DataFrame:
     return out.select("session_id", "full_text", "total_pages", T.rounded(overall).alias("overall_avg_confidence"), "has_handwriting")
 
 
+def every_session(sessions: DataFrame, docs: DataFrame) -> DataFrame:
+    """``docs`` with a row for each of ``sessions``; one without pages has no text and no confidence."""
+    blank = {"full_text": "", "total_pages": 0, "overall_avg_confidence": 0.0, "has_handwriting": False}
+    return sessions.join(docs, "session_id", "left").fillna(blank)
+
+
+def table_counts(blocks: DataFrame) -> DataFrame:
+    """session_id, n_tables: all TABLE blocks, those without cells too."""
+    return blocks.where("block_type = 'TABLE'").groupBy("session_id").agg(F.count(F.lit(1)).alias("n_tables"))
+
+
 def marked_text(pages: DataFrame) -> DataFrame:
     """session_id, raw_text: a document's pages in order, each behind a marker of its number."""
     own = F.concat(F.lit("=== PAGE "), F.col("page_number").cast("string"), F.lit(" ===\n"), F.col("text"))
@@ -164,11 +169,6 @@ def page_profile(blocks: DataFrame, sample: int = 5) -> DataFrame:
     return out.select("session_id", "page_number", "word_count", T.rounded(F.col("total") / F.col("word_count"), 1).alias("avg_confidence"), "handwritten_words", "handwriting_sample")
 
 
-def latest(rows: DataFrame, key: str, value: str, at: list[str]) -> DataFrame:
-    """The value of the greatest ``at`` per key."""
-    return rows.groupBy(key).agg(F.max_by(value, F.struct(*at)).alias(value))
-
-
 def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row per ``keys`` by ``order``."""
     return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

@@ -28,14 +28,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.dedup_fields(clean.clean_fields(derive.fields(spark, sf_dir)))
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived fields, dealt out by session.
+
+    All columns travel as one, so that every branch of a report asks for the same exchange, which then
+    is made once.
+    """
+    own = derive.fields(spark, sf_dir)
+    dealt = own.select("session_id", F.struct(*[c for c in own.columns if c != "session_id"]).alias("f")).repartition("session_id")
+    return dealt.select("session_id", "f.*")
+
+
+def _cleaned(fields: DataFrame) -> DataFrame:
+    return clean.dedup_fields(clean.clean_fields(fields))
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of the derived fields, with page statistics derived from the same fields."""
-    fields = derive.fields(spark, sf_dir)
-    words = fields.groupBy("session_id", F.col("page").alias("page_number")).agg(
+    """Sessions of the derived fields, with pages (every seventh session has none) and tables (every other one)."""
+    fields = _fields(spark, sf_dir)
+    words = fields.where(derive.HAS_PAGES).groupBy("session_id", F.col("page").alias("page_number")).agg(
         F.count(F.lit(1)).alias("word_count"),
         F.sum(F.col("value_confidence").cast(extract.EXACT)).cast("double").alias("total"),
         F.bool_or(F.col("ord") % 29 == 0).alias("has_handwriting"),
@@ -45,9 +56,11 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id", "page_number", text.alias("text"), "word_count", T.rounded(F.col("total") / F.col("word_count")).alias("avg_confidence"), "has_handwriting"
     )
     cleaned = clean.clean_pages(pages)
-    kept = _cleaned(spark, sf_dir)
-    docs = extract.documents(cleaned).join(clean.notes(cleaned, kept), "session_id", "left")
-    return validate.validate(validate.assemble(docs, cleaned, kept))
+    kept = _cleaned(fields)
+    tables = extract.grids(derive.cells(fields), clean=True)
+    docs = extract.every_session(fields.select("session_id").distinct(), extract.documents(cleaned, tables))
+    docs = docs.join(clean.notes(cleaned, kept), "session_id", "left")
+    return validate.validate(validate.assemble(docs, cleaned, kept, tables))
 
 
 # ---- fields ------------------------------------------------------------------------------------
@@ -74,7 +87,8 @@ def checkbox_filter(spark, sf_dir):
 
 @query
 def field_dedup(spark, sf_dir):
-    return _cleaned(spark, sf_dir).select("session_id", "ord", "key", "value", "page", "confidence", "is_truncated", "original_value")
+    own = _cleaned(derive.fields(spark, sf_dir))
+    return own.select("session_id", "ord", "key", "value", "page", "confidence", "is_truncated", "original_value")
 
 
 @query
@@ -111,11 +125,12 @@ def markdown_report(spark, sf_dir):
 
 @query
 def run_summary(spark, sf_dir):
-    own = _reports(spark, sf_dir)
+    own = _reports(spark, sf_dir).select("total_pages", "form_fields", "n_tables", "issues", "required_found", "required_missing")
     before = derive.fields(spark, sf_dir).agg(F.count(F.lit(1)).alias("fields_before"))
     after = own.agg(
         F.sum("total_pages").alias("pages"),
         F.sum(F.size("form_fields")).alias("fields_after"),
+        F.sum(F.col("n_tables").cast("long")).alias("tables"),
         F.sum(F.size(F.filter("issues", lambda i: i["severity"] == "error"))).alias("errors"),
         F.sum(F.size("required_found")).alias("found"),
         F.sum(F.size("required_found") + F.size("required_missing")).alias("required"),
@@ -132,19 +147,47 @@ def form_graph(spark, sf_dir):
 
 @query
 def grid_dense(spark, sf_dir):
-    own = extract.grids(derive.cells(spark, sf_dir), clean=True)
+    own = extract.grids(derive.cells(derive.fields(spark, sf_dir)), clean=True)
     return own.select("session_id", "rows", "cols", T.grid_text(F.col("data")).alias("grid"))
 
 
 @query
 def table_markdown(spark, sf_dir):
-    own = extract.grids(derive.cells(spark, sf_dir), clean=True)
+    own = extract.grids(derive.cells(derive.fields(spark, sf_dir)), clean=True)
     return own.select("session_id", F.md5(T.grid_markdown(F.col("data"))).alias("digest"))
 
 
+@query
+def table_cells(spark, sf_dir):
+    own = extract.table_cells(*derive.table_graph(spark, sf_dir))
+    return own.select("session_id", "table_ord", "page", F.col("pos.ipos").alias("pos"), "row", "col", "text", "confidence")
+
+
+@query
+def table_grids(spark, sf_dir):
+    own = extract.grids(extract.table_cells(*derive.table_graph(spark, sf_dir)))
+    return own.select("session_id", "table_ord", "rows", "cols", T.grid_text(F.col("data")).alias("grid"))
+
+
 @query
 def table_count(spark, sf_dir):
-    return derive.cells(spark, sf_dir).select("session_id", "table_ord").distinct().groupBy("session_id").agg(F.count(F.lit(1)).alias("n_tables"))
+    blocks, _ = derive.table_graph(spark, sf_dir)
+    return extract.table_counts(blocks)
+
+
+@query
+def full_texts(spark, sf_dir):
+    """Pages with the text of their tables behind their own, in order, over whole block graphs."""
+    pages = extract.pages(derive.blocks(spark, sf_dir))
+    tables = extract.grids(extract.table_cells(*derive.table_graph(spark, sf_dir)))
+    # a table of session s7 belongs to document d7
+    tables = tables.withColumn("session_id", F.concat(F.lit("d"), F.expr("substr(session_id, 2)")))
+    return extract.documents(pages, tables).select("session_id", F.md5("full_text").alias("text_md5"), F.length("full_text").alias("n_chars"))
+
+
+@query
+def full_text_reports(spark, sf_dir):
+    return _reports(spark, sf_dir).select("session_id", "total_pages", "n_tables", F.md5("full_text").alias("text_md5"))
 
 
 @query

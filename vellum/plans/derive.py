@@ -116,8 +116,9 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return blocks_, edges_
 
 
-#: Whether a session has a table: every other one.
+#: Which sessions have a table, and which have pages.
 HAS_TABLE = "CAST(substr(session_id, 2) AS BIGINT) % 2 = 0"
+HAS_PAGES = "CAST(substr(session_id, 2) AS BIGINT) % 7 <> 3"
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -171,16 +172,14 @@ def table_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return blocks_, edges_
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table cells of ``lineitem``: a table per session, cells placed by the field's order, with holes and doubles."""
-    own = fields(spark, sf_dir)
-    return own.select(
+def cells(fields: DataFrame) -> DataFrame:
+    """Table cells of ``fields``: a table for every other session, cells placed by the field's order, with holes and doubles."""
+    return fields.where(HAS_TABLE).select(
         "session_id",
         F.lit(1).alias("table_ord"),
         F.lit(1).alias("page"),
         (F.col("ord") % 5).cast("int").alias("row"),
         ((F.col("ord") * 7) % 4).cast("int").alias("col"),
-        "value",
         F.col("value").alias("text"),
         F.col("value_confidence").alias("confidence"),
         F.col("ord").alias("pos"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from vellum.functions.text import CHECKBOX_KEYS, LOAN_KEYWORDS
 from vellum.operators import retrieve
-from vellum.operators.validate import REQUIRED_FIELDS
+from vellum.operators.validate import NO_PAGES, REQUIRED_FIELDS
 from vellum.plans import derive
 from vellum.sources.ocr import KEYS
 
@@ -28,19 +28,21 @@ b AS (SELECT * FROM t WHERE NOT (v = '' AND key IN ({_BOXES}))),
 d AS (SELECT session_id, ord, key, value, page, value_confidence AS confidence, dated OR lettered AS is_truncated, original_value FROM b
   QUALIFY row_number() OVER (PARTITION BY session_id, key, page ORDER BY value <> '' DESC, CASE WHEN value <> '' THEN value_confidence END DESC NULLS LAST, ord) = 1)"""
 _REQUIRED = ", ".join(f"({i}, {_text(n)}, [{', '.join(map(_text, m))}])" for i, (n, m) in enumerate(REQUIRED_FIELDS))
-PAGES = """p AS (SELECT session_id, page AS page_number, count(*) AS word_count, bool_or(ord % 29 = 0) AS has_handwriting,
-  printf('%.2f', sum(value_confidence::DECIMAL(18, 6))::DOUBLE / count(*))::DOUBLE AS avg_confidence, 1 AS lines_removed FROM f GROUP BY ALL)"""
+PAGES = f"""p AS (SELECT session_id, page AS page_number, count(*) AS word_count, bool_or(ord % 29 = 0) AS has_handwriting,
+  printf('%.2f', sum(value_confidence::DECIMAL(18, 6))::DOUBLE / count(*))::DOUBLE AS avg_confidence, 1 AS lines_removed FROM f WHERE {derive.HAS_PAGES} GROUP BY ALL)"""
 REPORTS = f"""{DEDUPED},
 {PAGES},
-o AS (SELECT session_id, count(*) AS total_pages, bool_or(has_handwriting) AS has_handwriting,
-  printf('%.2f', sum(avg_confidence::DECIMAL(18, 6) * word_count)::DOUBLE / sum(word_count))::DOUBLE AS overall FROM p GROUP BY session_id),
+o AS (SELECT session_id, count(page_number) AS total_pages, coalesce(bool_or(has_handwriting), false) AS has_handwriting,
+  coalesce(printf('%.2f', sum(avg_confidence::DECIMAL(18, 6) * word_count)::DOUBLE / sum(word_count))::DOUBLE, 0.0) AS overall
+  FROM (SELECT DISTINCT session_id FROM f) LEFT JOIN p USING (session_id) GROUP BY session_id),
 r(k, name, marks) AS (VALUES {_REQUIRED}),
 m AS (SELECT o.session_id, r.k, r.name, (SELECT arg_min(d.value, (d.page, d.key)) FROM d WHERE d.session_id = o.session_id AND d.value <> ''
   AND len(list_filter(r.marks, lambda x: contains(lower(d.key), x))) > 0) AS value FROM o, r),
 h AS (SELECT session_id, list(page_number ORDER BY page_number) FILTER (WHERE has_handwriting) AS hw FROM p GROUP BY session_id)"""
 ISSUES = f"""{REPORTS},
 i AS (
-  SELECT session_id, 2 AS c, 0 AS a, '' AS b, CASE WHEN overall < 70 THEN 'error' ELSE 'warning' END AS severity,
+  SELECT session_id, 1 AS c, 0 AS a, '' AS b, 'error' AS severity, 'NO_PAGES' AS code, {_text(NO_PAGES)} AS message, NULL::INT AS page, NULL::VARCHAR AS field FROM o WHERE total_pages < 1
+  UNION ALL SELECT session_id, 2 AS c, 0 AS a, '' AS b, CASE WHEN overall < 70 THEN 'error' ELSE 'warning' END AS severity,
     CASE WHEN overall < 70 THEN 'LOW' ELSE 'MODERATE' END || '_OVERALL_CONFIDENCE' AS code,
     'Overall confidence ' || printf('%.1f', overall) || CASE WHEN overall < 70 THEN '% is below error threshold 70.0%. Document may be too blurry or low quality for reliable extraction.'
       ELSE '% is below warning threshold 85.0%. Some extracted text may be inaccurate.' END AS message, NULL::INT AS page, NULL::VARCHAR AS field
@@ -54,7 +56,7 @@ i AS (
   UNION ALL SELECT session_id, 5, page, key, 'warning', 'TRUNCATED_VALUE', 'Field ''' || key || ''' value ''' || value || ''' appears truncated.', page, key FROM d WHERE is_truncated
   UNION ALL SELECT session_id, 6, k, '', 'warning', 'MISSING_REQUIRED_FIELD', 'Required field ''' || name || ''' not found or has no value.', NULL, name FROM m WHERE value IS NULL
   UNION ALL SELECT session_id, 7, 0, '', 'error', 'NO_STRUCTURED_DATA', 'No form fields or tables extracted. Document may not be a structured loan form.', NULL, NULL
-  FROM o WHERE session_id NOT IN (SELECT session_id FROM d)
+  FROM o WHERE session_id NOT IN (SELECT session_id FROM d) AND NOT ({derive.HAS_TABLE})
 )"""
 
 BLOCKS = """l AS (SELECT doc_id, 'd' || doc_id AS session_id, g - 1 AS line, lines[g] AS text, CAST(floor((g - 1) / 3) AS INT) + 1 AS page
@@ -69,6 +71,20 @@ ws AS (SELECT session_id, page, count(*) AS word_count, printf('%.2f', sum(confi
 ps AS (SELECT session_id, page AS page_number, text, coalesce(word_count, 0) AS word_count, coalesce(avg_confidence, 0.0) AS avg_confidence,
   coalesce(low_confidence_words, 0) AS low_confidence_words, coalesce(has_handwriting, false) AS has_handwriting FROM lt LEFT JOIN ws USING (session_id, page))"""
 
+_CELL = "key || ' ' || value"
+_MARK = "chr(10) || chr(10) || '[TABLE]' || chr(10)"
+_BREAK = "chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10)"
+
+
+def _grids(source: str, value: str) -> str:
+    """gr: the dense grid of every session of ``source`` that has a table."""
+    return f"""ce AS (SELECT session_id, (ord % 5)::INT AS r, ((ord * 7) % 4)::INT AS c, arg_max({value}, ord) AS v FROM {source} WHERE {derive.HAS_TABLE} GROUP BY ALL),
+sz AS (SELECT session_id, max(r) AS rows, max(c) AS cols FROM ce GROUP BY session_id),
+rw AS (SELECT sz.session_id, rr.r, string_agg(coalesce(ce.v, ''), ' | ' ORDER BY cc.c) AS line FROM sz, range(1, 5) rr(r), range(1, 4) cc(c)
+  LEFT JOIN ce ON ce.session_id = sz.session_id AND ce.r = rr.r AND ce.c = cc.c WHERE rr.r <= sz.rows AND cc.c <= sz.cols GROUP BY ALL),
+gr AS (SELECT sz.session_id, rows, cols, coalesce(string_agg(line, chr(10) ORDER BY r), '') AS grid FROM sz LEFT JOIN rw USING (session_id) GROUP BY ALL)"""
+
+
 _BEFORE = "=== PAGE 1 ===\nShinhan Bank\nS\n  india  \nExtend Your Financial Network today\nmort-\ngage  \t terms\n\n\n\n“Rate” – it’s 5%\n"
 _AFTER = "\n=== PAGE 22 ===\nloan | rate | term\na\tb\tc\nend"
 ARTEFACTS = f"x AS (SELECT doc_id, {_text(_BEFORE)} || text || {_text(_AFTER)} AS text FROM documents)"
@@ -150,29 +166,36 @@ n2 AS (SELECT session_id, count(*) FILTER (WHERE is_truncated) AS c, string_agg(
   count(original_value) AS ch FROM d GROUP BY session_id)
 SELECT session_id, concat_ws('|', CASE WHEN g > 0 THEN 'Removed ' || g || ' repeated header/footer lines across all pages.' END,
   CASE WHEN c > 0 THEN c || ' field(s) appear truncated: ' || names END,
-  CASE WHEN ch > 0 THEN ch || ' field value(s) normalised (number spacing, digit-letter concat).' END) AS notes FROM n1 LEFT JOIN n2 USING (session_id)""",
+  CASE WHEN ch > 0 THEN ch || ' field value(s) normalised (number spacing, digit-letter concat).' END) AS notes FROM o LEFT JOIN n1 USING (session_id) LEFT JOIN n2 USING (session_id)""",
     "issue_rollup": f"WITH {ISSUES} SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY c, a, b)::INT AS issue_seq, severity, code, message, page, field FROM i",
     "report_passed": f"""WITH {ISSUES}, e AS (SELECT session_id, count(*) FILTER (WHERE severity = 'error') AS errors, count(*) FILTER (WHERE severity = 'warning') AS warnings FROM i GROUP BY session_id),
 fm AS (SELECT session_id, count(value) AS found FROM m GROUP BY session_id)
 SELECT session_id, coalesce(errors, 0) = 0 AS passed, overall AS overall_avg_confidence, coalesce(array_to_string(hw, ','), '') AS handwriting_pages,
   CASE WHEN coalesce(errors, 0) = 0 THEN 'PASS' ELSE 'FAIL' END || ' | confidence=' || printf('%.1f', overall) || '% | errors=' || coalesce(errors, 0) || ' warnings=' || coalesce(warnings, 0)
-  || ' | required_fields=' || found || '/10' AS summary FROM o LEFT JOIN e USING (session_id) JOIN fm USING (session_id) JOIN h USING (session_id)""",
+  || ' | required_fields=' || found || '/10' AS summary FROM o LEFT JOIN e USING (session_id) JOIN fm USING (session_id) LEFT JOIN h USING (session_id)""",
     "run_summary": f"""WITH {ISSUES} SELECT (SELECT count(*) FROM f) AS fields_before, (SELECT sum(total_pages) FROM o)::BIGINT AS pages, (SELECT count(*) FROM d) AS fields_after,
+  (SELECT count(*) FROM o WHERE {derive.HAS_TABLE}) AS tables,
   (SELECT count(*) FROM i WHERE severity = 'error') AS errors, (SELECT count(value) FROM m) AS found, (SELECT count(*) FROM m) AS required""",
     "form_graph": rf"""WITH {FIELDS} SELECT session_id, ord, key, trim(value || ' INR') AS value, printf('%.2f', 90.005::DOUBLE)::DOUBLE AS key_confidence,
   printf('%.2f', value_confidence)::DOUBLE AS value_confidence, page FROM f""",
-    "grid_dense": f"""WITH {CLEANED}, ce AS (SELECT session_id, (ord % 5)::INT AS r, ((ord * 7) % 4)::INT AS c, arg_max(value, ord) AS v FROM t GROUP BY ALL),
-sz AS (SELECT session_id, max(r) AS rows, max(c) AS cols FROM ce GROUP BY session_id),
-rw AS (SELECT sz.session_id, rr.r, string_agg(coalesce(ce.v, ''), ' | ' ORDER BY cc.c) AS line FROM sz, range(1, 5) rr(r), range(1, 4) cc(c)
-  LEFT JOIN ce ON ce.session_id = sz.session_id AND ce.r = rr.r AND ce.c = cc.c WHERE rr.r <= sz.rows AND cc.c <= sz.cols GROUP BY ALL)
-SELECT sz.session_id, rows, cols, coalesce(string_agg(line, chr(10) ORDER BY r), '') AS grid FROM sz LEFT JOIN rw USING (session_id) GROUP BY ALL""",
-    "table_markdown": f"""WITH {CLEANED}, ce AS (SELECT session_id, (ord % 5)::INT AS r, ((ord * 7) % 4)::INT AS c, arg_max(value, ord) AS v FROM t GROUP BY ALL),
+    "grid_dense": f"WITH {CLEANED}, {_grids('t', 'value')} SELECT * FROM gr",
+    "table_cells": f"WITH {FIELDS} SELECT session_id, 8::BIGINT AS table_ord, 1 AS page, ord::INT AS pos, (ord % 5)::INT AS row, ((ord * 7) % 4)::INT AS col, key || ' ' || value AS text, value_confidence AS confidence FROM f WHERE {derive.HAS_TABLE}",
+    "table_grids": f"WITH {FIELDS}, {_grids('f', _CELL)} SELECT session_id, 8::BIGINT AS table_ord, rows, cols, grid FROM gr",
+    "full_texts": f"""WITH {PAGE_STATS}, {FIELDS}, {_grids('f', _CELL)},
+pt AS (SELECT ps.session_id, page_number, text || CASE WHEN page_number = 1 AND grid IS NOT NULL THEN {_MARK} || grid ELSE '' END AS t FROM ps LEFT JOIN gr ON 'd' || substr(gr.session_id, 2) = ps.session_id),
+ft AS (SELECT session_id, string_agg(t, {_BREAK} ORDER BY page_number) AS t FROM pt GROUP BY session_id)
+SELECT session_id, md5(t) AS text_md5, length(t) AS n_chars FROM ft""",
+    "full_text_reports": f"""WITH {REPORTS}, {_grids('t', 'value')},
+pt AS (SELECT session_id, page_number, 'Page ' || page_number || CASE WHEN page_number = 1 AND grid IS NOT NULL THEN {_MARK} || grid ELSE '' END AS t FROM p LEFT JOIN gr USING (session_id)),
+ft AS (SELECT session_id, string_agg(t, {_BREAK} ORDER BY page_number) AS t FROM pt GROUP BY session_id)
+SELECT session_id, total_pages, (session_id IN (SELECT session_id FROM gr))::INT AS n_tables, md5(coalesce(t, '')) AS text_md5 FROM o LEFT JOIN ft USING (session_id)""",
+    "table_markdown": f"""WITH {CLEANED}, ce AS (SELECT session_id, (ord % 5)::INT AS r, ((ord * 7) % 4)::INT AS c, arg_max(value, ord) AS v FROM t WHERE {derive.HAS_TABLE} GROUP BY ALL),
 sz AS (SELECT session_id, max(r) AS rows, max(c) AS cols FROM ce GROUP BY session_id),
 rw AS (SELECT sz.session_id, sz.cols, rr.r, '| ' || string_agg(coalesce(ce.v, ''), ' | ' ORDER BY cc.c) || ' |' AS line FROM sz, range(1, 5) rr(r), range(1, 4) cc(c)
   LEFT JOIN ce ON ce.session_id = sz.session_id AND ce.r = rr.r AND ce.c = cc.c WHERE rr.r <= sz.rows AND cc.c <= sz.cols GROUP BY ALL),
 rl AS (SELECT session_id, r * 2 AS k, line FROM rw UNION ALL SELECT session_id, 3, '| ' || array_to_string(list_transform(range(cols), lambda x: '---'), ' | ') || ' |' FROM rw WHERE r = 1)
 SELECT sz.session_id, md5(coalesce(string_agg(line, chr(10) ORDER BY k), '')) AS digest FROM sz LEFT JOIN rl USING (session_id) GROUP BY ALL""",
-    "table_count": f"WITH {FIELDS} SELECT session_id, 1::BIGINT AS n_tables FROM f GROUP BY session_id",
+    "table_count": f"WITH {FIELDS} SELECT session_id, 2::BIGINT AS n_tables FROM f WHERE {derive.HAS_TABLE} GROUP BY session_id",
     "fields_sorted": f"WITH {FIELDS} SELECT session_id, md5(string_agg(concat_ws('=', page, key, value), ';' ORDER BY page, key, value)) AS digest FROM f GROUP BY session_id",
     "page_stats": f"WITH {PAGE_STATS} SELECT session_id, page_number, md5(text) AS text_md5, word_count, avg_confidence, low_confidence_words, has_handwriting FROM ps",
     "doc_confidence": f"""WITH {PAGE_STATS} SELECT session_id, md5(string_agg(text, chr(10) || chr(10) || '--- Page Break ---' || chr(10) || chr(10) ORDER BY page_number)) AS text_md5, count(*) AS total_pages,
