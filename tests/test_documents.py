@@ -187,3 +187,40 @@ def test_objects(spark, tmp_path):
     assert ocr.list_objects(spark, str(tmp_path / "out"), "*.parquet").count() == 2
     got = rows.select(ocr.key("raw_text", F.col("session_id")), ocr.uri("b", ocr.key("chunks", F.col("session_id")))).orderBy("session_id").first()
     assert list(got) == ["extracted/s1/raw_text.txt", "s3://b/chunks/s1/chunks.json"]
+
+
+def test_batches_of_one_job_are_one_session(spark, tmp_path):
+    def save(name, job, status, *blocks, token=None):
+        (tmp_path / name).write_text(json.dumps({"JobId": job, "JobStatus": status, "NextToken": token, "Blocks": list(blocks)}))
+
+    save("a_1.json", "j1", "SUCCEEDED", line("l1", "one"), word("w1", "x", 90.0), token="t")
+    save("a_2.json", "j1", "SUCCEEDED", line("l2", "two"), word("w2", "y", 80.0))
+    save("b.json", "j2", "FAILED", line("l3", "lost"))
+    save("b_2.json", "j2", "SUCCEEDED", line("l3", "lost"))
+    save("c.json", None, None, line("l4", "alone"))
+    responses = ocr.join_batches(ocr.read_responses(spark, str(tmp_path)))
+    pages = {r.session_id: r for r in extract.pages(ocr.blocks(responses)).collect()}
+    assert set(pages) == {"a_1", "c"} and pages["a_1"].text == "one\ntwo" and pages["a_1"].avg_confidence == 85.0
+
+
+def test_objects_by_key(spark, tmp_path):
+    from vellum.sources import objects
+
+    root = f"file://{tmp_path}/store"
+    rows = spark.createDataFrame([("s1", "Zinß"), ("s2", None)], "session_id string, content string")
+    keyed = rows.select(ocr.key("raw_text", F.col("session_id")).alias("key"), "content")
+    assert {(r.key, r.bytes) for r in objects.put(keyed, root).collect()} == {("extracted/s1/raw_text.txt", 5), ("extracted/s2/raw_text.txt", 0)}
+    assert [r.text for r in objects.get_text(spark, root, "*.txt").collect()] == ["Zinß"]  # empty objects are passed over
+    assert [bytes(r.content) for r in objects.get(spark, root).collect()] == ["Zinß".encode()]
+    gone = objects.delete(keyed.union(spark.createDataFrame([("no/such", "")], keyed.schema)), root)
+    assert {(r.key, r.deleted) for r in gone.collect()} == {("extracted/s1/raw_text.txt", True), ("extracted/s2/raw_text.txt", True), ("no/such", False)}
+
+
+def test_vectors_are_saved_and_loaded(spark, tmp_path):
+    from vellum.sources import objects
+
+    root = f"file://{tmp_path}/store"
+    rows = spark.createDataFrame([("s1", 2, [3.0, 4.0]), ("s1", 1, [1.0, 2.0]), ("s2", 9, [0.5, 0.25])], "session_id string, chunk_id long, embedding array<float>")
+    assert objects.save_vectors(rows, root).count() == 2
+    got = sorted((r.session_id, r.row, r.embedding) for r in objects.load_vectors(spark, root).collect())
+    assert got == [("s1", 0, [1.0, 2.0]), ("s1", 1, [3.0, 4.0]), ("s2", 0, [0.5, 0.25])]

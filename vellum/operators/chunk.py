@@ -24,42 +24,45 @@ def token_chunks(docs: DataFrame, most: int = 400, overlap: int = 80, least: int
     """doc_id, chunk_id, text, token_count: whole sentences up to ``most`` tokens, the next chunk starting
     with the last sentences of up to ``overlap`` tokens; chunks below ``least`` tokens are left out.
 
-    The running state is folded over a document's sentences inside one row; tokens are words.
+    The running state, which is three numbers and the chunks' bounds, is folded over a document's
+    sentences inside one row; tokens are words.
     """
-    own = docs.select("doc_id", F.transform(T.sentences(F.col("text")), lambda s: F.struct(s.alias("s"), T.word_count(s).alias("n"))).alias("s"))
+    own = docs.select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    own = own.withColumn("n", F.transform("s", T.word_count))
+    bounds = "array<struct<first:int,last:int,tokens:int>>"
+    state = F.struct(F.array().cast(bounds).alias("done"), F.lit(1).alias("first"), F.lit(0).alias("tokens"))
 
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x["n"])
+    def told(a: Column, i: Column) -> Column:
+        """The chunk that ends before sentence i."""
+        return F.struct(a["first"].alias("first"), (i - 1).alias("last"), a["tokens"].alias("tokens"))
 
-    kind = "array<struct<s:string,n:int>>"
-    state = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("now"))
+    def begin(a: Column, i: Column, n: Column) -> Column:
+        """A new chunk with sentence i, behind as many of the last sentences as fit the overlap."""
+        last = F.reverse(F.slice("n", a["first"], i - a["first"]))
 
-    def tail(part: Column) -> Column:
-        start = F.struct(F.array().cast(kind).alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("on"))
+        def back(b: Column, x: Column) -> Column:
+            fits = b["on"] & (b["tokens"] + x <= overlap)
+            return F.struct((b["kept"] + fits.cast("int")).alias("kept"), F.when(fits, b["tokens"] + x).otherwise(b["tokens"]).alias("tokens"), fits.alias("on"))
 
-        def back(a: Column, x: Column) -> Column:
-            fits = a["on"] & (a["n"] + x["n"] <= overlap)
+        def over(b: Column) -> Column:
+            alone = b["tokens"] + n > most
             return F.struct(
-                F.when(fits, F.concat(F.array(x), a["kept"])).otherwise(a["kept"]).alias("kept"),
-                F.when(fits, a["n"] + x["n"]).otherwise(a["n"]).alias("n"),
-                fits.alias("on"),
+                F.concat(a["done"], F.array(told(a, i))).alias("done"),
+                F.when(alone, i).otherwise(i - b["kept"]).alias("first"),
+                F.when(alone, n).otherwise(b["tokens"] + n).alias("tokens"),
             )
 
-        return F.aggregate(F.reverse(part), start, back)["kept"]
-
-    def step(a: Column, x: Column) -> Column:
-        full = (F.size(a["now"]) > 0) & (total(a["now"]) + x["n"] > most)
-        carried = tail(a["now"])
-        carried = F.when(total(carried) + x["n"] > most, F.array().cast(kind)).otherwise(carried)
-        return F.struct(
-            F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
-            F.when(full, F.concat(carried, F.array(x))).otherwise(F.concat(a["now"], F.array(x))).alias("now"),
-        )
-
-    folded = F.aggregate("s", state, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
-    out = own.select("doc_id", F.posexplode(folded).alias("chunk_id", "c"))
-    out = out.select("doc_id", "chunk_id", F.array_join(F.transform("c", lambda x: x["s"]), " ").alias("text"), total(F.col("c")).alias("token_count"))
-    return out.where(F.col("token_count") >= least)
+        return F.aggregate(last, F.struct(F.lit(0).alias("kept"), F.lit(0).alias("tokens"), F.lit(True).alias("on")), back, over)
+
+    def step(a: Column, i: Column) -> Column:
+        n = F.get(F.col("n"), i - 1)
+        more = F.struct(a["done"].alias("done"), a["first"].alias("first"), (a["tokens"] + n).alias("tokens"))
+        return F.when((i > a["first"]) & (a["tokens"] + n > most), begin(a, i, n)).otherwise(more)
+
+    chunks = F.aggregate(F.sequence(F.lit(1), F.size("n")), state, step, lambda a: F.concat(a["done"], F.array(told(a, F.size("n") + 1))))
+    out = own.select("doc_id", "s", F.posexplode(chunks).alias("chunk_id", "c")).where(F.col("c.tokens") >= least)
+    text = F.array_join(F.slice("s", F.col("c.first"), F.col("c.last") - F.col("c.first") + 1), " ")
+    return out.select("doc_id", "chunk_id", text.alias("text"), F.col("c.tokens").alias("token_count"))
 
 
 def with_offsets(chunks: DataFrame) -> DataFrame:

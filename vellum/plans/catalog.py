@@ -418,6 +418,28 @@ def cache_keys(spark, sf_dir):
     return own.dropDuplicates(["key"])
 
 
+@query
+def prompt_log(spark, sf_dir):
+    """What is logged of every prompt: its tokens (a hundred for the template), intent, variant and context."""
+    hits = retrieve.within_budget(_texts(spark, sf_dir)).withColumn("tokens", T.word_count(F.col("text")))
+    logged = hits.groupBy("query_id").agg(
+        (F.sum("tokens") + 100).alias("prompt_tokens"), F.sum(F.length("text")).alias("context_chars"), F.count(F.lit(1)).alias("chunks_included")
+    )
+    intent, variant = F.lit("retrieval").alias("intent"), S.variant(F.col("query_id")).alias("variant")
+    return logged.select("query_id", "prompt_tokens", intent, variant, "context_chars", "chunks_included")
+
+
+@query
+def once_per_question(spark, sf_dir):
+    """The stream's questions without repeats, all arriving within one lifetime of the cache."""
+    schema = _table(spark, sf_dir, "conversations").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
+    asked = derive.ask(rows).select(S.cache_key(F.col("conv_id").cast("string"), F.col("question")).alias("key"), F.timestamp_seconds(F.lit(86_400)).alias("ts"))
+    out = shared_path(spark, "stream-questions")
+    stream.drain(stream.once_per_question(asked), out, shared_path(spark, "stream-checkpoint"))
+    return spark.read.parquet(out).select("key")
+
+
 # ---- experiments -------------------------------------------------------------------------------
 
 

@@ -197,10 +197,14 @@ def artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUESTION_STARTS = ("Summarize ", "Please explain ", "What is the interest rate of ", "The difference of ", "Where is ", "OVERVIEW ")
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ask(turns: DataFrame) -> DataFrame:
+    """conv_id, turn and question of turns of conversations, of a batch or a stream."""
     starts = F.element_at(F.array(*map(F.lit, QUESTION_STARTS)), (F.col("turn") % 6 + 1).cast("int"))
-    rows = _table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", F.concat(starts, F.col("text")).alias("question"))
+    return turns.select("conv_id", "turn", F.concat(starts, F.col("text")).alias("question"))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ask(_table(spark, sf_dir, "conversations"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -154,6 +154,17 @@ RUNS = f"""r0 AS ({derive.RUNS.format(events='events')}),
 ru AS (SELECT *, {_VARIANT.format('user_id')} AS variant, 0.6::DOUBLE * faithfulness + 0.4::DOUBLE * relevance AS composite, tokens / 1000.0::DOUBLE * 0.002::DOUBLE AS cost FROM r0)"""
 _MEAN = "sum(composite::DECIMAL(28, 12))::DOUBLE / count(composite)"
 
+#: Token chunks by jumps from chunk to chunk: a chunk of first sentence a ends before sentence i, p being the running word counts from 0.
+TOKEN_CHUNKS = rf"""WITH RECURSIVE {SENTENCES},
+sn AS (SELECT doc_id, s, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''))) AS n FROM st WHERE len(s) > 0),
+sp AS (SELECT doc_id, s, len(s) AS c, list_prepend(0::BIGINT, list_transform(range(1, len(n) + 1), lambda k: list_sum(n[1:k])::BIGINT)) AS p FROM sn),
+ju AS (
+  SELECT doc_id, s, c, p, 0 AS chunk_id, 1::BIGINT AS a, least(c + 1, greatest(len(list_filter(p, lambda x: x <= 400)), 2)) AS i FROM sp
+  UNION ALL SELECT doc_id, s, c, p, chunk_id + 1, b, least(c + 1, greatest(len(list_filter(p, lambda x: x <= 400 + p[b])), i + 1))
+  FROM (SELECT *, CASE WHEN p[i + 1] - p[t] > 400 THEN i ELSE t END AS b
+    FROM (SELECT *, greatest(len(list_filter(p, lambda x: x < p[i] - 80)) + 1, a) AS t FROM ju WHERE i <= c))
+)"""
+
 ORACLE: dict[str, str] = {
     "clean_numbers": f"WITH {CLEANED} SELECT session_id, ord, value AS cleaned, original_value FROM t",
     "truncation_flags": f"WITH {CLEANED} SELECT session_id, ord, dated OR lettered AS flag, dated AS strict_flag FROM t",
@@ -228,6 +239,10 @@ SELECT doc_id, char_count, gibberish_ratio, array_to_string(kw, ',') AS keywords
     "language_sample": "SELECT lang, count(*) AS n, sum(length(substr(text, 1, 2000)))::BIGINT AS sampled_chars FROM documents GROUP BY lang",
     "sentence_chunks": f"WITH {_chunks(4, 2)} SELECT doc_id, chunk_id, md5(text) AS text_md5, n_sentences FROM ck",
     "long_chunks": rf"WITH {_chunks(4, 2)}, n AS (SELECT doc_id, chunk_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS tokens FROM ck) SELECT * FROM n WHERE tokens >= 50",
+    "token_chunks": f"""{TOKEN_CHUNKS} SELECT doc_id, chunk_id, md5(array_to_string(s[a:i - 1], ' ')) AS text_md5, p[i] - p[a] AS token_count FROM ju WHERE p[i] - p[a] >= 50""",
+    "prompt_log": f"""WITH {_hits()}, n AS (SELECT query_id, sum(length(text))::BIGINT AS context_chars, count(*) AS chunks_included, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS k FROM bu GROUP BY query_id)
+SELECT query_id, 100 + k AS prompt_tokens, 'retrieval' AS intent, {_VARIANT.format('query_id')} AS variant, context_chars, chunks_included FROM n""",
+    "once_per_question": f"WITH {QUESTIONS} SELECT DISTINCT md5(conv_id::VARCHAR || ':' || q) AS key FROM it",
     "chunk_offsets": f"WITH {OFFSETS} SELECT doc_id, chunk_id, char_start, char_start + length(text) AS char_end FROM co",
     "chunk_page_ref": f"""WITH {OFFSETS}, pg AS (SELECT doc_id, unnest(range(0, length(text) + 1, 1500)) AS page_start FROM documents)
 SELECT co.doc_id, chunk_id, char_start, (page_start / 1500)::INT + 1 AS page_ref FROM co ASOF JOIN pg ON co.doc_id = pg.doc_id AND co.char_start >= pg.page_start""",

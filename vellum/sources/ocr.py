@@ -48,6 +48,19 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(session_of(name).alias("session_id"), name.alias("batch"), F.col("JobId").alias("job_id"), F.col("JobStatus").alias("status"), "Blocks")
 
 
+def join_batches(responses: DataFrame) -> DataFrame:
+    """Responses whose batches of one job belong to one session, that of the job's first batch by name.
+
+    Batches of a job keep their order, as ``blocks`` sorts by their names. Responses without a job
+    stay as they are, and those of jobs with a failed batch go.
+    """
+    jobs = responses.where("job_id IS NOT NULL").groupBy("job_id").agg(
+        F.min_by("session_id", "batch").alias("_first"), F.bool_or(F.coalesce("status", F.lit("")) == "FAILED").alias("_failed")
+    )
+    joined = responses.join(jobs, "job_id", "left").where(~F.coalesce("_failed", F.coalesce("status", F.lit("")) == "FAILED"))
+    return joined.withColumn("session_id", F.coalesce("_first", "session_id")).select(*responses.columns)
+
+
 def blocks(responses: DataFrame) -> DataFrame:
     """One row per block; ``ord`` keeps the order of batches and of blocks in them."""
     own = responses.select("session_id", "batch", F.posexplode("Blocks").alias("pos", "b"))

@@ -9,6 +9,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; only where that is unset, in a temporary folder of this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vellum-")
+    """A new path in ``spark.checkpoint.dir``.
+
+    Only where that is unset on one machine is a temporary folder taken; elsewhere that is an error, as
+    other machines would not see the folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="vellum-")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
