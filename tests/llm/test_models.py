@@ -329,6 +329,52 @@ def test_trees_learn_a_rule():
     assert (quality_model.boost(x[:0], y[:0]).score(x[:3]) == 0.5).all()
 
 
+def plain_boost(x, y, trees, depth, bins, rate, ridge, least):
+    """Gradient boosting by the book: every node tries every cut of every feature on its own rows."""
+    base = math.log((sum(y) + 1) / (len(y) - sum(y) + 1))
+    cuts = [sorted(set(np.quantile([r[f] for r in x], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for f in range(len(x[0]))]
+    grown = []
+
+    def grow(rows, g, h, level):
+        def gain(some):
+            return sum(g[i] for i in some) ** 2 / (sum(h[i] for i in some) + ridge)
+
+        best = None
+        for f in range(len(x[0])) if level < depth else ():
+            for cut in cuts[f]:
+                left, right = [i for i in rows if x[i][f] <= cut], [i for i in rows if x[i][f] > cut]
+                if min(len(left), len(right)) >= least:
+                    own = gain(left) + gain(right) - gain(rows)
+                    if own > 1e-9 and (best is None or own > best[0] + 1e-9):
+                        best = (own, f, cut, left, right)
+        if best is None:
+            return -rate * sum(g[i] for i in rows) / (sum(h[i] for i in rows) + ridge)
+        return best[1], best[2], grow(best[3], g, h, level + 1), grow(best[4], g, h, level + 1)
+
+    def walk(node, row):
+        while isinstance(node, tuple):
+            node = node[3] if row[node[0]] > node[1] else node[2]
+        return node
+
+    def margin(row):
+        return base + sum(walk(t, row) for t in grown)
+
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-margin(row))) for row in x]
+        grown.append(grow(list(range(len(x))), [a - b for a, b in zip(p, y)], [a * (1 - a) for a in p], 0))
+    return lambda row: 1 / (1 + math.exp(-margin(row)))
+
+
+def test_trees_by_the_book():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, 4)).round(2)
+    y = ((x[:, 0] + 0.4 * x[:, 1] * x[:, 2] + 0.3 * rng.normal(size=160)) > 0).astype(float)
+    shape = {"trees": 5, "depth": 3, "bins": 8, "rate": 0.3, "ridge": 1.0, "least": 6}
+    own, plain = quality_model.boost(x, y, **shape), plain_boost(x.tolist(), y.tolist(), **shape)
+    new = rng.normal(size=(60, 4)).round(2)
+    assert own.score(new) == pytest.approx([plain(r) for r in new.tolist()], abs=1e-9)
+
+
 def test_quality(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     rows = quality_model.judge(docs, labels).join(labels, "doc_id").collect()

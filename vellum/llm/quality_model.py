@@ -181,8 +181,8 @@ def judge(docs: DataFrame, labels: DataFrame, at_least: float = 0.7) -> DataFram
     """doc_id, held_out, score and predicted (1 if score >= ``at_least``) of every row.
 
     A null text is scored as an empty one. Rows are kept one for one, repeated ones and null doc_ids
-    too (which are never labelled). Without any label every score is a half. Of ``docs`` only doc_id
-    and text are read, of ``labels`` doc_id and quality.
+    too (which are never labelled). Without any label every score is a half. Texts are read whole; one
+    has to fit into a task. Of ``docs`` only doc_id and text are read, of ``labels`` doc_id and quality.
     """
     docs = docs.select("doc_id", "text")
     model = learn(docs, labels.select("doc_id", "quality"))

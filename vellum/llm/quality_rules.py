@@ -44,8 +44,9 @@ def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and ``failed``: a long with bit b set where rule b fails.
 
     A null text counts as an empty one: all measurements 0. Words are maximal runs without ASCII white
-    space; windows are compared by a 64-bit hash. Repeated rows and null doc_ids stay rows of their
-    own. Other columns are not read. An empty table gives no rows.
+    space; a text's windows are compared with one another by a 64-bit hash. Texts are read whole; one has
+    to fit into a task. Repeated rows and null doc_ids stay rows of their own. Other columns are not
+    read. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     # each step's columns are used more than once by the next, so Catalyst keeps them as columns

@@ -47,6 +47,11 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the current policy's rules do, each alone and without it, counted from the ledger's bits."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.remove_repeats(table(spark, sf_dir, "documents")))
 
@@ -55,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring, "op10_quality": op10_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring, "op10_quality": op10_quality, "rule_ablations": rule_ablations}
 
 OP3_SQL = """
 WITH v AS (
@@ -70,7 +75,7 @@ WITH v AS (
 SELECT query_id, CAST(rn AS INTEGER) AS rank, vec_id, score FROM r WHERE rn <= 20
 """
 
-OP8_SQL = r"""
+_LEDGER = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents
@@ -96,8 +101,12 @@ WITH d AS (
     + 128 * (100 * n_letters < 60 * word_chars)::INT AS BIGINT) AS failed
   FROM a
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed % 4 <> 0 AS base_failed, failed = 0 AS kept,
-  n_lines, n_capitals, n_letters, n_shouts, failed FROM f
 """
+OP8_SQL = _LEDGER + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed % 4 <> 0 AS base_failed, failed = 0 AS kept,
+  n_lines, n_capitals, n_letters, n_shouts, failed FROM f"""
+
+_BITS = ", ".join(f"('{rule}', {1 << b})" for b, rule in enumerate(quality_rules.RULES))
+ABLATIONS_SQL = _LEDGER + f"""SELECT r.rule, count(*) FILTER (WHERE failed & bit <> 0) AS failed, count(*) FILTER (WHERE failed = bit) AS alone,
+  count(*) FILTER (WHERE failed IN (0, bit)) AS kept_without FROM f, (VALUES {_BITS}) r(rule, bit) GROUP BY r.rule"""
 
-ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op8_rules": OP8_SQL}
+ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op8_rules": OP8_SQL, "rule_ablations": ABLATIONS_SQL}

@@ -81,15 +81,21 @@ def windows_of(hashes: np.ndarray) -> np.ndarray:
 
 def grouped(keys: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, new): places sorted by key, then rank, and which of them begin another key."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, bool)
+    hashes = np.ascontiguousarray(keys["hash"]) if keys.dtype == KEY else keys
+    order = np.lexsort((rank, hashes))
+    ranked = hashes[order]
+    new = ranked[1:] != ranked[:-1]
     if keys.dtype == KEY:
-        order = np.lexsort((rank, keys["check"], keys["hash"]))
-        keys = keys[order]
-        new = (keys["hash"][1:] != keys["hash"][:-1]) | (keys["check"][1:] != keys["check"][:-1])
-    else:
-        order = np.lexsort((rank, keys))
-        keys = keys[order]
-        new = keys[1:] != keys[:-1]
-    return order, np.concatenate([[True], new]) if len(keys) else np.empty(0, bool)
+        check = keys["check"][order]
+        other = check[1:] != check[:-1]
+        if (other & ~new).any():  # keys that share a hash by chance
+            order = np.lexsort((rank, keys["check"], hashes))
+            ranked, check = hashes[order], keys["check"][order]
+            new, other = ranked[1:] != ranked[:-1], check[1:] != check[:-1]
+        new |= other
+    return order, np.concatenate([[True], new])
 
 
 def on_cover(n: int) -> np.ndarray:
