@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import sys
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -50,36 +51,41 @@ ADDED_CAPITALS = (
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
 CAPITALS = {c: lower + c - first for first, last, lower in ADDED_CAPITALS for c in range(first, last + 1)}
-CAPITAL = regex.compile("[" + "".join(map(chr, CAPITALS)) + "]")
-APART_MARK = regex.compile(f"([{APART_MARKS}])")
+APART_MARK = re.compile(f"([{APART_MARKS}])")
+#: What few texts hold: only those are put into NFC and lower case by the long way.
+RARE = re.compile(f"[{APART_MARKS}{''.join(map(chr, CAPITALS))}]")
+PATTERN = "(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^" + SPACE + "{letter}{number}]+"
+PIECES = regex.compile(PATTERN.format(letter=r"[\p{L}]", number=r"[\p{N}]"))
 
 
 @cache
-def pieces() -> regex.Pattern:
-    """The vocabulary's word pattern, with letters and numbers as its library has them.
+def unknown() -> tuple[frozenset[str], regex.Pattern]:
+    """(letters and numbers that ``regex`` knows and the library doesn't, the word pattern without them).
 
-    Of the characters that Python's tables don't assign, ``regex`` may know more than the library.
+    These are among the characters that Python's tables don't assign.
     """
     blank = "".join(c for c in map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))) if unicodedata.category(c) == "Cn")
-    later = regex.findall(rf"(?V1)[[\p{{L}}\p{{N}}]--[{ADDED_LETTERS}{ADDED_NUMBERS}]]", blank)
-    without = f"--[{''.join(later)}]" if later else ""
-    letter, number = (rf"[\p{{{kind}}}{without}]" for kind in "LN")
-    return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^{SPACE}{letter}{number}]+")
+    later = frozenset(regex.findall(r"[\p{L}\p{N}]", blank)).difference(re.findall(f"[{ADDED_LETTERS}{ADDED_NUMBERS}]", blank))
+    without = f"--[{''.join(sorted(later))}]" if later else ""
+    return later, regex.compile(PATTERN.format(letter=rf"[\p{{L}}{without}]", number=rf"[\p{{N}}{without}]"))
 
 
-def composed(text: str) -> str:
-    """The text in NFC as the library has it."""
-    if not APART_MARK.search(text):
-        return unicodedata.normalize("NFC", text)
-    return "".join([unicodedata.normalize("NFC", part) for part in APART_MARK.split(text)])
+def words_of(chunk: str) -> list[str]:
+    """The words of a run of text, letters and numbers being what the library takes for them."""
+    if chunk.isascii():
+        return PIECES.findall(chunk)
+    later, exact = unknown()
+    return (PIECES if later.isdisjoint(chunk) else exact).findall(chunk)
 
 
 def lowered(text: str) -> str:
     """The text in NFC and lower case as the library has them."""
     if text.isascii():
         return text.lower()
-    text = composed(text).replace("Σ", "σ").lower()
-    return text.translate(CAPITALS) if CAPITAL.search(text) else text
+    if not RARE.search(text):
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    composed = "".join([unicodedata.normalize("NFC", part) for part in APART_MARK.split(text)])
+    return composed.replace("Σ", "σ").lower().translate(CAPITALS)
 
 
 APART = regex.compile(rf"[{SPACE}]+")
@@ -125,7 +131,6 @@ class WordBpe:
         self.final = [ids[c + end] for c in byte_symbols()]
         names = sorted(map(regex.escape, self.special), key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(names) + ")") if names else None
-        self.pieces = pieces()
         self.words: dict[str, tuple[str, str]] = {}
         self.chunks: dict[str, tuple[str, str]] = {}
 
@@ -186,7 +191,7 @@ class WordBpe:
     def _chunk(self, chunk: str) -> tuple[str, str]:
         """A run of text without white space, which no word crosses."""
         get = self.words.get
-        both = [get(w) or self._word(w) for w in self.pieces.findall(chunk)]
+        both = [get(w) or self._word(w) for w in words_of(chunk)]
         out = both[0] if len(both) == 1 else (" ".join([x for x, _ in both]), " ".join([y for _, y in both]))
         if len(chunk) <= SHORT:
             if len(self.chunks) >= MEMORY:
