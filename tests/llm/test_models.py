@@ -47,6 +47,12 @@ def test_every_character_is_the_librarys(library):
         assert own.encode_text(text)[1] == " ".join(map(str, library.encode(text, add_special_tokens=False).ids)), hex(ord(texts[at][1]))
 
 
+def test_what_is_rare_lies_far():
+    later, _ = bpe.unknown()
+    rare = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and bpe.RARE.match(chr(c))]
+    assert rare and all(bpe.FAR.match(c) for c in (*rare, *later))
+
+
 def test_combining_marks_are_the_librarys(library):
     import unicodedata
 

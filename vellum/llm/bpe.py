@@ -52,8 +52,10 @@ ADDED_CAPITALS = (
 )
 CAPITALS = {c: lower + c - first for first, last, lower in ADDED_CAPITALS for c in range(first, last + 1)}
 APART_MARK = re.compile(f"([{APART_MARKS}])")
-#: What few texts hold: only those are put into NFC and lower case by the long way.
+#: What few texts hold: only those are put into NFC and lower case by the long way. All of it, and all
+#: that Unicode has added of late, lies FAR from the common scripts, which is quicker to tell.
 RARE = re.compile(f"[{APART_MARKS}{''.join(map(chr, CAPITALS))}]")
+FAR = re.compile("[\u0530-\U0010ffff]")
 PATTERN = "(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letter}+|{number}|[^" + SPACE + "{letter}{number}]+"
 PIECES = regex.compile(PATTERN.format(letter=r"[\p{L}]", number=r"[\p{N}]"))
 
@@ -72,7 +74,7 @@ def unknown() -> tuple[frozenset[str], regex.Pattern]:
 
 def words_of(chunk: str) -> list[str]:
     """The words of a run of text, letters and numbers being what the library takes for them."""
-    if chunk.isascii():
+    if not FAR.search(chunk):
         return PIECES.findall(chunk)
     later, exact = unknown()
     return (PIECES if later.isdisjoint(chunk) else exact).findall(chunk)
@@ -82,7 +84,7 @@ def lowered(text: str) -> str:
     """The text in NFC and lower case as the library has them."""
     if text.isascii():
         return text.lower()
-    if not RARE.search(text):
+    if not FAR.search(text) or not RARE.search(text):
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
     composed = "".join([unicodedata.normalize("NFC", part) for part in APART_MARK.split(text)])
     return composed.replace("Σ", "σ").lower().translate(CAPITALS)
