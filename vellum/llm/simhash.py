@@ -66,9 +66,9 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     """The majority of each bit, as 64-bit words; ``hashes`` [shingle, word]. Zero without shingles."""
     count, width = hashes.shape
     ones = np.zeros(64 * width, np.int64)
-    for at in range(0, count, 1 << 13):
-        part = np.ascontiguousarray(hashes[at : at + (1 << 13)]).view(np.uint8).reshape(-1, 8 * width)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    for at in range(0, count, 255):  # as many as a byte can count
+        part = np.ascontiguousarray(hashes[at : at + 255]).view(np.uint8).reshape(-1, 8 * width)
+        ones += np.add.reduce(np.unpackbits(part, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return np.packbits(2 * ones > count, bitorder="little").view(np.uint64)
 
 
