@@ -224,3 +224,29 @@ def test_vectors_are_saved_and_loaded(spark, tmp_path):
     assert objects.save_vectors(rows, root).count() == 2
     got = sorted((r.session_id, r.row, r.embedding) for r in objects.load_vectors(spark, root).collect())
     assert got == [("s1", 0, [1.0, 2.0]), ("s1", 1, [3.0, 4.0]), ("s2", 0, [0.5, 0.25])]
+
+
+def test_landed_rows_are_there_until_released(spark):
+    import os
+
+    from vellum.sources import workspace
+
+    rows = workspace.landed(spark.range(100).selectExpr("id % 7 AS k", "id"), "k", "some-rows")
+    assert rows.groupBy("k").count().count() == 7 and not [t for t in spark.catalog.listTables() if t.name.startswith("some_rows")]
+    plan = rows.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    paths = [p.removeprefix("file://") for _, p in workspace._written]
+    assert os.path.isdir(paths[-1])
+    workspace.release(spark)
+    assert not any(map(os.path.exists, paths)) and not workspace._written
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from vellum.sources import workspace
+
+    class Session:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://there:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        workspace.shared_path(Session(), "x")

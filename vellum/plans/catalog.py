@@ -13,7 +13,7 @@ from vellum.operators import chunk, clean, experiments, extract, render, retriev
 from vellum.plans import derive
 from vellum.plans.oracle import ORACLE  # noqa: F401  read by the driver's contract
 from vellum.sources import ocr
-from vellum.sources.workspace import shared_path
+from vellum.sources.workspace import landed, shared_path
 from vellum.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,24 +28,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived fields, dealt out by session.
-
-    All columns travel as one, so that every branch of a report asks for the same exchange, which then
-    is made once.
-    """
-    own = derive.fields(spark, sf_dir)
-    dealt = own.select("session_id", F.struct(*[c for c in own.columns if c != "session_id"]).alias("f")).repartition("session_id")
-    return dealt.select("session_id", "f.*")
-
-
 def _cleaned(fields: DataFrame) -> DataFrame:
     return clean.dedup_fields(clean.clean_fields(fields))
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of the derived fields, with pages (every seventh session has none) and tables (every other one)."""
-    fields = _fields(spark, sf_dir)
+    # dealt out by session once, as all of a report groups and joins by it
+    fields = landed(derive.fields(spark, sf_dir), "session_id", "fields")
     words = fields.where(derive.HAS_PAGES).groupBy("session_id", F.col("page").alias("page_number")).agg(
         F.count(F.lit(1)).alias("word_count"),
         F.sum(F.col("value_confidence").cast(extract.EXACT)).cast("double").alias("total"),
@@ -56,7 +46,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id", "page_number", text.alias("text"), "word_count", T.rounded(F.col("total") / F.col("word_count")).alias("avg_confidence"), "has_handwriting"
     )
     cleaned = clean.clean_pages(pages)
-    kept = _cleaned(fields)
+    kept = landed(_cleaned(fields), "session_id", "kept-fields")
     tables = extract.grids(derive.cells(fields), clean=True)
     docs = extract.every_session(fields.select("session_id").distinct(), extract.documents(cleaned, tables))
     docs = docs.join(clean.notes(cleaned, kept), "session_id", "left")

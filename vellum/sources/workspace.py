@@ -1,11 +1,11 @@
-"""A folder that driver and executors share."""
+"""A folder that driver and executors share, and what is written there for later steps."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
@@ -19,4 +19,34 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="vellum-")
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+#: (application, path) of what has been written and not released.
+_written: list[tuple[str, str]] = []
+
+
+def landed(rows: DataFrame, key: str, tag: str) -> DataFrame:
+    """``rows`` written once in buckets by ``key`` and read back: steps that group or join by it need no shuffle.
+
+    The table's entry in the catalog goes as soon as it has been read; its files stay until ``release``.
+    """
+    spark = rows.sparkSession
+    name, path = f"{tag.replace('-', '_')}_{uuid.uuid4().hex}", shared_path(spark, tag)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return written
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; results that read it end with it."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    own = [w for w in _written if w[0] == spark.sparkContext.applicationId]
+    for w in own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(w[1])
+        path.getFileSystem(hadoop).delete(path, True)
+        _written.remove(w)
