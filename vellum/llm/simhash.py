@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import HOT_KEYS, fresh, join_hot, settle
+from vellum.llm.common import HOT_KEYS, fresh, join_hot, settle, settled
 from vellum.llm.components import components
 
 BITS, RADIUS = 64, 4
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     marked = settle(fingerprints(docs), "fingerprints")
-    classes = settle(_classes(marked.select("doc_id", "fp")), "fp-classes")
+    classes = settled(docs.sparkSession, lambda: _classes(marked.select("doc_id", "fp")), "fp-classes")
     return join_hot(marked, classes, ["fp"], "n", marked.count()).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -422,16 +422,14 @@ def _alike(links: DataFrame, shingles: DataFrame, per_task: int = 1000) -> DataF
     return to(to(links, "u", "v", "a"), "v", "u", "b").withColumn("both", both).where(alike).select("u", "v")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of every group of near-duplicates, with its own columns.
+def _keyed(df: DataFrame, keys: list[str], doc_id: Column, mark: Column) -> DataFrame:
+    """``df`` with ``keys`` of a row without nulls, so that a null doc_id is one like others."""
+    blank = F.lit("" if dict(df.select(doc_id.alias("x")).dtypes)["x"] == "string" else 0)
+    return df.withColumns(dict(zip(keys, (F.coalesce(doc_id, blank), doc_id.isNull(), mark))))
 
-    Two texts are linked if their sets of five-word shingles (fewer words: all of them; A-Z
-    lower-cased) have a Jaccard similarity of 0.8 or more, as far as the tables meet them (see the
-    module's text); texts without words are linked with one another. Groups are what links reach.
-    The row of the smallest doc_id stays, one without doc_id only where no row of the group has one;
-    of several rows of that doc_id, one. Texts are read whole; one has to fit into a task. An empty
-    table gives no rows.
-    """
+
+def _survivors(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """The ``keys`` of the row that stays of every group, and n, how many rows have them."""
     marked = settle(_wide_fingerprints(docs), "wide-fingerprints")
     rows = marked.count()
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")
@@ -452,21 +450,29 @@ def keep_first(docs: DataFrame) -> DataFrame:
         roots = components(sure.union(_alike(more, shingles)))
     roots = roots.withColumnRenamed("u", "node")
     chosen = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    often = _keyed(marked, keys, F.col("doc_id"), F.col("mark")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return _keyed(chosen, keys, F.col("first.doc_id"), F.col("first.mark")).join(often, keys).select(*keys, "n")
 
-    known, none, mark = (fresh(x, docs.columns) for x in ("_known", "_none", "_mark"))
-    # keys without nulls, so that a null doc_id is one like others
-    blank = F.lit(0 if dict(docs.dtypes)["doc_id"] != "string" else "")
-    keys = [known, none, mark]
 
-    def keyed(df: DataFrame, id_, hash_) -> DataFrame:
-        return df.withColumns({known: F.coalesce(id_, blank), none: id_.isNull(), mark: hash_})
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One document of every group of near-duplicates, with its own columns.
 
-    often = keyed(marked, F.col("doc_id"), F.col("mark")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    chosen = settle(keyed(chosen, F.col("first.doc_id"), F.col("first.mark")).join(often, keys).select(*keys, "n"), "kept-first")
-    own = keyed(docs, docs["doc_id"], F.xxhash64(docs["text"]))
+    Two texts are linked if their sets of five-word shingles (fewer words: all of them; A-Z
+    lower-cased) have a Jaccard similarity of 0.8 or more, as far as the tables meet them (see the
+    module's text); texts without words are linked with one another. Groups are what links reach.
+    The row of the smallest doc_id stays, one without doc_id only where no row of the group has one;
+    of several rows of that doc_id, one. Texts are read whole; one has to fit into a task. An empty
+    table gives no rows.
+    """
+    known, none, mark = (fresh(x, docs.columns) for x in ("_known", "_none", "_mark"))
+    keys = [known, none, mark]
+    chosen = settled(docs.sparkSession, lambda: _survivors(docs, keys), "kept-first")
+    own = _keyed(docs, keys, docs["doc_id"], F.xxhash64(docs["text"]))
     once = own.join(chosen.where("n = 1"), keys, "left_semi").drop(*keys)
-    if chosen.where("n > 1").isEmpty():
+    often = chosen.where("n > 1")
+    if often.isEmpty():
         return once
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    again = join_hot(own, chosen.where("n > 1"), keys, "n", rows).groupBy(*keys).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
+    rows = chosen.agg(F.sum("n")).first()[0]
+    again = join_hot(own, often, keys, "n", rows).groupBy(*keys).agg(F.min_by(row, F.xxhash64(row)).alias("row")).select("row.*")
     return once.unionByName(again)
