@@ -127,34 +127,42 @@ def is_table_line(line: Column) -> Column:
     return (F.regexp_count(line, F.lit(r"\|")) >= 2) | (F.size(F.split(line, "\t", -1)) >= 3)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def table_prose(c: Column, lead: str = "Details: ") -> Column:
     """Tables of a heading and one row as sentences: each heading with its value. Best effort.
 
     A table is two table lines of equally many cells (by bars or tabs) with no table line next to
     them; all other lines stay.
     """
-    own = lines(c)
-    cells = F.transform(own, lambda x: F.when(is_table_line(x), F.regexp_count(x, F.lit(r"[|\t]")) + 1).otherwise(0))
-    # one struct per line: the next line, and the cells of the lines around
-    around = F.transform(
-        own,
-        lambda x, i: F.struct(
-            x.alias("line"),
-            F.get(own, i + 1).alias("next"),
-            *[F.coalesce(F.get(cells, i + k), F.lit(0)).alias(name) for k, name in ((-2, "c0"), (-1, "c1"), (0, "c2"), (1, "c3"), (2, "c4"))],
-        ),
-    )
 
     def told(head: Column, row: Column) -> Column:
         pairs = F.zip_with(F.split(head, r"[|\t]", -1), F.split(row, r"[|\t]", -1), lambda a, b: F.concat_ws(" ", F.trim(a), F.trim(b)))
         return F.concat(F.lit(lead), F.array_join(pairs, ", "), F.lit("."))
 
-    first = lambda x: (x["c2"] > 0) & (x["c2"] == x["c3"]) & (x["c1"] == 0) & (x["c4"] == 0)
-    second = lambda x: (x["c1"] > 0) & (x["c1"] == x["c2"]) & (x["c0"] == 0) & (x["c3"] == 0)
-    rewritten = F.transform(F.filter(around, lambda x: ~second(x)), lambda x: F.when(first(x), told(x["line"], x["next"])).otherwise(x["line"]))
+    def rewritten(own: Column, cells: Column) -> Column:
+        """The lines ``own``, given how many cells each has (0: no table line)."""
+
+        def at(i: Column, k: int) -> Column:
+            return F.coalesce(F.get(cells, i + k), F.lit(0))
+
+        def begins(i: Column, k: int) -> Column:
+            """Whether a table of two lines begins ``k`` lines from line i."""
+            return (at(i, k) > 0) & (at(i, k) == at(i, k + 1)) & (at(i, k - 1) == 0) & (at(i, k + 2) == 0)
+
+        new = F.transform(own, lambda x, i: F.when(begins(i, 0), told(x, F.get(own, i + 1))).when(~begins(i, -1), x))
+        return F.array_join(F.array_compact(new), "\n")
+
+    def with_cells(own: Column) -> Column:
+        return _let(F.transform(own, lambda x: F.when(is_table_line(x), F.regexp_count(x, F.lit(r"[|\t]")) + 1).otherwise(0)), lambda cells: rewritten(own, cells))
+
     # most texts have no two table lines in a row, and are spared
-    bars, tabs = r"[^\n|]*\|[^\n|]*\|[^\n]*", r"[^\n\t]*\t[^\n\t]*\t[^\n]*"
-    return F.when(c.rlike(rf"(?:{bars}|{tabs})\n(?:{bars}|{tabs})"), F.array_join(rewritten, "\n")).otherwise(c)
+    # tried at line starts only and without going back, so that long lines take one pass
+    bars, tabs = r"[^\n|]*+\|[^\n|]*+\|[^\n]*+", r"[^\n\t]*+\t[^\n\t]*+\t[^\n]*+"
+    return F.when(c.rlike(rf"(?m)^(?:{bars}|{tabs})\n(?:{bars}|{tabs})"), _let(lines(c), with_cells)).otherwise(c)
 
 
 def gibberish_ratio(c: Column) -> Column:
