@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space; ``bytes.split()`` splits on the same set.
@@ -118,3 +118,28 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name += "_"
     return name
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame:
+    """``rows`` with their place (a long from 0) in ``order`` over the whole table, in a column ``name``.
+
+    Rows are dealt into ranges of ``order``, with the place in the input behind it, so equal rows don't
+    meet in one task; each range is sorted and written. A row's place is that in its range plus the rows
+    of the ranges before, of which there is one number a range.
+    """
+    own = fresh("_own", rows.columns)
+    ranges = rows.withColumn(own, F.monotonically_increasing_id())
+    keys = [*order, F.col(own)]
+    sorted_rows = ranges.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the id's upper bits are the range, the lower 33 the place in it
+    placed = settle(sorted_rows.withColumn(own, F.monotonically_increasing_id()), tag)
+    at = F.shiftrightunsigned(own, 33)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        placed.groupBy(at.alias("range")).agg(F.count(F.lit(1)).alias("n"))
+        .select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    )
+    start, row = fresh("start", placed.columns), fresh("range", placed.columns)
+    starts = F.broadcast(starts.select(F.col("range").alias(row), F.col("start").alias(start)))
+    place = F.col(start) + F.col(own).bitwiseAND((1 << 33) - 1)
+    return placed.join(starts, at == F.col(row)).withColumn(name, place).drop(own, start, row)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langid, mixing, quality_model, quality_rules, sharding, simhash, substring, topk, urls
+from vellum.llm import bpe, langid, mixing, quality_model, quality_rules, resampling, sharding, simhash, substring, topk, urls
 from vellum.llm.common import table
 
 
@@ -60,7 +60,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring, "op10_quality": op10_quality, "rule_ablations": rule_ablations}
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring, "op10_quality": op10_quality, "op13_resampling": op13_resampling, "rule_ablations": rule_ablations}
 
 OP3_SQL = """
 WITH v AS (
@@ -109,4 +114,51 @@ _BITS = ", ".join(f"('{rule}', {1 << b})" for b, rule in enumerate(quality_rules
 ABLATIONS_SQL = _LEDGER + f"""SELECT r.rule, count(*) FILTER (WHERE failed & bit <> 0) AS failed, count(*) FILTER (WHERE failed = bit) AS alone,
   count(*) FILTER (WHERE failed IN (0, bit)) AS kept_without FROM f, (VALUES {_BITS}) r(rule, bit) GROUP BY r.rule"""
 
-ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op8_rules": OP8_SQL, "rule_ablations": ABLATIONS_SQL}
+#: CRC-32 of a list of bytes, with the table made from its polynomial, which DuckDB has no function for.
+_CRC_TABLE = """
+crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc
+)
+"""
+
+
+def _crc(text: str) -> str:
+    """SQL of the CRC-32 of the UTF-8 bytes of the SQL value ``text``, where the column ``crc`` holds the table."""
+    bytes_of = f"list_transform(range(CAST(length(hex(encode({text}))) // 2 AS BIGINT)), lambda k: CAST('0x' || substr(hex(encode({text})), 2 * k + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({bytes_of}, lambda c, x: xor(c // 256, crc[xor(c % 256, x) + 1]), 4294967295), 4294967295)"
+
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP13_SQL = f"""
+WITH {_CRC_TABLE}, d AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents
+), b AS (
+  SELECT {_WORDS} AS w FROM benchmark
+), df AS (
+  SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d
+), bf AS (
+  SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b
+), h AS (
+  SELECT f, {_crc("f")} % 10000 AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf), crc_table
+), s AS (
+  SELECT bucket, count(*) AS s FROM df JOIN h USING (f) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM bf JOIN h USING (f) GROUP BY bucket
+), sums AS (
+  SELECT CAST((SELECT count(*) FROM df) AS DOUBLE) AS all_s, CAST((SELECT count(*) FROM bf) AS DOUBLE) AS all_t
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1) * (all_s + 10000)) / ((coalesce(s, 0) + 1) * (all_t + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), sums
+), m AS (
+  SELECT doc_id, count(*) AS n_features, CAST(floor(sum(gain) / count(*)) AS BIGINT) AS weight FROM df JOIN h USING (f) JOIN gains USING (bucket) GROUP BY doc_id
+), o AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM d LEFT JOIN m USING (doc_id)
+), r AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM o WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM o LEFT JOIN r USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op8_rules": OP8_SQL, "op13_resampling": OP13_SQL, "rule_ablations": ABLATIONS_SQL}
