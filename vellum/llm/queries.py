@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import bpe, langid, mixing, quality_model, quality_rules, resampling, sharding, simhash, substring, topk, urls
+from vellum.llm import bpe, langid, mixing, pii, quality_model, quality_rules, resampling, sharding, simhash, substring, topk, trie, urls
 from vellum.llm.common import table
 
 
@@ -60,12 +60,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring, "op10_quality": op10_quality, "op13_resampling": op13_resampling, "rule_ablations": rule_ablations}
+QUERIES = {"op1_simhash": op1_simhash, "op2_sharding": op2_sharding, "op3_topk": op3_topk, "op4_mixing": op4_mixing, "op5_urls": op5_urls, "op6_bpe": op6_bpe, "op7_langid": op7_langid, "op8_rules": op8_rules, "op9_substring": op9_substring, "op10_quality": op10_quality, "op11_pii": op11_pii, "op12_trie": op12_trie, "op13_resampling": op13_resampling, "rule_ablations": rule_ablations}
 
 OP3_SQL = """
 WITH v AS (
@@ -128,6 +136,37 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce({bytes_of}, lambda c, x: xor(c // 256, crc[xor(c % 256, x) + 1]), 4294967295), 4294967295)"
 
 
+OP12_SQL = f"""
+WITH {_CRC_TABLE}, t AS (
+  SELECT conv_id, k, b, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS p FROM (
+    SELECT conv_id, turn, strlen(coalesce(text, '')) AS b, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL)
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, n, {_crc("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id), crc_table
+), r AS (
+  SELECT c.conv_id, p, k, b FROM c JOIN t ON t.conv_id = c.base AND p < h
+  UNION ALL
+  SELECT c.conv_id, p - c.h + least(c.h, coalesce(o.n, 0)), k, b FROM c JOIN t ON t.conv_id = c.conv_id AND p >= c.h LEFT JOIN c o ON o.conv_id = c.base
+), s AS (
+  SELECT conv_id, p + 1 AS depth, b, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY p) AS path FROM r
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM c
+), l AS (
+  SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last, lag(path) OVER (PARTITION BY conv_id ORDER BY depth) AS above FROM s
+), n AS (
+  SELECT path, any_value(depth) AS depth, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM l GROUP BY path
+), k AS (
+  SELECT above AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above
+), u AS (
+  SELECT s.path, count(*) FILTER (WHERE k.path IS NULL) AS n_leaves, sum((n_convs - 1) * n.b) AS saved
+  FROM n JOIN s ON s.conv_id = n.conv_id AND s.depth <= n.depth LEFT JOIN k ON k.path = n.path GROUP BY s.path
+)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN u ON u.path = n.path LEFT JOIN k ON k.path = n.path LEFT JOIN n m ON m.path = n.above AND n.depth > 0
+"""
+
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x{00}-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 OP13_SQL = f"""
 WITH {_CRC_TABLE}, d AS (
@@ -161,4 +200,4 @@ WITH {_CRC_TABLE}, d AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM o LEFT JOIN r USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op8_rules": OP8_SQL, "op13_resampling": OP13_SQL, "rule_ablations": ABLATIONS_SQL}
+ORACLE: dict[str, str] = {"op3_topk": OP3_SQL, "op8_rules": OP8_SQL, "op12_trie": OP12_SQL, "op13_resampling": OP13_SQL, "rule_ablations": ABLATIONS_SQL}
