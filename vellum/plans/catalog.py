@@ -14,7 +14,7 @@ from vellum.plans import derive
 from vellum.plans.oracle import ORACLE  # noqa: F401  read by the driver's contract
 from vellum.sources import ocr
 from vellum.sources.workspace import landed, shared_path
-from vellum.streaming import stream
+from vellum.streaming import jobs, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -515,6 +515,20 @@ def stream_event_counts(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query
+def job_outcomes(spark, sf_dir):
+    """Every job's one result, from poll responses that arrive in three parts with a restart between them."""
+    stream.keep_state_in_rocksdb(spark)
+    rows = derive.responses(spark, sf_dir)
+    out, checkpoint = shared_path(spark, "stream-jobs"), shared_path(spark, "stream-checkpoint")
+
+    def run(arrived: DataFrame) -> None:
+        stream.drain(jobs.job_results(arrived.withColumn("asked", F.timestamp_seconds("asked_s"))), out, checkpoint)
+
+    stream.in_slices(rows, "asked_s", 3, run)
+    return spark.read.parquet(out)
+
+
 # ---- objects -----------------------------------------------------------------------------------
 
 
@@ -536,6 +550,12 @@ def missing_sessions(spark, sf_dir):
     return ocr.missing_sessions(wanted, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("session_id")))
 
 
+@query
+def batch_order(spark, sf_dir):
+    """Each batch's place in its job, by tokens alone."""
+    return ocr.batch_order(derive.batches(spark, sf_dir))
+
+
 @query
 def json_records(spark, sf_dir):
     return ocr.records(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))

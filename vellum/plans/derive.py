@@ -35,6 +35,30 @@ FROM {events}
 """
 
 
+#: A job for each user, a batch for each event, fetched in order of time: tokens name the next batch, names tell nothing. Some batches are missing, some were saved twice.
+BATCHES = """
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS follower FROM {events} e
+), s AS (SELECT user_id, event_id, 'j' || CAST(user_id AS STRING) AS job_id, md5(CAST(event_id AS STRING)) AS batch,
+  CASE WHEN no > 1 THEN md5(CAST(user_id AS STRING) || ':' || CAST(no AS STRING)) END AS request_token,
+  CASE WHEN follower IS NOT NULL THEN md5(CAST(user_id AS STRING) || ':' || CAST(no + 1 AS STRING)) END AS next_token FROM n)
+SELECT job_id, batch, request_token, next_token FROM s WHERE NOT (user_id % 3 = 1 AND event_id % 97 = 5)
+UNION ALL SELECT job_id, batch || 'r', request_token, next_token FROM s WHERE event_id % 251 = 3
+"""
+
+#: Poll responses: a user's events of a day are a job's, asked for every few seconds or minutes from that day's start on. The
+#: first or second poll succeeds or fails, further rows are batches by token; some rows are missing.
+RESPONSES = """
+WITH d AS (SELECT *, CAST(substr(CAST(ts AS STRING), 6, 2) AS BIGINT) * 31 + CAST(substr(CAST(ts AS STRING), 9, 2) AS BIGINT) AS day FROM {events} e
+), o AS (SELECT *, 'j' || CAST(user_id AS STRING) || '-' || CAST(day AS STRING) AS job_id, row_number() OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS no,
+  count(*) OVER (PARTITION BY user_id, day) AS n, 1 + user_id % 2 AS success FROM d
+)
+SELECT job_id, CAST(event_id AS STRING) AS batch, CAST(day * 86400 + user_id % 1000 + (no - 1) * (CASE WHEN user_id % 5 = 4 THEN 400 ELSE 5 END) AS BIGINT) AS asked_s,
+  CASE WHEN no < success THEN 'IN_PROGRESS' WHEN no = success AND user_id % 11 = 3 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status,
+  CASE WHEN no > success THEN 't' || CAST(no AS STRING) END AS request_token, CASE WHEN no >= success AND no < n THEN 't' || CAST(no + 1 AS STRING) END AS next_token
+FROM o WHERE event_id % 23 <> 7
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,6 +71,14 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RUNS, events=_table(spark, sf_dir, "events"))
 
 
+def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(BATCHES, events=_table(spark, sf_dir, "events"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(RESPONSES, events=_table(spark, sf_dir, "events"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
 

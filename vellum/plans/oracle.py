@@ -279,6 +279,32 @@ SELECT intent, n_a, n_b, CASE WHEN done THEN 'conclude' WHEN n_a + n_b >= 200 TH
     "judge_scores": f"WITH {RUNS} SELECT run_id, CASE WHEN run_id % 5 <> 0 THEN faithfulness END AS score FROM ru",
     "sse_deltas": "SELECT conv_id, turn, CASE WHEN turn % 5 = 4 OR turn % 7 = 3 THEN NULL ELSE role END AS delta FROM conversations",
     "session_ids": "SELECT event_id, '2025-' || lpad((event_id % 12 + 1)::VARCHAR, 2, '0') || '-15 14:23:05' AS started FROM events",
+    "batch_order": f"""WITH RECURSIVE b AS ({derive.BATCHES.format(events="events")}), k AS (
+  SELECT job_id, request_token, min(batch) AS batch, arg_min(coalesce(next_token, ''), batch) AS next_token FROM b GROUP BY job_id, request_token
+), c AS (
+  SELECT job_id, batch, next_token, CAST(0 AS BIGINT) AS no FROM k WHERE request_token IS NULL
+  UNION ALL SELECT k.job_id, k.batch, k.next_token, no + 1 FROM c JOIN k ON k.job_id = c.job_id AND k.request_token = c.next_token
+), j AS (
+  SELECT job_id, count(*) AS n, count(no) AS reached, arg_max(k.next_token, no) AS tail FROM k LEFT JOIN c USING (job_id, batch) GROUP BY job_id
+)
+SELECT b.job_id, b.batch, no AS batch_no, CASE WHEN k.batch IS NULL THEN 'repeat' WHEN reached < n THEN 'gap' WHEN tail <> '' THEN 'open' ELSE 'whole' END AS job_state
+FROM b JOIN j USING (job_id) LEFT JOIN k USING (job_id, batch) LEFT JOIN c USING (job_id, batch)""",
+    "job_outcomes": f"""WITH r AS ({derive.RESPONSES.format(events="events")}), s AS (
+  SELECT *, min(asked_s) OVER (PARTITION BY job_id) + 600 AS limit_s, max(asked_s) OVER () AS now_s,
+    coalesce(sum(CAST(substr(next_token, 2) AS INT)) OVER w, 0) AS named, coalesce(sum(CAST(substr(request_token, 2) AS INT)) OVER w, 0) AS fetched, count(*) FILTER (WHERE status = 'SUCCEEDED' AND request_token IS NULL) OVER w AS firsts,
+    count(*) FILTER (WHERE status = 'SUCCEEDED' AND next_token IS NULL) OVER w AS lasts, count(*) FILTER (WHERE status = 'SUCCEEDED') OVER w AS n_batches,
+    count(*) FILTER (WHERE request_token IS NULL) OVER w AS attempts
+  FROM r WINDOW w AS (PARTITION BY job_id ORDER BY asked_s)
+), e AS (
+  SELECT *, CASE WHEN status = 'FAILED' THEN 'FAILED' WHEN firsts = 1 AND lasts = 1 AND named = fetched THEN 'SUCCEEDED' END AS outcome FROM s WHERE asked_s <= limit_s
+), f AS (
+  SELECT job_id, min(asked_s) AS ended_s, arg_min(outcome, asked_s) AS outcome, arg_min(attempts, asked_s) AS attempts, arg_min(n_batches, asked_s) AS n_batches
+  FROM e WHERE outcome IS NOT NULL GROUP BY job_id
+), t AS (
+  SELECT job_id, max(limit_s) AS limit_s, max(now_s) AS now_s, max(attempts) AS attempts, max(n_batches) AS n_batches FROM e GROUP BY job_id
+)
+SELECT job_id, coalesce(f.outcome, 'TIMED_OUT') AS outcome, coalesce(f.attempts, t.attempts) AS attempts, coalesce(f.n_batches, t.n_batches) AS n_batches,
+  CAST(1000 * coalesce(ended_s, limit_s) AS BIGINT) AS ended_ms FROM t LEFT JOIN f USING (job_id) WHERE f.outcome IS NOT NULL OR limit_s < now_s""",
     "session_latest_status": "SELECT user_id AS session_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
     "sessions_recent": "WITH m AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id) SELECT * FROM m ORDER BY event_id DESC LIMIT 20",
     "stream_event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",

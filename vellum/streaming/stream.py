@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.sources import ocr
+from vellum.sources.workspace import shared_path
 
 
 def landed_responses(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """A stream of OCR responses as their files land."""
-    rows = spark.readStream.schema(ocr.RESPONSE).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(path)
-    name = F.col("_metadata.file_name")
-    return rows.select(ocr.session_of(name).alias("session_id"), name.alias("batch"), F.col("JobId").alias("job_id"), F.col("JobStatus").alias("status"), "Blocks")
+    return ocr.responses_of(spark.readStream.schema(ocr.RESPONSE).option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(path))
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -21,6 +22,28 @@ def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """State with timers or a time to live needs this store; it also keeps state out of the executors' heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def in_slices(rows: DataFrame, by: str, slices: int, run: Callable[[DataFrame], None]) -> None:
+    """Let ``rows`` arrive in ``slices`` equal ranges of the number ``by``; ``run`` drains a stream of what has landed.
+
+    Each run is a stream of its own that goes on from the checkpoint of the one before, as after a restart.
+    """
+    spark = rows.sparkSession
+    path = shared_path(spark, "landing")
+    first, last = rows.agg(F.min(by), F.max(by)).first()
+    if first is None:
+        first = last = 0
+    width = (last - first) // slices + 1
+    for k in range(slices):
+        low = first + k * width
+        rows.where(F.col(by).between(low, low + width - 1)).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path))
+
+
 def running_counts(events: DataFrame, keys: list[str]) -> DataFrame:
     """A running count per key, for complete or update mode."""
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
