@@ -235,7 +235,7 @@ def test_landed_rows_are_there_until_released(spark):
     assert rows.groupBy("k").count().count() == 7 and not [t for t in spark.catalog.listTables() if t.name.startswith("some_rows")]
     plan = rows.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
-    paths = [p.removeprefix("file://") for _, p in workspace._written]
+    paths = [p.removeprefix("file://") for p in workspace._written]
     assert os.path.isdir(paths[-1])
     workspace.release(spark)
     assert not any(map(os.path.exists, paths)) and not workspace._written
