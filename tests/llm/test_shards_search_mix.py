@@ -118,14 +118,14 @@ def test_schedule_stays_within_one_block():
         total, given = sum(weights[s] for s in active), dict.fromkeys(active, 0)
         for t, (s, *_) in enumerate(rows, 1):
             given[s] += 1
-            assert all(abs(given[x] - t * weights[x] / total) < 1 for x in active)
+            assert all(abs(given[x] - t * weights[x] / total) < mixing.STEPS / 2 for x in active)
             if given[s] == blocks[s]:
                 break
 
 
 def test_mix(spark):
     df = frames.documents(spark, extra=frames.CLASH)
-    rows = mixing.mix(df, block_bytes=64, salt_rows=4, least_weight=0.0).collect()
+    rows = mixing.mix(df, block_bytes=64, least_weight=0.0).collect()
     assert len(rows) == df.count() and all(r.kept for r in rows)
     kept = mixing.mix(df, weights={"s1": 1.0, "s2": 1.0}, block_bytes=64)
     assert {r.source for r in kept.where("kept").collect()} <= {"s1", "s2"}
@@ -138,7 +138,7 @@ def test_every_document_is_in_the_mix(spark):
     # small sources run out first; the hot one holds a third of the weight
     rows = [(i, "x" * 99, "hot" if i < 400 else f"s{i % 12}") for i in range(700)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix(df, block_bytes=200, salt_rows=50).collect()
+    out = mixing.mix(df, block_bytes=200).collect()
     assert len(out) == 700 and all(r.kept and r.slot is not None for r in out)
     assert sorted(r.doc_id for r in mixing.keep_mixed(df, block_bytes=200).collect()) == list(range(700))
     # a cut has to be asked for
@@ -189,34 +189,53 @@ def test_empty_and_repeated_query_vectors(spark):
     assert got == [(1, 3, 64 * 64), (2, 3, 64 * 64), (3, 5, 64 * 32), (4, 4, 0)]
 
 
-def plain_mix(steps, weights, period):
-    """The mix slot by slot: in every phase, the released step of the earliest deadline goes next."""
-    done, start, out = dict.fromkeys(steps, 0), 0, []
-    left = sorted(s for s in steps if steps[s] and weights[s])
-    while left:
-        length = max(period, 4 * len(left))
-        part = mixing.parts_of({s: weights[s] for s in left}, length)
-        assert sum(part.values()) == length and all(abs(part[s] - weights[s] * length / sum(weights[x] for x in left)) <= 1 for s in left)
-        given, now = dict.fromkeys(left, 0), 0
-        while True:
-            windows = [(math.ceil(Fraction((given[s] + 1) * length, part[s])), s) for s in left if given[s] * length // part[s] <= now]
-            due, s = min(windows)
-            out.append((s, done[s], start + given[s] * length // part[s], start + due, start + now))
-            given[s], done[s], now = given[s] + 1, done[s] + 1, now + 1
-            if done[s] == steps[s]:
-                left.remove(s)
-                start += now
-                break
-    return out
+def off_target(weights, slots, period):
+    """The farthest that any source is from its exact share of the first slots, over all slots, in steps."""
+    exact = mixing.whole_weights(weights)
+    total, shares, given, worst = sum(exact.values()), mixing.Shares(exact), dict.fromkeys(exact, 0), 0
+    for begin in range(0, slots, period):
+        for s, k, release, deadline, at in mixing.run_of(shares, begin, min(begin + period, slots)):
+            assert k == given[s] and release <= at < deadline
+            # the farthest behind before its own step, the farthest ahead after it
+            behind, ahead = Fraction(exact[s] * at, total) - k, k + 1 - Fraction(exact[s] * (at + 1), total)
+            given[s] += 1
+            worst = max(worst, behind, ahead)
+        assert sum(given.values()) == min(begin + period, slots)
+        worst = max(worst, *(abs(given[s] - Fraction(exact[s] * sum(given.values()), total)) for s in exact))
+    return worst
+
+
+@pytest.mark.parametrize("weights, slots", [
+    ({"a": 1 / 3, "b": 2 / 3}, 10**6), ({"a": 1e-5, "b": 1 - 1e-5}, 400_000), ({f"s{i}": random.Random(i).random() ** 3 for i in range(2000)}, 60_000),
+    ({f"s{i}": 1.618**-i for i in range(25)}, 60_000), ({"a": 1, "b": 10**9, "c": 1}, 60_000),
+])
+def test_every_source_stays_by_its_exact_weight(weights, slots):
+    assert off_target(weights, slots, 8192) <= 3
+
+
+def test_shares_are_exact_far_out():
+    weights = mixing.whole_weights({"a": 1 / 3, "b": 0.1, "c": 1e-9, "d": 7.5})
+    shares, total = mixing.Shares(weights), sum(weights.values())
+    for n in (10**6, 10**12 + 7, 10**15 + 1):
+        at = shares.at(n)
+        assert sum(at.values()) == n and all(abs(at[s] - Fraction(weights[s] * n, total)) <= 2 and at[s] == shares.of(s, n) for s in weights)
+        assert all(0 <= shares.at(n + 1)[s] - at[s] <= 1 for s in weights)
+    k = shares.reaches("c", 5, weights, total)
+    assert shares.of("c", k) == 5 and shares.of("c", k - 1) == 4
 
 
-def test_the_plan_is_the_schedule_slot_by_slot():
+def test_every_step_has_one_slot():
     rng = random.Random(12)
     for _ in range(25):
         names = [f"s{i}" for i in range(rng.randint(1, 6))]
         steps, weights = {s: rng.randint(0, 400) for s in names}, {s: rng.randint(1, 50) for s in names}
-        assert mixing.schedule(steps, weights, 0.0, 64) == plain_mix(steps, weights, 64)
-    assert mixing.parts_of({"a": 1, "b": 10**9, "c": 1}, 16) == {"a": 1, "b": 14, "c": 1}
+        out = mixing.schedule(steps, weights, period=64)
+        assert [r[4] for r in out] == list(range(sum(steps.values()))) and sorted(r[:2] for r in out) == sorted((s, k) for s in names for k in range(steps[s]))
+        assert all(release <= slot < deadline for _, _, release, deadline, slot in out)
+        # the first phase ends with the step with which a source runs out
+        first = [p for p in mixing.plan(steps, weights) if p[1] == 0]
+        assert not first or [p[3] == steps[p[0]] for p in first].count(True) == 1
+    assert mixing.plan({}, {}) == [] and mixing.schedule({"a": 3}, {"a": 0.0}) == []
 
 
 @pytest.mark.parametrize("longest", [100, 5000])
@@ -224,24 +243,24 @@ def test_mix_end_to_end(spark, longest):
     rng = random.Random(longest)
     rows = [(i, "y" * rng.randint(0, longest), rng.choice(["a", "a", "a", "b", None])) for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    block, step, period = 512, 256, 128
-    out = mixing.mix(df, block_bytes=block, period=period, salt_rows=100).collect()
+    block, step, period = 512, 512 // mixing.STEPS, 128
+    out = mixing.mix(df, block_bytes=block, period=period).collect()
     assert len(out) == 1500 and all(r.kept and r.release <= r.slot < r.deadline for r in out)
     by = defaultdict(list)
     for r in out:
         by[r.source].append(r)
     total = {s: sum(r.bytes for r in own) for s, own in by.items()}
-    # every step's slot, release and deadline are those of the plain schedule
-    weights = {s: round(t**0.8 * 1000) for s, t in total.items()}
+    # every step's slot, release and deadline are those of the schedule written out
+    weights = {s: float(t) ** 0.8 for s, t in total.items()}
     steps = {s: -(-t // step) for s, t in total.items()}
-    plain = {(s, j): times for s, j, *times in plain_mix(steps, weights, period)}
+    plain = {(s, j): times for s, j, *times in mixing.schedule(steps, weights, period=period)}
     assert all(plain[r.source, r.block] == [r.release, r.deadline, r.slot] for r in out)
     # documents stand at the step of their middle
     for s, own in by.items():
         own.sort(key=lambda r: r.block)
         assert all(0 <= r.block < steps[s] for r in own)
-    # until a source runs out, each has had its share of the slots' bytes to within a block or the longest document
-    part, most = mixing.parts_of(weights, period), max(block, max(r.bytes for r in out))
+    # until a source runs out, each has had its exact share of the slots' bytes to within a block or the longest document
+    most = max(block, max(r.bytes for r in out))
     first_end = min(max(r.slot for r in own) for own in by.values())
     slots = sorted(out, key=lambda r: r.slot)
     given, at = dict.fromkeys(by, 0), 0
@@ -249,7 +268,7 @@ def test_mix_end_to_end(spark, longest):
         while at < len(slots) and slots[at].slot < t:
             given[slots[at].source] += slots[at].bytes
             at += 1
-        assert all(abs(given[s] - t * step * part[s] / period) < most for s in by)
+        assert all(abs(given[s] - t * step * weights[s] / sum(weights.values())) < most for s in by)
     # sources without a weight stay out
     some = mixing.mix(df, weights={"a": 2.0}, block_bytes=block)
     assert {r.source for r in some.where("kept").collect()} == {"a"} and some.where("NOT kept AND slot IS NULL").count() == len(by["b"]) + len(by[""])

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.sources.workspace import _written, release, scratch, settle, settled, shared_dir, shared_path  # noqa: F401  for the operators
+
 #: Words are maximal runs of anything but ASCII white space; ``bytes.split()`` splits on the same set.
 WORD = r"[^\x20\x09-\x0D]+"
 #: How many hot keys a join may broadcast, and the least rows of a key that is hot.
@@ -20,79 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset on one machine, as in
-    tests, is a temporary folder made and set for the session; elsewhere that is an error, as other
-    machines would not see the folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("vellum.shared.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="vellum-")
-        spark.conf.set("vellum.shared.dir", folder)
-    return folder.rstrip("/")
-
-
-#: What this process has written to the shared folder and not deleted, and the application that did.
-_written: list[str] = []
-_owner: dict[str, str] = {}
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append(path)
-    _owner[path] = spark.sparkContext.applicationId
-    return path
-
-
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for name in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(hadoop).delete(path, True)
-        _written.remove(name)
-        del _owner[name]
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all that operators have written for this application and still keep; their results end with it."""
-    _delete(spark, [p for p in _written if _owner[p] == spark.sparkContext.applicationId])
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """What operators write inside is deleted at the end: for results that have been written elsewhere by then."""
-    before = set(_written)
-    try:
-        yield
-    finally:
-        _delete(spark, [p for p in _written if p not in before and _owner[p] == spark.sparkContext.applicationId])
-
-
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
-
-    This cuts the lineage: an executor lost later costs a reread of files, not a rerun of the steps
-    before. A written table, unlike a cached one, also outlives the executor that made it.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
-    """What ``make`` returns, written and read back; all that it wrote on the way is deleted."""
-    path = new_path(spark, tag)
-    with scratch(spark):
-        df = make()
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, which has each key once and in ``count`` its number of rows.
 

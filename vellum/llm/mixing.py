@@ -1,31 +1,41 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source's bytes are cut into steps of half a block. With weight w, the source's step j (from 1) is
-released at slot floor((j - 1) / w) and due by slot ceil(j / w). Slots are given out earliest deadline
-first among released steps, which keeps every source within less than one step of its share at every
-slot. Documents are whole: one stands at the step in which its middle lies, so what a source has been
-given is off by half of the document across the edge at most. Together that is less than a block, a
-block being ``block_bytes`` or that document, whichever is longer.
-
-Weights are parts of a period of slots. After a period every source has had just its part, so the
-schedule repeats, and the slot of any step follows from the period's pattern: the pattern is made from
-the sources alone, whatever the size of the corpus, and documents look up their slots in Spark. A source
-that runs out leaves, and the windows of the others start anew with their weights scaled up: a new
-phase, with a pattern of its own, until every step has its slot. A mix of a target size is asked for by
-``least_weight``: it ends when the sources that are left hold less than that part of the target weight.
+Every source's bytes are cut into steps of an eighth of a block, and every slot of the mix takes one
+step. Slots are given out earliest deadline first: with n of the ``len`` slots of a run, a source's step
+k (from 1) is released at slot floor((k - 1) * len / n) of the run and due by slot ceil(k * len / n), which
+keeps it within less than one step of its share at every slot.
+
+So that runs can be scheduled apart, in parallel, what each source has had by the end of any run is told
+without the runs before: the sources' weights are halved again and again (``Shares``), and at each split
+the slots so far are divided by the exact weights and rounded once. That is at most two steps off the
+exact target at any slot number, however large, as at every split no side weighs more than three
+quarters unless it is one source. Between the ends of a run the deadlines keep the same bound, so a
+source is at most three steps off, and documents are whole: one stands at the step in which its middle
+lies, which is half of a document off at most. Together that is less than a block, a block being
+``block_bytes`` or the longest document, whichever is longer.
+
+A source that runs out leaves, and the others start anew with their weights scaled up: a new phase. A
+mix of a target size is asked for by ``least_weight``: it ends when the sources that are left hold less
+than that part of the target weight.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
+from math import lcm
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fresh, join_hot, parts, settle
+from vellum.llm.common import fresh, settle
+
+#: Steps in a block, and runs that a task schedules at a time.
+STEPS, TOGETHER = 8, 32
 
 
 def interleave(weights: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
@@ -49,88 +59,148 @@ def interleave(weights: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
         now += 1
 
 
-def parts_of(weights: dict[str, int], period: int) -> dict[str, int]:
-    """``weights`` as whole parts of a period, one at least each, by largest remainders; ties to the first by name."""
-    total = sum(weights.values())
-    out = {s: max(1, w * period // total) for s, w in weights.items()}
-    rest = sorted(weights, key=lambda s: (out[s] - Fraction(weights[s] * period, total), s))
-    short = period - sum(out.values())
-    for s in rest[: max(0, short)]:
-        out[s] += 1
-    while short < 0:  # only where small weights were raised to one part
-        most = max(sorted(out), key=out.get)
-        cut = min(-short, max(1, out[most] // 2))
-        out[most] -= cut
-        short += cut
-    return out
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportions of ``weights``, any numbers of which only positive ones count."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    unit = lcm(*(f.denominator for f in exact.values()))
+    return {s: int(f * unit) for s, f in exact.items()}
+
+
+class Shares:
+    """How many of the first n slots belong to each of some integer weights, for any n, in whole numbers.
+
+    Sources stand in order of weight, and their range is split where its weight is nearest to a half,
+    again and again. Each split gives its first side the rounded share of the slots that the range has:
+    both sides only grow with n, and their sum is exact.
+    """
+
+    def __init__(self, weights: dict[str, int]) -> None:
+        self.names = sorted(weights, key=lambda s: (-weights[s], s))
+        ends = [0]
+        for s in self.names:
+            ends.append(ends[-1] + weights[s])
+        ranges, self.cuts, self.above, self.leaf = [(0, len(self.names))], [], [(-1, True)], {}
+        for k, (lo, hi) in enumerate(ranges):  # grows on the way
+            if hi - lo == 1:
+                self.cuts.append(None)
+                self.leaf[self.names[lo]] = k
+                continue
+            middle = ends[lo] + ends[hi]
+            cut = min(max(bisect_left(ends, middle / 2, lo + 1, hi - 1), lo + 1), hi - 1)
+            if cut > lo + 1 and middle - 2 * ends[cut - 1] < 2 * ends[cut] - middle:
+                cut -= 1
+            self.cuts.append((ends[cut] - ends[lo], ends[hi] - ends[lo], len(ranges)))
+            ranges += [(lo, cut), (cut, hi)]
+            self.above += [(k, True), (k, False)]
+
+    def at(self, n: int) -> dict[str, int]:
+        """Every source's steps among the first n slots."""
+        given = [n] + [0] * (len(self.cuts) - 1)
+        for k, cut in enumerate(self.cuts):
+            if cut:
+                own, total, child = cut
+                given[child] = (2 * given[k] * own + total) // (2 * total)
+                given[child + 1] = given[k] - given[child]
+        return {s: given[k] for s, k in self.leaf.items()}
+
+    def of(self, source: str, n: int) -> int:
+        """One source's steps among the first n slots."""
+        path, k = [], self.leaf[source]
+        while k:
+            k, first = self.above[k]
+            path.append((*self.cuts[k][:2], first))
+        for own, total, first in reversed(path):
+            part = (2 * n * own + total) // (2 * total)
+            n = part if first else n - part
+        return n
 
+    def reaches(self, source: str, steps: int, weights: dict[str, int], total: int) -> int:
+        """The least n at which ``source`` has had ``steps`` steps."""
+        low, high = max(0, (steps - 4) * total // weights[source]), (steps + 4) * total // weights[source] + 1
+        while low < high:
+            middle = (low + high) // 2
+            if self.of(source, middle) >= steps:
+                high = middle
+            else:
+                low = middle + 1
+        return low
 
-def plan(steps: dict[str, int], weights: dict[str, int], least_weight: float = 0.0, period: int | None = None) -> tuple[list[tuple], list[tuple]]:
-    """(phases, pattern) of the mix.
 
-    phases: (source, phase, first, taken, part, start, period): in the phase, from slot ``start``, the
-    source gives ``taken`` steps from its ``first``, ``part`` of them a period. pattern: (source,
-    phase, k, release, deadline, at) for step k of the period. Work and rows are at most a period for
-    every source. Without a ``period`` the weights are taken as they are: their total is the period.
+def plan(steps: dict[str, int], weights: dict[str, float], least_weight: float = 0.0) -> list[tuple]:
+    """The phases: (source, phase, first, taken, start, length) for every source that a phase has.
+
+    In the phase, of ``length`` slots from ``start``, the source gives ``taken`` steps from its
+    ``first``. The work is a phase for every source, each over the sources that are left.
     """
-    left = {s: n for s, n in steps.items() if n > 0 and weights.get(s, 0) > 0}
-    whole = sum(weights[s] for s in left)
+    exact = whole_weights(weights)
+    left = {s: n for s, n in steps.items() if n > 0 and s in exact}
+    whole = sum(exact[s] for s in left)
     phases: list[tuple] = []
-    pattern: list[tuple] = []
     start = phase = 0
-    while left and Fraction(sum(weights[s] for s in left), whole) >= Fraction(least_weight):
-        length = max(period, 4 * len(left)) if period else sum(weights[s] for s in left)
-        part = parts_of({s: weights[s] for s in left}, length)
-        # periods before that in which the first source runs out, and what is left in it
-        full = min((n - 1) // part[s] for s, n in left.items())
-        rest = {s: n - full * part[s] for s, n in left.items()}
-        given, end = dict.fromkeys(left, 0), None
-        for at, (s, k, release, deadline) in zip(range(length), interleave(part)):
-            pattern.append((s, phase, k, release, deadline, at))
-            if end is None:
-                given[s] += 1
-                if given[s] == rest[s]:
-                    end = at
-                    if not full:
-                        break
-        for s in sorted(left):
-            taken = full * part[s] + given[s]
-            phases.append((s, phase, steps[s] - left[s], taken, part[s], start, length))
+    while left and Fraction(sum(exact[s] for s in left), whole) >= Fraction(least_weight):
+        own = {s: exact[s] for s in left}
+        total, shares = sum(own.values()), Shares(own)
+        soonest = min((left[s] + 4) * total // own[s] + 1 for s in left)
+        length = min(shares.reaches(s, left[s], own, total) for s in left if (left[s] - 4) * total // own[s] <= soonest)
+        for s, taken in shares.at(length).items():
+            phases.append((s, phase, steps[s] - left[s], taken, start, length))
             left[s] -= taken
         left = {s: n for s, n in left.items() if n}
-        start += full * length + end + 1
+        start += length
         phase += 1
-    return phases, pattern
+    return phases
+
 
+def run_of(shares: Shares, begin: int, end: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """(source, step, release, deadline, slot) of slots ``begin`` to ``end`` of a phase, all counted in the phase."""
+    before, after = shares.at(begin), shares.at(end)
+    own = {s: after[s] - before[s] for s in after if after[s] > before[s]}
+    for at, (s, k, release, deadline) in zip(range(begin, end), interleave(own)):
+        yield s, before[s] + k, begin + release, begin + deadline, at
 
-def schedule(steps: dict[str, int], weights: dict[str, int], least_weight: float = 0.0, period: int | None = None) -> list[tuple]:
-    """The plan written out, for few steps: (source, step, release, deadline, slot) in order of the slot."""
-    phases, pattern = plan(steps, weights, least_weight, period)
-    at = {(s, phase, k): times for s, phase, k, *times in pattern}
-    out = []
-    for s, phase, first, taken, part, start, length in phases:
-        for i in range(taken):
-            out.append((s, first + i, *(start + i // part * length + t for t in at[s, phase, i % part])))
-    return sorted(out, key=lambda row: row[-1])
 
+def schedule(steps: dict[str, int], weights: dict[str, float], least_weight: float = 0.0, period: int = 8192) -> list[tuple]:
+    """The mix written out, for few steps: (source, step, release, deadline, slot) in order of the slot."""
+    phases, exact, out = plan(steps, weights, least_weight), whole_weights(weights), []
+    for phase in sorted({p[1] for p in phases}):
+        own = {p[0]: p for p in phases if p[1] == phase}
+        shares, (start, length) = Shares({s: exact[s] for s in own}), next(iter(own.values()))[4:]
+        for begin in range(0, length, period):
+            for s, k, *times in run_of(shares, begin, min(begin + period, length)):
+                out.append((s, own[s][2] + k, *(start + t for t in times)))
+    return out
 
-PHASE = "source string, phase long, first long, taken long, part long, start long, period long"
-PATTERN = "source string, phase long, k long, release long, deadline long, at long"
 
+PHASE = "source string, weight double, phase long, first long, taken long, start long, length long"
+STEP = "source string, block long, release long, deadline long, slot long"
 
-def _planned(least_weight: float, period: int):
-    """Both tables of the plan in one, told apart by ``at``, which phases don't have."""
-    names = [c.split()[0] for c in (PHASE + ", " + PATTERN.split(", ", 2)[2]).split(", ")]
 
+def _planned(least_weight: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         steps = dict(zip(pdf["source"], pdf["steps"].astype(int)))
-        weights = dict(zip(pdf["source"], pdf["weight"].astype(int)))
-        phases, pattern = plan(steps, weights, least_weight, period)
-        rows = [(*p, None, None, None, None) for p in phases]
-        rows += [(s, phase, *[None] * 5, *rest) for s, phase, *rest in pattern]
-        return pd.DataFrame(rows, columns=names).astype({n: "Int64" for n in names[1:]})
+        weights = dict(zip(pdf["source"], pdf["weight"].astype(float)))
+        rows = [(p[0], weights[p[0]], *p[1:]) for p in plan(steps, weights, least_weight)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PHASE.split(", ")])
+
+    return run
+
+
+def _scheduled(period: int):
+    """The steps of the runs of a task's part of a phase, from a row for each of the phase's sources."""
 
-    return run, PHASE + ", " + PATTERN.split(", ", 2)[2]
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shares = Shares(whole_weights(dict(zip(pdf["source"], pdf["weight"].astype(float)))))
+        first = dict(zip(pdf["source"], pdf["first"].astype(int)))
+        start, length, part = (int(pdf[c].iloc[0]) for c in ("start", "length", "part"))
+        rows = []
+        for begin in range(part * TOGETHER * period, min((part + 1) * TOGETHER * period, length), period):
+            rows += [(s, first[s] + k, release, deadline, at) for s, k, release, deadline, at in run_of(shares, begin, min(begin + period, length))]
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in STEP.split(", ")])
+        for c in ("release", "deadline", "slot"):
+            out[c] += np.int64(start)
+        return out
+
+    return run
 
 
 def mix(
@@ -140,16 +210,14 @@ def mix(
     block_bytes: int = 8192,
     period: int = 8192,
     least_weight: float = 0.0,
-    salt_rows: int = 10_000,
 ) -> DataFrame:
     """Where every document stands in the mix.
 
-    ``weights`` gives each source's target weight (sources without one have none and stay out), taken
-    to one part in ``period``. By default a source weighs its bytes to the power ``smoothing``, which
-    lifts small sources and keeps a hot one from drowning the rest.
+    ``weights`` gives each source's target weight (sources without one have none and stay out); their
+    proportions are kept exactly. By default a source weighs its bytes to the power ``smoothing``, which
+    lifts small sources and keeps a hot one from drowning the rest. ``period`` is the length of a run.
 
-    Returns doc_id, source, bytes (of the text in UTF-8, plus one), block (the half block at which it
-    stands), release, deadline, slot and kept. By default every document of a source with a weight is
+    Returns doc_id, source, bytes (of the text in UTF-8, plus one), block (the step at which it stands), release, deadline, slot and kept. By default every document of a source with a weight is
     kept; only where ``least_weight`` ends the mix, a document beyond its end has null release,
     deadline and slot and kept false, as has one of a source without weight. Nulls: a null source is a
     source of its own, named by an empty string together with empty names; a null text has no bytes. A
@@ -163,55 +231,36 @@ def mix(
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("bytes"),
         F.coalesce(F.crc32(F.col("text")), F.lit(0)).alias("check"),
     )
-    rows = settle(rows, "mix-rows")
-    totals = settle(rows.groupBy("source").agg(F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("n")), "mix-totals")
-    count = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    step = max(1, block_bytes // 2)
-    salts = parts(spark, count, salt_rows)
-
-    # a running sum of bytes over each source, in pieces that no hot source can outgrow
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "bytes", "check"), F.lit(salts)))
-    before = Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        salted.groupBy("source", "salt")
-        .agg(F.sum("bytes").alias("own"))
-        .select("source", "salt", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("start"))
-    )
-    within = Window.partitionBy("source", "salt").orderBy("doc_id", "bytes", "check").rowsBetween(Window.unboundedPreceding, -1)
+    # each source's rows in order, dealt in ranges that no hot source or repeated row can outgrow
+    order = ["source", "doc_id", "bytes", "check", "own"]
+    dealt = rows.withColumn("own", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = settle(dealt.withColumn("own", F.monotonically_increasing_id()), "mix-rows").withColumn("part", F.shiftrightunsigned("own", 33))
+    step = max(1, block_bytes // STEPS)
+
+    # a running sum of bytes over each source, in those pieces
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = settle(rows.groupBy("source", "part").agg(F.sum("bytes").alias("held")), "mix-pieces")
+    totals = pieces.groupBy("source").agg(F.sum("held").alias("total"))
+    starts = pieces.select("source", "part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("source", "part").orderBy("own").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        salted.withColumn("run", F.coalesce(F.sum("bytes").over(within), F.lit(0)))
-        .join(starts, ["source", "salt"])
+        rows.withColumn("run", F.coalesce(F.sum("bytes").over(within), F.lit(0)))
+        .join(starts, ["source", "part"])
         .select("doc_id", "source", "bytes", F.expr(f"(start + run + bytes div 2) div {step}").alias("block"))
     )
     if weights is None:
-        weight = F.round(F.pow(F.col("total").cast("double"), F.lit(smoothing)) * 1000)
+        weight = F.pow(F.col("total").cast("double"), F.lit(smoothing))
     else:
         given = F.create_map(*[F.lit(x) for pair in sorted(weights.items()) for x in pair]) if weights else F.lit(None).cast("map<string,double>")
-        weight = F.round(F.coalesce(given[F.col("source")], F.lit(0.0)) * 1_000_000)
-    sources = totals.select("source", F.expr(f"(total + {step - 1}) div {step}").alias("steps"), weight.cast("long").alias("weight"))
-    # one row per source goes in, and at most a period per source comes out
-    run, kind = _planned(least_weight, period)
-    planned = settle(sources.groupBy(F.lit(0).alias("all")).applyInPandas(run, kind), "mix-plan")
-    pattern = planned.where("at IS NOT NULL").select("source", "phase", "k", "release", "deadline", "at")
-    turns = planned.where("at IS NULL").groupBy("source").agg(
-        F.sort_array(F.collect_list(F.struct("first", "taken", "phase", "part", "start", "period"))).alias("turns")
-    )
-    known = totals.select("source", "n").join(turns, "source", "left")
-    own = F.filter("turns", lambda x: (x["first"] <= F.col("block")) & (F.col("block") < x["first"] + x["taken"]))
-    told = join_hot(placed, known, ["source"], "n", count).withColumn("turn", F.get(own, F.lit(0))).select(
-        "doc_id", "source", "bytes", "block", F.coalesce("turn.phase", F.lit(-1).cast("long")).alias("phase"),
-        # documents without a turn find no step, each under a number of its own
-        F.coalesce(F.expr("(block - turn.first) % turn.part"), -1 - F.col("block")).alias("k"),
-        F.expr("turn.start + (block - turn.first) div turn.part * turn.period").alias("begin"),
-    )
-    return told.join(pattern, ["source", "phase", "k"], "left").select(
-        "doc_id",
-        "source",
-        "bytes",
-        "block",
-        *[(F.col("begin") + F.col(c)).alias(name) for c, name in (("release", "release"), ("deadline", "deadline"), ("at", "slot"))],
-        F.col("at").isNotNull().alias("kept"),
-    )
+        weight = F.coalesce(given[F.col("source")], F.lit(0.0)).cast("double")
+    sources = totals.select("source", F.expr(f"(total + {step - 1}) div {step}").alias("steps"), weight.alias("weight"))
+    # one row per source goes in; its phases come out
+    planned = settle(sources.groupBy(F.lit(0).alias("all")).applyInPandas(_planned(least_weight), PHASE), "mix-plan")
+    runs = planned.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {TOGETHER * period}"))))
+    # a row for every step, as there is one for every document
+    slots = runs.groupBy("phase", "part").applyInPandas(_scheduled(period), STEP)
+    told = placed.join(slots, ["source", "block"], "left")
+    return told.select("doc_id", "source", "bytes", "block", "release", "deadline", "slot", F.col("slot").isNotNull().alias("kept"))
 
 
 def keep_mixed(docs: DataFrame, **options) -> DataFrame:

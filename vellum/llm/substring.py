@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import new_path, parts, settle
+from vellum.llm.common import parts, settle, shared_path
 
 WINDOW, PERIOD = 13, 7
 #: Fixed value: a perfect difference cover modulo 7.
@@ -305,7 +305,7 @@ def _by_part(texts: DataFrame, n: int) -> DataFrame:
     The table's entry in the catalog goes as soon as it has been read; its files stay.
     """
     spark = texts.sparkSession
-    name, path = f"texts_{uuid.uuid4().hex}", new_path(spark, "texts")
+    name, path = f"texts_{uuid.uuid4().hex}", shared_path(spark, "texts")
     files = min(FILES, max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = texts.repartition(files, "part").write.bucketBy(files, "part")
     dealt.option("path", path).option("compression", "zstd").saveAsTable(name)
