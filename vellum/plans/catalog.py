@@ -14,7 +14,7 @@ from vellum.plans import derive
 from vellum.plans.oracle import ORACLE  # noqa: F401  read by the driver's contract
 from vellum.sources import ocr
 from vellum.sources.workspace import landed, shared_path
-from vellum.streaming import jobs, stream
+from vellum.streaming import ab, jobs, status, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -529,6 +529,32 @@ def job_outcomes(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query
+def session_status(spark, sf_dir):
+    """The status table after changes have come in three parts, each merged as a stream's batch."""
+    rows = derive.changes(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("second", F.unix_seconds("ts"))
+    path, checkpoint = shared_path(spark, "session-status"), shared_path(spark, "stream-checkpoint")
+    stream.in_slices(rows, "second", 3, lambda arrived: status.follow_status(arrived, path, checkpoint))
+    return status.read_status(spark, path).select("session_id", "status", F.col("since.event_id").alias("since"), "n_changes", "n_refused")
+
+
+def _watched(spark, sf_dir) -> str:
+    """Where the runs' moments are logged, arriving in three parts."""
+    path, checkpoint = shared_path(spark, "ab-log"), shared_path(spark, "stream-checkpoint")
+    stream.in_slices(_runs(spark, sf_dir), "run_id", 3, lambda arrived: ab.watch(arrived, path, checkpoint))
+    return path
+
+
+@query
+def ab_running(spark, sf_dir):
+    return ab.decisions(spark, _watched(spark, sf_dir))
+
+
+@query
+def ab_running_summary(spark, sf_dir):
+    return ab.last_summary(spark, _watched(spark, sf_dir))
+
+
 # ---- objects -----------------------------------------------------------------------------------
 
 

@@ -59,6 +59,14 @@ FROM o WHERE event_id % 23 <> 7
 """
 
 
+#: Changes of status: a session is five days of a user; events stand for statuses, in no sensible order.
+CHANGES = """
+SELECT 'u' || CAST(user_id AS STRING) || '-' || CAST(day - day % 5 AS STRING) AS session_id,
+  CASE event_type WHEN 'purchase' THEN 'READY' WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'PROCESSING' WHEN 'click' THEN 'UPLOADING' ELSE 'PROCESSING' END AS status, ts, event_id
+FROM (SELECT *, CAST(substr(CAST(ts AS STRING), 6, 2) AS BIGINT) * 31 + CAST(substr(CAST(ts AS STRING), 9, 2) AS BIGINT) AS day FROM {events}) e
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,6 +87,10 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RESPONSES, events=_table(spark, sf_dir, "events"))
 
 
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CHANGES, events=_table(spark, sf_dir, "events"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
 

@@ -305,6 +305,19 @@ FROM b JOIN j USING (job_id) LEFT JOIN k USING (job_id, batch) LEFT JOIN c USING
 )
 SELECT job_id, coalesce(f.outcome, 'TIMED_OUT') AS outcome, coalesce(f.attempts, t.attempts) AS attempts, coalesce(f.n_batches, t.n_batches) AS n_batches,
   CAST(1000 * coalesce(ended_s, limit_s) AS BIGINT) AS ended_ms FROM t LEFT JOIN f USING (job_id) WHERE f.outcome IS NOT NULL OR limit_s < now_s""",
+    "session_status": f"""WITH c AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos FROM ({derive.CHANGES.format(events="events")})),
+a AS (SELECT session_id, count(*) AS n, min(pos) FILTER (WHERE status = 'UPLOADING') AS t1 FROM c GROUP BY session_id),
+b AS (SELECT session_id, min(pos) AS t2 FROM c JOIN a USING (session_id) WHERE status = 'PROCESSING' AND pos > t1 GROUP BY session_id),
+d AS (SELECT session_id, min(pos) AS t3 FROM c JOIN b USING (session_id) WHERE status IN ('READY', 'FAILED') AND pos > t2 GROUP BY session_id),
+f AS (SELECT a.session_id, n, coalesce(t3, t2, t1) AS last, CAST((t1 IS NOT NULL)::INT + (t2 IS NOT NULL)::INT + (t3 IS NOT NULL)::INT AS BIGINT) AS n_changes FROM a LEFT JOIN b USING (session_id) LEFT JOIN d USING (session_id))
+SELECT f.session_id, c.status, c.event_id AS since, n_changes, n - n_changes AS n_refused FROM f LEFT JOIN c ON c.pos = f.last""",
+    "ab_running": f"""WITH {RUNS}, sl AS (SELECT *, (run_id - min(run_id) OVER ()) // ((max(run_id) OVER () - min(run_id) OVER ()) // 3 + 1) AS slice FROM ru),
+a AS (SELECT k AS trigger, intent, avg(composite) FILTER (WHERE variant = 'A') AS ma, avg(composite) FILTER (WHERE variant = 'B') AS mb,
+  count(*) FILTER (WHERE variant = 'A') AS n_a, count(*) FILTER (WHERE variant = 'B') AS n_b FROM sl, (SELECT unnest([0, 1, 2]) AS k) WHERE slice <= k GROUP BY k, intent),
+d AS (SELECT *, coalesce(n_a >= 50 AND n_b >= 50 AND abs(ma - mb) >= 0.05, false) AS done FROM a),
+o AS (SELECT CAST(trigger AS BIGINT) AS trigger, intent, n_a, n_b, CASE WHEN done THEN 'conclude' WHEN n_a + n_b >= 200 THEN 'equivalent' ELSE 'continue' END AS decision,
+  CASE WHEN done AND ma < mb THEN 'B' WHEN n_a + n_b >= 200 OR done THEN 'A' END AS winner FROM d)
+SELECT *, min(trigger) FILTER (WHERE decision <> 'continue') OVER (PARTITION BY intent) AS stopped_at FROM o""",
     "session_latest_status": "SELECT user_id AS session_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
     "sessions_recent": "WITH m AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id) SELECT * FROM m ORDER BY event_id DESC LIMIT 20",
     "stream_event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
@@ -315,3 +328,4 @@ SELECT job_id, coalesce(f.outcome, 'TIMED_OUT') AS outcome, coalesce(f.attempts,
     "missing_sessions": "SELECT doc_id AS session_id FROM documents ANTI JOIN labels USING (doc_id)",
     "json_records": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""",
 }
+ORACLE["ab_running_summary"] = ORACLE["ab_summary"]  # the same rows, from the state of a stream
