@@ -257,9 +257,9 @@ def mix(
     # one row per source goes in; its phases come out
     planned = settle(sources.groupBy(F.lit(0).alias("all")).applyInPandas(_planned(least_weight), PHASE), "mix-plan")
     runs = planned.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {TOGETHER * period}"))))
-    # a row for every step, as there is one for every document
+    # a row for every step: far more than the optimizer expects of so small an input, hence the hint against a broadcast
     slots = runs.groupBy("phase", "part").applyInPandas(_scheduled(period), STEP)
-    told = placed.join(slots, ["source", "block"], "left")
+    told = placed.join(slots.hint("merge"), ["source", "block"], "left")
     return told.select("doc_id", "source", "bytes", "block", "release", "deadline", "slot", F.col("slot").isNotNull().alias("kept"))
 
 
