@@ -73,7 +73,16 @@ def with_offsets(chunks: DataFrame) -> DataFrame:
 
 
 def page_refs(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """``chunks`` with page_ref: the last page (doc_id, page, page_start) that starts at or before char_start."""
-    marks = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_start", "page"))).alias("marks"))
-    last = F.element_at(F.filter("marks", lambda m: m["page_start"] <= F.col("char_start")), -1)["page"]
-    return chunks.join(marks, "doc_id").withColumn("page_ref", last).drop("marks")
+    """``chunks`` with page_ref: the last page (doc_id, page, page_start) that starts at or before char_start.
+
+    An as-of join: marks and chunks are sorted together once, and each chunk takes the last mark before it
+    as the rows stream by, so a document of many pages costs no more than its rows. Of marks at one place
+    the highest page counts; a chunk before all marks of its document, or without any, has a null page_ref.
+    """
+    own = [F.col(f"`{c}`") for c in chunks.columns]
+    page, at = pages.schema["page"].dataType, F.col("char_start").cast("long")
+    marks = pages.select("doc_id", F.col("page_start").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("page").alias("_page"), F.lit(None).cast(chunks.schema).alias("_chunk"))
+    told = chunks.select("doc_id", at.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(page).alias("_page"), F.struct(*own).alias("_chunk"))
+    upto = Window.partitionBy("doc_id").orderBy("_at", "_kind", "_page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marks.unionByName(told).withColumn("_last", F.last("_page", ignorenulls=True).over(upto))
+    return both.where("_kind = 1").select(*[F.col("_chunk")[c].alias(c) for c in chunks.columns], F.col("_last").alias("page_ref"))

@@ -40,14 +40,38 @@ TEMPLATE_VERSION = "v1"
 # -----------------------------------------------------------------------------------------------
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
+def _best(scored: DataFrame, by: list[str], k: int, name: str) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy(F.col("score").desc(), "chunk_id")
+    return scored.withColumn(name, F.row_number().over(order)).where(F.col(name) <= k)
+
+
+def top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, run: int = 1024) -> DataFrame:
     """query_id, session_id, rank, chunk_id, score: the k best chunks of each query's own session.
 
-    An equi join on the session, never a cross join; ranks are cut before their shuffle where they can be.
+    An equi join on the session, never a cross join, in two levels: a session's chunks and its queries
+    are cut into runs of about ``run`` by the numbers that were counted, so a task's group is a run of
+    queries against a run of chunks (some ``run`` squared scores) however large a session is. Each group
+    keeps its k best for each query, and those are merged. Ties of scores go to the smaller chunk_id.
+    Sessions of up to ``run`` chunks and queries are one group. Rows that lack a session take no part.
     """
-    scored = queries.join(chunks, "session_id").select("query_id", "session_id", "chunk_id", S.dot(F.col("query"), F.col("embedding")).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    sizes = chunks.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).join(queries.groupBy("session_id").agg(F.count(F.lit(1)).alias("m")), "session_id")
+    # sessions of more than one group: at most one for each ``run`` rows
+    runs = lambda c: F.expr(f"({c} + {run - 1}) div {run}")
+    large = sizes.where((F.col("n") > run) | (F.col("m") > run)).select("session_id", runs("n").alias("c_runs"), runs("m").alias("q_runs"))
+    one = F.lit(1).cast("long")
+
+    def dealt(rows: DataFrame, id_: str, own: str, other: str) -> DataFrame:
+        """``rows`` in a run of their own, and once in every run of the other side."""
+        told = rows.join(large, "session_id", "left")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_runs", one) - 1))
+        return told.withColumn(f"{own}_run", F.pmod(F.xxhash64(id_), F.coalesce(f"{own}_runs", one))).withColumn(f"{other}_run", every).drop("c_runs", "q_runs")
+
+    asked, there = dealt(queries, "query_id", "q", "c"), dealt(chunks, "chunk_id", "c", "q")
+    keys = ["session_id", "q_run", "c_run"]
+    scored = asked.join(there, keys).select("query_id", *keys, "chunk_id", S.dot(F.col("query"), F.col("embedding")).alias("score"))
+    # the first cut is within the groups as the join has dealt them, so it needs no further shuffle
+    first = _best(scored, [*keys, "query_id"], k, "_place").select("query_id", "session_id", "chunk_id", "score")
+    return _best(first, ["query_id"], k, "rank")
 
 
 def above(hits: DataFrame, least: float = 0.25) -> DataFrame:
