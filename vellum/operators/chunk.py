@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 
 
+def _sentences(docs: DataFrame) -> Column:
+    """Those of a column ``sentences``, as learned abbreviations give them, else the text cut after each . ! or ?"""
+    return F.col("sentences") if "sentences" in docs.columns else T.sentences(F.col("text"))
+
+
 def sentence_chunks(docs: DataFrame, size: int = 4, step: int = 2) -> DataFrame:
     """doc_id, chunk_id, text, n_sentences: windows of ``size`` sentences, each ``step`` after the last.
 
     A window that begins in the text is a chunk, the last ones may be shorter. One row at a time.
     """
-    own = docs.select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    own = docs.select("doc_id", _sentences(docs).alias("s")).where(F.size("s") > 0)
     starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(step))
     own = own.select("doc_id", "s", F.posexplode(starts).alias("chunk_id", "at"))
     part = F.slice("s", F.col("at") + 1, F.lit(size))
@@ -27,7 +32,7 @@ def token_chunks(docs: DataFrame, most: int = 400, overlap: int = 80, least: int
     The running state, which is three numbers and the chunks' bounds, is folded over a document's
     sentences inside one row; tokens are words.
     """
-    own = docs.select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
+    own = docs.select("doc_id", _sentences(docs).alias("s")).where(F.size("s") > 0)
     own = own.withColumn("n", F.transform("s", T.word_count))
     bounds = "array<struct<first:int,last:int,tokens:int>>"
     state = F.struct(F.array().cast(bounds).alias("done"), F.lit(1).alias("first"), F.lit(0).alias("tokens"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import serving as S
 from vellum.functions import text as T
-from vellum.operators import chunk, clean, experiments, extract, render, retrieve, validate
+from vellum.operators import chunk, clean, experiments, extract, render, retrieve, sentences, validate
 from vellum.plans import derive
 from vellum.plans.oracle import ORACLE  # noqa: F401  read by the driver's contract
 from vellum.sources import ocr
@@ -301,6 +301,24 @@ def sentence_chunks(spark, sf_dir):
     return own.select("doc_id", "chunk_id", F.md5("text").alias("text_md5"), "n_sentences")
 
 
+@query
+def abbreviations(spark, sf_dir):
+    """What the corpus teaches of words before full stops."""
+    return sentences.abbreviations(sentences.words(derive.short_forms(spark, sf_dir)))
+
+
+@query
+def sentence_starters(spark, sf_dir):
+    return sentences.learn(derive.short_forms(spark, sf_dir))[1]
+
+
+@query
+def learned_sentences(spark, sf_dir):
+    docs = derive.short_forms(spark, sf_dir)
+    own = sentences.split(docs, *sentences.learn(docs))
+    return own.select("doc_id", F.size("sentences").alias("n_sentences"), F.md5(F.array_join("sentences", "|")).alias("text_md5"))
+
+
 @query
 def long_chunks(spark, sf_dir):
     own = chunk.sentence_chunks(derive.documents(spark, sf_dir)).withColumn("tokens", T.word_count(F.col("text")))

@@ -238,6 +238,17 @@ def artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.concat(F.lit(before), F.col("text"), F.lit(after)).alias("text"))
 
 
+#: ``documents`` with abbreviations, initials and ordinals among their words.
+SHORT_FORMS = (("and", "approx."), ("of", "e.g."), ("und", "bzw."), ("der", "Dr."), ("de", "Mr."), ("in", "J."), ("die", "3."))
+
+
+def short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    for word, form in SHORT_FORMS:
+        text = F.replace(text, F.lit(f" {word} "), F.lit(f" {form} "))
+    return _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
 QUESTION_STARTS = ("Summarize ", "Please explain ", "What is the interest rate of ", "The difference of ", "Where is ", "OVERVIEW ")
 
 

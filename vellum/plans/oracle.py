@@ -154,6 +154,44 @@ RUNS = f"""r0 AS ({derive.RUNS.format(events='events')}),
 ru AS (SELECT *, {_VARIANT.format('user_id')} AS variant, 0.6::DOUBLE * faithfulness + 0.4::DOUBLE * relevance AS composite, tokens / 1000.0::DOUBLE * 0.002::DOUBLE AS cost FROM r0)"""
 _MEAN = "sum(composite::DECIMAL(28, 12))::DOUBLE / count(composite)"
 
+_SHORT = "text"
+for _word, _form in derive.SHORT_FORMS:
+    _SHORT = f"replace({_SHORT}, ' {_word} ', ' {_form} ')"
+_FORM = r"regexp_replace(regexp_replace(lower({}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g'), '\.$', '')"
+_BARE = r"regexp_replace(lower({}), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}.]+$', '', 'g')"
+
+
+def _term(k: str, m: str, q: str) -> str:
+    return f"CASE WHEN {q} <= 0 OR {q} >= 1 THEN 0 ELSE ({k}) * ln({q}) + ({m}) * ln(1 - {q}) END"
+
+
+ABBREVIATIONS = rf"""dt AS (SELECT doc_id, {_SHORT} AS text FROM documents),
+wl AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM dt),
+wd AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM wl),
+wf AS (SELECT doc_id, pos, {_FORM.format('word')} AS form, {_BARE.format('word')} LIKE '%.' AS stop, regexp_matches(word, '[.!?]$') AS ends FROM wd),
+tot AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (WHERE stop) / count(*)::DOUBLE AS p FROM wf),
+ac AS (SELECT form, count(*) FILTER (WHERE stop) AS n_with, count(*) FILTER (WHERE NOT stop) AS n_without, length(form) - length(replace(form, '.', '')) AS inner_stops FROM wf GROUP BY form),
+ar AS (SELECT form, n_with, n_without, -2 * (n_with * ln(p) + n_without * ln(1 - p) - n_with * ln(0.99::DOUBLE) - n_without * ln(1 - 0.99::DOUBLE))
+  * exp(-(length(form) - inner_stops)::DOUBLE) * (inner_stops + 1) * pow((length(form) - inner_stops)::DOUBLE, -n_without::DOUBLE) AS raw
+  FROM ac, tot WHERE n_with > 0 AND regexp_matches(form, '\p{{L}}')),
+ab AS (SELECT form, n_with, n_without, printf('%.2f', raw)::DOUBLE AS score, raw >= 0.3 AS is_abbreviation FROM ar)"""
+STARTERS = rf"""{ABBREVIATIONS},
+nx AS (SELECT *, lead(form) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM wf),
+sf AS (SELECT nxt AS form, count(*) AS n_first FROM nx LEFT JOIN (SELECT form, true AS short FROM ab WHERE is_abbreviation) s USING (form)
+  WHERE ends AND nxt <> '' AND (NOT stop OR (short IS NULL AND NOT regexp_matches(form, '^\p{{L}}$'))) GROUP BY nxt),
+sb AS (SELECT form, n, n_first, n::DOUBLE AS b, n_first::DOUBLE AS k, (SELECT sum(n_first) FROM sf)::DOUBLE AS a, (SELECT n FROM tot) AS t FROM sf JOIN (SELECT form, count(*) AS n FROM wf GROUP BY form) USING (form)
+  WHERE regexp_matches(form, '\p{{L}}')),
+sr AS (SELECT form, n, n_first, a, b, k, t, -2 * ({_term('k', 'a - k', '(b / t)')} + {_term('b - k', 't - a - b + k', '(b / t)')} - {_term('k', 'a - k', '(k / a)')} - {_term('b - k', 't - a - b + k', '((b - k) / (t - a))')}) AS raw FROM sb),
+st AS (SELECT form, n, n_first, printf('%.2f', raw)::DOUBLE AS score FROM sr WHERE k * t > b * a AND raw >= 30)"""
+LEARNED = rf"""{STARTERS},
+pc AS (SELECT doc_id, unnest(range(len(s))) AS pos, unnest(s) AS piece FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '\s+', '', 'g') <> '') AS s FROM dt)),
+pl AS (SELECT *, regexp_extract(piece, '(\S+)\s*$', 1) AS last, lead(regexp_extract(piece, '^\s*(\S+)', 1)) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM pc),
+pf AS (SELECT *, {_FORM.format('last')} AS form, {_FORM.format('nxt')} AS next_form, regexp_matches(nxt, '^[^\p{{L}}\p{{N}}]*\p{{Ll}}') AS small FROM pl),
+pg AS (SELECT pf.*, last LIKE '%.' AND CASE WHEN ab.form IS NOT NULL OR regexp_matches(pf.form, '^\p{{L}}$') THEN st.form IS NULL OR small ELSE regexp_matches(pf.form, '^\p{{N}}+$') AND small END AS goes_on
+  FROM pf LEFT JOIN (SELECT form FROM ab WHERE is_abbreviation) ab ON ab.form = pf.form LEFT JOIN st ON st.form = pf.next_form),
+ps AS (SELECT *, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM pg),
+pj AS (SELECT doc_id, sentence, string_agg(piece, ' ' ORDER BY pos) AS text FROM ps GROUP BY doc_id, sentence)"""
+
 #: Token chunks by jumps from chunk to chunk: a chunk of first sentence a ends before sentence i, p being the running word counts from 0.
 TOKEN_CHUNKS = rf"""WITH RECURSIVE {SENTENCES},
 sn AS (SELECT doc_id, s, list_transform(s, lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> ''))) AS n FROM st WHERE len(s) > 0),
@@ -318,6 +356,9 @@ d AS (SELECT *, coalesce(n_a >= 50 AND n_b >= 50 AND abs(ma - mb) >= 0.05, false
 o AS (SELECT CAST(trigger AS BIGINT) AS trigger, intent, n_a, n_b, CASE WHEN done THEN 'conclude' WHEN n_a + n_b >= 200 THEN 'equivalent' ELSE 'continue' END AS decision,
   CASE WHEN done AND ma < mb THEN 'B' WHEN n_a + n_b >= 200 OR done THEN 'A' END AS winner FROM d)
 SELECT *, min(trigger) FILTER (WHERE decision <> 'continue') OVER (PARTITION BY intent) AS stopped_at FROM o""",
+    "abbreviations": f"WITH {ABBREVIATIONS} SELECT form, n_with, n_without, score, is_abbreviation FROM ab",
+    "sentence_starters": f"WITH {STARTERS} SELECT form, n, n_first, score FROM st",
+    "learned_sentences": f"WITH {LEARNED} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_sentences, md5(string_agg(text, '|' ORDER BY sentence)) AS text_md5 FROM pj GROUP BY doc_id",
     "session_latest_status": "SELECT user_id AS session_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
     "sessions_recent": "WITH m AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id) SELECT * FROM m ORDER BY event_id DESC LIMIT 20",
     "stream_event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
