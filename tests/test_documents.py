@@ -1,6 +1,7 @@
 """From OCR responses to reports: files in, records out, against values worked out by hand."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,6 +204,45 @@ def test_batches_of_one_job_are_one_session(spark, tmp_path):
     assert set(pages) == {"a_1", "c"} and pages["a_1"].text == "one\ntwo" and pages["a_1"].avg_confidence == 85.0
 
 
+def test_batches_follow_their_tokens(spark, tmp_path):
+    def save(name, job, *blocks, asked=None, token=None):
+        (tmp_path / name).write_text(json.dumps({"JobId": job, "JobStatus": "SUCCEEDED", "RequestToken": asked, "NextToken": token, "Blocks": list(blocks)}))
+
+    names = ["q", "c", "z", "a", "m"]
+    for k, name in enumerate(names):
+        save(f"{name}.json", "j", line(f"l{k}", f"part {k}"), asked=f"t{k}" if k else None, token=f"t{k + 1}" if k < 4 else None)
+    save("zz.json", "j", line("l9", "again"), asked="t2", token="t3")  # fetched twice: the first by name counts
+    # twelve batches saved without the tokens that they were asked for with, and numbers in their names
+    for k in range(1, 13):
+        save(f"old_{k}.json", "old", line(f"o{k}", str(k)), token=f"n{k}" if k < 12 else None)
+    save("x1.json", "gone", line("g1", "x"), token="p1")
+    save("x3.json", "gone", line("g3", "x"), asked="p2")
+    save("y1.json", "open", line("h1", "x"), token="p1")
+    responses = ocr.join_batches(ocr.read_responses(spark, str(tmp_path)))
+    pages = {r.session_id: r.text for r in extract.pages(ocr.blocks(responses)).collect()}
+    assert pages == {"q": "\n".join(f"part {k}" for k in range(5)), "old_1": "\n".join(map(str, range(1, 13)))}
+
+
+def test_order_of_long_broken_and_circular_chains(spark):
+    def chain(job, n, skip=(), last=None):
+        return [(job, f"{hash((job, k)) % 10**9}-{k}", f"t{k}" if k else None, f"t{k + 1}" if k < n - 1 else last) for k in range(n) if k not in skip]
+
+    rows = chain("long", 700) + chain("hole", 9, skip=(4,)) + chain("headless", 5, skip=(0,)) + chain("open", 3, last="t3") + chain("alone", 1)
+    rows += [("ring", "a", None, "x"), ("ring", "b", "y", "z"), ("ring", "c", "z", "y"), ("ring", "d", "x", None)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "job_id string, batch string, request_token string, next_token string")
+    got = {(r.job_id, r.batch): (r.batch_no, r.job_state) for r in ocr.batch_order(df).collect()}
+    place = lambda batch: int(batch.split("-")[1])
+    want = {("ring", x): (n, "cycle") for x, n in (("a", 0), ("d", 1), ("b", None), ("c", None))}
+    for job, state in (("long", "whole"), ("hole", "gap"), ("headless", "gap"), ("open", "open"), ("alone", "whole")):
+        for j, batch, *_ in rows:
+            if j == job:
+                reached = job not in ("hole", "headless") or (job == "hole" and place(batch) < 4)
+                want[job, batch] = (place(batch) if reached else None, state)
+    assert got == want
+    assert ocr.batch_order(df.limit(0)).count() == 0
+
+
 def test_objects_by_key(spark, tmp_path):
     from vellum.sources import objects
 

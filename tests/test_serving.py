@@ -107,3 +107,61 @@ def test_windowed_counts(spark, tmp_path):
     query = stream.windowed_counts(events).writeStream.format("memory").queryName("w").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.sql("SELECT sum(n) FROM w").first()[0] == spark.read.parquet(str(src)).count()
+
+
+def test_top_k_of_a_hot_session_in_runs(spark):
+    import random
+
+    from vellum.operators import retrieve
+
+    rng = random.Random(4)
+    chunks = [("hot" if k % 2 else f"s{k % 40}", k, [rng.randint(-3, 3) / 1.0 for _ in range(4)]) for k in range(600)]
+    queries = [(k, s, [rng.randint(-3, 3) / 1.0 for _ in range(4)]) for k, (s, *_) in enumerate(chunks) if k % 3 == 0]
+    queries += [(9000, None, [1.0] * 4), (9001, "empty", [1.0] * 4)]
+    a = spark.createDataFrame(queries, "query_id long, session_id string, query array<double>")
+    b = spark.createDataFrame(chunks, "session_id string, chunk_id long, embedding array<double>")
+    for run in (16, 1024):
+        got = {}
+        for r in retrieve.top_k(a, b, 5, run).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+        for q, session, v in queries:
+            scored = sorted(((c, sum(x * y for x, y in zip(v, e))) for s, c, e in chunks if s == session), key=lambda h: (-h[1], h[0]))[:5]
+            assert got.get(q, []) == scored
+
+
+def test_pages_of_a_long_document(spark):
+    from vellum.operators import chunk
+
+    pages = spark.range(100_000).selectExpr("1L AS doc_id", "id * 7 AS page_start", "int(id) + 1 AS page").union(spark.sql("SELECT 2L, 10L, 4"))
+    chunks = spark.range(50_000).selectExpr("1L AS doc_id", "id AS chunk_id", "id * 13 AS char_start").union(spark.sql("SELECT 2L, 0L, 9L UNION ALL SELECT 2L, 1L, 10L UNION ALL SELECT 3L, 0L, 0L"))
+    got = {(r.doc_id, r.chunk_id): r.page_ref for r in chunk.page_refs(chunks, pages).collect()}
+    assert got.pop((2, 0)) is None and got.pop((2, 1)) == 4 and got.pop((3, 0)) is None
+    assert len(got) == 50_000 and all(page == chunk_id * 13 // 7 + 1 for (_, chunk_id), page in got.items())
+
+
+def test_sentences_by_learned_abbreviations(spark):
+    import random
+
+    from vellum.operators import chunk, sentences
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    known = [word() for _ in range(300)]
+    plain = lambda n: " ".join(rng.choice(known) for _ in range(n))
+    corpus = [(k, " ".join(f"The {plain(6)} Mr. {plain(1).title()} paid approx. 4.5 {plain(3)}, e.g. {plain(2)}. However {plain(4)}." for _ in range(8))) for k in range(60)]
+    known_, first = sentences.learn(spark.createDataFrame(corpus, "doc_id long, text string"))
+    short = {r.form for r in known_.where("is_abbreviation").collect()}
+    assert {"mr", "approx", "e.g"} <= short and not short & set(known)
+    assert {"the", "however"} <= {r.form for r in first.collect()}
+    texts = [
+        (1, "Mr. Rao paid approx. 4.5 percent. The rate, e.g. that of J. Smith, was 3.14 in all. Was it? Yes! it was."),
+        (2, "It is the 3. part of it. Page 3. The end"), (3, "He met Mr. However he left."), (4, ""), (5, None), (6, " \n "), (7, "one"),
+    ]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.sentences for r in sentences.split(docs, known_, first).collect()}
+    assert got == {
+        1: ["Mr. Rao paid approx. 4.5 percent.", "The rate, e.g. that of J. Smith, was 3.14 in all.", "Was it?", "Yes!", "it was."],
+        2: ["It is the 3. part of it.", "Page 3.", "The end"], 3: ["He met Mr.", "However he left."], 7: ["one"],
+    }
+    chunks = chunk.sentence_chunks(sentences.split(docs, known_, first), size=2, step=2).where("doc_id = 1").orderBy("chunk_id").collect()
+    assert [c.n_sentences for c in chunks] == [2, 2, 1]

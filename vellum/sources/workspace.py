@@ -93,7 +93,7 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> Dat
 
 def _size(df: DataFrame) -> int:
     """Bytes that the optimizer expects of ``df``, from the sizes of the files that it reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def landed(rows: DataFrame, key: str, tag: str) -> DataFrame:
