@@ -12,7 +12,9 @@ blocks. The number of blocks grows with the corpus, so that buckets stay small.
 ``keep_first`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 That is some 39 of 256 bits, too many for blocks, so buckets are made by tables of sampled bits, as
 many as find a pair at 0.8 with the probability ``RECALL``. What a bucket holds within the radius is
-spanned by a few forests of least distance; their links are then checked against the shingles.
+spanned by a few forests of least distance. Buckets that are too large to be compared whole are cut, and
+their texts meet by rare shingles as well, which tell apart what a template makes alike in most bits.
+All links are then checked against the shingles.
 
 Neither emits the pairs of a bucket, only spanning forests.
 """
@@ -26,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import HOT_KEYS, fresh, join_hot, settle, settled
@@ -41,6 +43,8 @@ CROWD = 512
 WORDS, ALIKE, WIDE, RECALL = 5, 0.8, 256, 0.99
 #: Forests over a bucket: if a link of one turns out to be below ALIKE, the next ones hold other links across the same gap.
 LAYERS = 4
+#: In buckets that are cut, texts also meet by shingles that so few of their texts have, by so many of them each.
+RARE, SKETCH = 8, 16
 #: Bits in which hashes of a pair at ALIKE differ on average, and the radius: over three standard deviations more.
 APART = math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi
 REACH = math.ceil(WIDE * APART + 3.3 * math.sqrt(WIDE * APART * (1 - APART)))
@@ -219,7 +223,8 @@ def _cells(links: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
     """Call ``links`` (ids, values, end of each place's cell) for whole cells, many at a time.
 
     Rows come sorted by cell, their first ``key`` columns; an id and the value follow. Cells of over
-    ``run`` rows are cut into runs of so many.
+    ``run`` rows are cut into runs of so many, and their ids are told once more, as links to themselves
+    of the layer -1.
     """
 
     def ends_of(cells: np.ndarray) -> np.ndarray:
@@ -232,8 +237,18 @@ def _cells(links: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
             out = np.minimum(out, begin + ((place - begin) // run + 1) * run)
         return out
 
+    def crowded(cells: np.ndarray, last: np.ndarray | None) -> np.ndarray:
+        """Which places are in a cell that is cut, one that ``last`` has begun included."""
+        change = np.concatenate([[True], (cells[1:] != cells[:-1]).any(1)])
+        sizes = np.diff(np.append(np.flatnonzero(change), len(cells)))
+        return np.repeat(sizes > run, sizes) | (False if last is None else (cells == last).all(1))
+
+    def marked(ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(np.full(len(ids), -1))], names=["u", "v", "layer"])
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, ids, values = None, None, None
+        cells, ids, values, last = None, None, None, None
         for batch in batches:
             own = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(key)], 1)
             node = batch.column(key).to_numpy(zero_copy_only=False)
@@ -248,9 +263,14 @@ def _cells(links: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
                 cut = int(np.flatnonzero(ends < len(cells))[-1]) + 1 if ends[0] < len(cells) else 0
                 if cut:
                     yield links(ids[:cut], values[:cut], ends[:cut])
+                    if run:
+                        yield from marked(ids[:cut][crowded(cells, last)[:cut]])
+                        last = cells[cut - 1]
                     cells, ids, values = cells[cut:], ids[cut:], values[cut:]
         if cells is not None and len(cells):
             yield links(ids, values, ends_of(cells))
+            if run:
+                yield from marked(ids[crowded(cells, last)])
 
     return go
 
@@ -387,7 +407,8 @@ def _candidates(nodes: DataFrame, count: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["t", "key", "node", "fp"])
 
     keyed = nodes.select("node", "fp").mapInArrow(run, "t int, key long, node long, fp binary")
-    # buckets that would weigh on one task are dealt into chunks, other ones in every table; a task cuts the rest into runs
+    # buckets that would weigh on one task are dealt into chunks, other ones in every table; a task cuts the rest into runs;
+    # the nodes of both are told as links to themselves of the layer -1
     bound = max(CHUNK, -(-count * len(tables) // HOT_KEYS))
     chunk = F.lit(0).cast("long")
     if count > bound:
@@ -396,9 +417,34 @@ def _candidates(nodes: DataFrame, count: int) -> DataFrame:
         chunk = F.coalesce(F.pmod(F.xxhash64("node", "t"), F.expr(f"(n + {CHUNK - 1}) div {CHUNK}")), chunk)
     cells = keyed.select("t", "key", chunk.alias("chunk"), "node", "fp").repartition("t", "key", "chunk")
     spans = cells.sortWithinPartitions("t", "key", "chunk", "node").mapInArrow(_cells(_closest, 3, CHUNK), "u long, v long, layer long")
+    if count > bound:
+        dealt = keyed.where("n IS NOT NULL").select("node").distinct()
+        spans = spans.unionByName(dealt.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(-1).cast("long").alias("layer")))
     return spans.groupBy("u", "v").agg(F.min("layer").alias("layer"))
 
 
+def _rare_links(crowd: DataFrame) -> DataFrame:
+    """Links (u, v) of the texts of ``crowd`` (node, shingles), which have more like them than a bucket compares.
+
+    What such a crowd has in common, a template say, tells no two of them apart; what they have beyond
+    it does. Each text keeps those SKETCH of its shingles that two to RARE of the crowd's texts have and
+    whose hashes are least; texts that keep the same one are linked, at most RARE of them a shingle. Two
+    texts of which even a quarter of such shingles agree miss each other once in a hundred times.
+    """
+    own = crowd.select("node", F.explode("shingles").alias("s"))
+    often = settle(own.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "crowd-shingles")
+    rows = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # at most HOT_KEYS shingles that would weigh on one task
+    hot = F.broadcast(often.where(F.col("n") > max(CHUNK, -(-rows // HOT_KEYS))).select("s"))
+    rare = own.join(hot, "s", "left_anti").join(often.where(F.col("n").between(2, RARE)).select("s"), "s")
+    least = Window.partitionBy("node").orderBy(F.xxhash64("s"), "s")
+    kept = rare.withColumn("place", F.row_number().over(least)).where(F.col("place") <= SKETCH)
+    groups = kept.groupBy("s").agg(F.sort_array(F.collect_set("node")).alias("g"))
+    # the texts of one shingle, RARE at most, each with those behind it
+    pairs = groups.select(F.posexplode("g").alias("k", "u"), "g").select("u", F.explode(F.slice("g", F.col("k") + 2, F.lit(RARE))).alias("v"))
+    return pairs.distinct()
+
+
 def _alike(links: DataFrame, shingles: DataFrame, per_task: int = 1000) -> DataFrame:
     """The ``links`` (u, v) whose ``shingles`` (node, shingles) have a Jaccard similarity of ALIKE or more.
 
@@ -435,16 +481,20 @@ def _survivors(docs: DataFrame, keys: list[str]) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "mark")
     nodes = marked.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
-    links = settle(_candidates(nodes, nodes.count()), "candidates")
-    asked = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    found = settle(_candidates(nodes, nodes.count()), "candidates")
+    crowd, links = found.where("layer < 0").select(F.col("u").alias("node")), found.where("layer >= 0")
+    asked = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     asked = settle(nodes.join(asked, "node", "left_semi").select("fp", "node", "n"), "asked")
     shingles = join_hot(marked.select("fp", "shingles"), asked, ["fp"], "n", rows).groupBy("node").agg(F.min("shingles").alias("shingles"))
     shingles = settle(shingles, "shingles")
-    sure = settle(_alike(links.where("layer = 0").select("u", "v"), shingles), "alike")
+    first = links.where("layer = 0").select("u", "v")
+    if not crowd.isEmpty():
+        first = settle(first.union(_rare_links(shingles.join(crowd, "node", "left_semi"))).distinct(), "first-links")
+    sure = settle(_alike(first, shingles), "alike")
     roots = settle(components(sure), "roots")
     # where a link of the first forest fell, the next ones may still join what it would have joined
-    first, second = (roots.select(F.col("u").alias(end), F.col("root").alias(f"{end}_root")) for end in ("u", "v"))
-    more = links.where("layer > 0").join(first, "u", "left").join(second, "v", "left")
+    one, two = (roots.select(F.col("u").alias(end), F.col("root").alias(f"{end}_root")) for end in ("u", "v"))
+    more = links.where("layer > 0").join(one, "u", "left").join(two, "v", "left")
     more = settle(more.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "still-apart")
     if not more.isEmpty():
         roots = components(sure.union(_alike(more, shingles)))
