@@ -392,3 +392,28 @@ def test_quality(spark):
     assert len(got) == odd.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert {r.score for r in quality_model.judge(odd, labels.limit(0)).collect()} == {0.5}
     assert quality_model.judge(odd.limit(0), labels).count() == 0
+
+
+def test_languages_in_groups_give_the_same(spark, monkeypatch):
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx", "yzäö"]
+    rng = random.Random(3)
+    rows = [(k, " ".join("".join(rng.choice(letters[k % 7]) for _ in range(4)) for _ in range(6)), f"l{k % 7}") for k in range(140)]
+    rows += [(900, None, "l1"), (901, "12 34", "l2"), (902, "", None), (903, "abcd qrst", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = queries.vocabulary("piece_bpe_32k.model")
+    shown = lambda: sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.identify(df, pieces).collect())
+    alone = shown()
+    monkeypatch.setattr(langid, "GROUP", 3)
+    assert shown() == alone and len(alone) == len(rows)
+    assert langid.keep_identified(df, pieces).columns == df.columns
+
+
+def test_six_hundred_languages(spark):
+    # each language has words of its own
+    word = lambda k, j: "".join(chr(97 + (k * 7 + j * 11 + d * (k % 13 + 1)) % 26) for d in range(9))
+    rows = [(2000 * j + k, " ".join(word(k, i) for i in range(6)), f"l{k:03d}") for k in range(600) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = langid.learn(df, queries.vocabulary("piece_bpe_32k.model"), rounds=1)
+    assert sum(len(m.languages) for m in models) == 600 and max(len(m.languages) for m in models) <= langid.GROUP
+    got = langid.told(df.where("doc_id < 600 AND doc_id % 30 = 0"), models, "p").select("lang", "p.*").collect()
+    assert len(got) == 20 and sum(r.lang == r.lang_pred for r in got) >= 18

@@ -30,8 +30,8 @@ PLAIN = 17
 FLOOR = 1e-14
 #: Most cells of a lattice that are held at once.
 CELLS = 6_000_000
-#: Languages that a model's table, which is broadcast, has room for.
-MOST_LANGUAGES = 500
+#: Languages of one model, whose table is broadcast; more languages make several models, one after the other.
+GROUP = 256
 #: Texts whose words are scored together.
 BATCH = 1024
 #: Runs of text that are looked up together, and that a process remembers before it starts anew.
@@ -280,18 +280,23 @@ class LanguageModel:
                 out[mine[starts]] += np.add.reduceat(found, starts)
         return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text and its share of the total; ``und``, 0 where none can be told."""
-        names, shares = ["und"] * len(texts), [0.0] * len(texts)
+    def best(self, texts: list[str | None]) -> list[tuple[str, float, float] | None]:
+        """The likeliest language of each text, its logarithm and the total over it; None where none can be told."""
+        out: list[tuple[str, float, float] | None] = [None] * len(texts)
         told = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         for at in range(0, len(told), BATCH):
             part = told[at : at + BATCH]
             logs = self.log_likelihoods([texts[i] for i in part])
-            best = logs.argmax(1)
-            share = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1)
-            for i, b, s in zip(part, best, share):
-                names[i], shares[i] = self.languages[b], float(s)
-        return names, shares
+            first = logs.argmax(1)
+            total = np.exp(logs - logs.max(1, keepdims=True)).sum(1)
+            for i, b, row, s in zip(part, first, logs, total):
+                out[i] = (self.languages[b], float(row[b]), float(s))
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language of each text and its share of the total; ``und``, 0 where none can be told."""
+        found = self.best(texts)
+        return [b[0] if b else "und" for b in found], [1 / b[2] if b else 0.0 for b in found]
 
 
 def held_out() -> Column:
@@ -324,20 +329,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def learn(docs: DataFrame, model_file: str, rounds: int = 2, smooth: float = 0.01) -> LanguageModel:
-    """Learn from text and lang of all documents that aren't held out; rows with a null in either are left out."""
+def learn(docs: DataFrame, model_file: str, rounds: int = 2, smooth: float = 0.01) -> list[LanguageModel]:
+    """Learn from text and lang of all documents that aren't held out; rows with a null in either are left out.
+
+    A model for each GROUP of languages, by name: what a language's pieces are like depends on its own
+    words alone. One model without languages where there is nothing to learn from.
+    """
     pieces = vocabulary_pieces(model_file)
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "text")
     words = settle(
         rows.mapInArrow(_count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words"
     )
-    languages = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages: the table that is broadcast has room for {MOST_LANGUAGES}")
+    # of the languages, the names pass the driver
+    every = [r[0] for r in words.select("lang").distinct().orderBy("lang").collect()]
+    groups = [every[at : at + GROUP] for at in range(0, len(every), GROUP)] or [[]]
+    own = lambda g: words if len(groups) == 1 else words.where(F.col("lang").between(g[0], g[-1]))
+    return [_learned(own(g), g, pieces, rounds, smooth) for g in groups]
+
+
+def _learned(words: DataFrame, languages: list[str], pieces: list[str], rounds: int, smooth: float) -> LanguageModel:
     size = len(pieces) + 2  # an unknown letter, and no piece
     table = np.full((size, max(1, len(languages))), 1 / size)
     table[-1] = 0
-    spark = docs.sparkSession
+    spark = words.sparkSession
     for _ in range(rounds if languages else 0):
         shared = spark.sparkContext.broadcast((pieces, languages, table))
 
@@ -375,7 +389,7 @@ def learn(docs: DataFrame, model_file: str, rounds: int = 2, smooth: float = 0.0
 
 
 def predicted(docs: DataFrame, model: LanguageModel, text: str = "text") -> Column:
-    """A column struct(lang_pred, score) for the ``text`` column of ``docs``."""
+    """A column struct(lang_pred, score) for the ``text`` column of ``docs``, by one model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
@@ -388,22 +402,59 @@ def predicted(docs: DataFrame, model: LanguageModel, text: str = "text") -> Colu
     return run(F.col(text))
 
 
+def _best(docs: DataFrame, model: LanguageModel, text: str) -> Column:
+    """A column struct(lang, log, total) of one of several models, null where nothing can be told."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang string, log double, total double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for column in columns:
+            found = own.best(column.to_pylist())
+            yield pa.array([b and dict(zip(("lang", "log", "total"), b)) for b in found], pa.struct([("lang", pa.string()), ("log", pa.float64()), ("total", pa.float64())]))
+
+    return run(F.col(text))
+
+
+def told(docs: DataFrame, models: list[LanguageModel], name: str) -> DataFrame:
+    """``docs`` with a column ``name``, struct(lang_pred, score).
+
+    Several models score one after the other, so no task holds more than one. The texts are written
+    once for that; the best of all models is the best of their best ones, and totals add up.
+    """
+    if len(models) == 1:
+        return docs.withColumn(name, predicted(docs, models[0]))
+    row = fresh("_row", docs.columns)
+    docs = settle(docs.withColumn(row, F.monotonically_increasing_id()), "lang-docs")
+    found = None
+    for model in models:
+        own = settle(docs.select(row, _best(docs, model, "text").alias("b")).where("b IS NOT NULL").select(row, "b.*"), "lang-scores")
+        found = own if found is None else found.unionByName(own)
+    every = found.groupBy(row).agg(F.collect_list(F.struct("log", "lang", "total")).alias("g"))  # one of each model
+    top = F.array_max(F.transform("g", lambda x: x["log"]))
+    total = F.aggregate("g", F.lit(0.0), lambda a, x: a + F.exp(x["log"] - F.col("top")) * x["total"])
+    first = F.array_min(F.transform(F.filter("g", lambda x: x["log"] == F.col("top")), lambda x: x["lang"]))
+    best = every.withColumn("top", top).select(row, F.struct(first.alias("lang_pred"), (1 / total).alias("score")).alias(name))
+    none = F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    return docs.join(best, row, "left").drop(row).withColumn(name, F.coalesce(name, none))
+
+
 def identify(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every whole text.
 
     A text that is null or without a letter, or any text where nothing could be learned, is ``und``
     with score 0. Rows are kept one for one, repeated ones and null doc_ids too (such a row counts as
     held out). Ties go to the first language by name. Texts and words are read whole however long they
-    are; one text has to fit into a task. Only doc_id, text and lang are read.
+    are; one text has to fit into a task. Any number of languages is learned. Only doc_id, text and lang
+    are read.
     """
     docs = docs.select("doc_id", "text", "lang")
-    model = learn(docs, model_file)
-    return docs.select("doc_id", held_out().alias("held_out"), predicted(docs, model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
+    rows = told(docs.drop("lang"), learn(docs, model_file), "p")
+    return rows.select("doc_id", held_out().alias("held_out"), "p.lang_pred", "p.score")
 
 
 def keep_identified(docs: DataFrame, model_file: str, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language can be told with a score of ``least`` or more; all columns stay as they were."""
     name = fresh("_told", docs.columns)
-    model = learn(docs.select("doc_id", "text", "lang"), model_file)
-    told = docs.withColumn(name, predicted(docs, model))
-    return told.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).drop(name)
+    rows = told(docs, learn(docs.select("doc_id", "text", "lang"), model_file), name)
+    return rows.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)).drop(name)
