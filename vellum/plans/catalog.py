@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import serving as S
 from vellum.functions import text as T
-from vellum.operators import chunk, clean, experiments, extract, render, retrieve, sentences, validate
+from vellum.operators import chunk, clean, experiments, extract, render, retrieve, sentences, tables, validate
 from vellum.plans import derive
 from vellum.plans.oracle import ORACLE  # noqa: F401  read by the driver's contract
 from vellum.sources import ocr
@@ -274,6 +274,12 @@ def table_lines(spark, sf_dir):
     return own.select("doc_id", F.size(F.filter(T.lines(F.col("text")), T.is_table_line)).alias("n_table_lines"))
 
 
+@query
+def table_prose(spark, sf_dir):
+    """Whole texts with aligned, barred and tabbed tables as sentences."""
+    return tables.prose(derive.tabled(spark, sf_dir)).select("doc_id", F.md5("text").alias("text_md5"), "n_rows")
+
+
 @query
 def gibberish_ratio(spark, sf_dir):
     return derive.documents(spark, sf_dir).select("doc_id", T.gibberish_ratio(F.col("text")).alias("ratio"))

@@ -249,6 +249,20 @@ def short_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
 
 
+#: A table of aligned columns whose widths and rows vary, one by bars with a rule, and lines that are none.
+TABLES = """
+SELECT doc_id, text || chr(10) || rpad('Principal', CAST(12 + doc_id % 5 AS INT), ' ') || rpad('Rate', CAST(8 + doc_id % 3 AS INT), ' ') || 'Term of it'
+  || chr(10) || rpad('$' || CAST(doc_id * 10 AS STRING), CAST(12 + doc_id % 5 AS INT), ' ') || rpad('4.' || CAST(doc_id % 7 AS STRING) || '%', CAST(8 + doc_id % 3 AS INT), ' ') || CAST(doc_id % 30 AS STRING) || ' years'
+  || CASE WHEN doc_id % 2 = 0 THEN chr(10) || rpad('$7', CAST(12 + doc_id % 5 AS INT), ' ') || rpad('', CAST(8 + doc_id % 3 AS INT), ' ') || '1 year' ELSE '' END
+  || chr(10) || 'no table' || chr(10) || '| a | b | c |' || chr(10) || '|---|---|---|' || chr(10) || '| 1 | ' || CAST(doc_id AS STRING) || ' | 3 |' || chr(10) || 'so' || chr(10) || 'x | y | z | w' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'end' ELSE chr(10) || 'p  q' END AS text
+FROM {documents} d
+"""
+
+
+def tabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TABLES, documents=_table(spark, sf_dir, "documents"))
+
+
 QUESTION_STARTS = ("Summarize ", "Please explain ", "What is the interest rate of ", "The difference of ", "Where is ", "OVERVIEW ")
 
 

@@ -359,6 +359,23 @@ SELECT *, min(trigger) FILTER (WHERE decision <> 'continue') OVER (PARTITION BY
     "abbreviations": f"WITH {ABBREVIATIONS} SELECT form, n_with, n_without, score, is_abbreviation FROM ab",
     "sentence_starters": f"WITH {STARTERS} SELECT form, n, n_first, score FROM st",
     "learned_sentences": f"WITH {LEARNED} SELECT doc_id, CAST(count(*) AS INTEGER) AS n_sentences, md5(string_agg(text, '|' ORDER BY sentence)) AS text_md5 FROM pj GROUP BY doc_id",
+    "table_prose": rf"""WITH dt AS ({derive.TABLES.format(documents="documents")}),
+ln AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM dt)),
+ki AS (SELECT *, CASE WHEN length(t) - length(replace(t, '|', '')) >= 2 THEN 'bar' WHEN len(string_split(t, chr(9))) >= 3 THEN 'tab' WHEN regexp_matches(t, '\S {{2,}}\S') THEN 'gap' END AS kind FROM ln),
+nw AS (SELECT *, CAST(kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY line) OR line = 0 AS INT) AS n FROM ki),
+ru AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line) AS run FROM nw),
+gr AS (SELECT doc_id, run, min(line) AS first FROM ru WHERE kind IS NOT NULL GROUP BY doc_id, run HAVING count(*) > 1),
+px AS (SELECT DISTINCT doc_id, run, p FROM (SELECT doc_id, run, t, unnest(range(1, length(t) + 1)) AS p FROM ru JOIN gr USING (doc_id, run) WHERE kind = 'gap') WHERE substr(t, p, 1) <> ' '),
+ps AS (SELECT *, p - lag(p) OVER (PARTITION BY doc_id, run ORDER BY p) AS d FROM px),
+st AS (SELECT doc_id, run, list(p ORDER BY p) AS starts FROM ps WHERE d IS NULL OR d > 2 GROUP BY doc_id, run),
+ce AS (SELECT doc_id, run, line, first, regexp_matches(t, '^[\s|:+-]*-[\s|:+-]*$') AS rule, CASE kind WHEN 'bar' THEN list_transform(string_split(regexp_replace(trim(t), '^\||\|$', '', 'g'), '|'), lambda c: trim(c))
+  WHEN 'tab' THEN list_transform(string_split(t, chr(9)), lambda c: trim(c)) ELSE list_transform(range(1, len(starts) + 1), lambda i: trim(substr(t, starts[i], coalesce(starts[i + 1], length(t) + 1) - starts[i]))) END AS cells
+  FROM ru JOIN gr USING (doc_id, run) LEFT JOIN st USING (doc_id, run)),
+he AS (SELECT *, first_value(cells) OVER w AS head, first_value(rule) OVER w AS ruled FROM ce WINDOW w AS (PARTITION BY doc_id, run ORDER BY line)),
+ok AS (SELECT doc_id, run FROM he GROUP BY doc_id, run HAVING bool_and(rule OR len(cells) = len(head)) AND max(len(head)) > 1 AND NOT bool_or(ruled) AND count(*) FILTER (WHERE NOT rule) > 1),
+sa AS (SELECT doc_id, line, CASE WHEN line > first AND NOT rule THEN 'Details: ' || array_to_string(list_filter(list_transform(range(1, len(head) + 1), lambda i: trim(head[i] || ' ' || cells[i])), lambda x: x <> ''), ', ') || '.' END AS said FROM he JOIN ok USING (doc_id, run)),
+al AS (SELECT ln.doc_id, ln.line, CASE WHEN sa.doc_id IS NULL THEN t ELSE said END AS t, said FROM ln LEFT JOIN sa USING (doc_id, line))
+SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY line) FILTER (WHERE t IS NOT NULL)) AS text_md5, count(said) AS n_rows FROM al GROUP BY doc_id""",
     "session_latest_status": "SELECT user_id AS session_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
     "sessions_recent": "WITH m AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id) SELECT * FROM m ORDER BY event_id DESC LIMIT 20",
     "stream_event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
