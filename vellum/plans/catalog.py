@@ -12,7 +12,7 @@ from vellum.functions import text as T
 from vellum.operators import chunk, clean, experiments, extract, render, retrieve, sentences, tables, validate
 from vellum.plans import derive
 from vellum.plans.oracle import ORACLE  # noqa: F401  read by the driver's contract
-from vellum.sources import ocr
+from vellum.sources import ocr, vector_index
 from vellum.sources.workspace import landed, shared_path
 from vellum.streaming import ab, jobs, status, stream
 
@@ -395,6 +395,25 @@ def context_format(spark, sf_dir):
     return a.join(raw, "query_id").select("query_id", F.md5("context").alias("labelled_md5"), "raw_md5", "context_chars", "chunks_included")
 
 
+def _searched(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    vectors, queries = derive.long_vectors(spark, sf_dir)
+    path = shared_path(spark, "vector-index")
+    vector_index.save(vectors, path)
+    return vector_index.search(queries, vector_index.load(spark, path))
+
+
+@query
+def index_topk(spark, sf_dir):
+    """Hits from a saved index, block by block."""
+    return _searched(spark, sf_dir)[0]
+
+
+@query
+def index_skips(spark, sf_dir):
+    """What the index saved: blocks, and those that no vector of was multiplied with, for each query."""
+    return _searched(spark, sf_dir)[1]
+
+
 @query
 def unit_vectors(spark, sf_dir):
     chunks, _ = derive.vectors(spark, sf_dir)

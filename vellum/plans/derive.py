@@ -283,3 +283,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     queries = rows.select(F.col("chunk_id").alias("query_id"), "session_id", F.reverse("embedding").alias("query"))
     return rows, queries
+
+
+def long_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``vectors`` in sessions of 512, of different lengths: from one to a sixteenth, by powers of two, which engines divide by alike."""
+    own = _table(spark, sf_dir, "embeddings").select(F.expr("'w' || CAST(vec_id div 512 AS STRING)").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    shrunk = F.transform("embedding", lambda x: x.cast("double") / F.pow(F.lit(2.0), (F.col("chunk_id") % 5).cast("double")))
+    return own.withColumn("embedding", shrunk), own.select(F.col("chunk_id").alias("query_id"), "session_id", F.transform("embedding", lambda x: x.cast("double")).alias("query"))

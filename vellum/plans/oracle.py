@@ -376,6 +376,17 @@ ok AS (SELECT doc_id, run FROM he GROUP BY doc_id, run HAVING bool_and(rule OR l
 sa AS (SELECT doc_id, line, CASE WHEN line > first AND NOT rule THEN 'Details: ' || array_to_string(list_filter(list_transform(range(1, len(head) + 1), lambda i: trim(head[i] || ' ' || cells[i])), lambda x: x <> ''), ', ') || '.' END AS said FROM he JOIN ok USING (doc_id, run)),
 al AS (SELECT ln.doc_id, ln.line, CASE WHEN sa.doc_id IS NULL THEN t ELSE said END AS t, said FROM ln LEFT JOIN sa USING (doc_id, line))
 SELECT doc_id, md5(string_agg(t, chr(10) ORDER BY line) FILTER (WHERE t IS NOT NULL)) AS text_md5, count(said) AS n_rows FROM al GROUP BY doc_id""",
+    "index_topk": """WITH v AS (SELECT vec_id, 'w' || (vec_id // 512) AS session_id, embedding::DOUBLE[] AS q, list_transform(embedding::DOUBLE[], lambda x: x / pow(2::DOUBLE, vec_id % 5)) AS e FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, a.session_id, b.vec_id AS chunk_id, list_inner_product(a.q, b.e) AS score FROM v a JOIN v b USING (session_id))
+SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank, chunk_id, score FROM s QUALIFY rank <= 5""",
+    "index_skips": """WITH v AS (SELECT vec_id, 'w' || (vec_id // 512) AS session_id, embedding::DOUBLE[] AS q, list_transform(embedding::DOUBLE[], lambda x: x / pow(2::DOUBLE, vec_id % 5)) AS e FROM embeddings),
+n AS (SELECT *, sqrt(list_inner_product(e, e)) AS l, sqrt(list_inner_product(q, q)) AS m FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY l DESC, vec_id) - 1 AS pos FROM n),
+b AS (SELECT session_id, pos // 16 AS block_no, max(l) AS reach FROM r GROUP BY ALL),
+f AS (SELECT a.vec_id AS query_id, list_inner_product(a.q, r.e) AS score FROM n a JOIN r ON r.session_id = a.session_id AND r.pos < 16),
+t AS (SELECT query_id, min(score) AS least FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS k FROM f) WHERE k <= 5 GROUP BY query_id)
+SELECT n.vec_id AS query_id, count(*) AS blocks, count(*) FILTER (WHERE block_no > 0 AND reach * m * (1 + 1e-9::DOUBLE) + 1e-9::DOUBLE < least) AS blocks_skipped
+FROM n JOIN b USING (session_id) JOIN t ON t.query_id = n.vec_id GROUP BY n.vec_id""",
     "session_latest_status": "SELECT user_id AS session_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
     "sessions_recent": "WITH m AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id) SELECT * FROM m ORDER BY event_id DESC LIMIT 20",
     "stream_event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
