@@ -256,6 +256,36 @@ def test_objects_by_key(spark, tmp_path):
     assert {(r.key, r.deleted) for r in gone.collect()} == {("extracted/s1/raw_text.txt", True), ("extracted/s2/raw_text.txt", True), ("no/such", False)}
 
 
+def test_objects_with_a_commit(spark, tmp_path):
+    from vellum.sources import committed
+
+    root = f"file://{tmp_path}/store"
+    assert committed.list_keys(spark, root).count() == 0
+    rows = spark.createDataFrame([("extracted/s1/raw_text.txt", "Zinß"), ("extracted/s2/raw_text.txt", None), ("top.txt", "t"), ("a/one.txt", ""), ("a/b/c/d.txt", "deep")], "key string, content string")
+    committed.put(rows, root)
+    listed = lambda prefix="": {(r.key, r.length) for r in committed.list_keys(spark, root, prefix).collect()}
+    there = {("extracted/s1/raw_text.txt", 5), ("extracted/s2/raw_text.txt", 0), ("top.txt", 1), ("a/one.txt", 0), ("a/b/c/d.txt", 4)}
+    assert listed() == there and listed("extracted") == {x for x in there if x[0].startswith("extracted/")} and listed("none") == set()
+    assert {r.key: bytes(r.content).decode() for r in committed.get(spark, root, "a").collect()} == {"a/one.txt": "", "a/b/c/d.txt": "deep"}
+    # a task that fails takes the whole write with it
+    bad = spark.range(50).repartition(4).selectExpr("concat('bad/', id) AS key", "if(id = 49, raise_error('lost'), 'x') AS content")
+    with pytest.raises(Exception, match="lost"):
+        committed.put(bad, root)
+    with pytest.raises(Exception, match="no key"):
+        committed.put(spark.createDataFrame([("ok.txt", "x"), ("../up.txt", "x")], "key string, content string"), root)
+    assert listed() == there and not [p for p in (tmp_path / "store").iterdir() if p.name.startswith(".staged")]
+    # a write that was committed and not moved yet, and one that never was
+    for name, mark in ((".staged-1", True), (".staged-2", False)):
+        (tmp_path / "store" / name / "late").mkdir(parents=True)
+        (tmp_path / "store" / name / "late" / "x.txt").write_text(name)
+        if mark:
+            (tmp_path / "store" / name / ".committed").touch()
+    assert listed() == there and committed.publish(spark, root) == 1
+    assert listed() == there | {("late/x.txt", 9)} and committed.publish(spark, root) == 0
+    committed.put(rows.where("key = 'top.txt'").selectExpr("key", "'new one' AS content"), root)
+    assert ("top.txt", 7) in listed()
+
+
 def test_vectors_are_saved_and_loaded(spark, tmp_path):
     from vellum.sources import objects
 

@@ -12,9 +12,9 @@ from vellum.functions import text as T
 from vellum.operators import chunk, clean, experiments, extract, render, retrieve, sentences, tables, validate
 from vellum.plans import derive
 from vellum.plans.oracle import ORACLE  # noqa: F401  read by the driver's contract
-from vellum.sources import ocr, vector_index
+from vellum.sources import committed, ocr, vector_index
 from vellum.sources.workspace import landed, shared_path
-from vellum.streaming import ab, jobs, status, stream
+from vellum.streaming import ab, cache, jobs, status, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -473,6 +473,20 @@ def once_per_question(spark, sf_dir):
     return spark.read.parquet(out).select("key")
 
 
+@query
+def cached_answers(spark, sf_dir):
+    """Which questions a session's cache answers, with lives of 25 minutes; questions arrive in three parts."""
+    stream.keep_state_in_rocksdb(spark)
+    out, checkpoint = shared_path(spark, "stream-cache"), shared_path(spark, "stream-checkpoint")
+
+    def run(arrived: DataFrame) -> None:
+        keyed = arrived.withColumn("asked", F.timestamp_seconds("asked_s")).withColumn("key", S.cache_key(F.col("session_id"), F.col("question")))
+        stream.drain(cache.answered(keyed, 1500), out, checkpoint)
+
+    stream.in_slices(derive.asked(spark, sf_dir), "asked_s", 3, run)
+    return spark.read.parquet(out)
+
+
 # ---- experiments -------------------------------------------------------------------------------
 
 
@@ -619,6 +633,17 @@ def missing_sessions(spark, sf_dir):
     return ocr.missing_sessions(wanted, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("session_id")))
 
 
+@query
+def object_listing(spark, sf_dir):
+    """Objects written with a commit, every fifth of no bytes, and listed."""
+    own = _table(spark, sf_dir, "supplier").select(
+        ocr.key("raw_text", F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("key"), F.when(F.col("s_suppkey") % 5 > 0, F.col("s_name")).alias("content")
+    )
+    root = shared_path(spark, "objects")
+    committed.put(own, root)
+    return committed.list_keys(spark, root)
+
+
 @query
 def batch_order(spark, sf_dir):
     """Each batch's place in its job, by tokens alone."""

@@ -290,3 +290,13 @@ def long_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     own = _table(spark, sf_dir, "embeddings").select(F.expr("'w' || CAST(vec_id div 512 AS STRING)").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     shrunk = F.transform("embedding", lambda x: x.cast("double") / F.pow(F.lit(2.0), (F.col("chunk_id") % 5).cast("double")))
     return own.withColumn("embedding", shrunk), own.select(F.col("chunk_id").alias("query_id"), "session_id", F.transform("embedding", lambda x: x.cast("double")).alias("query"))
+
+
+#: Questions of sessions, ten minutes apart; every other one is asked again.
+ASKED = """
+SELECT 'c' || CAST(conv_id AS STRING) AS session_id, turn, CAST(86400 + turn * 600 + conv_id % 97 AS BIGINT) AS asked_s, 'Question ' || CAST(turn % 2 AS STRING) AS question FROM {conversations} c
+"""
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ASKED, conversations=_table(spark, sf_dir, "conversations"))

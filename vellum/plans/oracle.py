@@ -387,6 +387,9 @@ f AS (SELECT a.vec_id AS query_id, list_inner_product(a.q, r.e) AS score FROM n
 t AS (SELECT query_id, min(score) AS least FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS k FROM f) WHERE k <= 5 GROUP BY query_id)
 SELECT n.vec_id AS query_id, count(*) AS blocks, count(*) FILTER (WHERE block_no > 0 AND reach * m * (1 + 1e-9::DOUBLE) + 1e-9::DOUBLE < least) AS blocks_skipped
 FROM n JOIN b USING (session_id) JOIN t ON t.query_id = n.vec_id GROUP BY n.vec_id""",
+    "cached_answers": f"""WITH a AS ({derive.ASKED.format(conversations="conversations")})
+SELECT session_id, turn, md5(session_id || ':' || lower(question)) AS key, row_number() OVER (PARTITION BY session_id, turn // 3, question ORDER BY turn) > 1 AS hit FROM a""",
+    "object_listing": "SELECT 'extracted/s' || s_suppkey || '/raw_text.txt' AS key, CASE WHEN s_suppkey % 5 > 0 THEN strlen(s_name) ELSE 0 END AS length FROM supplier",
     "session_latest_status": "SELECT user_id AS session_id, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id",
     "sessions_recent": "WITH m AS (SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id) SELECT * FROM m ORDER BY event_id DESC LIMIT 20",
     "stream_event_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
