@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -42,22 +42,26 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     return pages.select(*rest, T.strip(F.array_join(kept, "\n")).alias("text"), removed.alias("lines_removed"))
 
 
-def notes(pages: DataFrame, fields: DataFrame) -> DataFrame:
-    """session_id, cleaning_notes: up to three sentences in a fixed order, of cleaned pages and fields."""
-    lines = pages.groupBy("session_id").agg(F.sum("lines_removed").alias("gone"))
-    cut = F.sort_array(F.collect_list(F.when(F.col("is_truncated"), F.struct("page", "key"))))
-    counts = fields.groupBy("session_id").agg(cut.alias("cut"), F.count("original_value").alias("changed"))
-    both = lines.join(counts, "session_id", "full_outer")
-    gone, changed, cut = F.coalesce("gone", F.lit(0)), F.coalesce("changed", F.lit(0)), F.col("cut")
+def notes_of(gone: Column, cut: Column, changed: Column) -> Column:
+    """The notes of lines that went, fields (page, key) that are cut in order, and values that changed."""
     named = F.array_join(F.transform(cut, lambda x: F.concat(x["key"], F.lit(" (p"), x["page"].cast("string"), F.lit(")"))), ", ")
-    told = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(gone > 0, F.concat(F.lit("Removed "), gone.cast("string"), F.lit(" repeated header/footer lines across all pages."))),
             F.when(F.size(cut) > 0, F.concat(F.size(cut).cast("string"), F.lit(" field(s) appear truncated: "), named)),
             F.when(changed > 0, F.concat(changed.cast("string"), F.lit(" field value(s) normalised (number spacing, digit-letter concat)."))),
         )
     )
-    return both.select("session_id", told.alias("cleaning_notes"))
+
+
+def notes(pages: DataFrame, fields: DataFrame) -> DataFrame:
+    """session_id, cleaning_notes: up to three sentences in a fixed order, of cleaned pages and fields."""
+    lines = pages.groupBy("session_id").agg(F.sum("lines_removed").alias("gone"))
+    cut = F.sort_array(F.collect_list(F.when(F.col("is_truncated"), F.struct("page", "key"))))
+    counts = fields.groupBy("session_id").agg(cut.alias("cut"), F.count("original_value").alias("changed"))
+    both = lines.join(counts, "session_id", "full_outer")
+    gone, changed, cut = F.coalesce("gone", F.lit(0)), F.coalesce("changed", F.lit(0)), F.col("cut")
+    return both.select("session_id", notes_of(gone, cut, changed).alias("cleaning_notes"))
 
 
 def repeated_lines(docs: DataFrame, least: int = 3) -> DataFrame:

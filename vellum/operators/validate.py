@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators import clean
+from vellum.operators.extract import EXACT
 
 # ---- fixed values -----------------------------------------------------------------------------
 ERROR_BELOW, WARN_BELOW, MIN_PAGES = 70.0, 85.0, 1
@@ -55,6 +57,46 @@ def assemble(docs: DataFrame, pages: DataFrame, fields: DataFrame, tables: DataF
     return out
 
 
+def gather(sessions: DataFrame, pages: DataFrame, fields: DataFrame, tables: DataFrame) -> DataFrame:
+    """One row per session from its parts, as ``assemble`` gives with ``extract.documents`` and ``clean.notes``, by one grouping.
+
+    Parts are rows of one union, told apart by which of their columns isn't null; a session's parts
+    meet once, and what is told of them is worked out inside its row, which a document's size bounds.
+    ``pages`` are cleaned ones with word_count, ``fields`` cleaned and without doubles, ``tables`` grids.
+    A session that only ``sessions`` name has no pages, fields or tables.
+    """
+    page = F.struct("page_number", "avg_confidence", "has_handwriting", "text", "word_count", "lines_removed")
+    field = F.struct("page", "key", "value", "confidence", "is_truncated", "original_value")
+    table = F.struct("table_ord", "page", "rows", "cols", "data")
+    parts = {"pages": pages.select("session_id", page.alias("pages")), "form_fields": fields.select("session_id", field.alias("form_fields")), "tables": tables.select("session_id", table.alias("tables"))}
+    rows = sessions.select("session_id").distinct()
+    for part in parts.values():
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    out = rows.groupBy("session_id").agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in parts])
+
+    def sections(p: Column) -> Column:
+        own = F.transform(F.filter("tables", lambda t: t["page"] == p["page_number"]), lambda t: T.grid_text(t["data"]))
+        return F.concat(p["text"], F.when(F.size(own) > 0, F.concat(F.lit(T.TABLE_MARK), F.array_join(own, T.TABLE_MARK))).otherwise(F.lit("")))
+
+    zero = F.lit(0).cast(EXACT)
+    weighed = F.aggregate("pages", zero, lambda a, p: (a + p["avg_confidence"].cast(EXACT) * p["word_count"].cast("decimal(18,0)")).cast(EXACT))
+    words = F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + p["word_count"])
+    gone = F.aggregate("pages", F.lit(0).cast("long"), lambda a, p: a + p["lines_removed"])
+    cut = F.transform(F.filter("form_fields", lambda f: f["is_truncated"]), lambda f: F.struct(f["page"].alias("page"), f["key"].alias("key")))
+    changed = F.size(F.filter("form_fields", lambda f: f["original_value"].isNotNull()))
+    any_part = (F.size("pages") > 0) | (F.size("form_fields") > 0)
+    return out.select(
+        "session_id",
+        F.array_join(F.transform("pages", sections), T.PAGE_BREAK).alias("full_text"),
+        F.size("pages").cast("long").alias("total_pages"),
+        T.rounded(F.when(words > 0, weighed.cast("double") / words).otherwise(0.0)).alias("overall_avg_confidence"),
+        F.exists("pages", lambda p: p["has_handwriting"]).alias("has_handwriting"),
+        F.when(any_part, clean.notes_of(gone, F.sort_array(cut), changed)).alias("cleaning_notes"),
+        *parts,
+        F.size("tables").alias("n_tables"),
+    )
+
+
 def _issue(severity: str, code: str, message: Column, page: Column | None = None, field: Column | None = None) -> Column:
     return F.struct(
         F.lit(severity).alias("severity"),

@@ -45,12 +45,8 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = words.select(
         "session_id", "page_number", text.alias("text"), "word_count", T.rounded(F.col("total") / F.col("word_count")).alias("avg_confidence"), "has_handwriting"
     )
-    cleaned = clean.clean_pages(pages)
-    kept = landed(_cleaned(fields), "session_id", "kept-fields")
     tables = extract.grids(derive.cells(fields), clean=True)
-    docs = extract.every_session(fields.select("session_id").distinct(), extract.documents(cleaned, tables))
-    docs = docs.join(clean.notes(cleaned, kept), "session_id", "left")
-    return validate.validate(validate.assemble(docs, cleaned, kept, tables))
+    return validate.validate(validate.gather(fields, clean.clean_pages(pages), _cleaned(fields), tables))
 
 
 # ---- fields ------------------------------------------------------------------------------------
