@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vellum.functions.text import CHECKBOX_KEYS, LOAN_KEYWORDS
+from vellum.functions.text import CHECKBOX_KEYS, LOAN_KEYWORDS, title_of
 from vellum.operators import retrieve
 from vellum.operators.validate import NO_PAGES, REQUIRED_FIELDS
 from vellum.plans import derive
@@ -154,6 +154,41 @@ RUNS = f"""r0 AS ({derive.RUNS.format(events='events')}),
 ru AS (SELECT *, {_VARIANT.format('user_id')} AS variant, 0.6::DOUBLE * faithfulness + 0.4::DOUBLE * relevance AS composite, tokens / 1000.0::DOUBLE * 0.002::DOUBLE AS cost FROM r0)"""
 _MEAN = "sum(composite::DECIMAL(28, 12))::DOUBLE / count(composite)"
 
+_TITLES = ", ".join(f"({_text(n)}, {_text(title_of(n))})" for n, _ in REQUIRED_FIELDS)
+_RULE = "'', '---', ''"
+#: The report as lines (session, section, a, b, line) in order; sections without lines are left out whole.
+MARKDOWN = f"""WITH {ISSUES}, {_grids('t', 'value')},
+n1 AS (SELECT session_id, sum(lines_removed) AS g FROM p GROUP BY session_id),
+n2 AS (SELECT session_id, count(*) FILTER (WHERE is_truncated) AS c, string_agg(key || ' (p' || page || ')', ', ' ORDER BY page, key) FILTER (WHERE is_truncated) AS names, count(original_value) AS ch FROM d GROUP BY session_id),
+nt AS (SELECT session_id, list_filter([CASE WHEN g > 0 THEN 'Removed ' || g || ' repeated header/footer lines across all pages.' END, CASE WHEN c > 0 THEN c || ' field(s) appear truncated: ' || names END,
+  CASE WHEN ch > 0 THEN ch || ' field value(s) normalised (number spacing, digit-letter concat).' END], lambda x: x IS NOT NULL) AS l FROM o LEFT JOIN n1 USING (session_id) LEFT JOIN n2 USING (session_id)),
+fn AS (SELECT session_id, arg_min(value, (page, key)) AS named FROM d WHERE contains(lower(key), 'first name') GROUP BY session_id),
+er AS (SELECT session_id, count(*) FILTER (WHERE severity = 'error') AS errors FROM i GROUP BY session_id),
+hd AS (SELECT o.session_id, ['# Loan Application' || CASE WHEN coalesce(named, '') <> '' THEN ' — ' || named ELSE '' END, '', '**Session:** `' || o.session_id || '`  ', '**Extracted:** 2025-01-01 00:00 UTC  ', '**Pages:** ' || total_pages || '  ',
+  '**Overall Confidence:** ' || printf('%.1f', overall) || '%  ', '**Handwriting Detected:** ' || CASE WHEN has_handwriting THEN 'Yes — pages [' || array_to_string(hw, ', ') || ']' ELSE 'No' END || '  ',
+  '**Validation:** ' || CASE WHEN coalesce(errors, 0) = 0 THEN 'PASS' ELSE 'FAIL' END, {_RULE}] AS l FROM o LEFT JOIN fn USING (session_id) LEFT JOIN er USING (session_id) LEFT JOIN h USING (session_id)),
+ti(name, title) AS (VALUES {_TITLES}),
+mk AS (SELECT session_id, r, cols, '| ' || line || ' |' AS line FROM rw JOIN sz USING (session_id)),
+tb AS (SELECT session_id, string_agg(line || CASE WHEN r = 1 THEN chr(10) || '| ' || array_to_string(list_transform(range(cols), lambda x: '---'), ' | ') || ' |' ELSE '' END, chr(10) ORDER BY r) AS body FROM mk GROUP BY session_id),
+ls AS (
+  SELECT session_id, 0 AS c, 0 AS a, '' AS b, l FROM hd
+  UNION ALL SELECT session_id, 1, 0, '', ['## Cleaning Notes', ''] || list_transform(l, lambda x: '- ' || x) || [{_RULE}] FROM nt WHERE len(l) > 0
+  UNION ALL SELECT session_id, 2, 0, '', ['## Validation Report', ''] FROM o
+  UNION ALL SELECT session_id, 3, 0, '', ['No issues found.'] FROM o WHERE session_id NOT IN (SELECT session_id FROM i)
+  UNION ALL SELECT session_id, 3, 10 * c, lpad(CAST(a AS VARCHAR), 9, '0') || b, ['- ' || CASE severity WHEN 'error' THEN '✗' WHEN 'warning' THEN '⚠' ELSE 'ℹ' END || ' **' || code || '**' || CASE WHEN coalesce(page, 0) <> 0 THEN ' (page ' || page || ')' ELSE '' END
+    || CASE WHEN coalesce(field, '') <> '' THEN ' [field: ' || field || ']' ELSE '' END || ': ' || message] FROM i
+  UNION ALL SELECT session_id, 4, 0, '', [{_RULE}, '## Key Loan Fields', '', '| Field | Value |', '|---|---|'] FROM o
+  UNION ALL SELECT session_id, 5, 0, name, ['| ' || title || ' | ' || value || ' |'] FROM m JOIN ti USING (name) WHERE value IS NOT NULL
+  UNION ALL SELECT session_id, 6, k, '', ['| ' || title || ' | ⚠ Not found |'] FROM m JOIN ti USING (name) WHERE value IS NULL
+  UNION ALL SELECT session_id, 7, 0, '', [{_RULE}, '## All Form Fields', '', '| Page | Field | Value | Notes |', '|---|---|---|---|'] FROM o
+  UNION ALL SELECT session_id, 8, page, key, ['| ' || page || ' | ' || key || ' | ' || CASE WHEN value = '' THEN '_empty_' ELSE value END || ' | '
+    || concat_ws(', ', CASE WHEN is_truncated THEN '⚠ truncated' END, 'normalised from `' || original_value || '`') || ' |'] FROM d
+  UNION ALL SELECT session_id, 9, 0, '', [{_RULE}] FROM o
+  UNION ALL SELECT session_id, 10, 0, '', ['## Tables', '', '### Table 1 — Page 1 (' || rows || ' rows × ' || cols || ' cols)', '', coalesce(body, '_No cell content extracted._'), '', '---', ''] FROM sz LEFT JOIN tb USING (session_id)
+  UNION ALL SELECT session_id, 11, 0, '', ['## Full Text', ''] FROM o
+  UNION ALL SELECT session_id, 12, page_number, '', ['### Page ' || page_number || CASE WHEN has_handwriting THEN ' _(contains handwriting)_' ELSE '' END || ' — confidence: ' || printf('%.1f', avg_confidence) || '%', '', 'Page ' || page_number, ''] FROM p
+), md AS (SELECT session_id, array_to_string(flatten(list(l ORDER BY c, a, b)), chr(10)) AS t FROM ls GROUP BY session_id)
+SELECT session_id, md5(t) AS digest, length(t)::INT AS n_chars FROM md"""
 _SHORT = "text"
 for _word, _form in derive.SHORT_FORMS:
     _SHORT = f"replace({_SHORT}, ' {_word} ', ' {_form} ')"
@@ -401,3 +436,4 @@ SELECT session_id, turn, md5(session_id || ':' || lower(question)) AS key, row_n
     "json_records": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' AS json FROM nation""",
 }
 ORACLE["ab_running_summary"] = ORACLE["ab_summary"]  # the same rows, from the state of a stream
+ORACLE["markdown_report"] = MARKDOWN
