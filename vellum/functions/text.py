@@ -20,6 +20,9 @@ SMART_FROM, SMART_TO = "‘’“”–— ", "''\"\"-- "
 PAGE_MARKER = r"=== PAGE \d+ ===\n?"
 PAGE_BREAK = "\n\n--- Page Break ---\n\n"
 TABLE_MARK = "\n\n[TABLE]\n"
+LINE_ENDS, BLANK_RUNS = r"\n{3,}", r"[ \t]{2,}"
+CUT_WORD = r"([\p{L}\p{N}_]+)-\n([\p{L}\p{N}_]+)"
+CUT_DATE, CUT_LETTER = r"(?U)\d{1,2}/\d{1,2}/\d{2,3}\n?\z", r"[a-zA-Z]\n?\z"
 # -----------------------------------------------------------------------------------------------
 
 #: What Unicode-aware ``strip`` takes for white space, as a pattern and as the characters themselves.
@@ -59,8 +62,8 @@ def clean_value(c: Column) -> Column:
 
 def is_truncated(c: Column, strict: bool = False) -> Column:
     """Ends like a date with too few digits or, unless ``strict``, in any ASCII letter."""
-    dated = c.rlike(r"(?U)\d{1,2}/\d{1,2}/\d{2,3}\n?\z")
-    return dated if strict else dated | c.rlike(r"[a-zA-Z]\n?\z")
+    dated = c.rlike(CUT_DATE)
+    return dated if strict else dated | c.rlike(CUT_LETTER)
 
 
 def is_noise_line(line: Column) -> Column:
@@ -105,12 +108,12 @@ def grid_markdown(grid: Column) -> Column:
 
 def collapse_space(c: Column) -> Column:
     """At most two line ends in a row, one space for runs of blanks, nothing at the ends."""
-    return strip(F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
+    return strip(F.regexp_replace(F.regexp_replace(c, LINE_ENDS, "\n\n"), BLANK_RUNS, " "))
 
 
 def join_hyphens(c: Column) -> Column:
     """Words cut by a hyphen at a line end are joined."""
-    return F.regexp_replace(c, r"([\p{L}\p{N}_]+)-\n([\p{L}\p{N}_]+)", "$1$2")
+    return F.regexp_replace(c, CUT_WORD, "$1$2")
 
 
 def plain_marks(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,11 +86,16 @@ def strip_repeated(docs: DataFrame, least: int = 3) -> DataFrame:
     return own.withColumn("text", text).select(*docs.columns)
 
 
-def clean_text(docs: DataFrame) -> DataFrame:
-    """The whole chain: repeated lines, white space, hyphens, typographic marks, tables as prose, page markers."""
+def clean_text(docs: DataFrame, watch: Callable[[str, DataFrame], DataFrame] = lambda stage, rows: rows) -> DataFrame:
+    """The whole chain: repeated lines, white space, hyphens, typographic marks, tables as prose, page markers.
+
+    ``watch`` sees each stage's rows, as ``Counters.watch`` does, and gives them back.
+    """
     rest = [c for c in docs.columns if c != "text"]
-    plain = strip_repeated(docs).select(*rest, T.plain_marks(T.join_hyphens(T.collapse_space(F.col("text")))).alias("text"))
-    return plain.select(*rest, T.table_prose(F.col("text")).alias("text")).select(*rest, T.without_page_markers(F.col("text")).alias("text"))
+    own = watch("repeated_lines", strip_repeated(watch("input", docs)))
+    own = watch("marks", own.select(*rest, T.plain_marks(T.join_hyphens(T.collapse_space(F.col("text")))).alias("text")))
+    own = watch("table_prose", own.select(*rest, T.table_prose(F.col("text")).alias("text")))
+    return watch("page_markers", own.select(*rest, T.without_page_markers(F.col("text")).alias("text")))
 
 
 def gate(docs: DataFrame, pages: str = "page_count", least_chars: int = 500, most_odd: float = 0.35, least_keywords: int = 2) -> DataFrame:

@@ -33,6 +33,9 @@ LOW_OVERALL = "% is below error threshold 70.0%. Document may be too blurry or l
 MODERATE_OVERALL = "% is below warning threshold 85.0%. Some extracted text may be inaccurate."
 HANDWRITING = ". Handwritten values may have lower accuracy."
 NO_DATA = "No form fields or tables extracted. Document may not be a structured loan form."
+OVERALL, PAGE_START, PAGE_BETWEEN, PAGE_LOW, PAGE_MODERATE = "Overall confidence ", "Page ", " confidence ", "% below threshold.", "% is moderate."
+FIELD_START, FIELD_BETWEEN, FIELD_END = "Field '", "' value '", "' appears truncated."
+MISSING_START, MISSING_END, HAND_START = "Required field '", "' not found or has no value.", "Handwriting detected on page(s): "
 # -----------------------------------------------------------------------------------------------
 
 ISSUE = "array<struct<severity:string,code:string,message:string,page:int,field:string>>"
@@ -135,25 +138,25 @@ def validate(docs: DataFrame) -> DataFrame:
 
     def of_page(p: Column) -> Column:
         low = p["avg_confidence"] < ERROR_BELOW
-        start = F.concat(F.lit("Page "), p["page_number"].cast("string"), F.lit(" confidence "), T.fixed(p["avg_confidence"], 1))
-        return F.when(low, _issue("error", "LOW_PAGE_CONFIDENCE", F.concat(start, F.lit("% below threshold.")), p["page_number"])).when(
-            p["avg_confidence"] < WARN_BELOW, _issue("warning", "MODERATE_PAGE_CONFIDENCE", F.concat(start, F.lit("% is moderate.")), p["page_number"])
+        start = F.concat(F.lit(PAGE_START), p["page_number"].cast("string"), F.lit(PAGE_BETWEEN), T.fixed(p["avg_confidence"], 1))
+        return F.when(low, _issue("error", "LOW_PAGE_CONFIDENCE", F.concat(start, F.lit(PAGE_LOW)), p["page_number"])).when(
+            p["avg_confidence"] < WARN_BELOW, _issue("warning", "MODERATE_PAGE_CONFIDENCE", F.concat(start, F.lit(PAGE_MODERATE)), p["page_number"])
         )
 
     def of_field(f: Column) -> Column:
-        message = F.concat(F.lit("Field '"), f["key"], F.lit("' value '"), f["value"], F.lit("' appears truncated."))
+        message = F.concat(F.lit(FIELD_START), f["key"], F.lit(FIELD_BETWEEN), f["value"], F.lit(FIELD_END))
         return _issue("warning", "TRUNCATED_VALUE", message, f["page"], f["key"])
 
     def of_missing(name: Column) -> Column:
-        return _issue("warning", "MISSING_REQUIRED_FIELD", F.concat(F.lit("Required field '"), name, F.lit("' not found or has no value.")), None, name)
+        return _issue("warning", "MISSING_REQUIRED_FIELD", F.concat(F.lit(MISSING_START), name, F.lit(MISSING_END)), None, name)
 
-    pages_named = F.concat(F.lit("Handwriting detected on page(s): "), T.python_list(F.col("handwriting_pages")), F.lit(HANDWRITING))
+    pages_named = F.concat(F.lit(HAND_START), T.python_list(F.col("handwriting_pages")), F.lit(HANDWRITING))
     checks = [
         _only(F.col("total_pages") < MIN_PAGES, _issue("error", "NO_PAGES", F.lit(NO_PAGES))),
-        _only(overall < ERROR_BELOW, _issue("error", "LOW_OVERALL_CONFIDENCE", F.concat(F.lit("Overall confidence "), shown, F.lit(LOW_OVERALL)))),
+        _only(overall < ERROR_BELOW, _issue("error", "LOW_OVERALL_CONFIDENCE", F.concat(F.lit(OVERALL), shown, F.lit(LOW_OVERALL)))),
         _only(
             (overall >= ERROR_BELOW) & (overall < WARN_BELOW),
-            _issue("warning", "MODERATE_OVERALL_CONFIDENCE", F.concat(F.lit("Overall confidence "), shown, F.lit(MODERATE_OVERALL))),
+            _issue("warning", "MODERATE_OVERALL_CONFIDENCE", F.concat(F.lit(OVERALL), shown, F.lit(MODERATE_OVERALL))),
         ),
         F.array_compact(F.transform("pages", of_page)),
         _only(F.size("handwriting_pages") > 0, _issue("info", "HANDWRITING_DETECTED", pages_named)),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import serving as S
 from vellum.functions import text as T
-from vellum.operators import chunk, clean, experiments, extract, render, retrieve, sentences, tables, validate
+from vellum.operators import chunk, clean, counters, experiments, extract, render, retrieve, sentences, tables, validate
 from vellum.plans import derive
 from vellum.plans.oracle import ORACLE  # noqa: F401  read by the driver's contract
 from vellum.sources import committed, ocr, vector_index
@@ -264,6 +264,14 @@ def clean_chain(spark, sf_dir):
     return own.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
 
 
+@query
+def cleaning_counters(spark, sf_dir):
+    """Rows and characters behind each stage of the cleaning chain, counted while it is written."""
+    seen = counters.Counters()
+    clean.clean_text(derive.artefacts(spark, sf_dir), seen.watch).write.parquet(shared_path(spark, "cleaned"))
+    return seen.counts(spark)
+
+
 @query
 def table_lines(spark, sf_dir):
     own = derive.artefacts(spark, sf_dir)

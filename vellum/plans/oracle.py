@@ -301,6 +301,9 @@ SELECT doc_id, md5({_STRIP.format("array_to_string(k, chr(10))")}) AS text_md5,
     "smart_chars": _changed(_SMART.format("text")),
     "page_markers": _changed(_MARKERS.format("text")),
     "clean_chain": f"WITH {ARTEFACTS}, {_repeated('x')}, {_PROSE}, y AS (SELECT doc_id, {_MARKERS.format('t')} AS t FROM zr) SELECT doc_id, md5(t) AS text_md5, length(t) AS n FROM y",
+    "cleaning_counters": f"""WITH {ARTEFACTS}, {_repeated('x')}, {_PROSE}, y AS (SELECT doc_id, {_MARKERS.format('t')} AS t FROM zr)
+SELECT 0::INT AS seq, 'input' AS stage, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM x UNION ALL SELECT 1, 'repeated_lines', count(*), sum(length(text))::BIGINT FROM stripped
+UNION ALL SELECT 2, 'marks', count(*), sum(length(t))::BIGINT FROM z UNION ALL SELECT 3, 'table_prose', count(*), sum(length(t))::BIGINT FROM zr UNION ALL SELECT 4, 'page_markers', count(*), sum(length(t))::BIGINT FROM y""",
     "table_lines": f"""WITH {ARTEFACTS} SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: length(s) - length(replace(s, '|', '')) >= 2 OR len(string_split(s, chr(9))) >= 3)) AS n_table_lines FROM x""",
     "gibberish_ratio": f"SELECT doc_id, {_ODD} AS ratio FROM documents",
     "document_gate": rf"""WITH g AS (SELECT doc_id, length({_STRIP.format('text')}) AS char_count, {_ODD} AS gibberish_ratio, doc_id % 7 AS page_count, lang,
