@@ -165,3 +165,25 @@ def test_sentences_by_learned_abbreviations(spark):
     }
     chunks = chunk.sentence_chunks(sentences.split(docs, known_, first), size=2, step=2).where("doc_id = 1").orderBy("chunk_id").collect()
     assert [c.n_sentences for c in chunks] == [2, 2, 1]
+
+
+def test_a_saved_index_finds_the_same(spark, tmp_path):
+    import random
+
+    from vellum.sources import vector_index
+
+    rng, path = random.Random(6), str(tmp_path / "index")
+    rows = [(f"s{k % 3}", k, [rng.randint(-8, 8) / 2 ** (k % 6) for _ in range(5)]) for k in range(400)] + [("s0", 900, None), ("few", 901, [1.0] * 5), ("few", 902, [0.0] * 5)]
+    rows += [("same", 1000 + k, [1.0, 0.0, 0.0, 0.0, 0.0]) for k in range(40)]  # ties across blocks
+    queries = [(k, s, [float(rng.randint(-8, 8)) for _ in range(5)]) for k, s in enumerate(["s0", "s1", "s2", "few", "same", "none"] * 4)] + [(99, "same", [0.0] * 5), (100, "s1", None)]
+    vectors = spark.createDataFrame(rows, "session_id string, chunk_id long, embedding array<double>")
+    vector_index.save(vectors, path, block=8)
+    hits, skipped = vector_index.search(spark.createDataFrame(queries, "query_id long, session_id string, query array<double>"), vector_index.load(spark, path), 5)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.chunk_id, r.score))
+    for q, session, v in queries:
+        own = [(c, sum(x * y for x, y in zip(v, e))) for s, c, e in rows if s == session and e is not None] if v else []
+        assert got.get(q, []) == sorted(own, key=lambda h: (-h[1], h[0]))[:5]
+    told = {r.query_id: (r.blocks, r.blocks_skipped) for r in skipped.collect()}
+    assert sum(s for _, s in told.values()) > 0 and all(0 <= s < b for b, s in told.values())

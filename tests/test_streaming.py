@@ -107,3 +107,18 @@ def test_experiments_stop_where_plain_python_stops(spark, tmp_path):
     parts = experiments.moments(df.where("run_id % 3 = 0")).unionByName(experiments.moments(df.where("run_id % 3 <> 0")))
     assert order(experiments.summary_of(experiments.merged(parts))) == order(experiments.summary(df))
     assert order(experiments.decision_of(experiments.merged(parts))) == order(experiments.decision(df))
+
+
+def test_a_cache_ends_with_its_session(spark, tmp_path):
+    from vellum.streaming import cache
+
+    stream.keep_state_in_rocksdb(spark)
+    day = 86_400
+    # a life of 100 seconds from the first question: at its very end it is over
+    asked = [("s", 0, 0, "q"), ("s", 1, 50, "q"), ("s", 2, 99, "r"), ("s", 3, 100, "q"), ("s", 4, 150, "r"), ("s", 5, 199, "q"), ("s", 6, 500, "q"), ("t", 0, 60, "q"), ("t", 1, 61, "q"), (None, 0, 5, "q"), ("t", 2, 70, None)]
+    df = spark.createDataFrame([(s, t, day + at, k) for s, t, at, k in asked], "session_id string, turn long, asked_s long, key string")
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    run = lambda arrived: stream.drain(cache.answered(arrived.withColumn("asked", F.timestamp_seconds("asked_s")), 100), out, checkpoint)
+    stream.in_slices(df, "asked_s", 5, run)
+    got = {(r.session_id, r.turn): r.hit for r in spark.read.parquet(out).collect()}
+    assert got == {("s", 0): False, ("s", 1): True, ("s", 2): False, ("s", 3): False, ("s", 4): False, ("s", 5): True, ("s", 6): False, ("t", 0): False, ("t", 1): True}

@@ -104,3 +104,33 @@ def test_parsing(spark):
     assert values(spark, rows, S.sse_delta) == ["hi", None, None, None]
     got = values(spark, ["sess_20250115_142305_ab", "sess_20250115_142305", "bad"], lambda c: S.session_started(c).cast("string"))
     assert got == ["2025-01-15 14:23:05", "2025-01-15 14:23:05", None]
+
+
+def test_tables_in_text_become_prose(spark):
+    from vellum.operators import tables
+
+    texts = {
+        1: "Loan terms\nPrincipal    Rate   Term\n$250,000     4.5%   30 years\n$7                  1 year\nend of it",
+        2: "| a | b |c|\n|---|:-:|---|\n| 1 |  | 3 |\n\nx\ty\tz\n1\t2\t3\n4\t5\t6",
+        3: "one  gap only\nand none here", 4: "a | b | c\n1 | 2", 5: "a | b | c\n1 | 2 | 3 | 4", 6: "no tables", 7: "", 8: None, 9: "|---|---|\n|---|---|",
+        10: "Name  Value\nWide one  7",  # no column of blanks is common to both lines
+    }
+    docs = spark.createDataFrame([(k, t, 1) for k, t in texts.items()], "doc_id long, text string, run int")
+    got = {r.doc_id: (r.text, r.n_rows) for r in tables.prose(docs).collect()}
+    assert got == {
+        1: ("Loan terms\nDetails: Principal $250,000, Rate 4.5%, Term 30 years.\nDetails: Principal $7, Rate, Term 1 year.\nend of it", 2),
+        2: ("Details: a 1, b, c 3.\n\nDetails: x 1, y 2, z 3.\nDetails: x 4, y 5, z 6.", 3),
+        **{k: (texts[k], 0) for k in (3, 4, 5, 6, 7, 8, 9, 10)},
+    }
+    assert tables.prose(docs.limit(0)).count() == 0
+
+
+def test_stages_count_what_passes(spark):
+    from vellum.operators import clean, counters
+
+    docs = spark.createDataFrame([(1, "a\na\na\nb  c"), (2, None), (3, "")], "doc_id long, text string")
+    seen = counters.Counters()
+    out = clean.clean_text(docs, seen.watch).collect()
+    assert [tuple(r) for r in seen.counts(spark).orderBy("seq").collect()] == [
+        (0, "input", 3, 10), (1, "repeated_lines", 3, 4), (2, "marks", 3, 3), (3, "table_prose", 3, 3), (4, "page_markers", 3, 3)
+    ] and sorted((r.doc_id, r.text) for r in out) == [(1, "b c"), (2, None), (3, "")]

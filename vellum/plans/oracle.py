@@ -421,9 +421,9 @@ SELECT query_id, session_id, row_number() OVER (PARTITION BY query_id ORDER BY s
 n AS (SELECT *, sqrt(list_inner_product(e, e)) AS l, sqrt(list_inner_product(q, q)) AS m FROM v),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY l DESC, vec_id) - 1 AS pos FROM n),
 b AS (SELECT session_id, pos // 16 AS block_no, max(l) AS reach FROM r GROUP BY ALL),
-f AS (SELECT a.vec_id AS query_id, list_inner_product(a.q, r.e) AS score FROM n a JOIN r ON r.session_id = a.session_id AND r.pos < 16),
+f AS (SELECT a.vec_id AS query_id, list_inner_product(a.q, r.e) AS score FROM n a JOIN r ON r.session_id = a.session_id AND r.pos < 48),
 t AS (SELECT query_id, min(score) AS least FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS k FROM f) WHERE k <= 5 GROUP BY query_id)
-SELECT n.vec_id AS query_id, count(*) AS blocks, count(*) FILTER (WHERE block_no > 0 AND reach * m * (1 + 1e-9::DOUBLE) + 1e-9::DOUBLE < least) AS blocks_skipped
+SELECT n.vec_id AS query_id, count(*) AS blocks, count(*) FILTER (WHERE block_no > 2 AND reach * m * (1 + 1e-9::DOUBLE) + 1e-9::DOUBLE < least) AS blocks_skipped
 FROM n JOIN b USING (session_id) JOIN t ON t.query_id = n.vec_id GROUP BY n.vec_id""",
     "cached_answers": f"""WITH a AS ({derive.ASKED.format(conversations="conversations")})
 SELECT session_id, turn, md5(session_id || ':' || lower(question)) AS key, row_number() OVER (PARTITION BY session_id, turn // 3, question ORDER BY turn) > 1 AS hit FROM a""",

@@ -44,22 +44,23 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, index: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def search(queries: DataFrame, index: DataFrame, k: int = 5, opening: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, skipped): the exact k best of each query in its session, and blocks and blocks_skipped for each query.
 
     hits: query_id, session_id, rank, chunk_id, score; ties go to the smaller chunk_id. No inner product
     passes the product of both lengths. So a query (query_id, session_id, query) first meets the blocks
-    of the longest vectors that hold k of them; the k-th score there is what a further block must be able
+    of the longest vectors that hold ``opening`` of them (8 k, if not given; k at least); the k-th score there is what a further block must be able
     to reach, and of others not even the vectors are multiplied. Blocks that reach exactly that score
     are met, as a smaller chunk_id may tie. Queries without vectors in their session have no rows.
     """
+    opening = max(k, 8 * k if opening is None else opening)
     asked = queries.where("query IS NOT NULL").select("query_id", "session_id", "query", _length("query").alias("length"))
     upto = Window.partitionBy("session_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
     told = index.withColumn("held", F.coalesce(F.sum(F.size("vectors")).over(upto), F.lit(0)))
-    met = asked.join(told.where(F.col("held") < k).drop("held"), "session_id")
+    met = asked.join(told.where(F.col("held") < opening).drop("held"), "session_id")
     first = settle(_best(_scored(met), k), "index-first")
     least = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    rest = told.where(F.col("held") >= k).drop("held")
+    rest = told.where(F.col("held") >= opening).drop("held")
     # lengths are rounded: what a block can reach is taken a little wider
     reach = F.col("reach") * F.col("length") * (1 + 1e-9) + 1e-9
     more = asked.join(least, "query_id").join(rest, "session_id").where(F.col("least").isNull() | (reach >= F.col("least")))
