@@ -419,3 +419,12 @@ def test_six_hundred_languages(spark):
     assert sum(len(m.languages) for m in models) == known > 590 and max(len(m.languages) for m in models) <= langid.GROUP
     got = langid.told(df.where("doc_id < 600 AND doc_id % 30 = 0"), models, "p").select("lang", "p.*").collect()
     assert len(got) == 20 and sum(r.lang == r.lang_pred for r in got) >= 18
+
+
+def test_a_labelled_document_of_many_rows_counts_once(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    labels = table(spark, SF, "labels").select("doc_id", "quality")
+    often = labels.where(~quality_model.held_out()).orderBy("doc_id").first()["doc_id"]
+    many = docs.unionByName(docs.where(F.col("doc_id") == often).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(5000)))).drop("n"))
+    once, again = quality_model.learn(docs, labels), quality_model.learn(many, labels)
+    assert (once.feature == again.feature).all() and (once.value == again.value).all()

@@ -143,12 +143,14 @@ def held_out() -> Column:
 def learn(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Trees:
     """Trees from at most ``most`` labelled documents that aren't held out, those first by a hash of their id.
 
-    A doc_id with several labels has its highest; labels without doc_id or quality are left out.
+    A doc_id with several labels has its highest, one with several texts the least of them, so no more
+    than ``most`` rows come to the driver; labels without doc_id or quality are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it may be broadcast
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).select("doc_id", "text", "quality")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
