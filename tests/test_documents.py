@@ -320,3 +320,14 @@ def test_a_cluster_has_to_name_its_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         workspace.shared_path(Session(), "x")
+
+
+def test_listing_takes_few_tasks(spark, tmp_path):
+    from vellum.sources import committed
+
+    root = f"file://{tmp_path}/store"
+    rows = spark.range(700).selectExpr("concat('a', id % 3, '/s', id, '/', id, '/x.txt') AS key", "if(id % 5 > 0, 'x', null) AS content")
+    committed.put(rows, root)
+    assert len(committed.ObjectReader(root, "", False).partitions()) == 4
+    listed = committed.list_keys(spark, root)
+    assert sorted(map(tuple, listed.collect())) == sorted((f"a{k % 3}/s{k}/{k}/x.txt", int(k % 5 > 0)) for k in range(700))

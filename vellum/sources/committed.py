@@ -30,11 +30,17 @@ def _files(system, folder: str, recursive: bool) -> list:
     return system.get_file_info(fs.FileSelector(folder, recursive=recursive, allow_not_found=True))
 
 
+#: Objects and bytes of a batch of rows; folders that a task lists, at least, and the most tasks that a listing is cut into.
+BATCH, BATCH_BYTES = 4096, 16 << 20
+FOLDERS, MOST_TASKS = 256, 1024
+
+
 @dataclass
-class Folder(InputPartition):
-    """A folder below the root; an empty name stands for the files in the root itself."""
+class Folders(InputPartition):
+    """Folders below the root (an empty name: the root itself), of which ``deep`` ones are listed with all that lies below them."""
 
-    name: str
+    names: list[str]
+    deep: bool
 
 
 class ObjectReader(DataSourceReader):
@@ -45,37 +51,51 @@ class ObjectReader(DataSourceReader):
         system, base = _system(self.root)
         return system, base.rstrip("/") + (f"/{self.prefix}" if self.prefix else "")
 
-    def partitions(self) -> list[Folder]:
-        """One for each folder two levels down, which its task lists by itself, and one for the files above."""
+    def partitions(self) -> list[Folders]:
+        """Runs of the folders two levels down, whose tasks list them by themselves, and one for the files above."""
         from pyarrow import fs
 
         system, base = self._base()
-        out, level = [Folder("")], [""]
-        for _ in range(2):
+        above, level = [""], [""]
+        for depth in range(2):
             below = []
             for name in level:
                 for info in _files(system, f"{base}/{name}".rstrip("/"), False):
                     if info.type == fs.FileType.Directory and not info.base_name.startswith(STAGED):
                         below.append(f"{name}/{info.base_name}".lstrip("/"))
-            out += [Folder(name) for name in below]
+            if depth == 0:
+                above += below
             level = below
-        return out
+        # a task for many folders, as a store may have one a session
+        tasks = min(MOST_TASKS, -(-len(level) // FOLDERS))
+        return [Folders(above, False), *(Folders(level[k::tasks], True) for k in range(tasks))]
+
+    def _batch(self, keys: list[str], sizes: list[int], contents: list[bytes | None]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), pa.array(contents, pa.binary())], names=NAMES)
 
-    def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         system, base = self._base()
-        top = f"{base}/{partition.name}".rstrip("/")
-        # folders of the first level leave those below them to their own partitions
-        deep = partition.name.count("/") >= 1
-        for info in _files(system, top, deep):
-            if info.type == fs.FileType.File:
+        keys, sizes, contents, held = [], [], [], 0
+        for name in partition.names:
+            for info in _files(system, f"{base}/{name}".rstrip("/"), partition.deep):
+                if info.type != fs.FileType.File:
+                    continue
                 content = None
                 if self.contents:
                     with system.open_input_stream(info.path) as f:
                         content = f.read()
-                key = info.path[len(base) + 1 :] if not self.prefix else f"{self.prefix}/{info.path[len(base) + 1 :]}"
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([info.size], pa.int64()), pa.array([content], pa.binary())], names=NAMES)
+                own = info.path[len(base) + 1 :]
+                keys.append(f"{self.prefix}/{own}" if self.prefix else own)
+                sizes.append(info.size)
+                contents.append(content)
+                held += len(content or b"")
+                if len(keys) >= BATCH or held >= BATCH_BYTES:
+                    yield self._batch(keys, sizes, contents)
+                    keys, sizes, contents, held = [], [], [], 0
+        if keys:
+            yield self._batch(keys, sizes, contents)
 
 
 class Written(WriterCommitMessage):
@@ -184,5 +204,6 @@ def put(rows: DataFrame, root: str) -> None:
     _source(spark)
     content = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
     own = rows.select("key", F.octet_length(content).cast("long").alias("length"), content.alias("content"))
-    own.write.format("vellum_objects").option("root", root).mode("append").save()
+    # a small table lies in one split, but each row is a file to make: all cores take part
+    own.repartition(spark.sparkContext.defaultParallelism, "key").write.format("vellum_objects").option("root", root).mode("append").save()
     publish(spark, root)
