@@ -134,3 +134,13 @@ def test_stages_count_what_passes(spark):
     assert [tuple(r) for r in seen.counts(spark).orderBy("seq").collect()] == [
         (0, "input", 3, 10), (1, "repeated_lines", 3, 4), (2, "marks", 3, 3), (3, "table_prose", 3, 3), (4, "page_markers", 3, 3)
     ] and sorted((r.doc_id, r.text) for r in out) == [(1, "b c"), (2, None), (3, "")]
+
+
+def test_prose_takes_one_pass_without_a_shuffle(spark):
+    from vellum.operators import tables
+
+    docs = spark.createDataFrame([(1, "a  b\n1  2"), (1, "x\ty\tz\n1\t\t3\n\n|a|b|\n|-|-|\n| 1 ||")], "doc_id long, text string")
+    out = tables.prose(docs)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    # rows of one doc_id are texts of their own
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "Details: a 1, b 2.", 1), (1, "Details: x 1, y, z 3.\n\nDetails: a 1, b.", 2)]
