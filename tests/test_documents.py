@@ -331,3 +331,18 @@ def test_listing_takes_few_tasks(spark, tmp_path):
     assert len(committed.ObjectReader(root, "", False).partitions()) == 4
     listed = committed.list_keys(spark, root)
     assert sorted(map(tuple, listed.collect())) == sorted((f"a{k % 3}/s{k}/{k}/x.txt", int(k % 5 > 0)) for k in range(700))
+
+
+def test_words_of_pages_are_counted_before_they_are_collected(spark):
+    from vellum.operators import extract
+
+    rows = [("a", 1, "LINE", 1, "x y", None, None), ("a", 2, "WORD", 1, "x", "HANDWRITING", 70.0), ("a", 3, "WORD", 1, "y", None, None), ("a", 4, "WORD", None, "z", None, 90.0), ("b", 1, "WORD", 2, "w", "PRINTED", 50.0), ("c", 1, "LINE", 1, None, None, None)]
+    blocks = spark.createDataFrame(rows, "session_id string, ord long, block_type string, page int, text string, text_type string, confidence double")
+    out = extract.pages(blocks)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 1, "x y", 3, 53.33, 2, True), ("b", 2, "", 1, 50.0, 1, False), ("c", 1, "", 0, 0.0, 0, False)]
+    profile = extract.page_profile(blocks)
+    assert sorted(tuple(r) for r in profile.collect()) == [("a", 1, 3, 53.3, 1, "x"), ("b", 2, 1, 50.0, 0, "")]
+    # words go through hash aggregates, which combine them before they are shuffled, whatever is collected
+    for df, name in ((out, "word_count"), (profile, "word_count")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any("HashAggregate" in x and "ObjectHashAggregate" not in x and "partial_count" in x for x in plan.splitlines()), name

@@ -33,19 +33,26 @@ def child_text(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def pages(blocks: DataFrame) -> DataFrame:
-    """One row per page that has a line or a word."""
-    page = F.coalesce("page", F.lit(1))
-    word, line = F.col("block_type") == "WORD", F.col("block_type") == "LINE"
-    confidence = F.when(word, F.coalesce("confidence", F.lit(0.0)))
-    ordered = F.sort_array(F.collect_list(F.when(line, F.struct("ord", F.coalesce("text", F.lit("")).alias("text")))))
-    grouped = blocks.where(word | line).groupBy("session_id", page.alias("page_number"))
-    out = grouped.agg(
-        F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"),
-        F.count_if(word).alias("word_count"),
+    """One row per page that has a line or a word.
+
+    Words are counted apart from lines, as they are many and their counts are combined before they are shuffled.
+    """
+    keys = ["session_id", "page_number"]
+    own = blocks.withColumn("page_number", F.coalesce("page", F.lit(1)))
+    confidence = F.coalesce("confidence", F.lit(0.0))
+    words = own.where("block_type = 'WORD'").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("word_count"),
         F.sum(confidence.cast(EXACT)).cast("double").alias("total"),
         F.count_if(confidence < LOW_CONFIDENCE).alias("low_confidence_words"),
-        F.bool_or(word & (F.coalesce("text_type", F.lit("")) == "HANDWRITING")).alias("has_handwriting"),
+        F.bool_or(F.coalesce("text_type", F.lit("")) == "HANDWRITING").alias("has_handwriting"),
     )
+    line = F.struct("ord", F.coalesce("text", F.lit("")).alias("text"))
+    lines = own.where("block_type = 'LINE'").select(*keys, line.alias("line"))
+    # dealt out by session, so that steps that gather a session's pages need no further shuffle; a page has one row of counts
+    counts = ["word_count", "total", "low_confidence_words", "has_handwriting"]
+    out = lines.unionByName(words, allowMissingColumns=True).repartition("session_id").groupBy(*keys).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("line")), lambda x: x["text"]), "\n").alias("text"), *[F.max(c).alias(c) for c in counts]
+    ).fillna({"word_count": 0, "low_confidence_words": 0, "has_handwriting": False})
     average = F.when(F.col("word_count") > 0, F.col("total") / F.col("word_count")).otherwise(0.0)
     return out.select(
         "session_id", "page_number", "text", "word_count", T.rounded(average).alias("avg_confidence"), "low_confidence_words", "has_handwriting"
@@ -113,24 +120,28 @@ def form_fields(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def documents(pages: DataFrame, grids: DataFrame | None = None) -> DataFrame:
     """session_id, full_text, total_pages, overall_avg_confidence, has_handwriting."""
-    own = pages
-    section = F.col("text")
-    if grids is not None:
-        texts = F.transform(F.sort_array(F.collect_list(F.struct("table_ord", T.grid_text(F.col("data")).alias("t")))), lambda x: x["t"])
-        tables = grids.groupBy("session_id", F.col("page").alias("page_number")).agg(texts.alias("tables"))
-        own = pages.join(tables, ["session_id", "page_number"], "left")
-        section = F.when(F.col("tables").isNotNull(), F.concat("text", F.lit(T.TABLE_MARK), F.array_join("tables", T.TABLE_MARK))).otherwise(F.col("text"))
-    ordered = F.sort_array(F.collect_list(F.struct("page_number", section.alias("s"))))
+    ordered = F.sort_array(F.collect_list(F.struct("page_number", "text")))
     weighted = F.sum(F.col("avg_confidence").cast(EXACT) * F.col("word_count").cast("decimal(18,0)")).cast("double")
-    out = own.groupBy("session_id").agg(
-        F.array_join(F.transform(ordered, lambda x: x["s"]), T.PAGE_BREAK).alias("full_text"),
+    out = pages.groupBy("session_id").agg(
+        ordered.alias("pages"),
         F.count(F.lit(1)).alias("total_pages"),
         F.sum("word_count").alias("words"),
         weighted.alias("weighted"),
         F.bool_or("has_handwriting").alias("has_handwriting"),
     )
+    section = lambda p: p["text"]
+    if grids is not None:
+        # joined by session, as the pages are together by then
+        table = F.struct("page", "table_ord", T.grid_text(F.col("data")).alias("t"))
+        out = out.join(grids.groupBy("session_id").agg(F.sort_array(F.collect_list(table)).alias("tables")), "session_id", "left")
+
+        def section(p):
+            own = F.transform(F.filter("tables", lambda t: t["page"] == p["page_number"]), lambda t: t["t"])
+            return F.when(F.size(own) > 0, F.concat(p["text"], F.lit(T.TABLE_MARK), F.array_join(own, T.TABLE_MARK))).otherwise(p["text"])
+
+    full = F.array_join(F.transform("pages", section), T.PAGE_BREAK)
     overall = F.when(F.col("words") > 0, F.col("weighted") / F.col("words")).otherwise(0.0)
-    return out.select("session_id", "full_text", "total_pages", T.rounded(overall).alias("overall_avg_confidence"), "has_handwriting")
+    return out.select("session_id", full.alias("full_text"), "total_pages", T.rounded(overall).alias("overall_avg_confidence"), "has_handwriting")
 
 
 def every_session(sessions: DataFrame, docs: DataFrame) -> DataFrame:
@@ -156,16 +167,21 @@ def block_histogram(blocks: DataFrame) -> DataFrame:
 
 
 def page_profile(blocks: DataFrame, sample: int = 5) -> DataFrame:
-    """Per page: words, mean confidence to one decimal, handwritten words and the first few of them."""
-    words = blocks.where("block_type = 'WORD'")
+    """Per page: words, mean confidence to one decimal, handwritten words and the first few of them.
+
+    Counts are combined before they are shuffled; only handwritten words are collected.
+    """
+    keys = ["session_id", "page_number"]
+    words = blocks.where("block_type = 'WORD'").withColumn("page_number", F.coalesce("page", F.lit(1)))
     hand = F.coalesce("text_type", F.lit("")) == "HANDWRITING"
-    ordered = F.sort_array(F.collect_list(F.when(hand, F.struct("ord", "text"))))
-    out = words.groupBy("session_id", F.coalesce("page", F.lit(1)).alias("page_number")).agg(
+    counts = words.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("word_count"),
         F.sum(F.coalesce("confidence", F.lit(0.0)).cast(EXACT)).cast("double").alias("total"),
         F.count_if(hand).alias("handwritten_words"),
-        F.array_join(F.transform(F.slice(ordered, 1, sample), lambda x: x["text"]), " ").alias("handwriting_sample"),
     )
+    ordered = F.sort_array(F.collect_list(F.struct("ord", "text")))
+    samples = words.where(hand).groupBy(*keys).agg(F.array_join(F.transform(F.slice(ordered, 1, sample), lambda x: x["text"]), " ").alias("handwriting_sample"))
+    out = counts.join(samples, keys, "left").fillna({"handwriting_sample": ""})
     return out.select("session_id", "page_number", "word_count", T.rounded(F.col("total") / F.col("word_count"), 1).alias("avg_confidence"), "handwritten_words", "handwriting_sample")
 
 
