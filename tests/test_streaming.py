@@ -134,3 +134,10 @@ def test_a_stream_takes_tables_of_many_files(spark, tmp_path):
     for name in ("once_per_question", "stream_event_counts"):
         one, many = (sorted(map(tuple, catalog.QUERIES[name](spark, at).collect())) for at in ("/root/testdata/sf0.001", str(tmp_path)))
         assert one and one == many
+
+
+def test_jobs_ask_the_store_for_no_single_state(spark, tmp_path):
+    spark.createDataFrame([], RESPONSE).write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(RESPONSE).parquet(str(tmp_path / "in")).withColumn("asked", F.timestamp_seconds("asked_s"))
+    plan = jobs.job_results(rows)._jdf.queryExecution().logical().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Seconds between polls and how often a job is polled.
@@ -29,7 +29,7 @@ _STATE = StructType([
 ])
 
 
-class JobMachine(StatefulProcessor):
+def job_machine(most_polls: int, limit: int):
     """The states of one job: polling, fetching (succeeded, some batch missing), ended.
 
     Whether all batches are there is told without keeping them: each token that a batch names is awaited
@@ -37,61 +37,55 @@ class JobMachine(StatefulProcessor):
     hashes cancels out. The job is complete when it does, with a first and a last batch seen.
     """
 
-    def __init__(self, most_polls: int = MOST_POLLS, seconds: int = POLL_SECONDS * MOST_POLLS) -> None:
-        self.most_polls, self.limit = most_polls, 1000 * seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.job = handle.getValueState("job", _STATE)
-
-    def _result(self, key: tuple, outcome: str, state: list, at: int) -> pd.DataFrame:
-        state[6] = outcome
-        return pd.DataFrame([(key[0], outcome, state[1], state[2], at)], columns=RESULT.names)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = list(self.job.get()) if self.job.exists() else None
-        state = known or [None, 0, 0, 0, 0, 0, None]
-        out = None
-        if state[6] is None:
-            # a trigger's rows of one job: its polls and batches since the last one, in the order in which they were asked for
-            own = pd.concat(list(rows)).sort_values(["asked_ms", "batch"], kind="stable")
-            for r in own.itertuples(index=False):
-                at = int(r.asked_ms)
-                if state[0] is None:
-                    state[0] = at
-                    self.handle.registerTimer(at + self.limit)
-                if at > state[0] + self.limit:
-                    out = self._result(key, "TIMED_OUT", state, state[0] + self.limit)
-                    break
-                polled = pd.isna(r.request_hash)
-                state[1] += int(polled)
-                if r.status == "FAILED":
-                    out = self._result(key, "FAILED", state, at)
-                    break
-                if r.status == "SUCCEEDED":
-                    state[2] += 1
-                    state[4] += int(polled)
-                    state[5] += int(pd.isna(r.next_hash))
-                    state[3] += (0 if pd.isna(r.next_hash) else int(r.next_hash)) - (0 if polled else int(r.request_hash))
-                    if state[3] == 0 and state[4] and state[5]:
-                        out = self._result(key, "SUCCEEDED", state, at)
-                        break
-                elif state[1] >= self.most_polls:
-                    out = self._result(key, "TIMED_OUT", state, at)
-                    break
-            self.job.update(tuple(state))
-        if out is not None:
-            yield out
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = list(self.job.get()) if self.job.exists() else None
-        if state and state[6] is None:
-            out = self._result(key, "TIMED_OUT", state, state[0] + self.limit)
-            self.job.update(tuple(state))
-            yield out
-
-    def close(self) -> None:
-        pass
+    def moved(s: list, rows: list[tuple]) -> tuple[str, int] | None:
+        """Take ``rows`` in the order in which they were asked for; the outcome and its time, if the job ends."""
+        for at, _, _, status, request, next_ in rows:
+            if s[0] is None:
+                s[0] = at
+            if at > s[0] + limit:
+                return "TIMED_OUT", s[0] + limit
+            polled = request != request  # a null
+            s[1] += polled
+            if status == "FAILED":
+                return "FAILED", at
+            if status == "SUCCEEDED":
+                s[2] += 1
+                s[4] += polled
+                s[5] += next_ != next_
+                s[3] += (0 if next_ != next_ else int(next_)) - (0 if polled else int(request))
+                if s[3] == 0 and s[4] and s[5]:
+                    return "SUCCEEDED", at
+            elif s[1] >= most_polls:
+                return "TIMED_OUT", at
+        return None
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        s = list(state.get) if state.exists else [None, 0, 0, 0, 0, 0, None]
+        if state.hasTimedOut:
+            end = ("TIMED_OUT", s[0] + limit) if s[6] is None else None
+        else:
+            # a trigger's rows of one job: its polls and batches since the last one
+            rows = []
+            for f in frames:
+                batches = [None if b != b else b for b in f["batch"].tolist()]
+                numbers = [f[c].astype("float64").tolist() for c in ("request_hash", "next_hash")]
+                rows += zip(f["asked_ms"].tolist(), [b is None for b in batches], [b or "" for b in batches], f["status"].tolist(), *numbers)
+            if s[6] is not None:
+                return
+            end = moved(s, sorted(rows, key=lambda r: r[:3]))
+            clock = state.getCurrentWatermarkMs()
+            if end is None and clock >= s[0] + limit:
+                end = "TIMED_OUT", s[0] + limit
+            if end is None:
+                # a timeout comes once the watermark has passed its time
+                state.setTimeoutTimestamp(max(s[0] + limit - 1, clock + 1))
+        if end is not None:
+            s[6] = end[0]
+        state.update(tuple(s))
+        if end is not None:
+            yield pd.DataFrame([(key[0], end[0], s[1], s[2], end[1])], columns=RESULT.names)
+
+    return run
 
 
 def job_results(responses: DataFrame, most_polls: int = MOST_POLLS, seconds: int = POLL_SECONDS * MOST_POLLS, late: str = "0 seconds") -> DataFrame:
@@ -109,6 +103,5 @@ def job_results(responses: DataFrame, most_polls: int = MOST_POLLS, seconds: int
         "job_id", "asked", "batch", "status", F.unix_millis("asked").alias("asked_ms"),
         *[F.when(F.col(f"{k}_token").isNotNull(), F.shiftrightunsigned(F.xxhash64(f"{k}_token"), 16)).alias(f"{k}_hash") for k in ("request", "next")],
     )
-    return told.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=JobMachine(most_polls, seconds), outputStructType=RESULT, outputMode="Append", timeMode="EventTime"
-    )
+    # rows and states of many jobs go to Python together, none asks the store for its own
+    return told.groupBy("job_id").applyInPandasWithState(job_machine(most_polls, 1000 * seconds), RESULT, _STATE, "append", "EventTimeTimeout")
