@@ -346,3 +346,14 @@ def test_words_of_pages_are_counted_before_they_are_collected(spark):
     for df, name in ((out, "word_count"), (profile, "word_count")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert any("HashAggregate" in x and "ObjectHashAggregate" not in x and "partial_count" in x for x in plan.splitlines()), name
+
+
+def test_rounds_of_batch_order_move_numbers_only(spark, monkeypatch):
+    seen = []
+    keep = ocr.settle
+    monkeypatch.setattr(ocr, "settle", lambda df, tag: seen.append((tag, dict(df.dtypes))) or keep(df, tag))
+    rows = [("j", f"b{k}", f"t{k}" if k else None, f"t{k + 1}" if k < 19 else None) for k in range(20)]
+    out = ocr.batch_order(spark.createDataFrame(rows, "job_id string, batch string, request_token string, next_token string"))
+    assert sorted((r.batch_no, r.batch, r.job_state) for r in out.collect()) == [(k, f"b{k}", "whole") for k in range(20)]
+    rounds = [kinds for tag, kinds in seen if tag == "batch-places"]
+    assert len(rounds) > 4 and all("string" not in kinds.values() for kinds in rounds)

@@ -80,26 +80,23 @@ def batch_order(batches: DataFrame) -> DataFrame:
     # hot jobs: the joins below are by job and token; this one has a row a job, so its large side may be split
     own = own.join(jobs.select("job_id", ((F.col("n") > 1) & F.col("bare")).alias("named")), "job_id")
     kept = own.where("NOT named").groupBy("job_id", "asked").agg(F.min("batch").alias("batch"), F.min_by("next", "batch").alias("next"))
-    kept = settle(kept, "batch-links")
-    before = kept.where("next IS NOT NULL").groupBy("job_id", F.col("next").alias("asked")).agg(F.min("batch").alias("up"))
-    state = kept.join(before, ["job_id", "asked"], "left").select(
-        *keys, "asked", "next", "up", F.col("up").isNotNull().cast("long").alias("place"), (F.col("asked").isNotNull() & F.col("up").isNull()).alias("lost")
+    # batches by number from here on: rounds move a few longs a batch, no names or tokens
+    kept = settle(kept.withColumn("id", F.monotonically_increasing_id()), "batch-links")
+    before = kept.where("next IS NOT NULL").groupBy("job_id", F.col("next").alias("asked")).agg(F.min_by("id", "batch").alias("up"))
+    state = kept.select("job_id", "asked", "id").join(before, ["job_id", "asked"], "left").select(
+        "id", "up", F.col("up").isNotNull().cast("long").alias("place"), (F.col("asked").isNotNull() & F.col("up").isNull()).alias("lost")
     )
     state = settle(state, "batch-places")
     length, reach = kept.count(), 1
     while reach <= length and not state.where("up IS NOT NULL").isEmpty():
-        above = state.select("job_id", F.col("batch").alias("up"), F.col("up").alias("far"), F.col("place").alias("more"), F.col("lost").alias("lost_above"))
-        moved = state.join(above, ["job_id", "up"], "left")
-        state = settle(
-            moved.select(
-                *keys, "asked", "next", F.col("far").alias("up"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"),
-                (F.col("lost") | F.coalesce("lost_above", F.lit(False))).alias("lost"),
-            ),
-            "batch-places",
-        )
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("place").alias("more"), F.col("lost").alias("lost_above"))
+        moved = state.where("up IS NOT NULL").join(above, "up").select(
+            "id", F.col("far").alias("up"), (F.col("place") + F.col("more")).alias("place"), (F.col("lost") | F.col("lost_above")).alias("lost")
+        )
+        state = settle(state.where("up IS NULL").unionByName(moved), "batch-places")
         reach *= 2
     # whoever still has a batch before it after so many rounds stands in a cycle or behind one
-    told = state.withColumn("cycle", F.col("up").isNotNull())
+    told = kept.join(state, "id").withColumn("cycle", F.col("up").isNotNull())
     followed = kept.select("job_id", F.col("asked").alias("next"), F.lit(True).alias("followed")).where("next IS NOT NULL")
     told = told.join(followed, ["job_id", "next"], "left")
     ranked = ~F.col("cycle") & ~F.col("lost")
