@@ -187,3 +187,13 @@ def test_a_saved_index_finds_the_same(spark, tmp_path):
         assert got.get(q, []) == sorted(own, key=lambda h: (-h[1], h[0]))[:5]
     told = {r.query_id: (r.blocks, r.blocks_skipped) for r in skipped.collect()}
     assert sum(s for _, s in told.values()) > 0 and all(0 <= s < b for b, s in told.values())
+
+
+def test_words_are_counted_without_sorting_texts(spark):
+    from vellum.operators import sentences
+
+    docs = spark.createDataFrame([(1, "He met Dr. Who. (Then) he left."), (2, "he  ended!"), (3, None), (4, "")], "doc_id long, text string")
+    counts, pairs = sentences.forms(docs), sentences.breaks(docs)
+    assert {tuple(r) for r in counts.collect()} == {("he", 0, 3), ("met", 0, 1), ("dr", 1, 0), ("who", 1, 0), ("then", 0, 1), ("left", 1, 0), ("ended", 0, 1)}
+    assert {tuple(r) for r in pairs.collect()} == {("dr", True, "who", 1), ("who", True, "then", 1)}
+    assert "Window" not in pairs._jdf.queryExecution().executedPlan().toString()

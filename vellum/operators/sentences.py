@@ -27,19 +27,37 @@ def own_form(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), EDGES, "")
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, form, stop (whether it ends with one), ends (whether it may end a sentence) for every word of texts."""
-    own = docs.select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("pos", "word"))
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def _plain(form: Column) -> Column:
+    return F.regexp_replace(form, r"\.$", "")
+
+
+def forms(docs: DataFrame) -> DataFrame:
+    """form, n_with and n_without: how often each word stands with and without a full stop. Words are counted as they are written before they get their form."""
+    written = docs.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     form = own_form(F.col("word"))
-    plain = F.regexp_replace(form, r"\.$", "")
-    return own.select("doc_id", "pos", plain.alias("form"), form.endswith(".").alias("stop"), F.col("word").rlike(r"[.!?]$").alias("ends"))
+    own = written.select(_plain(form).alias("form"), form.endswith(".").alias("stop"), "n")
+    some = lambda stop: F.sum(F.when(stop, F.col("n")).otherwise(0))
+    return own.groupBy("form").agg(some(F.col("stop")).alias("n_with"), some(~F.col("stop")).alias("n_without"))
 
 
-def abbreviations(told: DataFrame) -> DataFrame:
-    """form, n_with, n_without, score and is_abbreviation of every form with a letter that stands before a stop."""
-    counts = told.groupBy("form").agg(F.count_if("stop").alias("n_with"), F.count_if(~F.col("stop")).alias("n_without"))
+def breaks(docs: DataFrame) -> DataFrame:
+    """form, stop, next and n: how often a word that may end a sentence (stop: by a full stop) is followed by which other one. A text's words are paired inside its row."""
+    own = docs.select(_words(F.col("text")).alias("w"))
+    paired = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(r"[.!?]$"), F.struct(x.alias("word"), F.get("w", i + 1).alias("after")))), lambda p: p.isNotNull())
+    written = own.select(F.inline(paired)).where("after IS NOT NULL").groupBy("word", "after").agg(F.count(F.lit(1)).alias("n"))
+    form = own_form(F.col("word"))
+    told = written.select(_plain(form).alias("form"), form.endswith(".").alias("stop"), _plain(own_form(F.col("after"))).alias("next"), "n")
+    return told.where("next <> ''").groupBy("form", "stop", "next").agg(F.sum("n").alias("n"))
+
+
+def abbreviations(counts: DataFrame) -> DataFrame:
+    """form, n_with, n_without, score and is_abbreviation of every form with a letter that stands before a stop; ``counts`` are ``forms``."""
     # one row
-    total, stops = told.agg(F.count(F.lit(1)), F.count_if("stop")).first()
+    total, stops = counts.agg(F.sum(F.col("n_with") + F.col("n_without")), F.sum("n_with")).first()
     if not stops:
         total, stops = 1, 0
     p = min(max(stops / total, 1e-12), 1 - 1e-12)
@@ -52,20 +70,17 @@ def abbreviations(told: DataFrame) -> DataFrame:
     return own.select("form", "n_with", "n_without", T.rounded(F.col("raw"), 2).alias("score"), (F.col("raw") >= ABBREVIATION).alias("is_abbreviation"))
 
 
-def starters(told: DataFrame, known: DataFrame) -> DataFrame:
+def starters(pairs: DataFrame, counts: DataFrame, known: DataFrame) -> DataFrame:
     """form, n, n_first and score of the words that stand behind stops more often than chance has it.
 
-    ``known`` are the ``abbreviations``; what follows theirs doesn't count. A document's words are
-    sorted once; counts are combined before they are shuffled.
+    ``pairs`` are ``breaks``, ``counts`` ``forms`` and ``known`` the ``abbreviations``; what follows theirs doesn't count.
     """
     short = known.where("is_abbreviation").select("form", F.lit(True).alias("short"))
-    follow = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = told.withColumn("next", F.lead("form").over(follow)).where("ends AND next <> ''").groupBy("form", "stop", "next").agg(F.count(F.lit(1)).alias("n"))
     broken = pairs.join(short, "form", "left").where(~F.col("stop") | F.col("short").isNull() & ~F.col("form").rlike(r"^\p{L}$"))
     first = settle(broken.groupBy(F.col("next").alias("form")).agg(F.sum("n").alias("n_first")), "sentence-firsts")
-    total = told.count()
+    total = counts.agg(F.coalesce(F.sum(F.col("n_with") + F.col("n_without")), F.lit(0))).first()[0]
     breaks = first.agg(F.coalesce(F.sum("n_first"), F.lit(0))).first()[0]
-    every = told.groupBy("form").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.select("form", (F.col("n_with") + F.col("n_without")).alias("n"))
     both = first.join(every, "form").where(F.col("form").rlike(r"\p{L}"))
     ab, b = F.col("n_first").cast("double"), F.col("n").cast("double")
     a, n = F.lit(float(breaks)), F.lit(float(total))
@@ -82,9 +97,9 @@ def starters(told: DataFrame, known: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(abbreviations, starters) of all texts of ``docs`` (doc_id, text)."""
-    told = words(docs)
-    known = settle(abbreviations(told), "abbreviations")
-    return known, settle(starters(told, known), "starters")
+    counts = settle(forms(docs), "word-forms")
+    known = settle(abbreviations(counts), "abbreviations")
+    return known, settle(starters(breaks(docs), counts, known), "starters")
 
 
 def split(docs: DataFrame, known: DataFrame, first: DataFrame) -> DataFrame:
@@ -101,7 +116,8 @@ def split(docs: DataFrame, known: DataFrame, first: DataFrame) -> DataFrame:
     told = own.select(
         "doc_id", "pos", "piece", last.endswith(".").alias("stop"), F.regexp_replace(own_form(last), r"\.$", "").alias("form"), F.lead(begin).over(by).alias("next")
     ).withColumn("next_form", F.regexp_replace(own_form(F.col("next")), r"\.$", ""))
-    short = known.where("is_abbreviation").select("form", F.lit(True).alias("short"))
+    # written by themselves, they are as small as they look, and the texts' pieces aren't shuffled by them
+    short = settle(known.where("is_abbreviation").select("form", F.lit(True).alias("short")), "short-forms")
     starts = first.select(F.col("form").alias("next_form"), F.lit(True).alias("starts"))
     told = told.join(short, "form", "left").join(starts, "next_form", "left")
     small = F.col("next").rlike(r"^[^\p{L}\p{N}]*\p{Ll}")
