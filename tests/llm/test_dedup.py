@@ -179,6 +179,34 @@ def test_pairs_in_a_crowd_of_one_template_are_found(spark, monkeypatch):
     assert set(range(1500)) <= kept and sum(10_000 + k not in kept for k in pairs) >= 0.95 * len(pairs)
 
 
+@pytest.mark.parametrize("part", [1024, 50])
+def test_links_that_the_forests_of_a_crowd_leave_out_are_found(spark, monkeypatch, part):
+    # one bucket of texts at 0.75, which are no duplicates; copies of 0.81 are hardly nearer in bits than the others
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template, rows = " ".join(word() for _ in range(343)), []
+    for k in range(400):
+        own = [word() for _ in range(57)]
+        rows.append((k, f"{template} {' '.join(own)}"))
+        if k % 10 == 0:
+            rows.append((10_000 + k, f"{template} {' '.join(own[:16] + [word() for _ in range(41)])}"))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    assert all(0.8 <= len(sets[k] & sets[10_000 + k]) / len(sets[k] | sets[10_000 + k]) < 0.82 for k in range(0, 400, 10))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    assert kept == set(range(400))
+
+
+def test_shared_shingles_are_counted():
+    rng = np.random.default_rng(8)
+    for n, values in ((1, 5), (30, 40), (300, 9), (300, 5000)):
+        texts = [np.unique(rng.integers(0, values, rng.integers(0, 60)).astype(np.int32)) for _ in range(n)]
+        got = simhash.shared(texts)
+        want = [[len(np.intersect1d(a, b)) for b in texts[:25]] for a in texts]
+        off = ~np.eye(n, dtype=bool)[:, :25]
+        assert (got[:, :25][off] == np.array(want).reshape(n, -1)[off]).all()
+
+
 def test_the_stage_tells_rows_of_one_id_apart(spark):
     rng = random.Random(3)
     a, b = (" ".join(f"{c}{rng.randint(0, 999)}" for _ in range(50)) for c in "ab")

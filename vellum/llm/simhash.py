@@ -12,9 +12,10 @@ blocks. The number of blocks grows with the corpus, so that buckets stay small.
 ``keep_first`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 That is some 39 of 256 bits, too many for blocks, so buckets are made by tables of sampled bits, as
 many as find a pair at 0.8 with the probability ``RECALL``. What a bucket holds within the radius is
-spanned by a few forests of least distance. Buckets that are too large to be compared whole are cut, and
-their texts meet by rare shingles as well, which tell apart what a template makes alike in most bits.
-All links are then checked against the shingles.
+spanned by a few forests of least distance, whose links are checked against the shingles. A crowd of which
+the forests left pairs out and whose texts the checked links don't join is then compared whole, by shingles.
+
+Large buckets and crowds are dealt into chunks, and every pair of chunks is compared.
 
 Neither emits the pairs of a bucket, only spanning forests.
 """
@@ -28,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import HOT_KEYS, fresh, join_hot, settle, settled
@@ -43,8 +44,8 @@ CROWD = 512
 WORDS, ALIKE, WIDE, RECALL = 5, 0.8, 256, 0.99
 #: Forests over a bucket: if a link of one turns out to be below ALIKE, the next ones hold other links across the same gap.
 LAYERS = 4
-#: In buckets that are cut, texts also meet by shingles that so few of their texts have, by so many of them each.
-RARE, SKETCH = 8, 16
+#: A crowd of more texts is compared by their shingles in chunks of about this many.
+PART = 1024
 #: Bits in which hashes of a pair at ALIKE differ on average, and the radius: over three standard deviations more.
 APART = math.acos(2 * ALIKE / (1 + ALIKE)) / math.pi
 REACH = math.ceil(WIDE * APART + 3.3 * math.sqrt(WIDE * APART * (1 - APART)))
@@ -219,36 +220,19 @@ def join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = shorter
 
 
-def _cells(links: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], key: int, run: int | None):
+def _cells(links: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], key: int):
     """Call ``links`` (ids, values, end of each place's cell) for whole cells, many at a time.
 
-    Rows come sorted by cell, their first ``key`` columns; an id and the value follow. Cells of over
-    ``run`` rows are cut into runs of so many, and their ids are told once more, as links to themselves
-    of the layer -1.
+    Rows come sorted by cell, their first ``key`` columns; an id and the value follow.
     """
 
     def ends_of(cells: np.ndarray) -> np.ndarray:
         change = np.flatnonzero((cells[1:] != cells[:-1]).any(1)) + 1
         starts, ends = np.concatenate([[0], change]), np.concatenate([change, [len(cells)]])
-        out = np.repeat(ends, ends - starts)
-        if run:
-            place = np.arange(len(cells))
-            begin = np.repeat(starts, ends - starts)
-            out = np.minimum(out, begin + ((place - begin) // run + 1) * run)
-        return out
-
-    def crowded(cells: np.ndarray, last: np.ndarray | None) -> np.ndarray:
-        """Which places are in a cell that is cut, one that ``last`` has begun included."""
-        change = np.concatenate([[True], (cells[1:] != cells[:-1]).any(1)])
-        sizes = np.diff(np.append(np.flatnonzero(change), len(cells)))
-        return np.repeat(sizes > run, sizes) | (False if last is None else (cells == last).all(1))
-
-    def marked(ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(ids):
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids), pa.array(np.full(len(ids), -1))], names=["u", "v", "layer"])
+        return np.repeat(ends, ends - starts)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, ids, values, last = None, None, None, None
+        cells, ids, values = None, None, None
         for batch in batches:
             own = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(key)], 1)
             node = batch.column(key).to_numpy(zero_copy_only=False)
@@ -263,14 +247,9 @@ def _cells(links: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
                 cut = int(np.flatnonzero(ends < len(cells))[-1]) + 1 if ends[0] < len(cells) else 0
                 if cut:
                     yield links(ids[:cut], values[:cut], ends[:cut])
-                    if run:
-                        yield from marked(ids[:cut][crowded(cells, last)[:cut]])
-                        last = cells[cut - 1]
                     cells, ids, values = cells[cut:], ids[cut:], values[cut:]
         if cells is not None and len(cells):
             yield links(ids, values, ends_of(cells))
-            if run:
-                yield from marked(ids[crowded(cells, last)])
 
     return go
 
@@ -317,15 +296,84 @@ def layered(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> tuple[np
 
 
 def _closest(ids: np.ndarray, values: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-    """The layered forests over the pairs within REACH of every cell."""
+    """The layered forests over the pairs within REACH of every cell, and the crowds that they leave pairs out of.
+
+    A crowd is what such pairs join; its texts are told as links of the layer -1 to its first one.
+    """
     i = j = apart = layer = np.empty(0, np.int64)
+    short = np.zeros(len(ids), bool)
     for a, b in near(values, ends, REACH):
         far = np.bitwise_count(values[a] ^ values[b]).sum(1, dtype=np.int64)
         i, j, apart = np.concatenate([i, a]), np.concatenate([j, b]), np.concatenate([apart, far])
         keep, layer = layered(len(ids), i, j, apart)
+        short[np.delete(i, keep)] = True
         i, j, apart = i[keep], j[keep], apart[keep]
-    columns = [pa.array(x) for x in (np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), layer)]
-    return pa.RecordBatch.from_arrays(columns, names=["u", "v", "layer"])
+    labels = np.arange(len(ids))
+    join_labels(labels, i, j)
+    crowded = np.zeros(len(ids), bool)
+    crowded[labels[short]] = True
+    member = np.flatnonzero(crowded[labels])
+    u, v = np.concatenate([np.minimum(ids[i], ids[j]), ids[member]]), np.concatenate([np.maximum(ids[i], ids[j]), ids[labels[member]]])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, np.concatenate([layer, np.full(len(member), -1)]))], names=["u", "v", "layer"])
+
+
+def shared(texts: list[np.ndarray]) -> np.ndarray:
+    """How many shingles every two of ``texts`` (their distinct shingles) have in common."""
+    n = len(texts)
+    bound = max(8, n // 32)
+    found, code, often = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    at = np.repeat(np.arange(n), [len(x) for x in texts])
+    out = np.zeros((n, n), np.float32)
+    # shingles of many texts by products of matrices, so many at a time; counts are exact as floats
+    many = np.flatnonzero(often > bound)
+    for k in range(0, len(many), 2048):
+        place = np.full(len(found), -1)
+        place[many[k : k + 2048]] = np.arange(len(many[k : k + 2048]))
+        own = place[code] >= 0
+        has = np.zeros((n, len(many[k : k + 2048])), np.float32)
+        has[at[own], place[code[own]]] = 1
+        out += has @ has.T
+    # of few texts: the texts of one shingle lie together, each meets those some places behind it
+    few = (often > 1) & (often <= bound)
+    own = few[code]
+    order = np.argsort(code[own], kind="stable")
+    codes, ats = code[own][order], at[own][order]
+    for step in range(1, int(often[few].max()) if few.any() else 1):
+        meet = np.flatnonzero(codes[step:] == codes[:-step])
+        np.add.at(out, (ats[meet], ats[meet + step]), 1)
+        np.add.at(out, (ats[meet + step], ats[meet]), 1)
+    return out
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) that span what is alike in every cell; rows (label, a, b, node, root, shingles) come sorted by cell.
+
+    Texts of one root are joined already.
+    """
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        ids, roots = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
+        if (roots == roots[0]).all():
+            return _links(ids[:0], ids[:0])
+        sizes, both = np.array([len(r[2]) for r in rows]), shared([r[2] for r in rows])
+        alike = 100 * both >= round(100 * ALIKE) * (sizes[:, None] + sizes - both)
+        i, j = np.nonzero(np.triu(alike & (roots[:, None] != roots), 1))
+        keep = spanning(len(ids), i, j, np.zeros(len(i), np.int64))
+        return _links(ids[i[keep]], ids[j[keep]])
+
+    cell, rows = None, []
+    for batch in batches:
+        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+        nodes, roots, shingles = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+        flat, ends = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+        for k, own in enumerate(keys):
+            if own != cell and rows:
+                yield links(rows)
+                rows = []
+            cell = own
+            rows.append((nodes[k], roots[k], flat[ends[k] : ends[k + 1]]))
+    if rows:
+        yield links(rows)
 
 
 def _classes(marked: DataFrame) -> DataFrame:
@@ -340,7 +388,7 @@ def _classes(marked: DataFrame) -> DataFrame:
     cells = dealt.select("key", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"), "fp").select(
         "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", F.col("fp").alias("value")
     )
-    spans = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp").mapInArrow(_cells(_forest, 3, None), "u long, v long")
+    spans = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp").mapInArrow(_cells(_forest, 3), "u long, v long")
     roots = components(spans).withColumnRenamed("u", "fp")
     rooted = settle(nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root")), "fp-rooted")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("own"))
@@ -392,7 +440,7 @@ def tables_for(rows: int) -> list[np.ndarray]:
 
 
 def _candidates(nodes: DataFrame, count: int) -> DataFrame:
-    """Links (u, v, layer) that span what the tables' buckets hold within REACH; ``nodes`` are (node, fp)."""
+    """Links (u, v, layer) that span what the tables' buckets hold within REACH, and crowds; ``nodes`` are (node, fp)."""
     tables = tables_for(count)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,42 +455,35 @@ def _candidates(nodes: DataFrame, count: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["t", "key", "node", "fp"])
 
     keyed = nodes.select("node", "fp").mapInArrow(run, "t int, key long, node long, fp binary")
-    # buckets that would weigh on one task are dealt into chunks, other ones in every table; a task cuts the rest into runs;
-    # the nodes of both are told as links to themselves of the layer -1
-    bound = max(CHUNK, -(-count * len(tables) // HOT_KEYS))
-    chunk = F.lit(0).cast("long")
-    if count > bound:
-        hot = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound)
-        keyed = keyed.join(F.broadcast(settle(hot, "hot-buckets")), ["t", "key"], "left")
-        chunk = F.coalesce(F.pmod(F.xxhash64("node", "t"), F.expr(f"(n + {CHUNK - 1}) div {CHUNK}")), chunk)
-    cells = keyed.select("t", "key", chunk.alias("chunk"), "node", "fp").repartition("t", "key", "chunk")
-    spans = cells.sortWithinPartitions("t", "key", "chunk", "node").mapInArrow(_cells(_closest, 3, CHUNK), "u long, v long, layer long")
-    if count > bound:
-        dealt = keyed.where("n IS NOT NULL").select("node").distinct()
-        spans = spans.unionByName(dealt.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(-1).cast("long").alias("layer")))
-    return spans.groupBy("u", "v").agg(F.min("layer").alias("layer"))
-
-
-def _rare_links(crowd: DataFrame) -> DataFrame:
-    """Links (u, v) of the texts of ``crowd`` (node, shingles), which have more like them than a bucket compares.
-
-    What such a crowd has in common, a template say, tells no two of them apart; what they have beyond
-    it does. Each text keeps those SKETCH of its shingles that two to RARE of the crowd's texts have and
-    whose hashes are least; texts that keep the same one are linked, at most RARE of them a shingle. Two
-    texts of which even a quarter of such shingles agree miss each other once in a hundred times.
-    """
-    own = crowd.select("node", F.explode("shingles").alias("s"))
-    often = settle(own.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "crowd-shingles")
-    rows = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # at most HOT_KEYS shingles that would weigh on one task
-    hot = F.broadcast(often.where(F.col("n") > max(CHUNK, -(-rows // HOT_KEYS))).select("s"))
-    rare = own.join(hot, "s", "left_anti").join(often.where(F.col("n").between(2, RARE)).select("s"), "s")
-    least = Window.partitionBy("node").orderBy(F.xxhash64("s"), "s")
-    kept = rare.withColumn("place", F.row_number().over(least)).where(F.col("place") <= SKETCH)
-    groups = kept.groupBy("s").agg(F.sort_array(F.collect_set("node")).alias("g"))
-    # the texts of one shingle, RARE at most, each with those behind it
-    pairs = groups.select(F.posexplode("g").alias("k", "u"), "g").select("u", F.explode(F.slice("g", F.col("k") + 2, F.lit(RARE))).alias("v"))
-    return pairs.distinct()
+    # every pair of a large bucket's chunks is compared
+    chunks = F.lit(1).cast("long")
+    if count > CHUNK:
+        hot = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+        keyed = keyed.join(settle(hot, "hot-buckets"), ["t", "key"], "left")
+        chunks = F.coalesce(F.expr(f"(n + {CHUNK - 1}) div {CHUNK}"), chunks)
+    cells = _chunk_pairs(keyed, ["t", "key"], chunks, ["node", "fp"]).repartition("t", "key", "a", "b")
+    spans = cells.sortWithinPartitions("t", "key", "a", "b", "node").mapInArrow(_cells(_closest, 4), "u long, v long, layer long")
+    # a pair may be a link of one table and the crowd of another
+    return spans.groupBy("u", "v", (F.col("layer") < 0).alias("crowd")).agg(F.min("layer").alias("layer")).drop("crowd")
+
+
+def _chunk_pairs(rows: DataFrame, keys: list[str], chunks: Column, values: list[str]) -> DataFrame:
+    """``keys``, a, b and ``values``: the rows (of a node) of each key's chunks with those of every other of its chunks."""
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    dealt = rows.select(*keys, *values, chunks.alias("chunks")).select(*keys, *values, own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("other"))
+    return dealt.select(*keys, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), *values)
+
+
+def _crowd_links(crowds: DataFrame, roots: DataFrame, shingles: DataFrame) -> DataFrame:
+    """Links (u, v) of all that is alike in ``crowds`` (node, label) and that ``roots`` (u, root) don't join."""
+    known = roots.withColumnRenamed("u", "node")
+    rooted = settle(crowds.join(known, "node", "left").select("label", "node", F.coalesce("root", "node").alias("root")), "crowds")
+    sizes = rooted.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    apart = settle(sizes.where("low < high").select("label", "n", F.expr(f"(n + {PART - 1}) div {PART}").alias("chunks")), "crowds-apart")
+    dealt = join_hot(rooted, apart, ["label"], "n", rooted.count())
+    cells = _chunk_pairs(dealt, ["label"], F.col("chunks"), ["node", "root"]).join(shingles, "node")
+    cells = cells.select("label", "a", "b", "node", "root", "shingles").repartition("label", "a", "b")
+    return cells.sortWithinPartitions("label", "a", "b", "node").mapInArrow(_whole, "u long, v long")
 
 
 def _alike(links: DataFrame, shingles: DataFrame, per_task: int = 1000) -> DataFrame:
@@ -482,22 +523,24 @@ def _survivors(docs: DataFrame, keys: list[str]) -> DataFrame:
     nodes = marked.groupBy("fp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
     found = settle(_candidates(nodes, nodes.count()), "candidates")
-    crowd, links = found.where("layer < 0").select(F.col("u").alias("node")), found.where("layer >= 0")
+    crowds, links = found.where("layer < 0").select(F.col("u").alias("node"), F.col("v").alias("label")), found.where("layer >= 0")
     asked = found.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     asked = settle(nodes.join(asked, "node", "left_semi").select("fp", "node", "n"), "asked")
     shingles = join_hot(marked.select("fp", "shingles"), asked, ["fp"], "n", rows).groupBy("node").agg(F.min("shingles").alias("shingles"))
     shingles = settle(shingles, "shingles")
-    first = links.where("layer = 0").select("u", "v")
-    if not crowd.isEmpty():
-        first = settle(first.union(_rare_links(shingles.join(crowd, "node", "left_semi"))).distinct(), "first-links")
-    sure = settle(_alike(first, shingles), "alike")
+    sure = settle(_alike(links.where("layer = 0").select("u", "v"), shingles), "alike")
     roots = settle(components(sure), "roots")
     # where a link of the first forest fell, the next ones may still join what it would have joined
     one, two = (roots.select(F.col("u").alias(end), F.col("root").alias(f"{end}_root")) for end in ("u", "v"))
     more = links.where("layer > 0").join(one, "u", "left").join(two, "v", "left")
     more = settle(more.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "still-apart")
     if not more.isEmpty():
-        roots = components(sure.union(_alike(more, shingles)))
+        sure = settle(sure.union(_alike(more, shingles)), "alike-more")
+        roots = settle(components(sure), "roots-more")
+    # what the forests left out
+    rest = settle(_crowd_links(crowds, roots, shingles), "crowd-links")
+    if not rest.isEmpty():
+        roots = components(sure.union(rest))
     roots = roots.withColumnRenamed("u", "node")
     chosen = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
     often = _keyed(marked, keys, F.col("doc_id"), F.col("mark")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
