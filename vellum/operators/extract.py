@@ -3,15 +3,19 @@
 ``blocks`` holds one row per block (session_id, ord, id, block_type, page, text, text_type, confidence,
 row_index, col_index, entity_types, and relationships as edges in their own table), ``edges`` one row per
 reference (session_id, src, rtype, rpos, ipos, dst). Order is data: every concatenation is sorted by the
-positions that the input gave. References to missing blocks are dropped by the inner joins.
+positions that the input gave. References to missing blocks are dropped.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators import graph
 
 #: Exact sums of confidences: what is summed first must not matter.
 EXACT = "decimal(38,12)"
@@ -24,14 +28,6 @@ def edges(blocks: DataFrame) -> DataFrame:
     return rel.select("session_id", "src", F.col("r.Type").alias("rtype"), "rpos", F.posexplode("r.Ids").alias("ipos", "dst"))
 
 
-def child_text(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """session_id, src, text: the words below each block, in order, joined by a space."""
-    words = blocks.where("block_type = 'WORD'").select("session_id", F.col("id").alias("dst"), "text")
-    found = edges.where("rtype = 'CHILD'").join(words, ["session_id", "dst"])
-    ordered = F.sort_array(F.collect_list(F.struct("rpos", "ipos", F.coalesce("text", F.lit("")).alias("text"))))
-    return found.groupBy("session_id", "src").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
-
-
 def pages(blocks: DataFrame) -> DataFrame:
     """One row per page that has a line or a word.
 
@@ -61,18 +57,32 @@ def pages(blocks: DataFrame) -> DataFrame:
 
 def table_cells(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """session_id, table_ord, page, row, col, text, confidence, pos: the cells of tables, in order."""
-    tables = blocks.where("block_type = 'TABLE'").select("session_id", F.col("id").alias("src"), F.col("ord").alias("table_ord"), F.coalesce("page", F.lit(1)).alias("page"))
-    cells = blocks.where("block_type = 'CELL'").select(
-        "session_id",
-        F.col("id").alias("dst"),
-        F.coalesce("row_index", F.lit(0)).alias("row"),
-        F.coalesce("col_index", F.lit(0)).alias("col"),
-        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-    )
-    owned = tables.join(edges.where("rtype = 'CHILD'"), ["session_id", "src"]).join(cells, ["session_id", "dst"])
-    words = child_text(blocks, edges).withColumnRenamed("src", "dst")
-    return owned.join(words, ["session_id", "dst"], "left").select(
-        "session_id", "table_ord", "page", "row", "col", F.coalesce("text", F.lit("")).alias("text"), "confidence", F.struct("rpos", "ipos").alias("pos")
+    return cells_of(graph.parts(blocks, edges))
+
+
+def cells_of(parts: DataFrame) -> DataFrame:
+    """``table_cells`` of parts of block graphs."""
+
+    def told(g: graph.Graph) -> dict:
+        child, tables, cells = g.links("CHILD"), g.kind("TABLE"), g.kind("CELL")
+        of, table = graph.meet(g.src[child], g.id[tables])
+        again, cell = graph.meet(g.dst[child[of]], g.id[cells])
+        links, owners, own = child[of[again]], g.blocks.take(pa.array(tables[table[again]])), g.blocks.take(pa.array(cells[cell]))
+        return {
+            "session_id": g.sessions_of(cells[cell]),
+            "table_ord": owners["ord"],
+            "page": owners["page"],
+            "row": own["row_index"],
+            "col": own["col_index"],
+            "text": graph.looked_up(g.id[cells[cell]], *g.texts()),
+            "confidence": own["confidence"],
+            "rpos": g.edges["rpos"].take(pa.array(links)),
+            "ipos": g.edges["ipos"].take(pa.array(links)),
+        }
+
+    out = graph.resolve(parts, told, f"session_id string, table_ord {graph.order_type(parts)}, page int, row int, col int, text string, confidence double, rpos int, ipos int")
+    return out.fillna({"page": 1, "row": 0, "col": 0, "text": "", "confidence": 0.0}).select(
+        "session_id", "table_ord", "page", "row", "col", "text", "confidence", F.struct("rpos", "ipos").alias("pos")
     )
 
 
@@ -98,23 +108,41 @@ def grids(cells: DataFrame, clean: bool = False) -> DataFrame:
 
 def form_fields(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """session_id, ord, key, value, key_confidence, value_confidence, page; the last resolvable value wins."""
-    words = child_text(blocks, edges)
-    keys = blocks.where("block_type = 'KEY_VALUE_SET' AND array_contains(entity_types, 'KEY')").select(
-        "session_id", "ord", F.col("id").alias("src"), F.coalesce("page", F.lit(1)).alias("page"), F.coalesce("confidence", F.lit(0.0)).alias("kc")
-    )
-    keyed = keys.join(words.withColumnRenamed("text", "key"), ["session_id", "src"]).where(T.strip(F.col("key")) != "")
-    targets = blocks.select("session_id", F.col("id").alias("dst"), F.coalesce("confidence", F.lit(0.0)).alias("vc"))
-    linked = edges.where("rtype = 'VALUE'").join(targets, ["session_id", "dst"])
-    linked = linked.join(words.select("session_id", F.col("src").alias("dst"), F.col("text").alias("value")), ["session_id", "dst"], "left")
-    last = linked.groupBy("session_id", "src").agg(F.max_by(F.struct("value", "vc"), F.struct("rpos", "ipos")).alias("v"))
-    return keyed.join(last, ["session_id", "src"], "left").select(
-        "session_id",
-        "ord",
-        T.strip(F.col("key")).alias("key"),
-        T.strip(F.coalesce("v.value", F.lit(""))).alias("value"),
-        T.rounded(F.col("kc")).alias("key_confidence"),
-        T.rounded(F.coalesce("v.vc", F.lit(0.0))).alias("value_confidence"),
-        "page",
+    return fields_of(graph.parts(blocks, edges))
+
+
+def fields_of(parts: DataFrame) -> DataFrame:
+    """``form_fields`` of parts of block graphs."""
+
+    def told(g: graph.Graph) -> dict:
+        nodes, words = g.texts()
+        entities = g.blocks["entity_types"]
+        is_key = np.zeros(len(entities), bool)
+        is_key[pc.list_parent_indices(entities).to_numpy()[np.asarray(pc.fill_null(pc.equal(entities.flatten(), "KEY"), False))]] = True
+        keys = g.kind("KEY_VALUE_SET")
+        keys = keys[is_key[keys]]
+        keys = keys[np.isin(g.id[keys], nodes)]
+        value = g.links("VALUE")
+        of, target = graph.meet(g.dst[value], g.id)
+        order = g.in_order(value[of])
+        src, target = g.src[value[of[order]]], target[order]
+        last = np.flatnonzero(np.append(src[1:] != src[:-1], len(src) > 0))
+        src, target = src[last], target[last]
+        own = g.blocks.take(pa.array(keys))
+        return {
+            "session_id": g.sessions_of(keys),
+            "ord": own["ord"],
+            "key": graph.looked_up(g.id[keys], nodes, words),
+            "value": graph.looked_up(g.id[keys], src, graph.looked_up(g.id[target], nodes, words)),
+            "kc": own["confidence"],
+            "vc": graph.looked_up(g.id[keys], src, g.blocks["confidence"].take(pa.array(target))),
+            "page": own["page"],
+        }
+
+    out = graph.resolve(parts, told, f"session_id string, ord {graph.order_type(parts)}, key string, value string, kc double, vc double, page int")
+    out = out.fillna({"value": "", "kc": 0.0, "vc": 0.0, "page": 1}).withColumn("key", T.strip(F.col("key"))).where("key <> ''")
+    return out.select(
+        "session_id", "ord", "key", T.strip(F.col("value")).alias("value"), T.rounded(F.col("kc")).alias("key_confidence"), T.rounded(F.col("vc")).alias("value_confidence"), "page"
     )
 
 

@@ -117,47 +117,39 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.unionByName(words)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A block graph of ``fields``: a KEY block, two VALUE blocks of which the second wins, their words, one dangling id."""
-    own, o = fields(spark, sf_dir), F.col("ord").cast("string")
+def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block graph of ``fields``: a KEY block, two VALUE blocks of which the second wins, their words, one dangling id.
+
+    Each row holds the blocks and edges of a field, so that nothing has to be dealt out after they became many.
+    """
+    o = F.col("ord").cast("string")
 
     def block(kind: str, prefix: str, at: int, text, confidence, entities: tuple[str, ...] = ()):
         return F.struct(
-            (F.col("ord") * 10 + at).alias("ord"), F.concat(F.lit(prefix), o).alias("id"), F.lit(kind).alias("block_type"),
+            (F.col("ord") * 10 + at).alias("ord"), F.concat(F.lit(prefix), o).alias("id"), F.lit(kind).alias("block_type"), F.col("page"),
             text.alias("text"), confidence.alias("confidence"), F.array(*map(F.lit, entities)).cast("array<string>").alias("entity_types"),
         )
 
     blank, sure = F.lit(""), F.lit(99.0)
-    # all blocks, and all edges, of a field at once: the fields are read and dealt out once for each
-    blocks_ = own.select(
-        "session_id",
-        "page",
-        F.inline(
-            F.array(
-                block("KEY_VALUE_SET", "k", 0, blank, F.lit(90.005), ("KEY",)),
-                block("KEY_VALUE_SET", "u", 1, blank, F.lit(11.0), ("VALUE",)),
-                block("KEY_VALUE_SET", "v", 2, blank, F.col("value_confidence"), ("VALUE",)),
-                block("WORD", "kw", 3, F.col("key"), sure),
-                block("WORD", "uw", 4, F.lit("old"), sure),
-                block("WORD", "vw", 5, F.col("value"), sure),
-                block("WORD", "vx", 6, F.lit("INR"), sure),
-            )
-        ),
+    blocks_ = F.array(
+        block("KEY_VALUE_SET", "k", 0, blank, F.lit(90.005), ("KEY",)),
+        block("KEY_VALUE_SET", "u", 1, blank, F.lit(11.0), ("VALUE",)),
+        block("KEY_VALUE_SET", "v", 2, blank, F.col("value_confidence"), ("VALUE",)),
+        block("WORD", "kw", 3, F.col("key"), sure),
+        block("WORD", "uw", 4, F.lit("old"), sure),
+        block("WORD", "vw", 5, F.col("value"), sure),
+        block("WORD", "vx", 6, F.lit("INR"), sure),
     )
 
     def edge(src: str, kind: str, rpos: int, ipos: int, dst: str):
         return F.struct(F.concat(F.lit(src), o).alias("src"), F.lit(kind).alias("rtype"), F.lit(rpos).alias("rpos"), F.lit(ipos).alias("ipos"), F.concat(F.lit(dst), o).alias("dst"))
 
-    edges_ = own.select(
-        "session_id",
-        F.inline(
-            F.array(
-                edge("k", "CHILD", 0, 0, "kw"), edge("k", "VALUE", 1, 0, "u"), edge("k", "VALUE", 1, 1, "v"), edge("k", "VALUE", 1, 2, "gone"),
-                edge("u", "CHILD", 0, 0, "uw"), edge("v", "CHILD", 0, 1, "vx"), edge("v", "CHILD", 0, 0, "vw"),
-            )
-        ),
+    edges_ = F.array(
+        edge("k", "CHILD", 0, 0, "kw"), edge("k", "VALUE", 1, 0, "u"), edge("k", "VALUE", 1, 1, "v"), edge("k", "VALUE", 1, 2, "gone"),
+        edge("u", "CHILD", 0, 0, "uw"), edge("v", "CHILD", 0, 1, "vx"), edge("v", "CHILD", 0, 0, "vw"),
     )
-    return blocks_, edges_
+
+    return fields(spark, sf_dir).select("session_id", blocks_.alias("blocks"), edges_.alias("edges"))
 
 
 #: Which sessions have a table, and which have pages.
@@ -165,55 +157,45 @@ HAS_TABLE = "CAST(substr(session_id, 2) AS BIGINT) % 2 = 0"
 HAS_PAGES = "CAST(substr(session_id, 2) AS BIGINT) % 7 <> 3"
 
 
-def table_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A block graph of tables: for every other session a TABLE whose CELLs hold two WORDs each, and one without cells.
+def table_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block graph of tables, a row per field: for every other session a TABLE whose CELLs hold two WORDs each, and one without cells.
 
     Cells are placed by the field's order, with holes and doubles; a cell also refers to a missing word.
     """
-    own, o = fields(spark, sf_dir).where(HAS_TABLE), F.col("ord").cast("string")
     none = F.lit(None).cast("int")
 
     def block(at: int, id_, kind: str, text, confidence, row=none, col=none):
         return F.struct(
-            (F.col("ord") * 10 + at).alias("ord"), id_.alias("id"), F.lit(kind).alias("block_type"), text.alias("text"),
+            (F.col("ord") * 10 + at).alias("ord"), id_.alias("id"), F.lit(kind).alias("block_type"), F.lit(1).alias("page"), text.alias("text"),
             confidence.alias("confidence"), row.alias("row_index"), col.alias("col_index"),
         )
 
     blank, sure = F.lit(""), F.lit(99.0)
-    first = F.col("ord") == 1
+    o, first = F.col("ord").cast("string"), F.col("ord") == 1
     row, col = (F.col("ord") % 5).cast("int"), ((F.col("ord") * 7) % 4).cast("int")
-    blocks_ = own.select(
-        "session_id",
-        F.lit(1).alias("page"),
-        F.inline(
-            F.array_compact(
-                F.array(
-                    F.when(first, block(-2, F.lit("t1"), "TABLE", blank, sure)),
-                    F.when(first, block(-1, F.lit("t2"), "TABLE", blank, sure)),
-                    block(0, F.concat(F.lit("c"), o), "CELL", blank, F.col("value_confidence"), row, col),
-                    block(1, F.concat(F.lit("a"), o), "WORD", F.col("key"), sure),
-                    block(2, F.concat(F.lit("b"), o), "WORD", F.col("value"), sure),
-                )
-            )
-        ),
+    blocks_ = F.array_compact(
+        F.array(
+            F.when(first, block(-2, F.lit("t1"), "TABLE", blank, sure)),
+            F.when(first, block(-1, F.lit("t2"), "TABLE", blank, sure)),
+            block(0, F.concat(F.lit("c"), o), "CELL", blank, F.col("value_confidence"), row, col),
+            block(1, F.concat(F.lit("a"), o), "WORD", F.col("key"), sure),
+            block(2, F.concat(F.lit("b"), o), "WORD", F.col("value"), sure),
+        )
     )
 
     def edge(src, rpos, ipos, dst):
         return F.struct(src.alias("src"), F.lit("CHILD").alias("rtype"), rpos.alias("rpos"), ipos.alias("ipos"), dst.alias("dst"))
 
     zero = F.lit(0)
-    edges_ = own.select(
-        "session_id",
-        F.inline(
-            F.array(
-                edge(F.lit("t1"), zero, F.col("ord").cast("int"), F.concat(F.lit("c"), o)),
-                edge(F.concat(F.lit("c"), o), zero, F.lit(1), F.concat(F.lit("b"), o)),
-                edge(F.concat(F.lit("c"), o), zero, zero, F.concat(F.lit("a"), o)),
-                edge(F.concat(F.lit("c"), o), F.lit(1), zero, F.lit("gone")),
-            )
-        ),
+    cell = F.concat(F.lit("c"), o)
+    edges_ = F.array(
+        edge(F.lit("t1"), zero, F.col("ord").cast("int"), cell),
+        edge(cell, zero, F.lit(1), F.concat(F.lit("b"), o)),
+        edge(cell, zero, zero, F.concat(F.lit("a"), o)),
+        edge(cell, F.lit(1), zero, F.lit("gone")),
     )
-    return blocks_, edges_
+
+    return fields(spark, sf_dir).where(HAS_TABLE).select("session_id", blocks_.alias("blocks"), edges_.alias("edges"))
 
 
 def cells(fields: DataFrame) -> DataFrame:
