@@ -27,9 +27,25 @@ CUT_DATE, CUT_LETTER = r"(?U)\d{1,2}/\d{1,2}/\d{2,3}\n?\z", r"[a-zA-Z]\n?\z"
 
 #: What Unicode-aware ``strip`` takes for white space, as a pattern and as the characters themselves.
 _BLANK = r"[\s\x1c-\x1f]"
+_NUMBER = r"(?U)^(?:\d|[\s\x1c-\x1f]|[,.])+\z"
 BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body names it, inside lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def runs(rows: Column, key) -> Column:
+    """A sorted array cut where ``key`` of its elements changes, as an array of arrays."""
+
+    def cut(own: Column) -> Column:
+        begins = F.transform(own, lambda x, i: F.when((i == 0) | ~key(x).eqNullSafe(key(F.get(own, i - 1))), i))
+        return let(F.array_compact(begins), lambda at: F.transform(at, lambda b, j: F.slice(own, b + 1, F.coalesce(F.get(at, j + 1), F.size(own)) - b)))
+
+    return let(rows, cut)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, by Unicode."""
     return F.trim(c, F.lit(BLANKS))
@@ -47,8 +63,11 @@ def rounded(c: Column, places: int = 2) -> Column:
 
 def clean_number(c: Column) -> Column:
     """Digits split by OCR are joined where the whole string is a number; commas stay, trailing dots go."""
-    joined = F.regexp_replace(F.regexp_replace(c, r"\.+\z", ""), rf"(?U)(?<=\d){_BLANK}+(?=\d)", "")
-    return strip(F.when(c.rlike(r"(?U)^(?:\d|[\s\x1c-\x1f]|[,.])+\z"), joined).otherwise(c))
+    return strip(F.when(c.rlike(_NUMBER), _joined(c)).otherwise(c))
+
+
+def _joined(number: Column) -> Column:
+    return F.regexp_replace(F.rtrim(number, F.lit(".")), rf"(?U)(?<=\d){_BLANK}+(?=\d)", "")
 
 
 def split_digits(c: Column) -> Column:
@@ -56,8 +75,15 @@ def split_digits(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)(\d)([A-Z][a-zA-Z])", "$1 $2")
 
 
+def clean_stripped(c: Column) -> Column:
+    """``clean_value`` of what is stripped already; no pattern is replaced where nothing can change."""
+    odd = c.rlike(_NUMBER) & (c.endswith(".") | c.rlike(rf"(?U){_BLANK}"))
+    own = F.when(odd, strip(_joined(c))).otherwise(c)
+    return F.when(c.rlike(r"(?U)\d[A-Z][a-zA-Z]"), split_digits(c)).otherwise(own)
+
+
 def clean_value(c: Column) -> Column:
-    return split_digits(clean_number(strip(c)))
+    return clean_stripped(strip(c))
 
 
 def is_truncated(c: Column, strict: bool = False) -> Column:
@@ -67,12 +93,28 @@ def is_truncated(c: Column, strict: bool = False) -> Column:
 
 
 def is_noise_line(line: Column) -> Column:
-    own = strip(line)
-    return (own == NOISE_LINE) | F.lower(own).isin(*NOISE_LINES_ANY_CASE) | F.lower(own).startswith(NOISE_START_ANY_CASE)
+    def told(own: Column, low: Column) -> Column:
+        return (own == NOISE_LINE) | low.isin(*NOISE_LINES_ANY_CASE) | low.startswith(NOISE_START_ANY_CASE)
+
+    return let(strip(line), lambda own: let(F.lower(own), lambda low: told(own, low)))
+
+
+def without_noise(page: Column) -> Column:
+    """A page's text without noise lines as ``text``, and how many went as ``lines_removed``."""
+
+    def told(own: Column, kept: Column) -> Column:
+        return F.struct(strip(F.array_join(kept, "\n")).alias("text"), (F.size(own) - F.size(kept)).cast("long").alias("lines_removed"))
+
+    return let(lines(page), lambda own: let(F.filter(own, lambda x: ~is_noise_line(x)), lambda kept: told(own, kept)))
 
 
 def is_empty_checkbox(key: Column, value: Column) -> Column:
-    return (strip(value) == "") & strip(key).isin(*CHECKBOX_KEYS)
+    return stripped_checkbox(strip(key), strip(value))
+
+
+def stripped_checkbox(key: Column, value: Column) -> Column:
+    """``is_empty_checkbox`` of what is stripped already."""
+    return (value == "") & key.isin(*CHECKBOX_KEYS)
 
 
 def lines(c: Column) -> Column:
@@ -130,11 +172,6 @@ def is_table_line(line: Column) -> Column:
     return (F.regexp_count(line, F.lit(r"\|")) >= 2) | (F.size(F.split(line, "\t", -1)) >= 3)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is worked out once however often the body names it, inside lambdas too."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def table_prose(c: Column, lead: str = "Details: ") -> Column:
     """Tables of a heading and one row as sentences: each heading with its value. Best effort.
 
@@ -160,12 +197,12 @@ def table_prose(c: Column, lead: str = "Details: ") -> Column:
         return F.array_join(F.array_compact(new), "\n")
 
     def with_cells(own: Column) -> Column:
-        return _let(F.transform(own, lambda x: F.when(is_table_line(x), F.regexp_count(x, F.lit(r"[|\t]")) + 1).otherwise(0)), lambda cells: rewritten(own, cells))
+        return let(F.transform(own, lambda x: F.when(is_table_line(x), F.regexp_count(x, F.lit(r"[|\t]")) + 1).otherwise(0)), lambda cells: rewritten(own, cells))
 
     # most texts have no two table lines in a row, and are spared
     # tried at line starts only and without going back, so that long lines take one pass
     bars, tabs = r"[^\n|]*+\|[^\n|]*+\|[^\n]*+", r"[^\n\t]*+\t[^\n\t]*+\t[^\n]*+"
-    return F.when(c.rlike(rf"(?m)^(?:{bars}|{tabs})\n(?:{bars}|{tabs})"), _let(lines(c), with_cells)).otherwise(c)
+    return F.when(c.rlike(rf"(?m)^(?:{bars}|{tabs})\n(?:{bars}|{tabs})"), let(lines(c), with_cells)).otherwise(c)
 
 
 def gibberish_ratio(c: Column) -> Column:

@@ -13,10 +13,13 @@ from vellum.operators.extract import first_per
 
 def clean_fields(fields: DataFrame, strict: bool = False) -> DataFrame:
     """Fields without empty checkboxes, their values cleaned; ``original_value`` only where it changed."""
-    key, raw = T.strip(F.col("key")), T.strip(F.col("value"))
-    own = fields.where(~T.is_empty_checkbox(F.col("key"), F.col("value"))).select(
-        "session_id", "ord", key.alias("key"), raw.alias("raw"), T.clean_value(raw).alias("value"), "page", F.col("value_confidence").alias("confidence")
-    )
+    return tidied(fields, strict).where(~F.col("is_box")).drop("is_box")
+
+
+def tidied(fields: DataFrame, strict: bool = False) -> DataFrame:
+    """All fields as ``clean_fields`` gives them, empty checkboxes too, which ``is_box`` tells."""
+    own = fields.select("session_id", "ord", T.strip(F.col("key")).alias("key"), T.strip(F.col("value")).alias("raw"), "page", F.col("value_confidence").alias("confidence"))
+    own = own.withColumn("value", T.clean_stripped(F.col("raw")))
     return own.select(
         "session_id",
         "ord",
@@ -26,6 +29,7 @@ def clean_fields(fields: DataFrame, strict: bool = False) -> DataFrame:
         "confidence",
         T.is_truncated(F.col("value"), strict).alias("is_truncated"),
         F.when(F.col("value") != F.col("raw"), F.col("raw")).alias("original_value"),
+        T.stripped_checkbox(F.col("key"), F.col("raw")).alias("is_box"),
     )
 
 
@@ -36,12 +40,35 @@ def dedup_fields(cleaned: DataFrame) -> DataFrame:
     return first_per(cleaned, ["session_id", "key", "page"], order)
 
 
+def field_part() -> Column:
+    """A row of ``tidied`` as a struct whose order is that of ``dedup_fields`` within (page, key); null where that leaves the row out."""
+    filled = F.col("value") != ""
+    sure = F.when(filled, F.col("confidence"))
+    # as in ORDER BY ... DESC NULLS LAST, where NaN is above all numbers
+    kind = F.when(sure.isNull(), 2).when(F.isnan(sure), 0).otherwise(1)
+    rank = F.struct(F.when(filled, 0).when(~filled, 1).otherwise(2).alias("empty"), kind.alias("kind"), (-sure).alias("unsure"), F.col("ord"))
+    return F.when(~F.col("is_box"), F.struct("page", "key", rank.alias("rank"), "value", "confidence", "is_truncated", "original_value"))
+
+
+def dedup_parts(parts: Column) -> Column:
+    """A session's fields as ``dedup_fields`` leaves them, of an array of ``field_part``, in order of page and key."""
+
+    def first(own: Column) -> Column:
+        def again(x: Column, i: Column) -> Column:
+            before = F.get(own, i - 1)
+            return (i > 0) & x["key"].eqNullSafe(before["key"]) & x["page"].eqNullSafe(before["page"])
+
+        return F.filter(own, lambda x, i: ~again(x, i))
+
+    names = ("page", "key", "value", "confidence", "is_truncated", "original_value")
+    return F.transform(T.let(F.sort_array(parts), first), lambda x: F.struct(*[x[n].alias(n) for n in names]))
+
+
 def clean_pages(pages: DataFrame) -> DataFrame:
     """Pages without noise lines, and how many went."""
-    kept = F.filter(T.lines(F.col("text")), lambda x: ~T.is_noise_line(x))
-    removed = (F.size(T.lines(F.col("text"))) - F.size(kept)).cast("long")
     rest = [c for c in pages.columns if c != "text"]
-    return pages.select(*rest, T.strip(F.array_join(kept, "\n")).alias("text"), removed.alias("lines_removed"))
+    own = pages.withColumn("_own", T.without_noise(F.col("text")))
+    return own.select(*rest, F.col("_own.text").alias("text"), F.col("_own.lines_removed").alias("lines_removed"))
 
 
 def notes_of(gone: Column, cut: Column, changed: Column) -> Column:

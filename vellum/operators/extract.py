@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
@@ -89,21 +89,66 @@ def cells_of(parts: DataFrame) -> DataFrame:
 def grids(cells: DataFrame, clean: bool = False) -> DataFrame:
     """session_id, table_ord, page, rows, cols, data: dense grids; of cells in one place the last stays."""
     own = T.clean_value(F.col("text")) if clean else F.col("text")
-    last = cells.groupBy("session_id", "table_ord", "page", "row", "col").agg(F.max_by(own, "pos").alias("text"))
-    place = F.struct("row", "col")
-    found = last.groupBy("session_id", "table_ord", "page").agg(
-        F.max("row").alias("rows"), F.max("col").alias("cols"), F.map_from_entries(F.collect_list(F.struct(place, "text"))).alias("at")
-    )
+    cell = F.struct("row", "col", "pos", own.alias("text"))
+    found = cells.groupBy("session_id", "table_ord", "page").agg(F.sort_array(F.collect_list(cell)).alias("_cells"))
+    found = found.withColumn("_grid", grid(F.col("_cells")))
+    return found.select("session_id", "table_ord", "page", *[F.col(f"_grid.{n}").alias(n) for n in ("rows", "cols", "data")])
 
-    def line(r):
-        return F.transform(
-            F.sequence(F.lit(1), F.col("cols")),
-            lambda c: F.coalesce(F.try_element_at(F.col("at"), F.struct(r.alias("row"), c.alias("col"))), F.lit("")),
-        )
 
+def grid(cells: Column) -> Column:
+    """A table's rows, cols and data, of the array of its cells in order of row, col and pos."""
     empty = F.array().cast("array<array<string>>")
-    dense = F.when((F.col("rows") < 1) | (F.col("cols") < 1), empty).otherwise(F.transform(F.sequence(F.lit(1), F.greatest("rows", F.lit(1))), line))
-    return found.select("session_id", "table_ord", "page", "rows", "cols", dense.alias("data"))
+
+    def dense(own: Column, rows: Column, cols: Column) -> Column:
+        def number(r: Column, c: Column) -> Column:
+            return r.cast("long") * (cols + 1) + c
+
+        def last(x: Column, i: Column) -> Column:
+            after = F.get(own, i + 1)
+            return (x["row"] >= 1) & (x["col"] >= 1) & ((after["row"] != x["row"]) | (after["col"] != x["col"]) | after.isNull())
+
+        at = F.map_from_entries(F.transform(F.filter(own, last), lambda x: F.struct(number(x["row"], x["col"]).alias("key"), x["text"].alias("value"))))
+
+        def line(at: Column, r: Column) -> Column:
+            return F.transform(F.sequence(F.lit(1), cols), lambda c: F.coalesce(F.try_element_at(at, number(r, c)), F.lit("")))
+
+        return F.when((rows < 1) | (cols < 1), empty).otherwise(T.let(at, lambda at: F.transform(F.sequence(F.lit(1), F.greatest(rows, F.lit(1))), lambda r: line(at, r))))
+
+    def told(own: Column, size: Column) -> Column:
+        rows, cols = size["rows"], size["cols"]
+        return F.struct(rows.alias("rows"), cols.alias("cols"), dense(own, rows, cols).alias("data"))
+
+    def most(own: Column, name: str) -> Column:
+        return F.array_max(F.transform(own, lambda x: x[name]))
+
+    return T.let(cells, lambda own: T.let(F.struct(most(own, "row").alias("rows"), most(own, "col").alias("cols")), lambda size: told(own, size)))
+
+
+def grids_in(cells: Column) -> Column:
+    """A session's ``grids`` of the array of its cells (table_ord, page, row, col, pos, text), in order of table and page."""
+
+    def told(own: Column) -> Column:
+        first = F.get(own, F.lit(0))
+        return T.let(grid(own), lambda g: F.struct(first["table_ord"].alias("table_ord"), first["page"].alias("page"), *[g[n].alias(n) for n in ("rows", "cols", "data")]))
+
+    return F.transform(T.runs(F.sort_array(cells), lambda x: F.struct(x["table_ord"], x["page"])), told)
+
+
+def pages_in(words: Column) -> Column:
+    """A session's pages, in order, of the array of its words (page_number, confidence, has_handwriting): word_count, avg_confidence and has_handwriting."""
+
+    def told(own: Column) -> Column:
+        known = F.filter(F.transform(own, lambda w: w["confidence"].cast("decimal(37,12)")), lambda c: c.isNotNull())
+        # 37 digits, as a sum of 38 would lose the last decimal place
+        total = T.let(known, lambda k: F.when(F.size(k) > 0, F.aggregate(k, F.lit(0).cast(EXACT), lambda a, c: (a.cast("decimal(37,12)") + c).cast(EXACT))))
+        return F.struct(
+            F.get(own, F.lit(0))["page_number"].alias("page_number"),
+            F.size(own).cast("long").alias("word_count"),
+            T.rounded(total.cast("double") / F.size(own)).alias("avg_confidence"),
+            F.exists(own, lambda w: w["has_handwriting"]).alias("has_handwriting"),
+        )
+
+    return F.transform(T.runs(F.sort_array(words), lambda w: w["page_number"]), told)
 
 
 def form_fields(blocks: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ bounded number of rows whatever the scale. FIELDS and RUNS are SQL that Spark an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FIELD_KEYS = ("First Name", "Last Name", "Loan Amount", "Tenor (months)", "Floating Rate", "ECS", "Gross Monthly Income", "Date:", "Branch", "PAN Card", "Male", "Yes")
@@ -198,18 +198,15 @@ def table_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields(spark, sf_dir).where(HAS_TABLE).select("session_id", blocks_.alias("blocks"), edges_.alias("edges"))
 
 
+def cell(text: str) -> list[Column]:
+    """A field as a cell of its session's table, placed by its order, with holes and doubles."""
+    row, col = (F.col("ord") % 5).cast("int"), ((F.col("ord") * 7) % 4).cast("int")
+    return [F.lit(1).alias("table_ord"), F.lit(1).alias("page"), row.alias("row"), col.alias("col"), F.col("ord").alias("pos"), F.col(text).alias("text")]
+
+
 def cells(fields: DataFrame) -> DataFrame:
-    """Table cells of ``fields``: a table for every other session, cells placed by the field's order, with holes and doubles."""
-    return fields.where(HAS_TABLE).select(
-        "session_id",
-        F.lit(1).alias("table_ord"),
-        F.lit(1).alias("page"),
-        (F.col("ord") % 5).cast("int").alias("row"),
-        ((F.col("ord") * 7) % 4).cast("int").alias("col"),
-        F.col("value").alias("text"),
-        F.col("value_confidence").alias("confidence"),
-        F.col("ord").alias("pos"),
-    )
+    """Table cells of ``fields``: a table for every other session."""
+    return fields.where(HAS_TABLE).select("session_id", *cell("value"), F.col("value_confidence").alias("confidence"))
 
 
 def artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
