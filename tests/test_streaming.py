@@ -141,3 +141,72 @@ def test_jobs_ask_the_store_for_no_single_state(spark, tmp_path):
     rows = spark.readStream.schema(RESPONSE).parquet(str(tmp_path / "in")).withColumn("asked", F.timestamp_seconds("asked_s"))
     plan = jobs.job_results(rows)._jdf.queryExecution().logical().toString()
     assert "FlatMapGroupsInPandasWithState" in plan and "TransformWithState" not in plan
+
+
+def plain_jobs(rows, most_polls, limit):
+    """Each job's result by one walk over its rows; time has passed as far as the latest row of all."""
+    own, out = {}, {}
+    for job, batch, at, status_, request, next_ in rows:
+        own.setdefault(job, []).append((at, batch is None, batch or "", status_, request, next_))
+    now = max(r[2] for r in rows)
+    for job, mine in own.items():
+        mine.sort(key=lambda r: r[:3])
+        due, attempts, batches, named, asked, last = mine[0][0] + limit, 0, 0, [], [], 0
+        for at, _, _, status_, request, next_ in mine:
+            if at > due:
+                break
+            attempts += request is None
+            if status_ == "SUCCEEDED":
+                batches, last = batches + 1, last + (next_ is None)
+                named, asked = named + [next_], asked + [request]
+            whole = sorted(filter(None, named)) == sorted(filter(None, asked)) and None in asked and last
+            end = "FAILED" if status_ == "FAILED" else "SUCCEEDED" if status_ == "SUCCEEDED" and whole else "TIMED_OUT" if status_ != "SUCCEEDED" and attempts >= most_polls else None
+            if end:
+                out[job] = (end, attempts, batches, at)
+                break
+        if job not in out and now > due:
+            out[job] = ("TIMED_OUT", attempts, batches, due)
+    return out
+
+
+def test_many_jobs_share_a_state(spark, tmp_path):
+    stream.keep_state_in_rocksdb(spark)
+    rng, rows = random.Random(9), []
+    for j in range(300):
+        at, n = rng.randint(1, 600), rng.randint(1, 6)
+        for k in range(n):
+            state = rng.choice(["IN_PROGRESS", None]) if k < 2 and rng.random() < 0.6 else rng.choice(["SUCCEEDED"] * 9 + ["FAILED"])
+            first = not any(r[0] == f"j{j}" and r[3] == "SUCCEEDED" for r in rows)
+            token = (None if first or state != "SUCCEEDED" else f"t{k}", f"t{k + 1}" if state == "SUCCEEDED" and k < n - 1 else None)
+            if rng.random() < 0.95:
+                rows.append((f"j{j}", rng.choice([None, f"b{k}"]), at, state, *token))
+            at += rng.choice([0, 5, 5, 40, 90])
+    # a job is open as long as the latest row of all is at its limit and not beyond it
+    rows += [("at", "a", 900, "IN_PROGRESS", None, None), ("end", "a", 1000, "IN_PROGRESS", None, None), ("over", "a", 899, "IN_PROGRESS", None, None)]
+    expected = plain_jobs(rows, 3, 100)
+    assert {e[0] for e in expected.values()} == {"SUCCEEDED", "FAILED", "TIMED_OUT"} and "over" in expected and "at" not in expected
+    out, checkpoint, states = str(tmp_path / "out"), str(tmp_path / "checkpoint"), []
+
+    def run(arrived):
+        own = jobs.job_results(arrived.withColumn("asked", F.timestamp_seconds("asked_s")), most_polls=3, seconds=100, buckets=4)
+        query = own.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    stream.in_slices(spark.createDataFrame(rows, RESPONSE), "asked_s", 4, run)
+    got = spark.read.parquet(out).collect()
+    assert len(got) == len(expected) and {r.job_id: (r.outcome, r.attempts, r.n_batches, r.ended_ms // 1000) for r in got} == expected
+    assert max(states) <= 4
+
+
+def test_slices_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    rows, landed = spark.range(30).mapInPandas(seen, "id long"), []
+    stream.in_slices(rows, "id", 3, lambda arrived: landed.append(arrived.isStreaming))
+    assert made.value == 30 and landed == [True] * 3

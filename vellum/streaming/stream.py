@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.sources import ocr
-from vellum.sources.workspace import shared_path
+from vellum.sources.workspace import settle, shared_path
 
 
 def landed_responses(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -33,6 +33,7 @@ def in_slices(rows: DataFrame, by: str, slices: int, run: Callable[[DataFrame],
     Each run is a stream of its own that goes on from the checkpoint of the one before, as after a restart.
     """
     spark = rows.sparkSession
+    rows = settle(rows, "arriving")  # made once, not for the bounds and for each slice
     path = shared_path(spark, "landing")
     first, last = rows.agg(F.min(by), F.max(by)).first()
     if first is None:
