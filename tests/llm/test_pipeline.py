@@ -33,6 +33,32 @@ def test_stages_bear_odd_rows(spark):
     assert docs.count() > 0
 
 
+def test_the_mix_reaches_the_result(spark):
+    from vellum.llm import mixing
+
+    # as many files as ranges of slots, of sizes in no order
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.read.parquet(f"{SF}/documents.parquet")
+        kept = settle(corpus_pipeline.target_mix(spark, docs, SF), "mixing")
+        slots = {r.doc_id: r.slot for r in mixing.mix(docs).select("doc_id", "slot").collect()}
+        out = corpus_pipeline.encoded(spark, kept, SF)
+        assert out.columns == ["doc_id", "n_tokens", "token_ids"] and len(kept.inputFiles()) > 2
+        ids = [r.doc_id for r in out.collect()]
+        assert ids == sorted(slots, key=lambda i: (slots[i], i)) and len(ids) == docs.count()
+        written = settle(out, "encoded")
+        assert {(r.doc_id, r.token_ids) for r in written.collect()} == {(r.doc_id, r.token_ids) for r in bpe_of(kept)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def bpe_of(docs):
+    from vellum.llm import bpe
+    from vellum.llm.queries import vocabulary
+
+    return bpe.encode_documents(docs, vocabulary("word_bpe_49k.json")).collect()
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "n_tokens", "token_ids"]
 

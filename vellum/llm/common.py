@@ -44,6 +44,19 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def in_written_order(rows: DataFrame) -> DataFrame:
+    """Rows that were written in order and read back from Parquet, in that order again.
+
+    A scan packs files into tasks by their size, so it keeps the order within a file only. Files are
+    taken by the numbers that Spark gives them, the task's and then the file's of the task.
+    """
+    at = rows.metadataColumn("_metadata")
+    number = lambda pattern: F.regexp_extract(at["file_name"], pattern, 1).try_cast("long")
+    keys = {"_task": number(r"^part-(\d+)"), "_file": number(r"-c(\d+)"), "_path": at["file_path"], "_row": at["row_index"]}
+    names = {fresh(k, rows.columns): of for k, of in keys.items()}
+    return rows.select("*", *[of.alias(k) for k, of in names.items()]).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+
+
 def numbered(rows: DataFrame, order: list[Column], name: str, tag: str) -> DataFrame:
     """``rows`` with their place (a long from 0) in ``order`` over the whole table, in a column ``name``.
 
